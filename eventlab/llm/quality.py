@@ -33,7 +33,7 @@ H = 0.75
 C_STEPS = 3
 #: Rejected above this squared distance: far out of the 0.999999 quantile (33.4) of
 #: chi-square with 4 degrees of freedom, as the statistics aren't normal.
-CUTOFF = 60.0
+CUTOFF = 90.0
 #: Median of chi-square with 4 degrees of freedom, for the scale of the estimate.
 CHI2_MEDIAN = 3.3566939800333213
 #: Bins of distance for its quantiles: BINS_PER_E for each factor of e.
