@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlab.llm import bpe, linededup, mixing, quality
+from eventlab.llm import bpe, linededup, media, mixing, quality
 from eventlab.llm.simhash import simhash_components
 
 #: The vocabulary of op7; any rank file and pattern can be given to the operator.
@@ -22,6 +22,10 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_media(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mix": op1_cube_mix,
+    "op2_media_chunks": op2_media_chunks,
     "op4_line_dedup": op4_line_dedup,
     "op6_simhash_components": op6_simhash_components,
     "op7_byte_bpe": op7_byte_bpe,
