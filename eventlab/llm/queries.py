@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlab.llm import bpe, linededup, media, mixing, quality
+from eventlab.llm import bpe, linededup, media, mixing, quality, urlrep, warc
 from eventlab.llm.simhash import simhash_components
 
 #: The vocabulary of op7; any rank file and pattern can be given to the operator.
@@ -39,6 +39,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrep.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -49,9 +57,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_simhash_components": op6_simhash_components,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_warc_salvage": op8_warc_salvage,
+    "op9_url_reputation": op9_url_reputation,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE_SQL,
+    "op8_warc_salvage": warc.ORACLE_SQL,
+    "op9_url_reputation": urlrep.ORACLE_SQL,
 }
