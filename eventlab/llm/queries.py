@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlab.llm import bpe, linededup, media, mixing, quality, urlrep, warc
+from eventlab.llm import bpe, licenses, linededup, media, mixing, quality, unigram, urlrep, warc
 from eventlab.llm.simhash import simhash_components
 
 #: The vocabulary of op7; any rank file and pattern can be given to the operator.
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+#: The vocabulary of op3, scored by Zipf's law; any pieces and scores can be given to the operator.
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,18 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_media(_table(spark, sf_dir, "documents"))
 
 
+def op3_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(_table(spark, sf_dir, "documents"), unigram.zipf_scores(public_tokenizers.path(PIECE_FILE)))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.document_path())
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +64,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mix": op1_cube_mix,
     "op2_media_chunks": op2_media_chunks,
+    "op3_unigram_counts": op3_unigram_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_simhash_components": op6_simhash_components,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc_salvage": op8_warc_salvage,
@@ -64,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE_SQL,
+    "op5_license_scan": licenses.ORACLE_SQL,
     "op8_warc_salvage": warc.ORACLE_SQL,
     "op9_url_reputation": urlrep.ORACLE_SQL,
 }
