@@ -1,3 +1,3 @@
 """Registered queries, by the kind of their operators."""
 
-from eventlab.queries import checks, draws, rows, stats  # noqa: F401
+from eventlab.queries import checks, draws, inject, rows, stats  # noqa: F401
