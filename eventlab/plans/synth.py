@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlab.functions import draws as D
+from eventlab.sources.tables import cut
 
 FIRST = ("Ada", "Ben", "Cleo", "Dina", "Emil", "Fay", "Gus", "Hana", "Ivan", "June", "Kai", "Lena")
 LAST = ("Adler", "Brook", "Castro", "Dunn", "Egger", "Frost", "Gray", "Haas", "Irwin", "Jung", "Klein", "Lowe")
@@ -246,9 +247,12 @@ def synth_table(spark: SparkSession, n: int, columns: Mapping[str, Generator], t
 
 
 def numbered(target: DataFrame, *order: str) -> DataFrame:
-    """Rows with ``_n`` from 0 on in order: numbered within ranges of the order, plus the rows of the ranges before."""
+    """Rows with ``_n`` from 0 on in order: numbered within ranges of the order, plus the rows of the ranges before.
+
+    The ranges are written once, so that their counts and their rows are of the same ones.
+    """
     ranged = target.repartitionByRange(*order).sortWithinPartitions(*order)
-    part = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    part = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     # the low 33 bits count a partition's rows
     at = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = part.groupBy("_part").agg(F.count("*").alias("_size"))
