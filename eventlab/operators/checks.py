@@ -124,6 +124,33 @@ def version_as_of(df: DataFrame, pins: DataFrame, upgrades: DataFrame) -> DataFr
     return known.withColumn("version", F.greatest(F.coalesce(reached, F.col("pin")), F.col("pin"))).drop("_steps", "_hour")
 
 
+def cdc_cause_violations(cdc: DataFrame, events: DataFrame) -> DataFrame:
+    """(change_id, problem) of changes whose cause is unknown, not earlier, or of another time or correlation."""
+    cause = events.select(F.col("event_id").alias("_c"), F.col("sequence_no").alias("_seq"), F.col("occurred_at").alias("_at"), F.col("correlation_id").alias("_corr"))
+    both = cdc.join(cause, F.col("causation_id") == F.col("_c"), "left")
+    problem = F.when(F.col("_c").isNull(), "unresolved").when(F.col("_seq") >= F.col("sequence_no"), "not earlier").when(F.col("_at") != F.col("occurred_at"), "time").when(~F.col("_corr").eqNullSafe(F.col("correlation_id")), "correlation")
+    return both.select("change_id", problem.alias("problem")).where("problem is not null")
+
+
+def with_drift_menu(df: DataFrame, menu: DataFrame) -> DataFrame:
+    """The fields that the next version of each event's subject adds (subject, added); null where there is none."""
+    return df.join(F.broadcast(menu), "subject", "left")  # a row for each subject with a next version
+
+
+def snapshot_violations(cdc: DataFrame) -> DataFrame:
+    """(entity_key, entity_version, problem) of read rows that repeat, or that have a before image."""
+    nth = F.row_number().over(Window.partitionBy("entity_key").orderBy("entity_version"))
+    reads = cdc.where("op = 'r'").withColumn("_nth", nth)
+    problem = F.when(F.col("_nth") > 1, "repeated").when(F.col("before_status").isNotNull(), "before image")
+    return reads.select("entity_key", "entity_version", problem.alias("problem")).where("problem is not null")
+
+
+def root_violations(cdc: DataFrame) -> DataFrame:
+    """Background changes (no transaction) that have a cause or an actor, or aren't their own root."""
+    root = F.col("causation_id").isNull() & F.col("actor_id").isNull() & F.col("correlation_id").eqNullSafe(F.col("change_id"))
+    return cdc.where(F.col("tx_id").isNull() & ~root).select("change_id")
+
+
 # windows
 
 

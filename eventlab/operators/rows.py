@@ -153,3 +153,18 @@ def mutations_to_cdc(cdc: DataFrame, table: str, connector: str = "eventlab") ->
 def flatten_injections(inj: DataFrame, schema: str) -> DataFrame:
     """The fields of the JSON column ``details`` as columns."""
     return inj.withColumn("_d", F.from_json("details", schema)).select(*[c for c in inj.columns if c != "details"], "_d.*")
+
+
+#: Facts and the event types and columns they take.
+VIEWS = {
+    "purchases": ("purchase", {"order_id": "event_id", "user_id": "actor_id", "at": "occurred_at", "amount": "value"}),
+    "product_views": ("view", {"event_id": "event_id", "user_id": "actor_id", "at": "occurred_at", "item": "get_json_object(props, '$.k')"}),
+    "signups": ("signup", {"user_id": "actor_id", "at": "occurred_at"}),
+    "failures": ("error", {"event_id": "event_id", "at": "occurred_at"}),
+}
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """The rows and columns of a fact."""
+    event_type, cols = VIEWS[name]
+    return df.where(F.col("event_type") == event_type).select(*[F.expr(e).alias(c) for c, e in cols.items()])

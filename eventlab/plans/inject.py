@@ -6,12 +6,14 @@ to it; ``delivered``, ``late`` and ``records`` are views of that table, which a
 should write once.
 
 A policy is a dict of modes: ``{"missing": {"rate": 0.1}, ...}``; ``types`` in a mode
-restricts it to some event types.  Payloads are maps from a leaf's path to its JSON
+restricts it to some event types, and ``custom`` in corrupted_values is a function of a
+column that takes the place of the kinds.  Payloads are maps from a leaf's path to its JSON
 text, so a broken type can be held.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +56,14 @@ def _record(mode: str, **details: Column) -> Column:
     return F.struct(F.lit(mode).alias("mode"), *[(details[f] if f in details else F.lit(None)).cast(t).alias(f) for f, t in fields.items()])
 
 
+def _settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns behind a generator, which the optimizer doesn't merge with what follows: a draw is
+    computed once for a row, and expressions don't grow from step to step."""
+    names = list(columns)
+    made = df.withColumn("_s", F.explode(F.array(F.struct(*[columns[n].alias(n) for n in names]))))
+    return made.withColumns({n: F.col("_s")[n] for n in names}).drop("_s")
+
+
 def _add(df: DataFrame, when: Column, record: Column) -> DataFrame:
     return df.withColumn("_records", F.when(when, F.array_append("_records", record)).otherwise(F.col("_records")))
 
@@ -92,14 +102,14 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
     df = df.withColumn("_records", F.array().cast("array<struct<mode:string,copies:int,path:string,original:string,delay_ms:bigint,displaced_from:bigint,fields_added:array<string>>>"))
 
     p = policy.get("missing", {})
-    df = df.withColumn("missing", _hit(key, "missing", p) if p else F.lit(False))
+    df = _settle(df, missing=_hit(key, "missing", p)) if p else df.withColumn("missing", F.lit(False))
     df = _add(df, F.col("missing"), _record("missing"))
 
     p = policy.get("duplicates", {})
     if p:
         hit = _hit(key, "duplicates", p) & ~F.col("missing")
         k = F.when(hit, D.weighted_choice(D.prf_u(key, "duplicates", F.col("event_id"), "copies"), p.get("weights", [0.8, 0.15, 0.05])) + 1).otherwise(0)
-        df = df.withColumn("_k", k)
+        df = _settle(df, _k=k)
         df = _add(df, F.col("_k") > 0, _record("duplicates", copies=F.col("_k")))
         df = df.withColumn("duplicate_index", F.explode(F.sequence(F.lit(0), F.col("_k")))).drop("_k")
         df = df.withColumn("_records", F.when(F.col("duplicate_index") == 0, F.col("_records")).otherwise(F.slice("_records", 1, 0)))
@@ -112,28 +122,32 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
         p = policy.get(mode, {})
         if not p:
             continue
-        df = df.withColumn("_hit", _hit(key, mode, p, dup) & ~F.col("missing"))
+        df = _settle(df, _hit=_hit(key, mode, p, dup) & ~F.col("missing"), _free=F.col("_free"), payload=F.col("payload"), _records=F.col("_records"))
         for j in range(p.get("fields", 1)):
-            df = df.withColumn("_path", F.when(F.col("_hit"), _picked(F.col("_free"), key, mode, j, dup)))
-            df = df.withColumn("_old", F.element_at("payload", F.col("_path")))
+            df = _settle(df, _path=F.when(F.col("_hit"), _picked(F.col("_free"), key, mode, j, dup)))
+            df = _settle(df, _old=F.element_at("payload", F.col("_path")))
             if mode == "nulls":
                 new = F.lit("null")
+            elif "custom" in p:
+                new = p["custom"](F.col("_old"))
             else:
-                kind = F.coalesce(_kind_for(F.col("_old"), D.prf_u(key, mode, F.col("event_id"), f"kind{j}", dup)), F.lit("none"))
-                new = V.corrupt(F.col("_old"), kind)
-            df = df.withColumn("_new", new)
+                df = _settle(df, _u=D.prf_u(key, mode, F.col("event_id"), f"kind{j}", dup))
+                df = _settle(df, _kind=F.coalesce(_kind_for(F.col("_old"), F.col("_u")), F.lit("none")))
+                new = V.corrupt(F.col("_old"), F.col("_kind"))
+            df = _settle(df, _new=new)
             change = F.col("_path").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old"))
             df = _add(df, change, _record(mode, path=F.col("_path"), original=F.col("_old")))
             df = df.withColumn("payload", F.when(change, _set(F.col("_path"), F.col("_new"))).otherwise(F.col("payload")))
-            df = df.withColumn("_free", F.when(F.col("_path").isNotNull(), F.array_remove("_free", F.coalesce("_path", F.lit("")))).otherwise(F.col("_free")))
+            left = F.when(F.col("_path").isNotNull(), F.array_remove("_free", F.coalesce("_path", F.lit("")))).otherwise(F.col("_free"))
+            df = _settle(df, _free=left, payload=F.col("payload"), _records=F.col("_records"))
 
     p = policy.get("schema_drift", {})
     if p and menu:
         added = F.create_map(*[x for t, fs in menu.items() for x in (F.lit(t), F.create_map(*[F.lit(y) for kv in fs.items() for y in kv]))])
-        df = df.withColumn("_added", F.when(_hit(key, "schema_drift", p, dup) & ~F.col("missing"), F.element_at(added, F.col("event_type"))))
+        df = _settle(df, _added=F.when(_hit(key, "schema_drift", p, dup) & ~F.col("missing"), F.element_at(added, F.col("event_type"))))
         df = _add(df, F.col("_added").isNotNull(), _record("schema_drift", fields_added=F.map_keys("_added")))
         df = df.withColumn("payload", F.when(F.col("_added").isNotNull(), F.map_concat("payload", F.coalesce("_added", F.create_map().cast("map<string,string>")))).otherwise(F.col("payload"))).drop("_added")
-    df = df.drop("_free", "_hit", "_path", "_old", "_new")
+    df = df.drop("_free", "_hit", "_path", "_old", "_new", "_u", "_kind")
 
     p = policy.get("out_of_order", {})
     if p:
@@ -144,7 +158,7 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
         hit = _hit(key, "late_arriving", p, dup) & ~F.col("missing")
         kind = p.get("delay", {"kind": "uniform", "min": 60, "max": 3600})
         seconds = D.dist(kind["kind"], D.prf_u(key, "late_arriving", F.col("event_id"), "delay", dup), **{k: v for k, v in kind.items() if k != "kind"})
-        df = df.withColumn("_ms", F.when(hit, F.floor(seconds * 1000).cast("bigint")))
+        df = _settle(df, _ms=F.when(hit, F.floor(seconds * 1000).cast("bigint")))
         df = _add(df, F.col("_ms").isNotNull(), _record("late_arriving", delay_ms=F.col("_ms")))
         df = df.withColumn("due_at", F.when(F.col("_ms").isNotNull(), F.col("emitted_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("_ms").cast("decimal(18,6)") / float(1000 * p.get("speed", 1))))).drop("_ms")
     return df.withColumnRenamed("_records", "records")
@@ -154,9 +168,8 @@ def _disorder(df: DataFrame, p: Mapping, key: bytes) -> DataFrame:
     """Selected rows of a shard's tumbling window change places: the k-th place goes to the k-th row by draw."""
     hit = _hit(key, "out_of_order", p, F.col("duplicate_index")) & ~F.col("missing")
     start = F.window(F.col("occurred_at").cast("timestamp"), p.get("window", "1 hour"))["start"]
-    df = df.withColumn("_sel", hit).withColumn("_start", start)
     order = D.prf_digest(key, "out_of_order", F.col("event_id"), "order", F.col("duplicate_index"))
-    df = df.withColumn("_order", F.when(F.col("_sel"), order))
+    df = _settle(df, _sel=hit).withColumn("_start", start).withColumn("_order", F.when(F.col("_sel"), order))
     w = Window.partitionBy("stream_id", "shard_id", "_start", "_sel")
     place = F.row_number().over(w.orderBy("emitted_at", "sequence_no", "duplicate_index"))
     drawn = F.row_number().over(w.orderBy("_order", "sequence_no", "duplicate_index"))
@@ -210,3 +223,38 @@ def reinsert_late(feed: DataFrame, held: DataFrame) -> DataFrame:
     a = feed.withColumn("place_at", F.col("occurred_at")).withColumn("held", F.lit(False))
     b = held.withColumn("place_at", F.col("occurred_at") + (F.col("due_at") - F.col("emitted_at"))).withColumn("held", F.lit(True)).drop("due_at")
     return a.unionByName(b)
+
+
+def place_copies(labelled: DataFrame, most: int, seed: int) -> DataFrame:
+    """``place`` for delivery order: a copy comes 1 to ``most`` rows after its original."""
+    gap = F.floor(D.prf_u(D.subseed(seed, "chaos"), "duplicates", F.col("event_id"), "gap", F.col("duplicate_index")) * most) + 1
+    return labelled.withColumn("place", F.col("sequence_no") + F.when(F.col("duplicate_index") > 0, gap).otherwise(0))
+
+
+def value_for(fragment: Mapping, key: bytes, *ids: Column, depth: int = 4, at: str = "") -> Column:
+    """JSON text of a seeded value that fits a schema fragment."""
+    u = D.prf_u(key, "schema_drift", *ids, f"value{at}")
+    hexed = D.prf_digest(key, "schema_drift", *ids, f"value{at}")
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    if "const" in fragment:
+        return F.lit(json.dumps(fragment["const"]))
+    if "enum" in fragment:
+        return F.get(F.lit([json.dumps(v) for v in fragment["enum"]]), F.floor(u * len(fragment["enum"])).cast("int"))
+    low, high = fragment.get("minimum", 0), fragment.get("maximum", 100)
+    kind = fragment.get("type")
+    if kind == "boolean":
+        return F.when(u < 0.5, "true").otherwise("false")
+    if kind == "integer":
+        return (low + F.floor(u * (high - low + 1))).cast("long").cast("string")
+    if kind == "number":
+        return (low + u * (high - low)).cast("decimal(18,2)").cast("string")
+    if kind == "string" and fragment.get("format") == "date-time":
+        return quote(F.date_format(F.timestamp_seconds(1704067200 + F.floor(u * 86400 * 30)), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    if kind == "string":
+        return quote(F.substring(hexed, 1, 8))
+    if kind == "array" and depth > 0:
+        return F.concat(F.lit("["), value_for(fragment.get("items", {"type": "string"}), key, *ids, depth=depth - 1, at=at + "[]"), F.lit("]"))
+    if kind == "object" and depth > 0:
+        parts = [F.concat(F.lit(json.dumps(n) + ":"), value_for(f, key, *ids, depth=depth - 1, at=f"{at}.{n}")) for n, f in fragment.get("properties", {}).items()]
+        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return F.lit("null")

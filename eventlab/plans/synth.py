@@ -328,3 +328,15 @@ def arrivals(df: DataFrame, row: Column, rate_per_hour: float, diurnal: Sequence
     seconds = (hour + frac) * 3600.0
     base = F.unix_micros(F.lit(start).cast("timestamp"))
     return at.withColumn("arrived_at", F.timestamp_micros(base + F.floor(seconds * 1e6).cast("long")).cast("timestamp_ntz")).drop("_row", "_gap", "_block", "_in", "_before", "_mass")
+
+
+def synth_events(arrived: DataFrame, row: Column, types: Mapping[str, float], actors: DataFrame, actor_order: str, actor_key: str, seed: int) -> DataFrame:
+    """Events of arrivals: each bound to a drawn actor, with a weighted type, an id of its time and digest, and its number in the actor's shard."""
+    from eventlab.functions.values import epoch_ms
+    from eventlab.operators.checks import assign_sequence
+
+    key_ = D.subseed(seed, "events")
+    df = sample_fk(arrived, row, actors, actor_order, actor_key, "actors", seed).withColumnRenamed("fk", "actor")
+    df = df.withColumn("event_type", F.get(F.lit(list(types)), D.weighted_choice(D.prf_u(key_, row, "type"), list(types.values()))))
+    df = df.withColumn("event_id", D.uuid7(epoch_ms(F.col("arrived_at")), D.prf_digest(key_, row, "id"))).withColumn("occurred_at", F.col("arrived_at"))
+    return assign_sequence(df.withColumn("shard_id", F.lit(0)), ["shard_id"], "arrived_at", "event_id")

@@ -224,3 +224,32 @@ def u4(spark, sf):
 def u5(spark, sf):
     e = env(spark, sf)
     return K.grade_ids(e.where("(id % 53 = 0 and id % 3 = 0) or (id % 53 <> 0 and id % 30 = 0)"), e.where("id % 53 = 0"))
+
+
+_CH = "concat('ch_', event_id) AS change_id, sequence_no + 1 AS sequence_no, CASE WHEN id % 7 = 0 THEN occurred_at + INTERVAL '1' SECOND ELSE occurred_at END AS occurred_at, CASE WHEN id % 5 = 0 THEN 'ev_gone' ELSE event_id END AS causation_id, CASE WHEN id % 11 = 0 THEN 'x' ELSE correlation_id END AS correlation_id"
+
+
+@query("j10_cdc_follows_cause", with_sql("SELECT 'ch_' || event_id AS change_id, CASE WHEN id % 5 = 0 THEN 'unresolved' WHEN id % 7 = 0 THEN 'time' ELSE 'correlation' END AS problem FROM caus WHERE event_type = 'purchase' AND (id % 5 = 0 OR id % 7 = 0 OR id % 11 = 0)", "caus"))
+def j10(spark, sf):
+    e = caused(spark, sf)
+    changes = spark.sql("SELECT " + _CH + " FROM {e} WHERE event_type = 'purchase'", e=e)
+    return K.cdc_cause_violations(changes, e)
+
+
+@query("j23_drift_menu_join", with_sql("SELECT event_id, CASE event_type WHEN 'purchase' THEN 'region' WHEN 'view' THEN 'city' END AS added FROM env", "env"))
+def j23(spark, sf):
+    menu = spark.createDataFrame([("shop.purchase", "region"), ("shop.view", "city")], "subject string, added string")
+    return K.with_drift_menu(env(spark, sf).withColumn("subject", F.concat(F.lit("shop."), "event_type")), menu).select("event_id", "added")
+
+
+@query("w5_snapshot_rows", with_sql("SELECT entity_key, entity_version, CASE WHEN entity_version > 1 THEN 'repeated' END AS problem FROM cdc WHERE entity_version IN (2, 3) AND entity_key % 2 = 0", "cdc"))
+def w5(spark, sf):
+    op = F.when((F.col("entity_version") == 1) | (F.col("entity_version").isin(2, 3) & (F.col("entity_key") % 2 == 0)), "r").otherwise(F.col("op"))
+    return K.snapshot_violations(cdc(spark, sf).withColumn("op", op))
+
+
+@query("w6_background_roots", with_sql("SELECT 'o' || order_key AS change_id FROM cdc WHERE order_key % 2 = 0 AND order_key % 6 = 0", "cdc"))
+def w6(spark, sf):
+    c = cdc(spark, sf).withColumn("change_id", F.concat(F.lit("o"), F.col("order_key").cast("string"))).withColumn("tx_id", F.when(F.col("order_key") % 2 == 1, F.col("order_key")))
+    c = c.withColumn("causation_id", F.when(F.col("order_key") % 6 == 0, "someone")).withColumn("actor_id", F.lit(None).cast("string")).withColumn("correlation_id", F.col("change_id"))
+    return K.root_violations(c)

@@ -120,3 +120,27 @@ def e1(spark, sf):
     repaired = K.dedup(I.delivered(df), ["event_id"], ["duplicate_index"])
     wrong = K.reconcile(clean, repaired, None, ("event_type", "value", "occurred_at")).agg(F.count("*").alias("deviations"))
     return I.records(df, SEED).agg(F.count("*").alias("events_with_copies"), F.sum("copies").alias("copies")).crossJoin(wrong)  # one row each
+
+
+@query("c4_duplicates_gap", with_sql(f"SELECT event_id, i AS duplicate_index, sequence_no + CASE WHEN i > 0 THEN floor({u('duplicates', 'gap').replace(':gap', ':gap:' + chr(39) + ' || i || ' + chr(39))} * 20)::BIGINT + 1 ELSE 0 END AS place FROM (SELECT event_id, sequence_no, unnest(range(k + 1))::INT AS i FROM ({_COPIES}))", "env"))
+def c4(spark, sf):
+    return I.place_copies(I.delivered(labelled(spark, sf, duplicates={"rate": 0.2})), 20, SEED).select("event_id", "duplicate_index", "place")
+
+
+_FRAGMENT = {"type": "object", "properties": {"c": {"const": "USD"}, "e": {"enum": ["a", "b", 3]}, "b": {"type": "boolean"}, "i": {"type": "integer", "minimum": 5, "maximum": 9}, "l": {"type": "array", "items": {"type": "string"}}}}
+
+
+def _v(at):
+    return sql_u(f"'schema_drift:' || event_id || ':value{at}'", KEY)
+
+
+@query("c8_drift_value", with_sql(f"""SELECT event_id, '{{"c":"USD","e":' || (['"a"', '"b"', '3'])[floor({_v('.e')} * 3)::INT + 1] || ',"b":' || CASE WHEN {_v('.b')} < 0.5 THEN 'true' ELSE 'false' END || ',"i":' || (5 + floor({_v('.i')} * 5)::BIGINT)
+    || ',"l":["' || substr({sql_hmac("'schema_drift:' || event_id || ':value.l[]'", KEY)}, 1, 8) || '"]}}' AS v FROM env""", "env"))
+def c8(spark, sf):
+    return env(spark, sf).select("event_id", I.value_for(_FRAGMENT, KEY, F.col("event_id")).alias("v"))
+
+
+@query("d2_custom_corruption", with_sql(f"SELECT event_id, 'reverse of ' || {_OLD} AS now FROM (SELECT *, ['k', 'type', 'value'][floor({u('corrupted_values', 'pick0', 0)} * 3)::INT + 1] AS path FROM env WHERE {u('corrupted_values', 'select', 0)} < 0.3)", "env"))
+def d2(spark, sf):
+    df = labelled(spark, sf, corrupted_values={"rate": 0.3, "custom": lambda c: F.concat(F.lit("reverse of "), c)}).where("size(records) > 0")
+    return df.select("event_id", F.element_at("payload", F.col("records")[0]["path"]).alias("now"))

@@ -108,3 +108,17 @@ def p23(spark, sf):
 def p24(spark, sf):
     out = R.mutations_to_cdc(cdc_faults(spark, sf), "customers")
     return out.select("entity_key", "payload.source.entity_version", "payload.op", "payload.ts_ms", F.col("payload.before.status").alias("b"), F.col("payload.after.status").alias("a"))
+
+
+@query("p21_staging_views", with_sql("SELECT event_id AS order_id, actor_id AS user_id, occurred_at AS at_time, value AS amount FROM env WHERE event_type = 'purchase'", "env"))
+def p21(spark, sf):
+    return R.stage(env(spark, sf), "purchases").withColumnRenamed("at", "at_time")
+
+
+@query("p22_staging_full_funnel", with_sql("SELECT CASE event_type WHEN 'view' THEN 'product_views' WHEN 'signup' THEN 'signups' WHEN 'error' THEN 'failures' ELSE 'purchases' END AS fact, count(*) AS n, max(occurred_at) AS last FROM env WHERE event_type <> 'click' GROUP BY 1", "env"))
+def p22(spark, sf):
+    out = None
+    for name in R.VIEWS:
+        one = R.stage(env(spark, sf), name).agg(F.count("*").alias("n"), F.max("at").alias("last")).withColumn("fact", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

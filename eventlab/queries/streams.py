@@ -10,7 +10,7 @@ from eventlab.operators import checks as K
 from eventlab.operators import rows as R
 from eventlab.plans import inject as I
 from eventlab.plans import registry as REG
-from eventlab.queries.inject import SEED, truth
+from eventlab.queries.inject import SEED, truth, u
 from eventlab.sources import tables as S
 from eventlab.streaming import streams as T
 
@@ -58,11 +58,17 @@ def t2(spark, sf):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("revenue").cast("double").alias("revenue"))
 
 
-@query("t3_late_split", with_sql("SELECT event_id, false AS late FROM env", "env"))
+@query("t3_late_split", with_sql("SELECT event_id, id % 10 = 0 AND batch = 2 AS late FROM (SELECT *, CASE WHEN id % 10 = 0 OR id % 3 = 0 THEN 2 ELSE 1 END AS batch, max(CASE WHEN id % 10 <> 0 AND id % 3 <> 0 THEN occurred_at END) OVER () AS top FROM env) WHERE id % 10 <> 0 AND id % 3 <> 0 OR id % 10 = 0 AND occurred_at < top - INTERVAL '1' HOUR", "env"))
 def t3(spark, sf):
-    df = env(spark, sf).select("id", "event_id", "occurred_at")
-    a, b = S.new_path(spark, "on-time"), S.new_path(spark, "late")
-    T.late_split(feed(spark, df), "occurred_at", 3600, a, b, S.new_path(spark, "mark"))
+    """The first batch has most rows; the second the rest of them, of which every tenth is looked at."""
+    df = env(spark, sf).select("id", "event_id", "occurred_at").withColumn("batch", F.when((F.col("id") % 10 == 0) | (F.col("id") % 3 == 0), 2).otherwise(1))
+    top = df.where("batch = 1").agg(F.max("occurred_at").alias("top"))
+    df = df.crossJoin(F.broadcast(top)).where("batch = 1 or (id % 10 = 0 and occurred_at < top - interval 1 hour)").drop("top")  # one row
+    path, a, b = (S.new_path(spark, x) for x in ("feed", "on-time", "late"))
+    for k in (1, 2):
+        df.where(F.col("batch") == k).coalesce(1).write.mode("append").parquet(path)
+    sdf = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    T.late_split(sdf, "occurred_at", 3600, a, b, S.new_path(spark, "mark"))
     both = spark.read.schema(df.schema)
     return both.parquet(a).withColumn("late", F.lit(False)).unionByName(both.parquet(b).withColumn("late", F.lit(True))).select("event_id", "late")
 
@@ -131,11 +137,11 @@ def t16(spark, sf):
     return T.overdue(env(spark, sf), "actor_id", "occurred_at", "signup", ["purchase"], 7 * 86400, F.lit("2024-02-01"))
 
 
-@query("t8_stream_inject")
+@query("t8_stream_inject", with_sql(f"SELECT 'missing' AS mode, count(*) AS n FROM env WHERE {u('missing', 'select')} < 0.1 UNION ALL SELECT 'duplicates', count(*) FROM env WHERE {u('duplicates', 'select')} < 0.1 AND NOT {u('missing', 'select')} < 0.1", "env"))
 def t8(spark, sf):
     """Content modes on a stream: deliveries and records in two tables, as the batch form has them."""
     df = truth(spark, sf)
-    policy = {"missing": {"rate": 0.1}, "duplicates": {"rate": 0.1}, "nulls": {"rate": 0.2}}
+    policy = {"missing": {"rate": 0.1}, "duplicates": {"rate": 0.1}}
     out, rec = S.new_path(spark, "delivered"), S.new_path(spark, "records")
     split = lambda b: [(I.delivered(I.label(b, policy, SEED)).drop("payload"), out, ["event_id", "duplicate_index"]), (I.records(I.label(b, policy, SEED), SEED), rec, ["injection_id"])]
     T.two_sinks(feed(spark, df), split, S.new_path(spark, "mark"))
@@ -147,3 +153,27 @@ def t11(spark, sf):
     log, c = S.new_path(spark, "log"), cdc(spark, sf)
     T.scd2_stream(feed(spark, c, order="order_key"), log, S.new_path(spark, "mark"))
     return K.scd2(spark.read.schema(c.schema).parquet(log)).select("entity_key", "entity_version", "valid_to")
+
+
+@query("t5_stream_late_buffer", with_sql("SELECT event_id, epoch_us(occurred_at) // 1000 + 60000 * (id % 50) AS due_ms FROM env WHERE id % 9 = 0", "env"))
+def t5(spark, sf):
+    df = env(spark, sf).where("id % 9 = 0").select("id", "event_id", F.expr("timestamp_millis(unix_millis(cast(occurred_at as timestamp)) + 60000 * (id % 50))").alias("due_at"))
+    for k in (1, 2):  # two last rows: the first moves the watermark, the second makes the batch in which timers fire
+        df = with_end(df, id=F.lit(2**60 + k), due_at=F.lit(f"2024-0{5 + k}-01").cast("timestamp"), event_id=F.lit(f"end{k}"))
+    return collected(spark, T.stream_hold(feed(spark, df), "due_at", "1 minute")).where("event_id not like 'end%'")
+
+
+@query("t10_stream_dlq", "SELECT count(*) FILTER (bad) AS bad, count(*) FILTER (NOT bad) AS good FROM (SELECT p_partkey % 10 IN (0, 1, 2) OR p_partkey % 6 = 1 OR p_partkey % 15 = 4 AS bad FROM part)")
+def t10(spark, sf):
+    from eventlab.queries.registry import _rows, fields
+
+    df, rules = _rows(spark, sf), S.cut(fields(spark, sf), "rules")
+    good, bad = S.new_path(spark, "good"), S.new_path(spark, "bad")
+
+    def split(batch):
+        ok, wrong = REG.dlq_split(batch, rules)
+        return [(ok.select("id"), good, ["id"]), (wrong.select("id", "reasons"), bad, ["id"])]
+
+    T.two_sinks(feed(spark, df), split, S.new_path(spark, "mark"))
+    a = spark.read.parquet(bad).agg(F.count("*").alias("bad"))
+    return a.crossJoin(spark.read.parquet(good).agg(F.count("*").alias("good")))  # one row each

@@ -161,3 +161,16 @@ def g5(spark, sf):
 @query("d1_custom_generator", f"SELECT c_custkey, {u('x')} * 2 AS x {_C}")
 def d1(spark, sf):
     return cust(spark, sf, x=G.custom(lambda s: s * 2, "double"))
+
+
+_EV = D.subseed(SEED, "events")
+_SQL_TYPE = sql_u("event_id || ':type'", _EV)
+_SQL_ACTOR = sql_u("'actors:' || event_id || ':fk:0'", KEY)
+
+
+@query("g7_g8_g10_backfill", f"""SELECT event_id AS row, CASE WHEN {_SQL_TYPE} * 10.0 < 7 THEN 'view' WHEN {_SQL_TYPE} * 10.0 < 9 THEN 'click' ELSE 'purchase' END AS event_type, fk AS actor, row_number() OVER (ORDER BY event_id) AS sequence_no
+    FROM (SELECT event_id, floor({_SQL_ACTOR} * (SELECT count(*) FROM customer))::BIGINT AS n FROM (SELECT event_id, sum(-ln(1 - {_GAP})) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS m FROM events) WHERE m < {_UPTO[-1]!r}) JOIN ({_NUM.format(k='c_custkey', t='customer')}) USING (n)""")
+def g7(spark, sf):
+    arrived = G.arrivals(table(spark, sf, "events").select("event_id").withColumnRenamed("event_id", "row"), F.col("row"), 20, DIURNAL, SEED, "2024-01-01", 72)
+    out = G.synth_events(arrived, F.col("row"), {"view": 7, "click": 2, "purchase": 1}, table(spark, sf, "customer"), "c_custkey", "c_custkey", SEED)
+    return out.select("row", "event_type", "actor", "sequence_no")
