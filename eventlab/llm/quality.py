@@ -207,3 +207,58 @@ def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     d2 = F.when(F.col("base_failed"), F.lit(None)).otherwise(F.col("d2") / F.col("scale"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return measured.select("doc_id", *keep, *columns, d2.alias("distance2"), (~F.col("base_failed") & (d2 <= CUTOFF)).alias("kept"))
+
+
+def _oracle() -> str:
+    """DuckDB: the same estimate, one set of common table expressions for each step."""
+    ws = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    p = len(STATS)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    y: list[str] = []
+    for i in range(p):
+        y.append("((s%d - m%d%s) / l%d%d)" % (i, i, "".join(f" - l{i}{j} * y{j}" for j in range(i)), i, i))
+    lateral = ", ".join(f"LATERAL (SELECT {e} AS y{i}) t{i}" for i, e in enumerate(y))
+    on = "x.lang IS NOT DISTINCT FROM g.lang AND x.source IS NOT DISTINCT FROM g.source"
+
+    def measured(rows: str, groups: str, kind: str) -> str:
+        return f"(SELECT x.*, {' + '.join(f'y{i} * y{i}' for i in range(p))} AS d2, g.* EXCLUDE (lang, source) FROM {rows} x {kind} JOIN {groups} g ON {on}, {lateral})"
+
+    def rank(share: float) -> str:
+        return f"list_sort(list(floor({BINS_PER_E} * ln(1 + d2))::BIGINT))[ceil({share} * count(*))::INT]"
+
+    steps = []
+    for k in range(C_STEPS):
+        steps.append(f"n{k} AS (SELECT lang, source, {rank(H)} AS near FROM {measured('good', f'g{k}', 'INNER')} GROUP BY lang, source)")
+        inner = f"(SELECT x.* FROM {measured('good', f'g{k}', 'INNER')} x JOIN n{k} g ON {on} WHERE floor({BINS_PER_E} * ln(1 + d2))::BIGINT <= near)"
+        sums = ", ".join(f"sum(s{i})::DOUBLE / count(*) AS m{i}" for i in range(p)) + ", " + ", ".join(f"sum(s{i} * s{j})::DOUBLE / count(*) AS q{i}{j}" for i, j in pairs)
+        df = f"(SELECT lang, source, {sums} FROM {inner} GROUP BY lang, source)"
+        for i, j in pairs:
+            rest = f"q{i}{j} - m{i} * m{j} + {FLOOR[i] ** 2 if i == j else 0.0}" + "".join(f" - l{i}{h} * l{j}{h}" for h in range(j))
+            df = f"(SELECT *, {f'sqrt({rest})' if i == j else f'({rest}) / l{j}{j}'} AS l{i}{j} FROM {df})"
+        steps.append(f"g{k + 1} AS (SELECT lang, source, {', '.join(f'm{i}' for i in range(p))}, {', '.join(f'l{i}{j}' for i, j in pairs)} FROM {df})")
+    middle = lambda v: f"list_sort(list({v}))[(count(*) + 1) // 2]"
+    meds = ", ".join(f"{middle(f's{i}')} AS m{i}" for i in range(p))
+    mads = ", ".join(f"greatest({middle(f'abs(s{i} - m{i})')} * 1.4826, {FLOOR[i]}) AS l{i}{i}" for i in range(p))
+    zeros = ", ".join(f"0.0 AS l{i}{j}" for i, j in pairs if i != j)
+    root = lambda a, b: f"CASE WHEN n_words > 0 THEN floor(100 * sqrt({a} / {b}) + 0.5) ELSE 0 END::BIGINT"
+    return f"""
+WITH base AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda l: trim(l, {ws}) <> '') AS lines FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+win AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM base)),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, w) > 1),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, range(3) r(k) GROUP BY rid),
+counts AS (SELECT rid, doc_id, lang, source, len(words) AS n_words, length(translate(t, {ws}, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM base LEFT JOIN cov USING (rid)),
+rows AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words > 0 THEN floor(100 * ln(word_chars / n_words) + 0.5) ELSE 0 END::BIGINT AS s0,
+    {root('n_symbols', 'word_chars')} AS s1, {root('n_dup_lines', 'n_lines')} AS s2, {root('n_repeat_words', 'n_words')} AS s3 FROM counts),
+good AS (SELECT * FROM rows WHERE NOT base_failed),
+med AS (SELECT lang, source, {meds} FROM good GROUP BY lang, source),
+g0 AS (SELECT lang, source, {', '.join(f'any_value(m{i})::DOUBLE AS m{i}' for i in range(p))}, {mads}, {zeros} FROM (SELECT x.*, g.* EXCLUDE (lang, source) FROM good x JOIN med g ON {on}) GROUP BY lang, source),
+{", ".join(steps)},
+mid AS (SELECT lang, source, greatest(1.0, (exp(({rank(0.5)} + 1) / {float(BINS_PER_E)}) - 1) / {CHI2_MEDIAN}) AS scale FROM {measured('good', f'g{C_STEPS}', 'INNER')} GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 / scale <= {CUTOFF}, false) AS kept
+FROM {measured('rows', f'g{C_STEPS}', 'LEFT')} x LEFT JOIN mid g ON {on}
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -58,7 +58,7 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+    return quality.quality_rules(_table(spark, sf_dir, "documents")).drop("distance2")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -79,4 +79,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": licenses.ORACLE_SQL,
     "op8_warc_salvage": warc.ORACLE_SQL,
     "op9_url_reputation": urlrep.ORACLE_SQL,
+    "op10_quality_rules": quality.ORACLE_SQL,
 }

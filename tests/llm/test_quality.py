@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 
 from eventlab.llm import quality
@@ -73,6 +74,9 @@ def test_documents(spark, sf_dir):
     out = quality_rules(docs)
     have = got(out)
     assert have == brute(rows_of(docs))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir.replace('0.001', '0.01')}/documents.parquet'")
+    assert have == sorted(db.execute(quality.ORACLE_SQL).fetchall(), key=str)
     rejected = {h[0] for h in have if not h[-1] and not h[-2]}
     assert 0 < len(rejected) < 0.08 * len(have)
     one_group = docs.drop("lang", "source").selectExpr("*", "'x' as lang", "cast(null as string) as source")
