@@ -205,6 +205,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, keep_ids: bool = True) -
                         ids.append(np.frombuffer(raw, "<u4").astype(np.int32))
                 cols = [part.column(0), pa.array(n, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        bpe.new, bpe.old = {}, {}  # the worker may stay idle for long
 
     names = ["doc_id", "n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"]
     schema = "doc_id long, n_tokens long, " + ("ids array<int>, " if keep_ids else "") + "ids_sha256 string, decoded_sha256 string"

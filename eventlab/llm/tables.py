@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 WS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
+#: Bytes of a row group of such tables: what a task holds of them in memory.
+ROW_GROUP = 32 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,7 +39,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
