@@ -5,16 +5,17 @@ partitioning agree.  ``label`` keeps one row for each instance, with what happen
 to it; ``delivered``, ``late`` and ``records`` are views of that table, which a job
 should write once.
 
-A policy is a dict of modes: ``{"missing": {"rate": 0.1}, ...}``; ``types`` in a mode
-restricts it to some event types, and ``custom`` in corrupted_values is a function of a
-column that takes the place of the kinds.  Payloads are maps from a leaf's path to its JSON
+A policy is a dict of modes: ``{"missing": {"rate": 0.1}, ...}``.  Selectors in a mode
+restrict it: ``types`` to some event types, ``paths`` to some leaves (or added fields),
+``kinds`` to some corruptions; ``["*"]``, the default, is all of them and an empty list none.
+``custom`` in corrupted_values is a function of a column that takes the place of the kinds.  Payloads are maps from a leaf's path to its JSON
 text, so a broken type can be held.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,15 +25,16 @@ from eventlab.functions import values as V
 
 MODES = ("missing", "duplicates", "corrupted_values", "nulls", "schema_drift", "out_of_order", "late_arriving")
 MOST_FIELDS = 4
-#: Named policies for exercises.
+#: The six named policies of the exercises.  Delays are in seconds; ``gap`` is for ``place_copies``.
 PRESETS = {
-    "clean": {},
-    "gentle": {"duplicates": {"rate": 0.01}, "late_arriving": {"rate": 0.01}},
-    "duplicates": {"duplicates": {"rate": 0.05}},
-    "dirty": {"corrupted_values": {"rate": 0.05}, "nulls": {"rate": 0.05}},
-    "disorder": {"out_of_order": {"rate": 0.1}, "late_arriving": {"rate": 0.05}},
-    "all": {m: {"rate": 0.1} for m in MODES},
+    "dedup_101": {"duplicates": {"rate": 0.05, "weights": [1.0], "gap": 0}},
+    "late_data_30min": {"late_arriving": {"rate": 0.03, "delay": {"kind": "lognormal", "median": 1800, "p95": 7200}, "max_delay": 86400}},
+    "out_of_order_60s": {"out_of_order": {"rate": 0.10, "window": "60 seconds"}},
+    "dlq_mix": {"corrupted_values": {"rate": 0.02, "fields": 1}, "nulls": {"rate": 0.02, "fields": 1}},
+    "drift_day": {"schema_drift": {"rate": 0.20, "types": ["*"], "paths": ["*"]}},
+    "consumer_group_spice": {"duplicates": {"rate": 0.02, "weights": [1.0], "gap": 100}},
 }
+ANY = ["*"]
 
 
 def check_policy(policy: Mapping[str, Mapping]) -> None:
@@ -48,7 +50,11 @@ def check_policy(policy: Mapping[str, Mapping]) -> None:
 
 def _hit(key: bytes, mode: str, p: Mapping, *instance: Column) -> Column:
     hit = D.prf_u(key, mode, F.col("event_id"), "select", *instance) < p.get("rate", 0.0)
-    return hit & F.col("event_type").isin(list(p["types"])) if p.get("types") else hit
+    return hit & _eligible(F.col("event_type"), p.get("types", ANY))
+
+
+def _eligible(name: Column, selector: Sequence[str]) -> Column:
+    return F.lit(True) if list(selector) == ANY else name.isin(list(selector))
 
 
 def _record(mode: str, **details: Column) -> Column:
@@ -78,18 +84,18 @@ def _set(path: Column, value: Column) -> Column:
     return F.transform_values("payload", lambda k, v: F.when(k == path, value).otherwise(v))
 
 
-def _kind_for(text: Column, u: Column) -> Column:
-    """A kind of corruption that is valid for the value's type, by a draw."""
+def _kind_for(text: Column, u: Column, selector: Sequence[str]) -> Column:
+    """A selected kind of corruption that is valid for the value's type, by a draw; null if there is none."""
     kinds: dict[str, list[str]] = {}
     for name, types in V.CORRUPTIONS.items():
-        for t in types:
+        for t in types if list(selector) == ANY or name in selector else ():
             kinds.setdefault(t, []).append(name)
     kind = V.infer_type(text)
     out = None
     for t, names in kinds.items():
         pick = F.get(F.lit(names), F.floor(u * len(names)).cast("int"))
         out = F.when(kind == t, pick) if out is None else out.when(kind == t, pick)
-    return out
+    return F.lit(None).cast("string") if out is None else out
 
 
 def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
@@ -122,9 +128,11 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
         p = policy.get(mode, {})
         if not p:
             continue
+        paths = list(p.get("paths", ANY))
+        free = F.col("_free") if paths == ANY else F.filter("_free", lambda x: x.isin(paths))
         df = _settle(df, _hit=_hit(key, mode, p, dup) & ~F.col("missing"), _free=F.col("_free"), payload=F.col("payload"), _records=F.col("_records"))
         for j in range(p.get("fields", 1)):
-            df = _settle(df, _path=F.when(F.col("_hit"), _picked(F.col("_free"), key, mode, j, dup)))
+            df = _settle(df, _path=F.when(F.col("_hit"), _picked(free, key, mode, j, dup)))
             df = _settle(df, _old=F.element_at("payload", F.col("_path")))
             if mode == "nulls":
                 new = F.lit("null")
@@ -132,7 +140,7 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
                 new = p["custom"](F.col("_old"))
             else:
                 df = _settle(df, _u=D.prf_u(key, mode, F.col("event_id"), f"kind{j}", dup))
-                df = _settle(df, _kind=F.coalesce(_kind_for(F.col("_old"), F.col("_u")), F.lit("none")))
+                df = _settle(df, _kind=F.coalesce(_kind_for(F.col("_old"), F.col("_u"), p.get("kinds", ANY)), F.lit("none")))
                 new = V.corrupt(F.col("_old"), F.col("_kind"))
             df = _settle(df, _new=new)
             change = F.col("_path").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old"))
@@ -142,6 +150,10 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
             df = _settle(df, _free=left, payload=F.col("payload"), _records=F.col("_records"))
 
     p = policy.get("schema_drift", {})
+    paths = list(p.get("paths", ANY))
+    if p and menu:
+        menu = {t: {n: v for n, v in fs.items() if paths == ANY or n in paths} for t, fs in menu.items()}
+        menu = {t: fs for t, fs in menu.items() if fs}
     if p and menu:
         added = F.create_map(*[x for t, fs in menu.items() for x in (F.lit(t), F.create_map(*[F.lit(y) for kv in fs.items() for y in kv]))])
         df = _settle(df, _added=F.when(_hit(key, "schema_drift", p, dup) & ~F.col("missing"), F.element_at(added, F.col("event_type"))))
@@ -158,6 +170,8 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
         hit = _hit(key, "late_arriving", p, dup) & ~F.col("missing")
         kind = p.get("delay", {"kind": "uniform", "min": 60, "max": 3600})
         seconds = D.dist(kind["kind"], D.prf_u(key, "late_arriving", F.col("event_id"), "delay", dup), **{k: v for k, v in kind.items() if k != "kind"})
+        if "max_delay" in p:
+            seconds = F.least(seconds, F.lit(float(p["max_delay"])))
         df = _settle(df, _ms=F.when(hit, F.floor(seconds * 1000).cast("bigint")))
         df = _add(df, F.col("_ms").isNotNull(), _record("late_arriving", delay_ms=F.col("_ms")))
         df = df.withColumn("due_at", F.when(F.col("_ms").isNotNull(), F.col("emitted_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("_ms").cast("decimal(18,6)") / float(1000 * p.get("speed", 1))))).drop("_ms")
@@ -192,12 +206,30 @@ def late(labelled: DataFrame) -> DataFrame:
     return labelled.where(F.col("due_at").isNotNull()).drop("missing", "records")
 
 
+def _injection_id(key: bytes, mode: Column, path: Column, dup: Column) -> Column:
+    digest = D.prf_digest(key, mode, F.col("event_id"), F.concat(F.lit("id"), F.coalesce(path, F.lit(""))), dup)
+    return D.uuid7(V.epoch_ms(F.col("occurred_at")), digest)
+
+
+def instance_labels(labelled: DataFrame, seed: int) -> DataFrame:
+    """``labelled`` with the internal block of each instance: canonical, injection_ids and chaos (its records).
+
+    An instance is canonical if no mode touched it.  A copy carries the id of the
+    duplicates record that its original has; the original stays canonical.
+    """
+    key, copy = D.subseed(seed, "chaos"), F.col("duplicate_index") > 0
+    touched = F.filter("records", lambda r: r["mode"] != "duplicates")
+    ids = F.transform(touched, lambda r: _injection_id(key, r["mode"], r["path"], F.col("duplicate_index")))
+    own = F.when(copy, F.array(_injection_id(key, F.lit("duplicates"), F.lit(""), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    block = F.struct((~copy & (F.size(touched) == 0)).alias("canonical"), F.concat(own, ids).alias("injection_ids"), touched.alias("chaos"))
+    return labelled.withColumn("_df", block)
+
+
 def records(labelled: DataFrame, seed: int) -> DataFrame:
     """The injection records, with ids that repeat for a seed."""
     key = D.subseed(seed, "chaos")
     each = labelled.select("event_id", "stream_id", "shard_id", "sequence_no", "occurred_at", "duplicate_index", F.explode("records").alias("_r"))
-    digest = D.prf_digest(key, F.col("_r.mode"), F.col("event_id"), F.concat(F.lit("id"), F.coalesce(F.col("_r.path"), F.lit(""))), F.col("duplicate_index"))
-    return each.select(D.uuid7(V.epoch_ms(F.col("occurred_at")), digest).alias("injection_id"), "event_id", "stream_id", "shard_id", "sequence_no", "occurred_at", "duplicate_index", "_r.*")
+    return each.select(_injection_id(key, F.col("_r.mode"), F.col("_r.path"), F.col("duplicate_index")).alias("injection_id"), "event_id", "stream_id", "shard_id", "sequence_no", "occurred_at", "duplicate_index", "_r.*")
 
 
 def release_due(held: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
@@ -226,8 +258,8 @@ def reinsert_late(feed: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def place_copies(labelled: DataFrame, most: int, seed: int) -> DataFrame:
-    """``place`` for delivery order: a copy comes 1 to ``most`` rows after its original."""
-    gap = F.floor(D.prf_u(D.subseed(seed, "chaos"), "duplicates", F.col("event_id"), "gap", F.col("duplicate_index")) * most) + 1
+    """``place`` for delivery order (with duplicate_index): a copy comes 1 to ``most`` rows after its original, or right after it if ``most`` is 0."""
+    gap = F.floor(D.prf_u(D.subseed(seed, "chaos"), "duplicates", F.col("event_id"), "gap", F.col("duplicate_index")) * most) + 1 if most else F.lit(0)
     return labelled.withColumn("place", F.col("sequence_no") + F.when(F.col("duplicate_index") > 0, gap).otherwise(0))
 
 

@@ -144,3 +144,31 @@ def c8(spark, sf):
 def d2(spark, sf):
     df = labelled(spark, sf, corrupted_values={"rate": 0.3, "custom": lambda c: F.concat(F.lit("reverse of "), c)}).where("size(records) > 0")
     return df.select("event_id", F.element_at("payload", F.col("records")[0]["path"]).alias("now"))
+
+
+@query("c14_selectors", with_sql(f"""SELECT event_id, old AS original, CASE WHEN floor(q * 2) = 0 THEN '"abc"' ELSE '""' END AS now FROM (SELECT event_id, '"' || value::DECIMAL(18,2)::VARCHAR || '"' AS old, {u('corrupted_values', 'kind0', 0)} AS q
+    FROM env WHERE event_type IN ('view', 'click') AND {u('corrupted_values', 'select', 0)} < 0.4)""", "env"))
+def c14(spark, sf):
+    policy = {"rate": 0.4, "types": ["view", "click"], "paths": ["value"], "kinds": ["alpha_string", "empty_string", "truncate"]}
+    df = labelled(spark, sf, corrupted_values=policy).select("event_id", "payload", F.explode("records").alias("r"))
+    return df.select("event_id", "r.original", F.element_at("payload", F.col("r.path")).alias("now"))
+
+
+_LABELLED = f"SELECT event_id, i, {sql_u("'nulls:' || event_id || ':select:' || i", KEY)} < 0.3 AS hit FROM (SELECT event_id, unnest(range(k + 1))::INT AS i FROM ({_COPIES}))"
+
+
+@query("c17_label_instances", with_sql(f"SELECT event_id, i AS duplicate_index, i = 0 AND NOT hit AS canonical, (i > 0)::INT + hit::INT AS n_ids, CASE WHEN hit THEN 'nulls' ELSE '' END AS modes, true AS recorded FROM ({_LABELLED})", "env"))
+def c17(spark, sf):
+    """The block of each instance, and whether all of its ids are those of injection records."""
+    df = labelled(spark, sf, duplicates={"rate": 0.2}, nulls={"rate": 0.3})
+    out = I.instance_labels(df, SEED).select("event_id", "duplicate_index", "_df.canonical", F.col("_df.injection_ids").alias("ids"), F.array_join("_df.chaos.mode", ",").alias("modes"))
+    known = I.records(df, SEED).groupBy("event_id").agg(F.collect_set("injection_id").alias("known"))
+    both = out.join(known, "event_id", "left")
+    recorded = F.size(F.array_except("ids", F.coalesce("known", F.array().cast("array<string>")))) == 0
+    return both.select("event_id", "duplicate_index", "canonical", F.size("ids").alias("n_ids"), "modes", recorded.alias("recorded"))
+
+
+@query("c16_presets", with_sql(" UNION ALL ".join(f"SELECT '{name}' AS preset, event_id, unnest(range(1 + ({u('duplicates', 'select')} < {rate})::INT))::INT AS duplicate_index FROM env" for name, rate in (("dedup_101", 0.05), ("consumer_group_spice", 0.02))), "env"))
+def c16(spark, sf):
+    each = [I.delivered(labelled(spark, sf, **I.PRESETS[name])).select(F.lit(name).alias("preset"), "event_id", "duplicate_index") for name in ("dedup_101", "consumer_group_spice")]
+    return each[0].unionByName(each[1])

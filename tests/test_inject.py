@@ -58,5 +58,32 @@ def test_odd_input(spark, sf_dir):
     for bad in ({"unheard_of": {}}, {"missing": {"rate": 2}}, {"nulls": {"fields": 9}}):
         with pytest.raises(ValueError):
             I.label(one, bad, SEED)
-    for policy in I.PRESETS.values():
+
+
+def test_presets(spark, sf_dir):
+    clean = cut(truth(spark, sf_dir))
+    for name, policy in I.PRESETS.items():
         I.check_policy(policy)
+        found = I.records(I.label(clean, policy, SEED, MENU), SEED).groupBy("mode").count().collect()
+        assert {r["mode"] for r in found} <= set(policy), name
+    assert I.PRESETS.keys() == {"dedup_101", "late_data_30min", "out_of_order_60s", "dlq_mix", "drift_day", "consumer_group_spice"}
+
+
+def test_selectors(spark, sf_dir):
+    clean = cut(truth(spark, sf_dir).where("id < 200"))
+    n = clean.count()
+
+    def hits(**policy):
+        return I.records(I.label(clean, policy, SEED, MENU), SEED).count()
+
+    assert hits(missing={"rate": 1, "types": ["*"]}) == n and hits(missing={"rate": 1, "types": []}) == 0
+    assert hits(nulls={"rate": 1, "paths": []}) == 0 and hits(nulls={"rate": 1, "paths": ["k"], "fields": 4}) == n
+    assert hits(corrupted_values={"rate": 1, "kinds": []}) == 0 and hits(schema_drift={"rate": 1, "paths": ["other"]}) == 0
+    held = I.label(clean, {"late_arriving": {"rate": 1, "max_delay": 100}}, SEED)
+    assert I.records(held, SEED).agg(F.max("delay_ms")).first()[0] == 100_000
+
+
+def test_copies_right_after(spark, sf_dir):
+    clean = truth(spark, sf_dir).where("id < 50")
+    placed = I.place_copies(I.label(clean, {"duplicates": {"rate": 1}}, SEED), 0, SEED)
+    assert placed.where("place <> sequence_no").count() == 0
