@@ -8,6 +8,7 @@ to any table with a row number or key, such as ``spark.range(n)``.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -282,6 +283,43 @@ def assign_one_to_one(df: DataFrame, order: str, target: DataFrame, target_order
     return numbered(df, order).join(keys, "_n").drop("_n")
 
 
+@dataclass(frozen=True)
+class Related:
+    """A table to make: rows numbered or keyed by ``row``, generated columns, and foreign keys.
+
+    ``refs`` has for each new column (table, key column, how): a table declared
+    before, and uniform, recent, zipf or one_to_one (no more rows than the other has).
+    """
+
+    rows: DataFrame
+    row: str
+    columns: Mapping[str, Generator] = field(default_factory=dict)
+    refs: Mapping[str, tuple[str, str, str]] = field(default_factory=dict)
+
+
+def synth_tables(tables: Mapping[str, Related], seed: int) -> dict[str, DataFrame]:
+    """The tables in declaration order, each written once, so that references meet the rows that were made.
+
+    Rows of an empty table give an empty table.  Rows that refer to an empty table, or
+    one to one to fewer rows, raise: every reference resolves.
+    """
+    made: dict[str, DataFrame] = {}
+    for name, t in tables.items():
+        df = synth(t.rows, F.col(t.row), t.columns, name, seed)
+        for fk, (parent, key_col, how) in t.refs.items():
+            if parent not in made:
+                raise ValueError(f"{name}.{fk} refers to {parent}, which isn't declared before it")
+            target = made[parent]
+            if how == "one_to_one":
+                df = assign_one_to_one(df, t.row, target, key_col, key_col).withColumnRenamed("partner", fk)
+            else:
+                df = sample_fk(df, F.col(t.row), target, key_col, key_col, f"{name}.{fk}", seed, how).withColumnRenamed("fk", fk)
+        made[name] = cut(df, name)
+        if t.refs and made[name].count() != t.rows.count():
+            raise ValueError(f"{name} has rows whose references don't resolve")
+    return made
+
+
 # histories and arrivals
 
 

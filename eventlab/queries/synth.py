@@ -174,3 +174,23 @@ def g7(spark, sf):
     arrived = G.arrivals(table(spark, sf, "events").select("event_id").withColumnRenamed("event_id", "row"), F.col("row"), 20, DIURNAL, SEED, "2024-01-01", 72)
     out = G.synth_events(arrived, F.col("row"), {"view": 7, "click": 2, "purchase": 1}, table(spark, sf, "customer"), "c_custkey", "c_custkey", SEED)
     return out.select("row", "event_type", "actor", "sequence_no")
+
+
+_BUYER = sql_u("'bought.buyer:' || o_orderkey || ':fk:0'", KEY)
+
+
+@query("g3_related_tables", f"""WITH bought AS (SELECT o_orderkey, fk AS buyer FROM (SELECT o_orderkey, floor({_BUYER} * (SELECT count(*) FROM customer))::BIGINT AS n FROM orders) JOIN ({_NUM.format(k='c_custkey', t='customer')}) USING (n)),
+    paid AS (SELECT payment, fk AS bill FROM (SELECT o_orderkey AS payment, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderstatus = 'F') JOIN ({_NUM.format(k='o_orderkey', t='orders')}) USING (n))
+    SELECT payment, bill, buyer FROM paid JOIN bought ON bill = o_orderkey""")
+def g3(spark, sf):
+    """Customers, orders with a drawn buyer, and payments that are one to one with orders."""
+    orders = table(spark, sf, "orders")
+    made = G.synth_tables(
+        {
+            "buyers": G.Related(table(spark, sf, "customer").select("c_custkey"), "c_custkey", {"name": G.joined(" ", G.FIRST, G.LAST)}),
+            "bought": G.Related(orders.select("o_orderkey"), "o_orderkey", {}, {"buyer": ("buyers", "c_custkey", "uniform")}),
+            "paid": G.Related(orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("payment")), "payment", {}, {"bill": ("bought", "o_orderkey", "one_to_one")}),
+        },
+        SEED,
+    )
+    return made["paid"].join(made["bought"].withColumnRenamed("o_orderkey", "bill"), "bill").select("payment", "bill", "buyer")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from eventlab.plans.synth import Generator, synth
 from eventlab.sources.tables import append_idempotent
 
 
@@ -153,3 +154,9 @@ def scd2_stream(sdf: DataFrame, path: str, checkpoint: str) -> None:
 def rate_stream(spark: SparkSession, rows_per_batch: int) -> DataFrame:
     """A live source of numbered rows at a target rate."""
     return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).option("advanceMillisPerBatch", 1000).load()
+
+
+def synth_stream(spark: SparkSession, rows_per_batch: int, columns: Mapping[str, Generator], table: str, seed: int) -> DataFrame:
+    """A live source of synthetic rows: row k has the values that ``synth_table`` gives it."""
+    live = rate_stream(spark, rows_per_batch).withColumnRenamed("value", "row")
+    return synth(live, F.col("row"), columns, table, seed)
