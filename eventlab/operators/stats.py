@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlab.sources.tables import cut
+
 #: The failure modes, in the order in which they are injected (fixed values).
 MODES = ("missing", "duplicates", "corrupted_values", "nulls", "schema_drift", "out_of_order", "late_arriving")
 
@@ -37,7 +39,7 @@ def observed_rate(df: DataFrame, window_s: int, now: Column | None = None) -> Da
         n = F.count_if((ms > end - window_s * 1000) & (ms <= end))
         return df.groupBy("stream_id").agg(F.round(n / window_s, 1).alias("rate"))
     last = df.groupBy("stream_id").agg(F.max(ms).alias("_end"))
-    both = df.join(F.broadcast(last), "stream_id")  # a row for each stream
+    both = df.join(last, "stream_id")
     return both.groupBy("stream_id").agg(F.round(F.count_if(ms > F.col("_end") - window_s * 1000) / window_s, 1).alias("rate"))
 
 
@@ -96,21 +98,41 @@ def conversion(df: DataFrame, part: str, whole: str) -> DataFrame:
     return df.agg(a.alias("part"), b.alias("whole"), F.try_divide(100.0 * a, b).alias("pct"))
 
 
+def _ranked(df: DataFrame, col: str, *keys: str) -> DataFrame:
+    """The distinct values per key with ``_u``, the rows up to and with the value, and ``_all``, the key's rows.
+
+    Counts per value are ranged by key and value; ranks run within a range, plus the rows of
+    the ranges before.  So no task holds all values of a key, however many there are.
+    """
+    per = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_n"))
+    part = cut(per.repartitionByRange(*keys, col).withColumn("_part", F.spark_partition_id()), "counts")
+    names = [f"_key{i}" for i in range(len(keys))]
+    w = Window.partitionBy(*names)
+    before = F.coalesce(F.sum("_size").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = part.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_part").alias("_p")).agg(F.sum("_n").alias("_size"))
+    sizes = sizes.select(*names, "_p", before.alias("_before"), F.sum("_size").over(w).alias("_all"))  # a row for each range of a key
+    on = F.col("_part") == F.col("_p")
+    for k, n in zip(keys, names):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
+    return part.withColumn("_upto", upto).join(sizes, on).select(*keys, col, (F.col("_upto") + F.col("_before")).alias("_u"), "_all")
+
+
 def percentile_nearest(df: DataFrame, col: str, p: float, *keys: str) -> DataFrame:
     """The value at nearest rank round(p (n - 1)) + 1 per key, from counts per value."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    per = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.floor(p * (F.sum("_n").over(w) - 1) + 0.5) + 1
-    per = per.withColumn("_u", upto).withColumn("_r", rank)
-    return per.where("_u >= _r").groupBy(*keys).agg(F.min(col).alias(col)) if keys else per.where("_u >= _r").agg(F.min(col).alias(col))
+    rank = F.floor(p * (F.col("_all") - 1) + 0.5) + 1
+    return _ranked(df, col, *keys).where(F.col("_u") >= rank).groupBy(*keys).agg(F.min(col).alias(col))
 
 
 def latency_check(lat: DataFrame, col: str, median: tuple[float, float], p95: tuple[float, float]) -> DataFrame:
     """Exact median and nearest-rank 95th percentile of latencies against bands."""
-    mid = lat.agg(F.expr(f"percentile({col}, 0.5)").alias("median"))
-    top = percentile_nearest(lat, col, 0.95).withColumnRenamed(col, "p95")
-    out = mid.crossJoin(top)  # one row each
+    last = F.col("_all") - 1
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_u") > rank, F.col(col)))
+
+    middle = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
+    out = _ranked(lat, col).agg(middle.alias("median"), at(F.floor(0.95 * last + 0.5)).alias("p95"))
     return out.withColumn("ok", F.col("median").between(*median) & F.col("p95").between(*p95))
 
 

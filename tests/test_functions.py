@@ -80,6 +80,19 @@ def test_nearest_rank(spark):
         assert A.percentile_nearest(df, "v", p).first()[0] == data[int(p * (len(data) - 1) + 0.5)]
 
 
+def test_nearest_rank_of_keys(spark):
+    rows = [(k, v) for k in ("a", "b", None) for v in range(200)] + [("c", None)]
+    got = A.percentile_nearest(spark.createDataFrame(rows, "k string, v int"), "v", 0.9, "k").collect()
+    assert {(r.k, r.v) for r in got} == {("a", 179), ("b", 179), (None, 179)}
+
+
+def test_median_and_p95(spark):
+    for n in (1, 2, 7, 100):
+        row = A.latency_check(spark.range(n).select(F.col("id").cast("double").alias("v")), "v", (0, 1), (0, 1)).first()
+        assert row["median"] == statistics.median(range(n)) and row.p95 == int(0.95 * (n - 1) + 0.5)
+    assert A.latency_check(spark.range(0).select(F.col("id").alias("v")), "v", (0, 1), (0, 1)).first()["median"] is None
+
+
 def test_append_twice(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
     path = S.new_path(spark, "append")
