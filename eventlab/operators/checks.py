@@ -118,8 +118,8 @@ def version_as_of(df: DataFrame, pins: DataFrame, upgrades: DataFrame) -> DataFr
     """
     hour = F.date_trunc("hour", "occurred_at").cast("timestamp_ntz")
     steps = upgrades.select("subject", F.col("at"), F.col("to_version"))
-    sides = F.broadcast(steps.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("at", "to_version"))).alias("_steps")))  # a list of upgrades, kept by people
-    known = df.withColumn("_hour", hour).join(sides, "subject", "left").join(F.broadcast(pins), "subject", "left")
+    sides = steps.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("at", "to_version"))).alias("_steps"))  # a list of upgrades, kept by people
+    known = df.withColumn("_hour", hour).join(sides, "subject", "left").join(pins, "subject", "left")
     reached = F.array_max(F.transform(F.filter("_steps", lambda s: s["at"] <= F.col("occurred_at")), lambda s: s["to_version"]))
     return known.withColumn("version", F.greatest(F.coalesce(reached, F.col("pin")), F.col("pin"))).drop("_steps", "_hour")
 
@@ -134,7 +134,7 @@ def cdc_cause_violations(cdc: DataFrame, events: DataFrame) -> DataFrame:
 
 def with_drift_menu(df: DataFrame, menu: DataFrame) -> DataFrame:
     """The fields that the next version of each event's subject adds (subject, added); null where there is none."""
-    return df.join(F.broadcast(menu), "subject", "left")  # a row for each subject with a next version
+    return df.join(menu, "subject", "left")
 
 
 def snapshot_violations(cdc: DataFrame) -> DataFrame:

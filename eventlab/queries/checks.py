@@ -118,7 +118,7 @@ def j22(spark, sf):
 def j24(spark, sf):
     reg = spark.createDataFrame([("shop." + t, v) for t in ("click", "purchase", "view") for v in (1, 2)], "subject string, version int")
     df = env(spark, sf).select("event_id", F.concat(F.lit("shop."), "event_type").alias("subject"), F.lit(1).alias("version"))
-    return df.join(F.broadcast(reg), ["subject", "version"], "left_anti").select("event_id")
+    return df.join(reg, ["subject", "version"], "left_anti").select("event_id")
 
 
 # windows

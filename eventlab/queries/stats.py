@@ -170,7 +170,7 @@ def a35(spark, sf):
 def a36(spark, sf):
     per = env(spark, sf).groupBy("workspace_id", F.to_date("occurred_at").alias("day")).agg(F.count("*").alias("n"))
     plans = spark.createDataFrame([(f"ws_{k}", 2 if k == 0 else 9) for k in range(4)], "workspace_id string, day_limit int")
-    return A.quota_breaches(per, F.broadcast(plans))
+    return A.quota_breaches(per, plans)
 
 
 @query("a37_estimate_events", "SELECT c_custkey, ceil((c_custkey % 100) * 1.5 * 30 * 4.2)::BIGINT + 7 AS events FROM customer")
