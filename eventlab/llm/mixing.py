@@ -186,15 +186,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` (of the same rows) takes it."""
+    """The rows of ``docs``, each as often as ``mixed`` (of the same rows) takes it.
+
+    Rows are carried as one column, so no column of ``docs`` can clash with those used here.
+    """
     key = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words_of(F.col("text").cast("string"))).cast("long")]
-    known = docs.withColumns({f"_k{i}": k for i, k in enumerate(key)}).withColumns({"_n0": F.col("_k0").isNull(), "_n1": F.col("_k1").isNull()})
+    known = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_order"), *[k.alias(f"_k{i}") for i, k in enumerate(key)])
+    known = known.withColumns({"_n0": F.col("_k0").isNull(), "_n1": F.col("_k1").isNull()})
     known = known.fillna({"_k0": 0, "_k1": ""}, subset=["_k0", "_k1"])
     lists = mixed.select(F.coalesce("doc_id", F.lit(0)).alias("_k0"), F.coalesce("source", F.lit("")).alias("_k1"), F.col("size").alias("_k2"), F.col("doc_id").isNull().alias("_n0"), F.col("source").isNull().alias("_n1"), "copies")
     on = ["_k0", "_k1", "_k2", "_n0", "_n1"]
     lists = lists.groupBy(*on).agg(F.sort_array(F.collect_list("copies")).alias("_list"))
     both = known.join(lists, on)
-    nth = F.row_number().over(Window.partitionBy(*on).orderBy("text"))
+    nth = F.row_number().over(Window.partitionBy(*on).orderBy("_order"))
     copies = F.element_at(F.col("_list"), nth)
     both = both.withColumn("_copies", copies).where(F.col("_copies") > 0)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

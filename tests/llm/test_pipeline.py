@@ -64,10 +64,12 @@ def test_every_stage(spark, sf_dir):
 
 def test_empty_and_extra_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for d in (docs.limit(0), docs.limit(60).selectExpr("*", "1 as kept", "'x' as n_words", "2 as copies", "'r' as runs", "7 as n_dropped")):
+    for d in (docs.limit(0), docs.limit(60).selectExpr("*", "1 as kept", "'x' as n_words", "2 as copies", "'r' as runs", "7 as n_dropped", "8 as _nth", "9 as _row", "'l' as _list", "1 as _copies", "2 as _copy", "3 as _k0", "'t' as _text")):
         for name, f in corpus_pipeline.STAGES[:-1]:
             out = cut(f(spark, d, sf_dir))
             assert out.columns == d.columns, name
+            if "_nth" in d.columns:
+                assert out.where("_nth <> 8 or _row <> 9 or _list <> 'l' or _copies <> 1 or _copy <> 2 or _k0 <> 3 or _text <> 't' or runs <> 'r'").isEmpty(), name
             d = out
 
 
