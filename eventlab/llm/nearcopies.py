@@ -1,0 +1,187 @@
+"""Near copies: all pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+No pair is missed: candidates come from a prefix filter, and each is verified on
+the whole sets.  A set of ``n`` shingles in a global order has a prefix of
+``n - ceil(0.8 n) + k`` shingles with ``k`` a tenth of ``n``; two sets that are near
+have at least the lesser ``k`` in common within their prefixes.  So a set most of
+whose prefix no other one has is out before any pair is made.  The order is that of
+the shingles' hashes, with common ones (from a sample; it only bears on costs) last.
+
+Sets are nodes, so texts of equal sets make no pairs.  Large lists of sets of one
+shingle are first compared with their least member only; pairs that this leaves in
+one component need no further look, so a large group of near copies costs
+no verification of all its pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from eventlab.llm.simhash import components
+from eventlab.llm.tables import cut
+
+WIDTH = 5
+#: Common shingles are looked for in one of SAMPLE texts; at most MOST of them are told to tasks.
+SAMPLE, OFTEN, MOST = 16, 8, 1_000_000
+#: Lists longer than this are first compared with their least member.
+LONG = 16
+MAP_BITS = 25
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a shorter text is one shingle."""
+    words = (text or b"").lower().split()
+    line, ends = b" ".join(words), []
+    at = -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    if len(words) <= width:
+        starts, stops = [0], [len(line)]
+    else:
+        starts, stops = [0, *[e + 1 for e in ends[:-width]]], ends[width - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(starts)))
+
+
+def near(n_a: int, n_b: int, common: int) -> bool:
+    """A Jaccard similarity of 0.8 or more."""
+    return 5 * common >= 4 * (n_a + n_b - common)
+
+
+def _node(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).view(np.int64))
+
+
+def _least_common(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(n / 10).cast("int"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
+def _common(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts of a sample have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), width).view(np.int64))], names=["h"])
+
+    sample = _texts(docs).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
+    tally = cut(sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN), "common")
+    total = tally.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    # at most MOST shingles can be in more than total / MOST texts
+    often = tally.where(F.col("count") > total // MOST).select("h").toArrow()
+    return np.sort(often["h"].to_numpy().view(np.uint64))
+
+
+def _prefixes(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, node (a hash of the set), n and the prefix of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
+            for t in batch.column(1):
+                found = shingles(t.as_py(), width)
+                n = len(found)
+                nodes.append(_node(found))
+                sizes.append(n)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+                    last = often[at] == found
+                    found = np.concatenate([found[~last], found[last]])
+                prefixes.append(found[: n - (4 * n + 4) // 5 + max(1, n // 10)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, schema.field("prefix").type)], schema=schema)
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, hashes) of the texts whose node is one of ``nodes``, and of few others."""
+    word = F.shiftright(F.col("node").bitwiseAND(F.lit((1 << MAP_BITS) - 1)), 6)
+    words = nodes.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << MAP_BITS - 6, np.int64)  # 2^MAP_BITS bits, whatever the input
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            nodes, data = [], []
+            for t in batch.column(1):
+                found = shingles(t.as_py(), width)
+                node = _node(found)
+                bit = node & (1 << MAP_BITS) - 1
+                if bits[bit >> 3] >> (bit & 7) & 1:
+                    nodes.append(node)
+                    data.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "hashes"])
+
+    return _texts(docs).mapInArrow(run, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(k)] for k in (2, 3))
+            ok = [near(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b")), "b")
+    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+
+
+def near_links(docs: DataFrame, rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(a, b): nodes of ``rows`` that are near, enough of them for their components."""
+    flat = rows.dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("h"))
+    shared = flat.groupBy("h").agg(F.count("*").alias("uses")).where("uses > 1")
+    flat = cut(flat.join(shared, "h"), "shared")
+    # the least k of a set that can be near: one of 4/5 of the size
+    enough = F.count("*") >= F.max(_least_common(F.ceil(4 * F.col("n") / 5)))
+    nodes = cut(flat.groupBy("node").agg(enough.alias("enough")).where("enough").select("node"), "nodes")
+    live = cut(flat.join(nodes, "node", "left_semi"), "live")
+    sets = cut(_sets(docs, nodes, width), "sets")
+
+    def fits(x: str, y: str) -> Column:
+        return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+    long = live.where(F.col("uses") > LONG)
+    least = long.groupBy("h").agg(F.min(F.struct("n", "node")).alias("least"))
+    first = long.join(least, "h").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("n_a"), F.col("n").alias("n_b"))
+    first = cut(_verified(first.where((F.col("a") != F.col("b")) & fits("n_a", "n_b")).select("a", "b").distinct(), sets), "first")
+    roots = cut(components(first), "roots")
+    named = live.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
+    named = cut(named, "named")
+    x, y = (named.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "ab")
+    pairs = x.join(y, "h").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits("n_a", "n_b"))
+    pairs = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    pairs = pairs.where(F.col("c") >= F.least(_least_common(F.col("n_a")), _least_common(F.col("n_b")))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return first.unionByName(_verified(pairs, sets))
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, component_id), one row for each doc_id: the least doc_id of its near copies and theirs.
+
+    Takes ``doc_id`` and ``text`` (null: empty, which is near to empty ones only);
+    rows without doc_id are ignored.  A doc_id of several texts joins the components
+    of all of them.
+    """
+    docs = docs.where("doc_id is not null")
+    rows = cut(_prefixes(docs, width), "prefixes")
+    linked = components(near_links(docs, rows, width))
+    ids = rows.join(linked, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return ids.join(least, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

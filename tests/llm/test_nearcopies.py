@@ -1,0 +1,84 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from eventlab.llm import nearcopies
+from eventlab.llm.nearcopies import near_copies
+
+
+def brute(rows, width=5):
+    """rows: (doc_id, text) -> {doc_id: component_id}, all pairs of shingle sets compared."""
+    rows = [r for r in rows if r[0] is not None]
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or {b" ".join(words)})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def planted(rng):
+    """Texts, each with copies at similarities of 0.8 to 0.95 or somewhat below."""
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage, rows, wanted = [word() for _ in range(40)], [], 0
+    for i in range(60):
+        words = [word() for _ in range(rng.randrange(60, 400))]
+        words[10:10] = passage  # one passage that all share
+        rows.append((10 * i, " ".join(words)))
+        for k in range(1, 4):
+            at, new = rng.sample(range(len(words)), max(1, int(len(words) * rng.uniform(0.004, 0.03)))), list(words)
+            for p in at:
+                new[p] = word()
+            rows.append((10 * i + k, " ".join(new)))
+    return rows
+
+
+def got(df):
+    return {r.doc_id: r.component_id for r in df.collect()}
+
+
+def test_planted_copies(spark, monkeypatch):
+    rows = planted(random.Random(8))
+    rows += [(5000, None), (5001, ""), (5002, "one two"), (5003, "ONE  two"), (None, "one two"), (5004, "a b c d e f"), (5005, "a b c d e"), (5006, "x " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    assert got(near_copies(docs)) == want and sum(d != c for d, c in want.items()) > 60
+    out = corpus_pipeline.near_copy_stage(spark, docs, "").collect()
+    assert sorted(map(str, out)) == sorted(str(r) for r in docs.collect() if r.doc_id is None or want[r.doc_id] == r.doc_id)
+    # other costs, same result: lists compared with their least member, no or many common shingles
+    for long, often in ((1, 8), (10**6, 1), (2, 10**6)):
+        monkeypatch.setattr(nearcopies, "LONG", long)
+        monkeypatch.setattr(nearcopies, "OFTEN", often)
+        assert got(near_copies(docs)) == want
+
+
+def test_pipeline_removes_them(spark):
+    """What the SimHash stage alone leaves in."""
+    stages = [name for name, _ in corpus_pipeline.STAGES]
+    assert stages.index("near-duplicates") < stages.index("near copies") < stages.index("mixture")
+    rows = planted(random.Random(9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    linked = brute(list(left.items()))
+    assert sum(d != c for d, c in linked.items()) > 30
+    stays = corpus_pipeline.near_copy_stage(spark, corpus_pipeline.near_duplicate_stage(spark, docs, ""), "")
+    assert {r.doc_id for r in stays.collect()} == {d for d, c in linked.items() if d == c}
+
+
+def test_shingles():
+    assert len(nearcopies.shingles(b"a b c d e f")) == 2 and len(nearcopies.shingles(b"a")) == len(nearcopies.shingles(None)) == 1
+    assert np.array_equal(nearcopies.shingles(b"A b\tc d e f"), nearcopies.shingles(b"a b c d e  F"))
