@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from eventlab.llm.tables import cut
 
-LEAST, LARGEST, MASK_BITS = 32 << 10, 128 << 10, 15
+#: Bytes of the least and the largest chunk, and bits of the hash that are zero at a cut: about 0.75 KB
+#: to a chunk, as payloads have 2.5 KB on average.
+LEAST, LARGEST, MASK_BITS = 256, 4 << 10, 9
 MAP_BITS = 25
 LEVEL = 6
 #: One 16-bit number for each byte value, from a rule.

@@ -96,3 +96,17 @@ def test_a_map_without_room(spark, monkeypatch, sf_dir):
 def test_header():
     with wave.open(io.BytesIO(header_of(64) + payload_of(None))) as w:
         assert w.getnframes() == 64 and w.getsampwidth() == 1
+
+
+def test_payloads_of_usual_size_are_cut(spark, sf_dir):
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    usual = [t for t in texts if len(t) >= 2000]
+    assert len(usual) > 20 and sum(len(cuts(payload_of(t))) > 1 for t in usual) > 0.95 * len(usual)
+    # a passage that texts share is stored once, but for its ends
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    passage = words(900)
+    rows = [(i, f"{words(20 + i)} {passage} {words(30)}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(store_media(df)) == brute(rows)
+    assert sum(r.n for r in chunk_store(df, cut(manifests(df))).collect()) < 0.5 * sum(len(t) for _, t in rows)
