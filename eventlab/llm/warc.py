@@ -97,7 +97,7 @@ def _parse(data: bytes, at: int, whole: bool) -> tuple[dict[str, str], bytes, in
     """Headers, block and end of the record at ``at``; ``whole``: it must fill ``data``.  ValueError if a check fails."""
     if not re.match(rb"WARC/1\.\d\r\n", data[at : at + 10]):
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise ValueError("header without end")
     try:

@@ -85,3 +85,11 @@ def test_gaps_are_rows(spark):
     df = spark.createDataFrame([("x", a + b[: len(b) // 2] + c), ("y", None), ("z", b"")], "path string, content binary")
     rows = read_archives(df).orderBy("path", "start").collect()
     assert [(r.path, r.kind, r.start) for r in rows] == [("x", "record", 0), ("x", "gap", len(a)), ("x", "record", len(a) + len(b) // 2)]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_long_url(packed):
+    url = "http://h/" + "a" * (3 << 20)
+    raw = [record(i, u, base32_sha1(b"page"), 4, b"page", None) for i, u in enumerate(("u", url, "v"))]
+    found = list(salvage(b"".join(member(r) if packed else r for r in raw)))
+    assert [f[0] for f in found] == ["record"] * 3 and found[1][4]["warc-target-uri"] == url
