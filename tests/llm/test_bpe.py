@@ -52,9 +52,35 @@ def test_odd_rows(spark, library):
 def test_caches_do_not_change_results(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED", 3)
     monkeypatch.setattr(bpe, "SLICE", 50)
-    monkeypatch.setattr(bpe, "LONG", 12)
+    monkeypatch.setattr(bpe, "ROWS", 12)
     b = bpe.Bpe(bpe.load_ranks(PATH), public_tokenizers.PATTERN)
     texts = ["gschwundene Häuser wahrscheinlich"] * 3 + ["abcabcabcabcabcabcabc zyx"] * 2
     for t, (ids, back) in zip(texts * 2, b.encode(texts * 2)):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(t)
         assert back == t.encode()
+
+
+def test_long_pieces(library):
+    """Unspaced script, repeats of tokens and letters without any cut: whole pieces of thousands of bytes."""
+    rng = random.Random(3)
+    common = "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生"
+    texts = ["".join(rng.choice(common) for _ in range(20_000)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(5000)), "a" * 4001, "abab" * 999 + "b", "ก" * 700]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (*range(1, 60), 3000)]
+    b = bpe.Bpe(bpe.load_ranks(PATH), public_tokenizers.PATTERN)
+    for t, (ids, back) in zip(texts, b.encode(texts)):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(t)
+        assert back == t.encode()
+
+
+def test_places_without_tokens_are_cuts(library):
+    """No token of a text spans a place where it is cut."""
+    b = bpe.Bpe(bpe.load_ranks(PATH), public_tokenizers.PATTERN)
+    text = "wirklichkeitsnah的一是不了人我在有他qqzzxx" * 20
+    data = text.encode()
+    import numpy as np
+
+    spans, at, ends = b._places(np.frombuffer(data, np.uint8)), 0, set()
+    for i in library.encode_ordinary(text):
+        at += len(library.decode_single_token_bytes(i))
+        ends.add(at)
+    assert {int(p) for p in np.flatnonzero(~spans)} - {0} <= ends and (~spans).sum() > 20
