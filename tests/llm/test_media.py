@@ -6,9 +6,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventlab.llm import media
-from eventlab.llm.media import chunk_store, chunks, cuts, header_of, manifests, media_features, payload_of, store_media
+from eventlab.llm.media import chunk_store, chunks, cuts, header_of, manifests, media_features, media_of, payload_of, store_media
 from eventlab.llm.tables import cut
 
 
@@ -22,7 +23,7 @@ def brute(rows):
             w.setparams((1, 1, 8000, 0, "NONE", ""))
             w.writeframes(payload)
         x = np.frombuffer(payload, np.uint8).astype(int)
-        feature = f"chunks={len(cuts(payload))};sum={x.sum()};squares={(x * x).sum()};crossings={(np.diff((x >= 128).astype(int)) != 0).sum()}"
+        feature = f"chunks={len(cuts(media_of(payload)))};sum={x.sum()};squares={(x * x).sum()};crossings={(np.diff((x >= 128).astype(int)) != 0).sum()}"
         whole = buf.getvalue()
         out.append((d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(whole), hashlib.sha256(whole).hexdigest(), feature))
     return sorted(out, key=str)
@@ -70,20 +71,33 @@ def test_odd_rows_and_long_texts(spark):
     df = spark.createDataFrame([(*r, b"d", 1) for r in rows], "doc_id long, text string, digest binary, n int").repartition(3)
     assert got(store_media(df)) == brute(rows)
     refs = cut(manifests(df))
-    store = chunk_store(df, refs).collect()
+    packs, shared = chunk_store(df, refs)
+    stored = [(bytes(d), n) for r in packs.collect() for d, n in zip(r.digests, r.sizes)] + [(bytes(r.digest), r.n) for r in shared.collect()]
     used = {bytes(d) for r in refs.collect() for d in r.digests}
-    assert len(store) == len({bytes(r.digest) for r in store}) == len(used)  # each chunk once
-    assert sum(r.n for r in store) < 0.6 * sum(len((t or "").encode()) for _, t in rows)
+    assert len(stored) == len({d for d, _ in stored}) == len(used)  # each chunk once
+    assert sum(n for _, n in stored) < 0.6 * sum(len((t or "").encode()) for _, t in rows)
     assert store_media(df.limit(0)).count() == 0
 
 
-def test_damage_is_found(spark):
-    df = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+def test_damage_is_found(spark, monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    passage = words(900)
+    df = spark.createDataFrame([(i, f"{words(300 * i)} {passage} {words(30)}") for i in range(4)] + [(9, "some text")], "doc_id long, text string")
     refs = cut(manifests(df))
-    (row,) = chunk_store(df, refs).collect()
-    bad = spark.createDataFrame([(bytes(32), row.n, row.multi, bytes(row.data))], "digest binary, n long, multi boolean, data binary")
+    packs, shared = (cut(t) for t in chunk_store(df, refs))
+    assert shared.count() > 2 and packs.where("not whole").count() == 4
+    assert media_features(refs, packs, shared).count() == 5
+    with pytest.raises(Exception, match="is damaged|could not|decompress"):
+        media_features(refs, packs.withColumn("data", F.col("data").substr(F.lit(1), F.length("data") - 1)), shared).collect()
     with pytest.raises(Exception, match="is damaged"):
-        media_features(refs, bad).collect()
+        media_features(refs, packs.withColumn("digests", F.transform("digests", lambda d: F.unhex(F.lit("00" * 32)))), shared).collect()
+    with pytest.raises(Exception, match="is not in the store"):
+        media_features(refs, packs, shared.where(F.col("digest") != F.lit(bytes(shared.first().digest)))).collect()
+    lost = bytes(packs.where("whole").first().media)
+    monkeypatch.setattr(media, "chunk_store", lambda *_: (packs.where(F.col("media") != F.lit(lost)), shared))
+    with pytest.raises(Exception, match="no stored file"):
+        store_media(df).collect()
 
 
 def test_a_map_without_room(spark, monkeypatch, sf_dir):
@@ -101,7 +115,7 @@ def test_header():
 def test_payloads_of_usual_size_are_cut(spark, sf_dir):
     texts = [(r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     usual = [t for t in texts if len(t) >= 2000]
-    assert len(usual) > 20 and sum(len(cuts(payload_of(t))) > 1 for t in usual) > 0.95 * len(usual)
+    assert len(usual) > 20 and sum(len(cuts(media_of(payload_of(t)))) > 1 for t in usual) > 0.95 * len(usual)
     # a passage that texts share is stored once, but for its ends
     rng = random.Random(6)
     words = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
@@ -109,4 +123,5 @@ def test_payloads_of_usual_size_are_cut(spark, sf_dir):
     rows = [(i, f"{words(20 + i)} {passage} {words(30)}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(store_media(df)) == brute(rows)
-    assert sum(r.n for r in chunk_store(df, cut(manifests(df))).collect()) < 0.5 * sum(len(t) for _, t in rows)
+    packs, shared = chunk_store(df, cut(manifests(df)))
+    assert sum(sum(r.sizes) for r in packs.collect()) + sum(r.n for r in shared.collect()) < 0.5 * sum(len(t) for _, t in rows)
