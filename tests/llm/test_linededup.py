@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import duckdb
 
-from eventlab.llm.linededup import ORACLE_SQL, dedup_lines
+from eventlab.llm import linededup
+from eventlab.llm.linededup import ORACLE_SQL, dedup_lines, holders
 
 
 def key(line):
@@ -53,3 +54,20 @@ def test_odd_rows(spark):
 def test_a_line_in_every_document(spark):
     rows = [(i, f"own line number {i} of this document\nthis line is in each of the documents\n") for i in range(3000)]
     assert got(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))) == brute(rows)
+
+
+def test_lines_are_streamed_in_order(spark):
+    """The plan has the range exchange, the sort by line, document and position, and aggregates that need their order."""
+    rows = spark.createDataFrame([(1, 1, 5, 0)], "k1 long, k2 long, doc_id long, pos int")
+    plan = holders(rows, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(k1" in plan and "HashAggregate" not in plan and plan.count("SortAggregate") == 4
+    first = plan[: plan.index("rangepartitioning")].rindex("Sort [k1")
+    assert "pos" in plan[first : plan.index("]", first)], plan
+
+
+def test_texts_that_lose_nothing_are_not_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x" * 30), (2, "y")], "doc_id long, text string")
+    monkeypatch.setattr(linededup, "MAP_BITS", 6)  # everything may lose lines: same result
+    rows = [(i, f"own line number {i} of this document\nthis line is in each of the documents\n") for i in range(30)] + [(50, "a"), (None, None)]
+    assert got(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert got(dedup_lines(docs)) == brute([tuple(r) for r in docs.collect()])
