@@ -2,16 +2,18 @@
 
 Only DataFrame functions.  Counts of each text give a vector of transformed
 statistics.  For each (lang, source) a minimum-covariance-determinant estimate
-is made: from coordinatewise medians and MADs as the start, concentration steps
-take the mean and covariance of the ``H`` share of rows that were nearest, and
-measure all rows anew.  Rows whose squared Mahalanobis distance is over the
-cutoff are rejected.
+is made: the mean and covariance of the ``H`` share of rows whose covariance has the least determinant.  From each of
+three starts (medians and MADs; medians and fixed scales; mean and covariance of all), concentration steps
+take the mean and covariance of the nearest ``H`` share and measure all rows anew,
+until the determinant falls no more; the start that ends with the least one wins.
+Groups of fewer than ``LEAST_ROWS`` rows take the estimate of their language, such languages that of all rows.
+Rows whose squared Mahalanobis distance is over the cutoff, a quantile of chi-square, are rejected.
 
 Statistics are whole numbers in fixed steps, so every sum is exact and does not
-depend on partitioning, and quantiles come from counts per value or per bin of
-distance: a group of any size is aggregated before it is shuffled, into a bounded
-number of rows.  A ridge (``FLOOR``) keeps covariances regular where most
-texts of a group have equal values, as with the share of repeated lines.
+depend on partitioning.  Equal vectors of a group are counted once, then a step sums counts and moments per bin of
+distance, so a group of any size is aggregated before it is shuffled, into a bounded
+number of rows; of the bin on the edge the share counts that makes up ``H``.  A ridge (``FLOOR``) keeps covariances regular where most
+texts of a group have equal values, as with the share of repeated lines, and says what a difference of no account is.
 """
 
 from __future__ import annotations
@@ -27,17 +29,20 @@ from eventlab.llm.tables import WS, cut, words_of
 #: roots of the shares of symbols, repeated lines and repeated words.
 STATS = ("word_len", "symbols", "dup_lines", "repeats")
 #: Least standard deviation of each statistic, in its steps.
-FLOOR = (4.0, 6.0, 12.0, 12.0)
+FLOOR = (4.0, 6.0, 11.0, 11.0)
 #: Share of a group's rows that an estimate rests on.
 H = 0.75
-C_STEPS = 3
-#: Rejected above this squared distance: far out of the 0.999999 quantile (33.4) of
-#: chi-square with 4 degrees of freedom, as the statistics aren't normal.
-CUTOFF = 90.0
+#: Rows of a group with an estimate of its own: ten for each statistic.
+LEAST_ROWS = 40
+STARTS, MOST_STEPS = 3, 8
+#: The 0.999999 quantile of chi-square with 4 degrees of freedom: a statistic alone is an outlier beyond 5.8 deviations.
+CUTOFF = 33.38
 #: Median of chi-square with 4 degrees of freedom, for the scale of the estimate.
 CHI2_MEDIAN = 3.3566939800333213
-#: Bins of distance for its quantiles: BINS_PER_E for each factor of e.
+#: Bins of distance: BINS_PER_E for each factor of e.
 BINS_PER_E = 50
+#: What names a group: 0 a language and source, 1 a language, 2 all.
+_GROUP = ("level", "lang", "source")
 
 
 def base_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -94,29 +99,85 @@ def _stats() -> list[Column]:
     ]
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Per group: median m_<i> and scale from the MAD as a diagonal factor, from counts per value."""
-    tall = rows.groupBy("lang", "source", *STATS).count()
-    tall = tall.select("lang", "source", "count", F.posexplode(F.array(*STATS)).alias("stat", "v"))
-    tall = tall.groupBy("lang", "source", "stat", "v").agg(F.sum("count").alias("n"))
+def _same(x: str, y: str, names: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names])
+
+
+def _joined(left: DataFrame, right: DataFrame, names: tuple[str, ...], kind: str = "inner") -> DataFrame:
+    """``right``'s other columns to the rows of ``left``, by ``names``, of which each may be null."""
+    other = [c for c in right.columns if c not in names]
+    return left.alias("x").join(right.alias("y"), _same("x", "y", names), kind).select("x.*", *[f"y.{c}" for c in other])
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """(level, lang, source, *STATS, w): how many rows have a vector, for each group of each level."""
+    one = cut(rows.groupBy("lang", "source", *STATS).agg(F.count("*").alias("w")), "cells")
+    none = F.lit(None).cast("string")
+    per_lang = one.groupBy("lang", *STATS).agg(F.sum("w").alias("w"))
+    every = one.groupBy(*STATS).agg(F.sum("w").alias("w"))
+    columns = [*_GROUP, *STATS, "w"]
+    out = one.withColumn("level", F.lit(0)).select(*columns)
+    out = out.unionByName(per_lang.withColumn("level", F.lit(1)).withColumn("source", none).select(*columns))
+    out = out.unionByName(every.withColumn("level", F.lit(2)).withColumn("lang", none).withColumn("source", none).select(*columns))
+    return cut(out, "cells")
+
+
+def _middle(cells: DataFrame) -> DataFrame:
+    """Per group: medians m<i> and MADs d<i>, from counts per value."""
+    keys = (*_GROUP, "stat")
+    tall = cells.select(*_GROUP, "w", F.posexplode(F.array(*STATS)).alias("stat", "v")).groupBy(*keys, "v").agg(F.sum("w").alias("n"))
 
     def middle(df: DataFrame, col: str, name: str) -> DataFrame:
-        w = Window.partitionBy("lang", "source", "stat")
-        upto = F.sum("n").over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("_upto", upto).withColumn("_all", F.sum("n").over(w))
-        return df.where(2 * F.col("_upto") >= F.col("_all")).groupBy("lang", "source", "stat").agg(F.min(col).alias(name))
+        w = Window.partitionBy(*keys)  # a row for each value of a statistic
+        df = df.withColumn("_upto", F.sum("n").over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(w))
+        return df.where(2 * F.col("_upto") >= F.col("_all")).groupBy(*keys).agg(F.min(col).alias(name))
 
     med = middle(tall, "v", "m")
-    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("lang", "source", "stat")]
-    off = tall.alias("x").join(med.alias("y"), reduce(lambda a, b: a & b, on)).select("x.lang", "x.source", "x.stat", "m", F.abs(F.col("v") - F.col("m")).alias("d"), "n")
-    off = off.groupBy("lang", "source", "stat", "m", "d").agg(F.sum("n").alias("n"))
-    mad = middle(off, "d", "mad").alias("y")
-    both = med.alias("x").join(mad, reduce(lambda a, b: a & b, on)).select("x.lang", "x.source", "x.stat", "m", "mad")
-    p = len(STATS)
-    return both.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("stat") == i, F.col("m"))).cast("double").alias(f"m{i}") for i in range(p)],
-        *[F.greatest(F.max(F.when(F.col("stat") == i, F.col("mad"))) * 1.4826, F.lit(FLOOR[i])).alias(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)],
-    )
+    off = _joined(tall, med, keys).groupBy(*keys, F.abs(F.col("v") - F.col("m")).alias("d")).agg(F.sum("n").alias("n"))
+    both = _joined(med, middle(off, "d", "mad"), keys)
+    p = range(len(STATS))
+    return both.groupBy(*_GROUP).agg(*[F.max(F.when(F.col("stat") == i, F.col(c))).cast("double").alias(f"{n}{i}") for i in p for c, n in (("m", "m"), ("mad", "d"))])
+
+
+def _sums(w: Column) -> list[Column]:
+    p = range(len(STATS))
+    return [
+        F.sum(w).alias("n"),
+        *[F.sum(w * F.col(STATS[i])).alias(f"s{i}") for i in p],
+        *[F.sum(w * F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in p for j in range(i + 1)],
+    ]
+
+
+def _factor(moments: DataFrame) -> DataFrame:
+    """Mean m<i>, Cholesky factor l<ij> with the ridge and its determinant of each row's sums s<i> and q<ij> over n."""
+    p, n, other = len(STATS), F.col("n"), [c for c in moments.columns if c in (*_GROUP, "start")]
+    means = [(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(p)]
+    df = moments.select(*other, *means, *[(F.col(f"q{i}{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+    for i in range(p):
+        for j in range(i + 1):
+            rest = F.col(f"c{i}{j}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
+            for k in range(j):
+                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            df = df.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+    det = reduce(lambda a, b: a * b, [F.col(f"l{i}{i}") for i in range(p)])
+    return df.withColumn("det", det).select(*other, *_ESTIMATE)
+
+
+_ESTIMATE = [f"m{i}" for i in range(len(STATS))] + [f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)] + ["det"]
+
+
+def _starts(cells: DataFrame) -> DataFrame:
+    """Three first estimates of each group; their determinants count as infinite, so the first step is always taken."""
+    middle = cut(_middle(cells), "middle")
+    far, p = F.lit(float("inf")), range(len(STATS))
+
+    def diagonal(start: int, scale: list[Column]) -> DataFrame:
+        cols = [(scale[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in p for j in range(i + 1)]
+        return middle.select(*_GROUP, F.lit(start).alias("start"), *[f"m{i}" for i in p], *cols, far.alias("det"))
+
+    out = diagonal(0, [F.greatest(F.col(f"d{i}") * 1.4826, F.lit(FLOOR[i])) for i in p]).unionByName(diagonal(1, [F.lit(FLOOR[i]) for i in p]))
+    every = _factor(cells.groupBy(*_GROUP).agg(*_sums(F.col("w")))).withColumn("start", F.lit(2)).withColumn("det", far)
+    return out.unionByName(every.select(*out.columns))
 
 
 def _distance2() -> Column:
@@ -134,61 +195,53 @@ def _bin(d2: Column) -> Column:
     return F.floor(BINS_PER_E * F.log1p(d2)).cast("long")
 
 
-def _factor(moments: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group's sums s_i and q_ij over n rows, with the ridge."""
-    p, n = len(STATS), F.col("n")
-    means = [(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(p)]
-    df = moments.select("lang", "source", "n", *means, *[(F.col(f"q{i}{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return df.select("lang", "source", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
-
-
-def _measured(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    g = groups.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    both = rows.join(g, rows["lang"].eqNullSafe(F.col("_lang")) & rows["source"].eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    return both.withColumn("d2", _distance2())
-
-
-def _quantile_bin(measured: DataFrame, share: float, name: str) -> DataFrame:
-    """Per group the bin of distance up to which at least ``share`` of its rows lie."""
-    w = Window.partitionBy("lang", "source")
-    tally = measured.groupBy("lang", "source", _bin(F.col("d2")).alias("bin")).count()
-    tally = tally.withColumn("_upto", F.sum("count").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("count").over(w))
-    return tally.where(F.col("_upto") >= share * F.col("_all")).groupBy("lang", "source").agg(F.min("bin").alias(name))
+def _concentrated(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """The estimates after a step, where that lowers the determinant; else as they were."""
+    keys = (*_GROUP, "start")
+    measured = _joined(cells, groups.drop("det"), _GROUP).withColumn("bin", _bin(_distance2()))
+    bins = measured.groupBy(*keys, "bin").agg(*_sums(F.col("w")))
+    w = Window.partitionBy(*keys)  # a row for each bin
+    upto, every = F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w)
+    bins = bins.withColumn("_before", upto - F.col("n")).withColumn("_h", F.ceil(F.lit(H) * every)).where("_before < _h")
+    # whole numbers but for the bin on the edge, of which the share counts that is missing
+    inside = F.col("_before") + F.col("n") <= F.col("_h")
+    share = (F.col("_h") - F.col("_before")) / F.col("n")
+    names = [f"s{i}" for i in range(len(STATS))] + [f"q{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]
 
+    def total(c: str) -> Column:
+        edge = F.max(F.when(~inside, F.col(c) * share))  # one row
+        return F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)).cast("double") + F.coalesce(edge, F.lit(0.0))
 
-def _with(groups: DataFrame, other: DataFrame) -> DataFrame:
-    o = other.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    return groups.join(o, groups["lang"].eqNullSafe(F.col("_lang")) & groups["source"].eqNullSafe(F.col("_source"))).drop("_lang", "_source")
+    new = _factor(bins.groupBy(*keys).agg(F.max("_h").cast("double").alias("n"), *[total(c).alias(c) for c in names]))
+    both = groups.alias("x").join(new.alias("y"), _same("x", "y", keys))
+    lower = F.col("y.det") < F.col("x.det") * (1 - 1e-6)
+    return both.select(*[f"x.{c}" for c in keys], *[F.when(lower, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(c) for c in _ESTIMATE], lower.alias("moved"))
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """(lang, source, m_i, l_ij, scale) for the rows (lang, source, *STATS): the robust estimates.
-
-    ``rows`` is read several times and should be a written table.
-    """
-    p = len(STATS)
-    groups = _start(rows)
-    for _ in range(C_STEPS):
-        groups = cut(groups, "groups")
-        near = cut(_with(groups, _quantile_bin(_measured(rows, groups), H, "near")), "near")
-        inner = _measured(rows, near).where(_bin(F.col("d2")) <= F.col("near"))
-        groups = _factor(
-            inner.groupBy("lang", "source").agg(
-                F.count("*").alias("n"),
-                *[F.sum(s).alias(f"s{i}") for i, s in enumerate(STATS)],
-                *[F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)],
-            )
-        )
-    groups = cut(groups, "groups")
-    mid = _quantile_bin(_measured(rows, groups), 0.5, "mid")
+    """(lang, source, m_i, l_ij, scale) for the rows (lang, source, *STATS): each group's robust estimate."""
+    cells = _cells(rows)
+    groups = cut(_starts(cells), "groups")
+    for _ in range(MOST_STEPS):
+        stepped = cut(_concentrated(cells, groups), "groups")
+        groups = stepped.drop("moved")
+        if stepped.where("moved").isEmpty():
+            break
+    best = groups.groupBy(*_GROUP).agg(F.min_by(F.struct(*_ESTIMATE), F.struct("det", "start")).alias("best")).select(*_GROUP, "best.*")
+    tally = _joined(cells, best, _GROUP).groupBy(*_GROUP, _bin(_distance2()).alias("bin")).agg(F.sum("w").alias("n"))
+    w = Window.partitionBy(*_GROUP)  # a row for each bin
+    tally = tally.withColumn("_upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(w))
+    mid = tally.where(2 * F.col("_upto") >= F.col("_all")).groupBy(*_GROUP).agg(F.min("bin").alias("mid"), F.max("_all").alias("size"))
     # the ridge is part of the scale: it only ever widens
-    return cut(_with(groups, mid).withColumn("scale", F.greatest(F.lit(1.0), F.expm1((F.col("mid") + 1) / F.lit(float(BINS_PER_E))) / CHI2_MEDIAN)).drop("mid"), "mcd")
+    scale = F.greatest(F.lit(1.0), F.expm1((F.col("mid") + 1) / F.lit(float(BINS_PER_E))) / CHI2_MEDIAN)
+    best = cut(_joined(best, mid, _GROUP).withColumn("scale", scale), "mcd")
+    wanted = [*_ESTIMATE[:-1], "scale"]
+    own = best.where("level = 0").select("lang", "source", "size", F.struct(*wanted).alias("e0"))
+    lang = best.where("level = 1").select("lang", F.col("size").alias("size1"), F.struct(*wanted).alias("e1"))
+    every = best.where("level = 2").select(F.struct(*wanted).alias("e2"))
+    both = _joined(own, lang, ("lang",)).crossJoin(F.broadcast(every))  # one row
+    pick = F.when(F.col("size") >= LEAST_ROWS, F.col("e0")).when(F.col("size1") >= LEAST_ROWS, F.col("e1")).otherwise(F.col("e2"))
+    return cut(both.select("lang", "source", pick.alias("e")).select("lang", "source", "e.*"), "estimates")
 
 
 def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -198,49 +251,54 @@ def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     lang or source are a group of their own; null and empty texts have no
     words and fail the base rules.  Estimates rest on the rows that pass the base
     rules, and each row that passes them is measured.  Repeated rows count each.
+    Where all rows together are few the ridge makes most of the estimate, and little is rejected.
     An empty table gives an empty table.
     """
     counts = base_counts(docs.select("doc_id", "text", F.col("lang").alias("_lang0"), F.col("source").alias("_source0"), *keep), ("_lang0", "_source0", *keep))
     counts = counts.withColumnsRenamed({"_lang0": "lang", "_source0": "source"}) if not {"lang", "source"} & set(keep) else counts.withColumn("lang", F.col("_lang0")).withColumn("source", F.col("_source0")).drop("_lang0", "_source0")
     rows = cut(counts.withColumn("base_failed", base_failed()).select("*", *_stats()), "stats")
-    measured = _measured(rows, mcd(rows.where(~F.col("base_failed")).select("lang", "source", *STATS)))
-    d2 = F.when(F.col("base_failed"), F.lit(None)).otherwise(F.col("d2") / F.col("scale"))
+    measured = _joined(rows, mcd(rows.where(~F.col("base_failed")).select("lang", "source", *STATS)), ("lang", "source"), "left")
+    d2 = F.when(F.col("base_failed"), F.lit(None)).otherwise(_distance2() / F.col("scale"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return measured.select("doc_id", *keep, *columns, d2.alias("distance2"), (~F.col("base_failed") & (d2 <= CUTOFF)).alias("kept"))
 
 
 def _oracle() -> str:
-    """DuckDB: the same estimate, one set of common table expressions for each step."""
+    """DuckDB: the same estimate, common table expressions for each step."""
     ws = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    p = len(STATS)
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    y: list[str] = []
-    for i in range(p):
-        y.append("((s%d - m%d%s) / l%d%d)" % (i, i, "".join(f" - l{i}{j} * y{j}" for j in range(i)), i, i))
+    p = range(len(STATS))
+    pairs = [(i, j) for i in p for j in range(i + 1)]
+    moments = [f"s{i}" for i in p] + [f"q{i}{j}" for i, j in pairs]
+    estimate = [f"m{i}" for i in p] + [f"l{i}{j}" for i, j in pairs] + ["det"]
+    y = ["((x%d - m%d%s) / l%d%d)" % (i, i, "".join(f" - l{i}{j} * y{j}" for j in range(i)), i, i) for i in p]
     lateral = ", ".join(f"LATERAL (SELECT {e} AS y{i}) t{i}" for i, e in enumerate(y))
-    on = "x.lang IS NOT DISTINCT FROM g.lang AND x.source IS NOT DISTINCT FROM g.source"
-
-    def measured(rows: str, groups: str, kind: str) -> str:
-        return f"(SELECT x.*, {' + '.join(f'y{i} * y{i}' for i in range(p))} AS d2, g.* EXCLUDE (lang, source) FROM {rows} x {kind} JOIN {groups} g ON {on}, {lateral})"
+    d2 = " + ".join(f"y{i} * y{i}" for i in p)
+    same = "g.level = c.level AND g.lang IS NOT DISTINCT FROM c.lang AND g.source IS NOT DISTINCT FROM c.source"
 
-    def rank(share: float) -> str:
-        return f"list_sort(list(floor({BINS_PER_E} * ln(1 + d2))::BIGINT))[ceil({share} * count(*))::INT]"
+    def bins(groups: str) -> str:
+        return f"SELECT c.*, g.* EXCLUDE (level, lang, source), floor({BINS_PER_E} * ln(1 + {d2}))::BIGINT AS bin FROM cells c JOIN {groups} g ON {same}, {lateral}"
 
-    steps = []
-    for k in range(C_STEPS):
-        steps.append(f"n{k} AS (SELECT lang, source, {rank(H)} AS near FROM {measured('good', f'g{k}', 'INNER')} GROUP BY lang, source)")
-        inner = f"(SELECT x.* FROM {measured('good', f'g{k}', 'INNER')} x JOIN n{k} g ON {on} WHERE floor({BINS_PER_E} * ln(1 + d2))::BIGINT <= near)"
-        sums = ", ".join(f"sum(s{i})::DOUBLE / count(*) AS m{i}" for i in range(p)) + ", " + ", ".join(f"sum(s{i} * s{j})::DOUBLE / count(*) AS q{i}{j}" for i, j in pairs)
-        df = f"(SELECT lang, source, {sums} FROM {inner} GROUP BY lang, source)"
+    def factor(src: str) -> str:
+        df = "(SELECT level, lang, source, start, " + ", ".join(f"s{i} / n AS m{i}" for i in p) + ", " + ", ".join(f"q{i}{j} / n - (s{i} / n) * (s{j} / n) AS c{i}{j}" for i, j in pairs) + f" FROM {src})"
         for i, j in pairs:
-            rest = f"q{i}{j} - m{i} * m{j} + {FLOOR[i] ** 2 if i == j else 0.0}" + "".join(f" - l{i}{h} * l{j}{h}" for h in range(j))
+            rest = f"c{i}{j} + {FLOOR[i] ** 2 if i == j else 0.0}" + "".join(f" - l{i}{h} * l{j}{h}" for h in range(j))
             df = f"(SELECT *, {f'sqrt({rest})' if i == j else f'({rest}) / l{j}{j}'} AS l{i}{j} FROM {df})"
-        steps.append(f"g{k + 1} AS (SELECT lang, source, {', '.join(f'm{i}' for i in range(p))}, {', '.join(f'l{i}{j}' for i, j in pairs)} FROM {df})")
-    middle = lambda v: f"list_sort(list({v}))[(count(*) + 1) // 2]"
-    meds = ", ".join(f"{middle(f's{i}')} AS m{i}" for i in range(p))
-    mads = ", ".join(f"greatest({middle(f'abs(s{i} - m{i})')} * 1.4826, {FLOOR[i]}) AS l{i}{i}" for i in range(p))
-    zeros = ", ".join(f"0.0 AS l{i}{j}" for i, j in pairs if i != j)
+        return f"(SELECT level, lang, source, start, {', '.join(estimate[:-1])}, {' * '.join(f'l{i}{i}' for i in p)} AS det FROM {df})"
+
+    sums = ["sum(w) AS n", *[f"sum(w * x{i}) AS s{i}" for i in p], *[f"sum(w * x{i} * x{j}) AS q{i}{j}" for i, j in pairs]]
+    steps = []
+    for k in range(MOST_STEPS):
+        total = [f"coalesce(sum({c}) FILTER (before + n <= h), 0)::DOUBLE + coalesce(max({c} * ((h - before) / n)) FILTER (before + n > h), 0.0) AS {c}" for c in moments]
+        steps.append(
+            f"b{k} AS MATERIALIZED (SELECT *, sum(n) OVER (w ORDER BY bin ROWS UNBOUNDED PRECEDING) - n AS before, ceil({H} * sum(n) OVER w) AS h FROM (SELECT level, lang, source, start, bin, {', '.join(sums)} FROM ({bins(f'g{k}')}) GROUP BY ALL) WINDOW w AS (PARTITION BY level, lang, source, start)),\n"
+            f"f{k} AS MATERIALIZED (SELECT * FROM {factor(f'(SELECT level, lang, source, start, max(h)::DOUBLE AS n, {chr(44).join(total)} FROM b{k} WHERE before < h GROUP BY ALL)')}),\n"
+            f"g{k + 1} AS MATERIALIZED (SELECT g.level, g.lang, g.source, g.start, {', '.join(f'CASE WHEN c.det < g.det * (1 - 1e-6) THEN c.{e} ELSE g.{e} END AS {e}' for e in estimate)} FROM g{k} g JOIN f{k} c ON {same} AND g.start = c.start)"
+        )
+    middle = lambda v: f"quantile_disc({v}, 0.5)"
+    spread = "SELECT level, lang, source, " + ", ".join(f"x{i}" for i in p) + " FROM cells, LATERAL (SELECT unnest(range(w)))"
     root = lambda a, b: f"CASE WHEN n_words > 0 THEN floor(100 * sqrt({a} / {b}) + 0.5) ELSE 0 END::BIGINT"
+    diagonal = lambda start, scale: f"SELECT level, lang, source, {start} AS start, {', '.join(f'm{i}' for i in p)}, {', '.join(scale(i) + f' AS l{i}{j}' if i == j else f'0.0 AS l{i}{j}' for i, j in pairs)}, 'infinity'::DOUBLE AS det FROM mid0"
+    xs = ", ".join(f"x{i}" for i in p)
     return f"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
     list_filter(string_split(t, chr(10)), lambda l: trim(l, {ws}) <> '') AS lines FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
@@ -249,15 +307,27 @@ rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, w) > 1),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, range(3) r(k) GROUP BY rid),
 counts AS (SELECT rid, doc_id, lang, source, len(words) AS n_words, length(translate(t, {ws}, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM base LEFT JOIN cov USING (rid)),
-rows AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words > 0 THEN floor(100 * ln(word_chars / n_words) + 0.5) ELSE 0 END::BIGINT AS s0,
-    {root('n_symbols', 'word_chars')} AS s1, {root('n_dup_lines', 'n_lines')} AS s2, {root('n_repeat_words', 'n_words')} AS s3 FROM counts),
+rows AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words > 0 THEN floor(100 * ln(word_chars / n_words) + 0.5) ELSE 0 END::BIGINT AS x0,
+    {root('n_symbols', 'word_chars')} AS x1, {root('n_dup_lines', 'n_lines')} AS x2, {root('n_repeat_words', 'n_words')} AS x3 FROM counts),
 good AS (SELECT * FROM rows WHERE NOT base_failed),
-med AS (SELECT lang, source, {meds} FROM good GROUP BY lang, source),
-g0 AS (SELECT lang, source, {', '.join(f'any_value(m{i})::DOUBLE AS m{i}' for i in range(p))}, {mads}, {zeros} FROM (SELECT x.*, g.* EXCLUDE (lang, source) FROM good x JOIN med g ON {on}) GROUP BY lang, source),
-{", ".join(steps)},
-mid AS (SELECT lang, source, greatest(1.0, (exp(({rank(0.5)} + 1) / {float(BINS_PER_E)}) - 1) / {CHI2_MEDIAN}) AS scale FROM {measured('good', f'g{C_STEPS}', 'INNER')} GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 / scale <= {CUTOFF}, false) AS kept
-FROM {measured('rows', f'g{C_STEPS}', 'LEFT')} x LEFT JOIN mid g ON {on}
+cells AS MATERIALIZED (SELECT 0 AS level, lang, source, {xs}, count(*)::BIGINT AS w FROM good GROUP BY ALL
+    UNION ALL SELECT 1, lang, NULL, {xs}, count(*)::BIGINT FROM good GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, {xs}, count(*)::BIGINT FROM good GROUP BY ALL),
+each AS MATERIALIZED ({spread}),
+med AS (SELECT level, lang, source, {', '.join(f'{middle(f"x{i}")}::DOUBLE AS m{i}' for i in p)} FROM each GROUP BY ALL),
+mid0 AS MATERIALIZED (SELECT c.level, c.lang, c.source, {', '.join(f'any_value(m{i}) AS m{i}, {middle(f"abs(x{i} - m{i})")} AS d{i}' for i in p)} FROM each c JOIN med g ON {same} GROUP BY ALL),
+g0 AS MATERIALIZED ({diagonal(0, lambda i: f"greatest(d{i} * 1.4826, {FLOOR[i]})")} UNION ALL {diagonal(1, lambda i: f"{FLOOR[i]}")}
+    UNION ALL SELECT * REPLACE ('infinity'::DOUBLE AS det) FROM {factor(f"(SELECT level, lang, source, 2 AS start, {', '.join(sums)} FROM cells GROUP BY ALL)")}),
+{(',' + chr(10)).join(steps)},
+best AS MATERIALIZED (SELECT * EXCLUDE (start) FROM g{MOST_STEPS} QUALIFY row_number() OVER (PARTITION BY level, lang, source ORDER BY det, start) = 1),
+tally AS (SELECT level, lang, source, bin, sum(w) AS n FROM ({bins('best')}) GROUP BY ALL),
+upto AS (SELECT *, sum(n) OVER (w ORDER BY bin ROWS UNBOUNDED PRECEDING) AS u, sum(n) OVER w AS size FROM tally WINDOW w AS (PARTITION BY level, lang, source)),
+mid AS (SELECT level, lang, source, greatest(1.0, (exp((min(bin) FILTER (2 * u >= size) + 1) / {float(BINS_PER_E)}) - 1) / {CHI2_MEDIAN}) AS scale, max(size) AS size FROM upto GROUP BY ALL),
+est AS MATERIALIZED (SELECT c.*, scale, size FROM best c JOIN mid g ON {same}),
+level_of AS (SELECT lang, source, CASE WHEN size >= {LEAST_ROWS} THEN 0 WHEN (SELECT max(b.size) FROM est b WHERE b.level = 1 AND b.lang IS NOT DISTINCT FROM a.lang) >= {LEAST_ROWS} THEN 1 ELSE 2 END AS level FROM est a WHERE a.level = 0),
+picked AS (SELECT o.lang AS lang, o.source AS source, e.* EXCLUDE (level, lang, source) FROM level_of o JOIN est e ON e.level = o.level
+    AND (o.level = 2 OR e.lang IS NOT DISTINCT FROM o.lang) AND (o.level > 0 OR e.source IS NOT DISTINCT FROM o.source))
+SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(({d2}) / scale <= {CUTOFF}, false) AS kept
+FROM rows c LEFT JOIN picked g ON g.lang IS NOT DISTINCT FROM c.lang AND g.source IS NOT DISTINCT FROM c.source, {lateral}
 """
 
 

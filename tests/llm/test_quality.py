@@ -1,12 +1,13 @@
-import math
+import itertools
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import numpy as np
 
 from eventlab.llm import quality
 from eventlab.llm.quality import quality_rules
+from eventlab.llm.tables import cut
 
 
 def counts(text):
@@ -21,44 +22,20 @@ def counts(text):
     }
 
 
-def half_up(x):
-    return math.floor(x + 0.5)
-
-
 def brute(rows):
-    """rows: (doc_id, text, lang, source) -> {(doc_id, counts..., base_failed, kept)} with numpy."""
-    all_counts = [counts(t) for _, t, _, _ in rows]
-    failed = [c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"] for c in all_counts]
-    kept = [False] * len(rows)
-    groups = defaultdict(list)
-    for k, (_, _, lang, source) in enumerate(rows):
-        if not failed[k]:
-            groups[lang, source].append(k)
-    floor = np.array(quality.FLOOR)
-    for ks in groups.values():
-        x = np.array([
-            [half_up(100 * math.log(c["word_chars"] / c["n_words"])), half_up(100 * math.sqrt(c["n_symbols"] / c["word_chars"])),
-             half_up(100 * math.sqrt(c["n_dup_lines"] / c["lines"])), half_up(100 * math.sqrt(c["n_repeat_words"] / c["n_words"]))]
-            for c in (all_counts[k] for k in ks)
-        ], float)
-
-        def at(values, share):
-            return np.sort(values, axis=0)[math.ceil(share * len(values)) - 1]
-
-        mean = at(x, 0.5)
-        cov = np.diag(np.maximum(at(np.abs(x - mean), 0.5) * 1.4826, floor) ** 2)
-        bins = lambda d2: np.floor(quality.BINS_PER_E * np.log1p(d2))
-        dist = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        for _ in range(quality.C_STEPS):
-            b = bins(dist())
-            near = x[b <= at(b, quality.H)]
-            mean, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(floor**2)
-        d2 = dist()
-        scale = max(1.0, math.expm1((at(bins(d2), 0.5) + 1) / quality.BINS_PER_E) / quality.CHI2_MEDIAN)
-        for k, d in zip(ks, d2 / scale):
-            kept[k] = bool(d <= quality.CUTOFF)
+    """rows: (doc_id, text, lang, source) -> {(doc_id, counts..., base_failed, kept)}: the counts by Python, the verdict by the SQL."""
+    import pandas as pd
+
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame({n: pd.array([r[i] for r in rows], dtype=t) for i, (n, t) in enumerate((("doc_id", "Int64"), ("text", "string"), ("lang", "string"), ("source", "string")))}))
+    out = db.execute(quality.ORACLE_SQL).fetchall()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return sorted(((r[0], *(c[n] for n in names), f, k) for r, c, f, k in zip(rows, all_counts, failed, kept)), key=str)
+    want = []
+    for d, t, _, _ in rows:
+        c = counts(t)
+        want.append((d, *(c[n] for n in names), c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]))
+    assert sorted(want, key=str) == sorted((r[:-1] for r in out), key=str)
+    return sorted(out, key=str)
 
 
 def got(df):
@@ -74,9 +51,6 @@ def test_documents(spark, sf_dir):
     out = quality_rules(docs)
     have = got(out)
     assert have == brute(rows_of(docs))
-    db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir.replace('0.001', '0.01')}/documents.parquet'")
-    assert have == sorted(db.execute(quality.ORACLE_SQL).fetchall(), key=str)
     rejected = {h[0] for h in have if not h[-1] and not h[-2]}
     assert 0 < len(rejected) < 0.08 * len(have)
     one_group = docs.drop("lang", "source").selectExpr("*", "'x' as lang", "cast(null as string) as source")
@@ -107,3 +81,56 @@ def test_keep_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = quality_rules(docs, keep=("text", "lang", "source", "n_chars"))
     assert out.count() == docs.count() and {"text", "lang", "source", "n_chars", "kept"} <= set(out.columns)
+
+
+def estimate(spark, x):
+    cols = ", ".join(f"{n} long" for n in quality.STATS)
+    rows = cut(spark.createDataFrame([("en", "s", *map(int, r)) for r in x], f"lang string, source string, {cols}"))
+    (e,) = quality.mcd(rows).collect()
+    low = np.array([[e[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+    return np.array([e[f"m{i}"] for i in range(4)]), low
+
+
+def test_the_least_determinant(spark):
+    """Against all subsets of H of the rows."""
+    rng = np.random.default_rng(3)
+    for k in range(3):
+        x = np.vstack([rng.multivariate_normal([160, 3, 0, 10], np.diag([90, 30, 300, 80]), 10), rng.multivariate_normal([210, 50, 60, 5], np.diag([20, 20, 20, 20]), 3)]).round()
+        mean, low = estimate(spark, x)
+        least = min(np.linalg.det(np.cov(x[list(c)].T, bias=True) + np.diag(np.array(quality.FLOOR) ** 2)) for c in itertools.combinations(range(13), 10))
+        assert np.linalg.det(low @ low.T) <= 1.05 * least
+        d2 = ((np.linalg.solve(low, (x - mean).T)) ** 2).sum(0)
+        assert d2[:10].max() < quality.CUTOFF < d2[10:].min()
+
+
+def test_an_outlier_of_each_statistic(spark):
+    """Each statistic alone can reject a text, and texts just as long with usual values stay."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["an", "the", "re", "on", "ti", "er"]) for _ in range(rng.choice([1, 1, 2, 3])))
+    prose = lambda n: " ".join(word() + str(rng.randrange(99)) for _ in range(n))
+    lines = lambda n, w: "\n".join(prose(w) for _ in range(n))
+    plain = [(i, lines(rng.randrange(6, 20), 14), "en", "s") for i in range(200)]
+    odd = {
+        900: " ".join(word() * 9 for _ in range(200)),  # long words
+        901: lines(12, 14).replace(" ", "*#$ "),  # symbols
+        902: lines(6, 14) + "\n" + "\n".join(f"{k % 3}" for k in range(60)),  # repeated lines of a word
+        903: " ".join(f"{prose(6)} and so it goes again" for _ in range(40)) + "\n" + prose(30),  # repeated windows, under the base rule
+    }
+    rows = plain + [(k, t, "en", "s") for k, t in odd.items()]
+    out = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[r[0]].kept for r in plain)
+    assert not any(out[k].base_failed or out[k].kept for k in odd), [(k, out[k]) for k in odd]
+
+
+def test_small_groups_take_the_language(spark):
+    """A source of a few texts is measured by its language: junk goes though it is all that the source has."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["an", "the", "re", "on", "ti", "er"]) for _ in range(rng.choice([1, 1, 2, 3])))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(60, 300))), "en", "big") for i in range(120)]
+    rows += [(500 + i, " ".join(word() + "$$$" for _ in range(100)), "en", "small") for i in range(3)] + [(600, " ".join(word() for _ in range(100)), "en", "small")]
+    out = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[600] and not any(out[500 + i] for i in range(3))
