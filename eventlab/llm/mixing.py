@@ -7,11 +7,13 @@ probabilities move at random along the null space of the constraints (words and
 documents of the source stay as they are in sum) until one is 0 or 1, again and
 again.  Two constraints need three undecided documents for a move, so at most two
 are left of any run of documents; those of many runs fly again together, until one
-run of each source is left.  Its last documents, ``LANDING`` at most, are the
-landing problem: of all ways to take them, the one nearest to the totals.
+run of each source is left.  Its last two documents are the landing problem: the count
+of documents is given up, and they move so that their words stay as they are in sum;
+the last one is drawn with its probability.  Every step keeps each document's probability as the mean.
 
 A run is a block of a source: documents by hash, about ``BLOCK`` in each, so a
-source with a third of all rows is spread over many tasks.  A task streams
+source with a third of all rows is spread over many tasks; rows that are equal in doc_id, source and size are
+counted, and their number is split over blocks.  A task streams
 its blocks in sorted order, holding three documents at a time.  Large
 documents fly first, so those that are left to land are small.  The draws depend
 on (seed, level, source, block) and the order on the rows alone: reruns and other
@@ -21,10 +23,8 @@ partitionings agree.
 from __future__ import annotations
 
 import random
-from collections import deque
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +34,6 @@ from eventlab.llm.tables import cut, words_of
 BLOCK = 4096
 #: Blocks of one level whose leftovers fly together on the next.
 FAN = 1024
-#: Documents of a source that land together.
-LANDING = 12
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -64,24 +62,21 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return per.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _move(s: list[float], p: list[float], u: float) -> None:
-    """Move three probabilities along the null space of (1, size) until one is 0 or 1."""
-    v = [s[2] - s[1], s[0] - s[2], s[1] - s[0]]
-    if not any(v):
-        v = [1.0, -1.0, 0.0]
+def _move(p: list[float], v: list[float], u: float) -> None:
+    """Move probabilities along ``v`` until one is 0 or 1; each keeps its mean over ``u``."""
     up = down = float("inf")
     up_at = down_at = (0, 0.0)
-    for k in range(3):
-        if v[k]:
-            to_one, to_zero = (1 - p[k]) / abs(v[k]), p[k] / abs(v[k])
-            more, less = (to_one, to_zero) if v[k] > 0 else (to_zero, to_one)
+    for k, (q, d) in enumerate(zip(p, v)):
+        if d:
+            to_one, to_zero = (1 - q) / abs(d), q / abs(d)
+            more, less = (to_one, to_zero) if d > 0 else (to_zero, to_one)
             if more < up:
-                up, up_at = more, (k, 1.0 if v[k] > 0 else 0.0)
+                up, up_at = more, (k, 1.0 if d > 0 else 0.0)
             if less < down:
-                down, down_at = less, (k, 0.0 if v[k] > 0 else 1.0)
+                down, down_at = less, (k, 0.0 if d > 0 else 1.0)
     step, (at, end) = (up, up_at) if u * (up + down) < down else (-down, down_at)
-    for k in range(3):
-        p[k] += step * v[k]
+    for k, d in enumerate(v):
+        p[k] += step * d
         if p[k] < 1e-9:
             p[k] = 0.0
         elif p[k] > 1 - 1e-9:
@@ -89,26 +84,34 @@ def _move(s: list[float], p: list[float], u: float) -> None:
     p[at] = end
 
 
-def _land(s: list[float], p: list[float]) -> list[float]:
-    """The 0/1 values whose words and documents are nearest to those of ``p``."""
-    size, want = np.array(s), np.array(p)
-    ways = np.arange(1 << len(p))[:, None] >> np.arange(len(p)) & 1
-    words, docs = np.abs((ways - want) @ size), np.abs((ways - want).sum(1))
-    return ways[np.argmin(words / max(size.mean(), 1.0) + np.where(docs < 1, 0, docs))].astype(float).tolist()
+def _null_space(s: list[float]) -> list[float]:
+    """A move of three documents that keeps their number and words, of two that keeps their words, of one alone."""
+    if len(s) == 3:
+        v = [s[2] - s[1], s[0] - s[2], s[1] - s[0]]
+        return v if any(v) else [1.0, -1.0, 0.0]
+    if len(s) == 2:
+        return [s[1], -s[0]] if any(s) else [1.0, -1.0]
+    return [1.0]
 
 
 def _flight(seed: int, level: int, land: bool):
     """A function for mapInPandas over rows sorted by source and block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, rng, held, last = None, random.Random(), [], deque()
+        group, rng, held = None, random.Random(), []
 
-        def close() -> list[tuple]:
-            left = [*held, *last]
-            if land and left:
-                end = _land([float(h[2]) for h in left], [h[4] for h in left])
-                return [(*h[:4], e) for h, e in zip(left, end)]
-            return left
+        def move(held: list[tuple]) -> list[tuple]:
+            p = [h[4] for h in held]
+            _move(p, _null_space([float(h[2]) for h in held]), rng.random())
+            return [(*h[:4], q) for h, q in zip(held, p)]
+
+        def close(left: list[tuple]) -> list[tuple]:
+            out = []
+            while land and left:
+                moved = move(left)
+                out += [m for m in moved if m[4] in (0.0, 1.0)]
+                left = [m for m in moved if m[4] not in (0.0, 1.0)]
+            return out + left
 
         for pdf in batches:
             out: list[tuple] = []
@@ -116,24 +119,16 @@ def _flight(seed: int, level: int, land: bool):
             ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist()
             for row in zip(ids, sources, pdf["size"].tolist(), pdf["block"].tolist(), pdf["p"].tolist()):
                 if (row[1], row[3]) != group:
-                    out += close()
+                    out += close(held)
                     group, held = (row[1], row[3]), []
-                    last.clear()
                     rng.seed(f"{seed}:{level}:{row[1]!r}:{row[3]}")
-                if land:  # the last documents don't fly
-                    last.append(row)
-                    if len(last) <= LANDING - 2:
-                        continue
-                    row = last.popleft()
                 held.append(row)
                 if len(held) == 3:
-                    p = [h[4] for h in held]
-                    _move([float(h[2]) for h in held], p, rng.random())
-                    moved = [(*h[:4], q) for h, q in zip(held, p)]
+                    moved = move(held)
                     out += [m for m in moved if m[4] in (0.0, 1.0)]
                     held = [m for m in moved if m[4] not in (0.0, 1.0)]
             yield frame(out)
-        yield frame(close())
+        yield frame(close(held))
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         cols = list(zip(*rows)) or [()] * 5
@@ -163,15 +158,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     def planned(df: DataFrame, *columns) -> DataFrame:
         return df.join(plan, df["source"].eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", *columns)
 
-    spot = F.xxhash64(F.lit(seed), "doc_id", "size")
-    rows = planned(sized, F.pmod(spot, F.col("blocks")).cast("long").alias("block"), F.col("part").alias("p"))
+    rows = planned(sized, F.col("part").alias("p"), "blocks")
     whole = rows.where(F.col("p") == 0).select("doc_id", "source", "size", F.lit(0.0).alias("p"))
+    # equal rows are one row with a number, split into parts of BLOCK that go to blocks of their own
+    equal = rows.where(F.col("p") > 0).groupBy("doc_id", "source", "size", "p", "blocks").count()
+    equal = equal.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / BLOCK))))
+    spot = F.xxhash64(F.lit(seed), "doc_id", "size", "nth")
+    equal = equal.withColumn("block", F.pmod(spot, F.col("blocks")).cast("long")).withColumn("count", F.least(F.lit(BLOCK), F.col("count") - F.col("nth") * BLOCK))
+    equal = equal.repartition("source", "block")
+    now = equal.select("doc_id", "source", "size", "block", "p", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("col")
     level, decided = 0, [whole]
-    now = rows.where(F.col("p") > 0)
     blocks = targets.agg(F.coalesce(F.max(F.ceil(F.col("n_docs") / BLOCK)), F.lit(1))).first()[0]
     while True:
         last = blocks <= 1
-        flown = now.repartition("source", "block").sortWithinPartitions("source", "block", F.desc("size"), spot, "doc_id", "p")
+        now = now if level == 0 else now.repartition("source", "block")
+        flown = now.sortWithinPartitions("source", "block", F.desc("size"), F.xxhash64(F.lit(seed), "doc_id", "size"), "doc_id", "p")
         flown = cut(flown.mapInPandas(_flight(seed, level, last), "doc_id long, source string, size long, block long, p double"), f"flight{level}")
         decided.append(flown.where(F.col("p").isin(0.0, 1.0)).select("doc_id", "source", "size", "p"))
         if last:
@@ -191,14 +192,20 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     Rows are carried as one column, so no column of ``docs`` can clash with those used here.
     """
     key = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(words_of(F.col("text").cast("string"))).cast("long")]
-    known = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_order"), *[k.alias(f"_k{i}") for i, k in enumerate(key)])
+    known = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_order"), F.xxhash64(*docs.columns).alias("_every"), *[k.alias(f"_k{i}") for i, k in enumerate(key)])
     known = known.withColumns({"_n0": F.col("_k0").isNull(), "_n1": F.col("_k1").isNull()})
     known = known.fillna({"_k0": 0, "_k1": ""}, subset=["_k0", "_k1"])
     lists = mixed.select(F.coalesce("doc_id", F.lit(0)).alias("_k0"), F.coalesce("source", F.lit("")).alias("_k1"), F.col("size").alias("_k2"), F.col("doc_id").isNull().alias("_n0"), F.col("source").isNull().alias("_n1"), "copies")
     on = ["_k0", "_k1", "_k2", "_n0", "_n1"]
-    lists = lists.groupBy(*on).agg(F.sort_array(F.collect_list("copies")).alias("_list"))
+    # how many rows of each key are taken how often, as (copies, rows up to these): two entries at most
+    w = Window.partitionBy(*on).orderBy("copies").rowsBetween(Window.unboundedPreceding, 0)
+    lists = lists.groupBy(*on, "copies").count().withColumn("_upto", F.sum("count").over(w))
+    lists = lists.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("_upto", "copies"))).alias("_list"))
     both = known.join(lists, on)
-    nth = F.row_number().over(Window.partitionBy(*on).orderBy("_order"))
-    copies = F.element_at(F.col("_list"), nth)
-    both = both.withColumn("_copies", copies).where(F.col("_copies") > 0)
+    # equal keys have numbers only where their rows differ in copies
+    alone = both.where(F.size("_list") == 1).withColumn("_copies", F.col("_list")[0]["copies"])
+    nth = F.row_number().over(Window.partitionBy(*on).orderBy("_order", "_every"))
+    split = both.where(F.size("_list") > 1).withColumn("_nth", nth)
+    split = split.withColumn("_copies", F.filter("_list", lambda e: e["_upto"] >= F.col("_nth"))[0]["copies"])
+    both = alone.unionByName(split.drop("_nth")).where(F.col("_copies") > 0)
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
