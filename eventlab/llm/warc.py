@@ -9,7 +9,8 @@ the largest page of each digest is found by partial aggregation before the shuff
 The reader checks each member (gzip checksum, version line, header, length, payload
 digest).  After a failed check it looks for the next gzip magic or version line from
 which a record passes all checks, carries on there, and logs the bytes between as
-a gap.
+a gap.  A member whose first bytes aren't a version line is left at once, so that bytes
+which only look like members cost little.  ``quarantine`` writes the log of gaps as a table.
 """
 
 from __future__ import annotations
@@ -128,8 +129,11 @@ def _record_at(content: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     pos = at
     try:
         while not unpack.eof and pos < len(content):
-            out.append(unpack.decompress(view[pos : pos + (1 << 16)]))
-            pos += 1 << 16
+            step = 256 if pos == at else 1 << 16
+            out.append(unpack.decompress(view[pos : pos + step]))
+            pos += step
+            if not b"WARC/1.".startswith((first := b"".join(out[:2])[:7])) and first != b"WARC/1.":
+                raise ValueError("no version line")
     except zlib.error:
         raise ValueError("damaged member") from None
     if not unpack.eof:
@@ -198,15 +202,27 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     return archives.select("path", F.col("content").cast("binary")).mapInArrow(run, "kind string, path string, start long, end long, reason string, page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary" * payloads)
 
 
+def quarantine(found: DataFrame, path: str) -> DataFrame:
+    """Write the gaps of ``found`` (what ``read_archives`` gives) to the table at ``path`` and return it: path, start, end, reason.
+
+    An archive without gaps has no rows there.
+    """
+    found.where("kind = 'gap'").select("path", "start", "end", "reason").write.mode("append").parquet(path)
+    return found.sparkSession.read.schema("path string, start long, end long, reason string").parquet(path)
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives and read these back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Takes page_id, url and html; other columns are ignored.  One row for each
     row: rows that repeat the largest page_id of a payload are all responses; null
-    page_ids come out as null.  An empty table gives an empty table.
+    page_ids come out as null.  An empty table gives an empty table.  A gap in an archive
+    just written raises, so no page is lost unseen.
     """
     found = read_archives(cut(write_archives(pages), "archives"), payloads=False)
-    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in"), "path", "start", "end", "reason"))
+    kind = F.when(F.col("kind") == "gap", lost).otherwise(F.col("record_type"))
+    return found.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 ORACLE_SQL = """

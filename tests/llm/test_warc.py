@@ -6,6 +6,7 @@ import random
 import duckdb
 import pytest
 
+from eventlab.llm import warc
 from eventlab.llm.warc import ORACLE_SQL, base32_sha1, member, read_archives, record, round_trip, salvage, write_archives
 from eventlab.llm.tables import cut
 
@@ -93,3 +94,28 @@ def test_long_url(packed):
     raw = [record(i, u, base32_sha1(b"page"), 4, b"page", None) for i, u in enumerate(("u", url, "v"))]
     found = list(salvage(b"".join(member(r) if packed else r for r in raw)))
     assert [f[0] for f in found] == ["record"] * 3 and found[1][4]["warc-target-uri"] == url
+
+
+def test_gaps_are_logged_and_raise(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 9) for i in range(20)], "page_id long, url string, html string")
+    archives = warc.write_archives(pages.coalesce(1)).collect()
+    hurt = bytearray(archives[0].content)
+    hurt[len(hurt) // 2] ^= 0xFF
+    damaged = spark.createDataFrame([(archives[0].path, bytes(hurt))], "path string, content binary")
+    log = warc.quarantine(warc.read_archives(damaged), str(tmp_path / "gaps"))
+    (gap,) = log.collect()
+    assert gap.start <= len(hurt) // 2 < gap.end and gap.reason
+    assert warc.read_archives(damaged).where("kind = 'record'").count() == 19
+    monkeypatch.setattr(warc, "write_archives", lambda _: damaged)
+    with pytest.raises(Exception, match="gap in"):
+        warc.round_trip(pages).collect()
+
+
+def test_bytes_that_look_like_members():
+    """Magic numbers without a record behind them are left at once."""
+    import gzip
+
+    noise = gzip.compress(b"not a record " * 1000) * 200
+    good = warc.member(warc.record(1, "http://h/", warc.base32_sha1(b"x"), 1, b"x", None))
+    kinds = [x[0] for x in warc.salvage(noise + good + noise[:77])]
+    assert kinds == ["gap", "record", "gap"]
