@@ -4,9 +4,14 @@ Only DataFrame functions.  Labelled pages are counted by host.  A host's rate of
 good pages is shrunk to its registered domain's, that one's to its suffix's, and
 the suffix's to the rate of all: each level has a beta prior around its parent's
 posterior mean, whose concentration is estimated by moments from all nodes of the
-level (beta-binomial).  A host is blocked if even the upper bound of its
+level (beta-binomial).  A parent's mean leaves out what the child itself has: a host's domain is
+judged by the domain's other hosts, that one's suffix by its other domains, so no page
+counts twice.  A host is blocked if even the upper bound of its
 posterior is below the least good rate.  Rules come before that.
 
+For the hierarchy, user and port are cut off.  The registered domain is one label more than the suffix,
+which is the last label or, where one fits, the longest of ``suffixes``; an IP address is its own domain and suffix.
+
 Counts are combined before they are shuffled, and node tables have a row for each
 host at most; the join back to pages is an ordinary one on the host.
 """
@@ -28,6 +33,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: Suffixes of several labels under which anybody may register; any list can be given to the operator.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "edu.au",
+    "github.io", "gov.au", "gov.uk", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "or.jp", "org.au", "org.br", "org.cn", "org.uk",
+)
 #: Blocked if mean + Z standard deviations of the posterior is under LEAST_GOOD.
 Z, LEAST_GOOD = 1.645, 0.5
 #: Bounds of the correlation within a node, and its value where moments can't tell.
@@ -64,28 +74,43 @@ def _rho(nodes: DataFrame, parent: str) -> DataFrame:
     return sums.select((1 / rho - 1).alias("kappa"))
 
 
-def host_reputation(hosts: DataFrame) -> DataFrame:
+def hierarchy(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host; ``suffixes`` is a short list in code."""
+    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":[0-9]*\z", "")
+    ip = bare.rlike(r"^[0-9]+(\.[0-9]+){3}\z") | F.contains(bare, F.lit("["))
+    labels = F.split(bare, r"\.", -1)
+    n = F.lit(1)
+    for s in sorted(suffixes, key=lambda s: (s.count("."), s)):  # the longest that fits comes last
+        n = F.when((bare == s) | F.endswith(bare, F.lit("." + s)), F.lit(s.count(".") + 1)).otherwise(n)
+
+    def last(k: Column) -> Column:
+        return F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - k + 1), F.greatest(F.lit(1), k)), ".")
+
+    return F.when(ip, bare).otherwise(last(n + 1)), F.when(ip, bare).otherwise(last(n))
+
+
+def host_reputation(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Rows (host, n, k), one for each host, to (host, mean, sd): posterior mean and deviation of the good rate."""
-    host = F.col("host")
-    hosts = cut(hosts.select("host", F.col("n"), F.col("k"), F.coalesce(F.nullif(F.regexp_extract(host, r"[^.]+\.[^.]+$", 0), F.lit("")), host).alias("domain"), F.regexp_extract(host, r"[^.]*$", 0).alias("suffix")), "hosts")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1))
-    root = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
-
-    def shrunk(nodes: DataFrame, key: str, above: DataFrame, kappa: DataFrame, on: str | None) -> DataFrame:
-        df = nodes.join(above, on) if on else nodes.crossJoin(F.broadcast(above))  # one row
-        df = df.crossJoin(F.broadcast(kappa))  # one row
-        a = F.col("kappa") * F.col("m0") + F.col("k")
-        total = F.col("kappa") + F.col("n")
-        return df.select(key, (a / total).alias("m0"), total.alias("total"))
-
-    s = shrunk(suffixes, "suffix", root, _rho(suffixes, "all"), None).select("suffix", "m0")
-    d = shrunk(domains, "domain", s, _rho(domains, "suffix"), "suffix").select("domain", "m0")
-    h = shrunk(hosts, "host", d, _rho(hosts, "domain"), "domain")
-    return h.select("host", F.col("m0").alias("mean"), F.sqrt(F.col("m0") * (1 - F.col("m0")) / (F.col("total") + 1)).alias("sd"))
-
-
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    domain, suffix = hierarchy(F.col("host"), suffixes)
+    hosts = cut(hosts.select("host", F.col("n"), F.col("k"), domain.alias("domain"), suffix.alias("suffix")), "hosts")
+    domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    tops = cut(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1)), "suffixes")
+    root = tops.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k0"), F.coalesce(F.sum("n"), F.lit(0)).alias("n0"))
+    one = root.crossJoin(_rho(tops, "all").withColumnRenamed("kappa", "r1")).crossJoin(_rho(domains, "suffix").withColumnRenamed("kappa", "r2")).crossJoin(_rho(hosts, "domain").withColumnRenamed("kappa", "r3"))
+    df = hosts.join(domains.select("domain", "suffix", F.col("n").alias("n2"), F.col("k").alias("k2")), ["domain", "suffix"])
+    df = df.join(tops.select("suffix", F.col("n").alias("n1"), F.col("k").alias("k1")), "suffix").crossJoin(F.broadcast(one))  # one row
+
+    def shrunk(kappa: str, above: Column, k: Column, n: Column) -> Column:
+        return (F.col(kappa) * above + k) / (F.col(kappa) + n)
+
+    m = (F.col("k0") - F.col("k1") + 1) / (F.col("n0") - F.col("n1") + 2)  # the other suffixes
+    m = shrunk("r1", m, F.col("k1") - F.col("k2"), F.col("n1") - F.col("n2"))  # the suffix's other domains
+    m = shrunk("r2", m, F.col("k2") - F.col("k"), F.col("n2") - F.col("n"))  # the domain's other hosts
+    m = shrunk("r3", m, F.col("k"), F.col("n"))
+    return df.select("host", m.alias("mean"), F.sqrt(m * (1 - m) / (F.col("r3") + F.col("n") + 1)).alias("sd"))
+
+
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """One row for each row of ``pages``: page_id, host, path, rule, verdict, good_rate, upper.
 
     ``pages`` has page_id and url; ``labels`` has doc_id, quality and toxic, and
@@ -102,33 +127,40 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     outcome = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good")).where("good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
     known = p.join(outcome, p["page_id"] == outcome["doc_id"], "left")
     hosts = known.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    rep = cut(host_reputation(hosts), "reputation")
+    rep = cut(host_reputation(hosts, suffixes), "reputation")
     upper = F.col("mean") + Z * F.col("sd")
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(upper < LEAST_GOOD, F.lit("block")).otherwise(F.lit("allow"))
     return p.join(rep, "host").select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.round("mean", 6).alias("good_rate"), F.round(upper, 6).alias("upper"))
 
 
-def _level_sql(name: str, nodes: str, parent: str, up: str) -> str:
+def _rho_sql(name: str, nodes: str, parent: str) -> str:
     return f"""
-{name}_r AS (SELECT 1 / CASE WHEN b > 0 THEN least({RHO_MOST}, greatest({RHO_LEAST}, (s - a) / b)) ELSE {RHO_ELSE} END - 1 AS kappa FROM (
+{name} AS (SELECT 1 / CASE WHEN b > 0 THEN least({RHO_MOST}, greatest({RHO_LEAST}, (s - a) / b)) ELSE {RHO_ELSE} END - 1 AS {name} FROM (
     SELECT sum(n * (k / n - m) * (k / n - m)) AS s, sum(m * (1 - m)) AS a, sum((n - 1) * m * (1 - m)) AS b
-    FROM (SELECT n, k, sum(k) OVER w / sum(n) OVER w AS m FROM {nodes} WHERE n > 0 WINDOW w AS (PARTITION BY {parent})))),
-{name} AS (SELECT {nodes}.*, (kappa * up.m0 + {nodes}.k) / (kappa + {nodes}.n) AS m0, kappa + {nodes}.n AS total FROM {nodes}, {name}_r, {up} up WHERE {"true" if parent == "1" else f"up.{parent} = {nodes}.{parent}"})"""
+    FROM (SELECT n, k, sum(k) OVER w / sum(n) OVER w AS m FROM {nodes} WHERE n > 0 WINDOW w AS (PARTITION BY {parent}))))"""
 
 
+_SUFFIX = "|".join(s.replace(".", "[.]") for s in SUFFIXES)
 _FITS = "\n".join(f"    WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN {{{i}}}" for i, (v, h, p) in sorted(enumerate(RULES), key=lambda r: -len(r[1][1] + r[1][2])))
 ORACLE_SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 outcome AS (SELECT doc_id, min((quality = 1 AND toxic = 0)::INT) AS good FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, coalesce(nullif(regexp_extract(host, '[^.]+\\.[^.]+$'), ''), host) AS domain, regexp_extract(host, '[^.]*$') AS suffix,
-                 count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k FROM p LEFT JOIN outcome ON doc_id = page_id GROUP BY host),
+counted AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*\\z', '') AS bare, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k
+            FROM p LEFT JOIN outcome ON doc_id = page_id GROUP BY host),
+ends AS (SELECT *, regexp_full_match(bare, '[0-9]+([.][0-9]+){{3}}') OR contains(bare, '[') AS ip,
+                coalesce(nullif(regexp_extract(bare, '(^|[.])({_SUFFIX})$', 2), ''), regexp_extract(bare, '[^.]*$')) AS suf FROM counted),
+hosts AS (SELECT host, n, k, CASE WHEN ip THEN bare ELSE suf END AS suffix,
+                 CASE WHEN ip OR bare = suf THEN bare ELSE regexp_extract(left(bare, length(bare) - length(suf) - 1), '[^.]*$') || '.' || suf END AS domain FROM ends),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
-root AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m0 FROM hosts),
-{_level_sql("s", "suffixes", "1", "root")},{_level_sql("d", "domains", "suffix", "s")},{_level_sql("h", "hosts", "domain", "d")}
+{_rho_sql("r1", "suffixes", "1")},{_rho_sql("r2", "domains", "suffix")},{_rho_sql("r3", "hosts", "domain")},
+m1 AS (SELECT suffix, n AS n1, k AS k1, (sum(k) OVER () - k + 1) / (sum(n) OVER () - n + 2) AS m FROM suffixes),
+m2 AS (SELECT domain, suffix, n AS n2, k AS k2, (r1 * m + k1 - k) / (r1 + n1 - n) AS m FROM domains JOIN m1 USING (suffix), r1),
+m3 AS (SELECT host, n, k, (r2 * m + k2 - k) / (r2 + n2 - n) AS m FROM hosts JOIN m2 USING (domain, suffix), r2),
+h AS (SELECT host, (r3 * m + k) / (r3 + n) AS m0, r3 + n AS total FROM m3, r3)
 SELECT page_id, host, path,
     CASE
 {_FITS.format(*[f"'{h}{p}'" for _, h, p in RULES])}
