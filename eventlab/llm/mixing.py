@@ -7,9 +7,10 @@ probabilities move at random along the null space of the constraints (words and
 documents of the source stay as they are in sum) until one is 0 or 1, again and
 again.  Two constraints need three undecided documents for a move, so at most two
 are left of any run of documents; those of many runs fly again together, until one
-run of each source is left.  Its last two documents are the landing problem: the count
-of documents is given up, and they move so that their words stay as they are in sum;
-the last one is drawn with its probability.  Every step keeps each document's probability as the mean.
+run of each source is left.  Its last documents, ``LANDING`` at most and the smallest but for the two that the flight
+left, are the landing problem: of all ways to take them one is drawn, from the
+distribution that favours ways near to the totals as much as each document's probability allows.
+So every step keeps each document's probability as the mean.
 
 A run is a block of a source: documents by hash, about ``BLOCK`` in each, so a
 source with a third of all rows is spread over many tasks; rows that are equal in doc_id, source and size are
@@ -23,8 +24,10 @@ partitionings agree.
 from __future__ import annotations
 
 import random
+from collections import deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ from eventlab.llm.tables import cut, words_of
 BLOCK = 4096
 #: Blocks of one level whose leftovers fly together on the next.
 FAN = 1024
+#: Documents of a source that land together, and the weight of missing the words by their mean size.
+LANDING, NEARNESS = 12, 6.0
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -85,33 +90,50 @@ def _move(p: list[float], v: list[float], u: float) -> None:
 
 
 def _null_space(s: list[float]) -> list[float]:
-    """A move of three documents that keeps their number and words, of two that keeps their words, of one alone."""
-    if len(s) == 3:
-        v = [s[2] - s[1], s[0] - s[2], s[1] - s[0]]
-        return v if any(v) else [1.0, -1.0, 0.0]
-    if len(s) == 2:
-        return [s[1], -s[0]] if any(s) else [1.0, -1.0]
-    return [1.0]
+    """A move of three documents that keeps their number and words."""
+    v = [s[2] - s[1], s[0] - s[2], s[1] - s[0]]
+    return v if any(v) else [1.0, -1.0, 0.0]
+
+
+def _design(s: list[float], p: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """All ways to take documents (rows of 0 and 1) and how likely each is: near ones most, and ``p`` the mean of all.
+
+    Ways are weighted by their distance and by a factor for each document; the factors are fitted in turn until the means agree.
+    """
+    size, want = np.array(s), np.array(p)
+    ways = (np.arange(1 << len(p))[:, None] >> np.arange(len(p)) & 1).astype(float)
+    off = NEARNESS * np.abs((ways - want) @ size) / max(size.mean(), 1.0) + np.abs((ways - want).sum(1))
+    log = ways @ np.log(want / (1 - want)) - off
+    for _ in range(200):
+        worst = 0.0
+        for k in range(len(p)):
+            q = np.exp(log - log.max())
+            mean = min(max(float(q @ ways[:, k] / q.sum()), 1e-12), 1 - 1e-12)
+            worst = max(worst, abs(mean - want[k]))
+            log += ways[:, k] * (np.log(want[k] / (1 - want[k])) - np.log(mean / (1 - mean)))
+        if worst < 1e-4:
+            break
+    q = np.exp(log - log.max())
+    return ways, q / q.sum()
+
+
+def _land(s: list[float], p: list[float], u: float) -> list[float]:
+    ways, q = _design(s, p)
+    return ways[min(int(np.searchsorted(np.cumsum(q), u, side="right")), len(ways) - 1)].tolist()
 
 
 def _flight(seed: int, level: int, land: bool):
     """A function for mapInPandas over rows sorted by source and block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, rng, held = None, random.Random(), []
-
-        def move(held: list[tuple]) -> list[tuple]:
-            p = [h[4] for h in held]
-            _move(p, _null_space([float(h[2]) for h in held]), rng.random())
-            return [(*h[:4], q) for h, q in zip(held, p)]
+        group, rng, held, last = None, random.Random(), [], deque()
 
-        def close(left: list[tuple]) -> list[tuple]:
-            out = []
-            while land and left:
-                moved = move(left)
-                out += [m for m in moved if m[4] in (0.0, 1.0)]
-                left = [m for m in moved if m[4] not in (0.0, 1.0)]
-            return out + left
+        def close() -> list[tuple]:
+            left = [*held, *last]
+            if land and left:
+                end = _land([float(h[2]) for h in left], [h[4] for h in left], rng.random())
+                return [(*h[:4], e) for h, e in zip(left, end)]
+            return left
 
         for pdf in batches:
             out: list[tuple] = []
@@ -119,16 +141,24 @@ def _flight(seed: int, level: int, land: bool):
             ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist()
             for row in zip(ids, sources, pdf["size"].tolist(), pdf["block"].tolist(), pdf["p"].tolist()):
                 if (row[1], row[3]) != group:
-                    out += close(held)
+                    out += close()
                     group, held = (row[1], row[3]), []
+                    last.clear()
                     rng.seed(f"{seed}:{level}:{row[1]!r}:{row[3]}")
+                if land:  # the last documents don't fly
+                    last.append(row)
+                    if len(last) <= LANDING - 2:
+                        continue
+                    row = last.popleft()
                 held.append(row)
                 if len(held) == 3:
-                    moved = move(held)
+                    p = [h[4] for h in held]
+                    _move(p, _null_space([float(h[2]) for h in held]), rng.random())
+                    moved = [(*h[:4], q) for h, q in zip(held, p)]
                     out += [m for m in moved if m[4] in (0.0, 1.0)]
                     held = [m for m in moved if m[4] not in (0.0, 1.0)]
             yield frame(out)
-        yield frame(close(held))
+        yield frame(close())
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         cols = list(zip(*rows)) or [()] * 5

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from eventlab.llm.simhash import components, fingerprint, links, simhash_components
+from eventlab.llm.simhash import near_duplicates, text_node, components, fingerprint, links, simhash_components
 
 
 def brute(rows):
@@ -88,3 +88,76 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fingerprint string, component_id long")
     assert sorted(map(tuple, simhash_components(df).collect()), key=str) == brute(rows)
     assert simhash_components(df.limit(0)).count() == 0
+
+
+def sets_of(text, width=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return frozenset(" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def groups_of(rows, least=0.8):
+    """rows: (doc_id, text) -> the least text of each text's group, by all pairs."""
+    texts = sorted({t or "" for _, t in rows})
+    sets, root = {t: sets_of(t) for t in texts}, {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {t: find(t) for t in texts}
+
+
+def found_groups(spark, rows):
+    df = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, node int, key string")
+    roots = {r.node: r.root for r in near_duplicates(df).collect()}
+    nodes = df.select("text", text_node(df.text).alias("at")).collect()
+    return {r.text or "": roots.get(r["at"], r["at"]) for r in nodes}
+
+
+def test_near_duplicates_of_every_similarity(spark):
+    """Copies with some words changed, from just under 0.8 to 1: no false link, and links of 0.8 and more are found."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows, links = [], []
+    for k in range(60):
+        base = [word() for _ in range(rng.choice([60, 150, 400]))]
+        rows.append((len(rows), " ".join(base)))
+        for part in (0.01, 0.02, 0.03):
+            other = list(base)
+            for at in rng.sample(range(len(base)), max(1, round(part * len(base)))):
+                other[at] = word()
+            rows.append((len(rows), " ".join(other)))
+            x, y = sets_of(rows[-1][1]), sets_of(" ".join(base))
+            if len(x & y) >= 0.8 * len(x | y):
+                links.append((" ".join(base), rows[-1][1]))
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "a b"), (904, "A  b"), (905, "a b c"), (906, "x " * 4000), (907, "x " * 4100), (None, rows[0][1]), (908, rows[0][1].upper())]
+    have, want = found_groups(spark, rows), groups_of(rows)
+    for a in have:  # found groups lie within the exact ones
+        for b in have:
+            assert have[a] != have[b] or want[a] == want[b]
+    assert len(links) > 100 and sum(have[a] == have[b] for a, b in links) >= 0.97 * len(links)
+
+
+def test_a_large_group_of_near_copies_is_a_star(spark):
+    import random
+
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(1500):
+        other = list(base)
+        other[rng.randrange(300)] = f"new{i}"
+        rows.append((i, " ".join(other)))
+    assert len(set(found_groups(spark, rows).values())) == 1
+
+
+def test_no_rows(spark):
+    assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
