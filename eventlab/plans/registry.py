@@ -5,24 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: JSON Schema keywords a document may use (fixed values).
-KEYWORDS = ("$id", "$schema", "additionalProperties", "const", "enum", "format", "items", "maxLength", "maximum", "minLength", "minimum", "pattern", "properties", "required", "title", "type")
-_PARTS = "type string, properties map<string,string>, required array<string>, items string, `const` string, pattern string"
+#: JSON Schema keywords that a property may use, keywords without effect on comparison, and the pattern of names (fixed values).
+KEYWORDS = ("additionalProperties", "const", "enum", "format", "items", "pattern", "properties", "required", "type", "maxLength", "maximum", "minLength", "minimum")
+ANNOTATIONS = ("$comment", "$id", "$schema", "default", "description", "examples", "title")
+NAME = "^[a-z][a-z0-9_]{0,63}$"
+RESERVED = "_df"
+_PARTS = "type string, properties map<string,string>, required array<string>, items string"
 
 
 def schema_fields(docs: DataFrame, depth: int = 4) -> DataFrame:
-    """(subject, version, path, type, required, fragment) of documents (subject, version, doc): nested objects and array items to ``depth`` levels."""
-    level = docs.select("subject", "version", F.lit("").alias("_at"), F.col("doc").alias("_doc"))
-    out = None
-    for _ in range(depth):
-        level = level.withColumn("_p", F.from_json("_doc", _PARTS))
-        props = level.where("_p.properties is not null").select("subject", "version", "_at", F.col("_p.required").alias("_req"), F.explode("_p.properties").alias("name", "fragment"))
-        rows = props.select("subject", "version", F.concat("_at", F.when(F.col("_at") != "", ".").otherwise(""), "name").alias("path"), F.from_json("fragment", _PARTS)["type"].alias("type"), F.coalesce(F.array_contains("_req", F.col("name")), F.lit(False)).alias("required"), "fragment")
-        out = rows if out is None else out.unionByName(rows)
-        nested = rows.where("type = 'object'").select("subject", "version", F.col("path").alias("_at"), F.col("fragment").alias("_doc"))
-        items = rows.where("type = 'array'").select("subject", "version", F.concat("path", F.lit("[]")).alias("_at"), F.from_json("fragment", _PARTS)["items"].alias("_doc"))
-        level = nested.unionByName(items)
-    return out
+    """(subject, version, path, type, required, fragment) of documents (subject, version, doc): nested objects and array items to ``depth`` levels.
+
+    A document is read once: each level is an array made of the one before, in the document's own row.
+    """
+    df = docs.select("subject", "version", F.array(F.struct(F.lit("").alias("at"), F.col("doc").alias("doc"))).alias("_l"))
+    for k in range(depth):
+        df = df.withColumn("_l", F.transform("_l", lambda d: F.struct(d["at"].alias("at"), F.from_json(d["doc"], _PARTS).alias("p"))))
+
+        def fields(d: Column) -> Column:
+            entries = F.coalesce(F.map_entries(d["p"]["properties"]), F.array().cast("array<struct<key:string,value:string>>"))
+            path = lambda e: F.concat(d["at"], F.when(d["at"] != "", ".").otherwise(""), e["key"])
+            needed = lambda e: F.coalesce(F.array_contains(d["p"]["required"], e["key"]), F.lit(False))
+            return F.transform(entries, lambda e: F.struct(path(e).alias("path"), needed(e).alias("required"), e["value"].alias("fragment"), F.from_json(e["value"], _PARTS).alias("q")))
+
+        df = df.withColumn(f"_f{k}", F.flatten(F.transform("_l", fields)))
+        inner = F.transform(
+            f"_f{k}",
+            lambda f: F.when(f["q"]["type"] == "object", F.struct(f["path"].alias("at"), f["fragment"].alias("doc"))).when(
+                f["q"]["type"] == "array", F.struct(F.concat(f["path"], F.lit("[]")).alias("at"), f["q"]["items"].alias("doc"))
+            ),
+        )
+        df = df.withColumn("_l", F.filter(inner, lambda d: d["doc"].isNotNull()))
+    every = F.concat(*[F.col(f"_f{k}") for k in range(depth)])
+    return df.select("subject", "version", F.explode(every).alias("_f")).select("subject", "version", "_f.path", F.col("_f.q.type").alias("type"), "_f.required", "_f.fragment")
 
 
 def schema_diff(fields: DataFrame) -> DataFrame:
@@ -31,21 +46,59 @@ def schema_diff(fields: DataFrame) -> DataFrame:
     return fields.where("version > 1").join(before, ["subject", "version", "path"], "left_anti").select("subject", "version", "path")
 
 
+def _plain(fragment: Column) -> Column:
+    """A fragment without annotations, its keywords in order; null if it isn't an object."""
+    entries = F.map_entries(F.map_filter(F.from_json(fragment, "map<string,string>"), lambda k, v: ~k.isin(*ANNOTATIONS)))
+    return F.when(fragment.startswith("{"), F.to_json(F.array_sort(entries)))
+
+
+def _closed(fragment: Column) -> Column:
+    return F.coalesce((F.get_json_object(fragment, "$.type") == "object") & F.get_json_object(fragment, "$.properties").isNotNull(), F.lit(False))
+
+
+def _shape_errors(candidate: DataFrame, docs: DataFrame) -> DataFrame:
+    """(subject, path, code): C004 open, C005 no closed object, C006 unsupported keyword, C009 bad or reserved name."""
+    item = F.get_json_object("fragment", "$.items")
+    objects = docs.select("subject", F.lit("").alias("path"), F.col("doc").alias("node"))
+    nested = candidate.select("subject", F.explode(F.array(F.struct("path", F.when(_closed(F.col("fragment")), F.col("fragment")).alias("node")), F.struct(F.concat("path", F.lit("[]")).alias("path"), F.when(F.get_json_object(item, "$.type") == "object", item).alias("node")))).alias("n"))
+    objects = objects.unionByName(nested.select("subject", "n.path", "n.node").where("node is not null"))
+    whole = _closed(F.col("node")) & F.get_json_object("node", "$.required").isNotNull()
+    code = F.when(~whole, "C005").when(~F.get_json_object("node", "$.additionalProperties").eqNullSafe("false"), "C004")
+    name = F.element_at(F.split("path", r"[.]"), -1)
+    known = F.from_json("fragment", "map<string,string>")
+    extra = ~F.forall(F.map_keys(known), lambda k: k.isin(*KEYWORDS, *ANNOTATIONS))
+    own = F.array(F.when(~F.col("fragment").startswith("{") | extra, "C006"), F.when(name.startswith(RESERVED) | ~name.rlike(NAME), "C009"))
+    each = candidate.select("subject", "path", F.explode(F.array_compact(own)).alias("code"))
+    return objects.select("subject", "path", code.alias("code")).where("code is not null").unionByName(each)
+
+
 def compat_errors(latest: DataFrame, candidate: DataFrame, docs: DataFrame) -> DataFrame:
-    """(subject, path, code) for candidates that aren't additive: C001 removed, C002 changed, C003 required, C004 open, C005 no object, C009 bad name."""
+    """(subject, path, code) for candidates that aren't additive.
+
+    ``latest`` and ``candidate`` are field rows, ``docs`` the candidates' documents.  Shape errors (C004, C005, C006, C009) come alone.
+    Else: C001 removed, C002 changed, C003 required or not any more, of fields whose object stands in both;
+    objects and arrays of objects are compared field by field, so a field added inside one is an addition.
+    """
+    shape = _shape_errors(candidate, docs)
     a = latest.select("subject", "path", F.col("fragment").alias("_f"), F.col("required").alias("_r"))
     b = candidate.select("subject", "path", F.col("fragment").alias("_g"), F.col("required").alias("_q"))
     both = a.join(b, ["subject", "path"], "full_outer")
+    items = [F.get_json_object(c, "$.items") for c in ("_f", "_g")]
+    deeper = (_closed(F.col("_f")) & _closed(F.col("_g"))) | (_closed(items[0]) & _closed(items[1]))
     code = (
         F.when(F.col("_g").isNull(), "C001")
-        .when(F.col("_f").isNotNull() & (F.col("_f") != F.col("_g")), "C002")
+        .when(F.col("_f").isNotNull() & ~deeper & ~_plain(F.col("_f")).eqNullSafe(_plain(F.col("_g"))), "C002")
         .when(F.coalesce("_r", F.lit(False)) != F.coalesce("_q", F.lit(False)), "C003")
-        .when(~F.col("path").rlike(r"^[a-z][a-z0-9_]*([.]|\[\]|[a-z0-9_])*$"), "C009")
     )
-    found = both.select("subject", "path", code.alias("code")).where("code is not null")
-    top = docs.select("subject", F.get_json_object("doc", "$.type").alias("t"), F.get_json_object("doc", "$.additionalProperties").alias("o"))
-    whole = top.select("subject", F.lit("").alias("path"), F.when(~F.col("t").eqNullSafe("object"), "C005").when(~F.col("o").eqNullSafe("false"), "C004").alias("code")).where("code is not null")
-    return found.unionByName(whole)
+    # below a field that is new, gone or changed nothing is compared
+    shut = F.col("_f").isNull() | F.coalesce(code.isin("C001", "C002"), F.lit(False))
+    both = both.select("subject", "path", code.alias("code"), shut.alias("_shut"))
+    steps = F.split("path", r"[.]")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda k: F.regexp_replace(F.array_join(F.slice(steps, 1, k), "."), r"\[\]$", ""))
+    found = both.where("code is not null").withColumn("_above", F.when(F.size(steps) > 1, above))
+    under = found.select("subject", "path", F.explode("_above").alias("_at")).join(both.where("_shut").select("subject", F.col("path").alias("_at")), ["subject", "_at"]).select("subject", "path").distinct()
+    found = found.select("subject", "path", "code").join(under, ["subject", "path"], "left_anti")
+    return shape.unionByName(found.join(shape.select("subject").distinct(), "subject", "left_anti"))
 
 
 def fingerprint(fields: DataFrame) -> DataFrame:
@@ -63,8 +116,12 @@ def register(registry: DataFrame, candidates: DataFrame) -> DataFrame:
     return registry.select("subject", F.col("version").cast("int").alias("version"), "fingerprint").unionByName(added)
 
 
-def cap_violations(registry: DataFrame, most: int = 100) -> DataFrame:
-    return registry.groupBy("subject").agg(F.count("*").alias("versions")).where(F.col("versions") > most)
+def cap_violations(registry: DataFrame, most: int = 100, most_subjects: int = 250) -> DataFrame:
+    """(kind, name, n): subjects of more than ``most`` versions, scenarios of more than ``most_subjects`` subjects; rows are (scenario, subject, version)."""
+    per = registry.groupBy("scenario", "subject").agg(F.count("*").alias("n"))
+    versions = per.groupBy("subject").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    subjects = per.groupBy("scenario").agg(F.count("*").alias("n")).where(F.col("n") > most_subjects)
+    return versions.select(F.lit("versions").alias("kind"), F.col("subject").alias("name"), "n").unionByName(subjects.select(F.lit("subjects").alias("kind"), F.col("scenario").alias("name"), "n"))
 
 
 def effective(pins: DataFrame, upgrades: DataFrame) -> DataFrame:
@@ -89,18 +146,24 @@ def pin_violations(pins: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def versions_view(pins: DataFrame, upgrades: DataFrame) -> DataFrame:
-    """Per stream and subject: pin, and the versions applied and pending."""
+    """Per stream and subject: pin, effective version, and the versions applied and pending."""
     per = upgrades.groupBy("stream_id", "subject").agg(*[F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("to_version")))).alias(s) for s in ("applied", "pending")])
-    return pins.join(per, ["stream_id", "subject"], "left")
+    top = F.greatest(F.col("pin"), F.array_max("applied"))
+    return pins.join(per, ["stream_id", "subject"], "left").withColumn("effective", top)
+
+
+#: Subjects of change events, whose versions follow their entity's (fixed value).
+CHANGES = "cdc."
 
 
 def upgrade_violations(requests: DataFrame, current: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
-    """(request_id, problem): unregistered target, not above the effective version, in the past, or a second one pending."""
+    """(request_id, problem): a change subject, unknown subject, unregistered target, not above the effective version, in the past, or a second one pending."""
     known = registry.select("subject", F.col("version").alias("to_version")).withColumn("_v", F.lit(1))
     nth = F.row_number().over(Window.partitionBy("stream_id", "subject").orderBy("request_id"))
     both = requests.withColumn("_nth", nth).join(known, ["subject", "to_version"], "left").join(current.withColumnRenamed("version", "_now"), ["stream_id", "subject"], "left")
     problem = (
-        F.when(F.col("_now").isNull(), "unknown subject")
+        F.when(F.col("subject").startswith(CHANGES), "change subject")
+        .when(F.col("_now").isNull(), "unknown subject")
         .when(F.col("_v").isNull(), "unregistered version")
         .when(F.col("to_version") <= F.col("_now"), "not above effective")
         .when(F.col("at") <= now, "in the past")
@@ -110,21 +173,28 @@ def upgrade_violations(requests: DataFrame, current: DataFrame, registry: DataFr
 
 
 def drift_menu(fields: DataFrame, current: DataFrame) -> DataFrame:
-    """(subject, next_version, path) of the fields that the lowest version above the effective one adds."""
-    above = fields.join(current.select("subject", F.col("version").alias("_now")), "subject").where("version > _now")
-    nxt = above.groupBy("subject").agg(F.min("version").alias("next_version"))
-    menu = fields.join(nxt, "subject").where("version = next_version").select("subject", "next_version", "path")
-    have = fields.join(current.select("subject", F.col("version").alias("_now")), "subject").where("version = _now").select("subject", "path")
-    return menu.join(have, ["subject", "path"], "left_anti")
-
-
-def apply_cutover(df: DataFrame, at: Column, to_version: int, added: dict[str, Column]) -> DataFrame:
-    """From ``at`` on events have the new version and its fields; earlier ones keep the old, without them."""
-    after = F.col("occurred_at") >= at
-    out = df.withColumn("version", F.when(after, to_version).otherwise(F.col("version")))
-    for name, value in added.items():
-        out = out.withColumn(name, F.when(after, value))
-    return out
+    """(subject, next_version, path) of the top-level fields that the lowest version above the effective one adds; change subjects have none."""
+    known = fields.where(~F.col("subject").startswith(CHANGES)).join(current.select("subject", F.col("version").alias("_now")), "subject")
+    known = known.where("version >= _now").select("subject", "version", "_now", F.regexp_extract("path", r"^[^.\[]*", 0).alias("path")).distinct()
+    nxt = known.where("version > _now").groupBy("subject").agg(F.min("version").alias("next_version"))
+    menu = known.join(nxt, "subject").where("version = next_version or version = _now")
+    menu = menu.groupBy("subject", "next_version", "path").agg(F.min("version").alias("_first"))
+    return menu.where("_first = next_version").select("subject", "next_version", "path")
+
+
+def apply_cutover(df: DataFrame, upgrades: DataFrame, added: dict[str, tuple[int, Column]]) -> DataFrame:
+    """Each row at the highest version among its own and the upgrades (stream_id, subject, at, to_version) of its stream and subject that are due at ``occurred_at``.
+
+    ``added`` says for each new field which version adds it, and its value: rows at that version or above have it, over skipped
+    versions too, others null.  A subject's upgrades are few; ``df`` may be a stream.
+    """
+    per = upgrades.groupBy("stream_id", "subject").agg(F.collect_list(F.struct("at", "to_version")).alias("_due"))
+    both = df.join(per, ["stream_id", "subject"], "left")
+    due = F.filter("_due", lambda u: u["at"] <= F.col("occurred_at"))
+    both = both.withColumn("version", F.greatest(F.col("version"), F.array_max(F.transform(due, lambda u: u["to_version"]))))
+    for name, (version, value) in added.items():
+        both = both.withColumn(name, F.when(F.col("version") >= version, value))
+    return both.drop("_due")
 
 
 def cutover_position(df: DataFrame, version: int) -> DataFrame:
@@ -144,27 +214,62 @@ def detect_drift(df: DataFrame, fields: DataFrame) -> DataFrame:
 TYPE_PATTERNS = {"string": r'^"', "integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?$", "boolean": r"^(true|false)$"}
 
 
-def dlq_reasons(df: DataFrame, fields: DataFrame) -> DataFrame:
-    """(id, path, reason) for leaves that don't meet their schema and required fields that lack; rows are (id, subject, version, payload map)."""
-    leaves = df.select("id", "subject", "version", F.explode("payload").alias("path", "v"))
-    rules = fields.select("subject", "version", "path", "type", F.lit(True).alias("_known"), F.get_json_object("fragment", "$.pattern").alias("_pattern"))
-    both = leaves.join(rules, ["subject", "version", "path"], "left")
-    wrong = None
+#: What a text must look like for a format (fixed values).
+FORMATS = {
+    "date": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$",
+    "date-time": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]\d{2}:\d{2})$",
+    "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+}
+_RULES = "pattern string, `enum` array<string>, `const` string, format string, minimum double, maximum double, minLength int, maxLength int"
+
+
+def _reason(v: Column, rule: Column) -> Column:
+    """Why a leaf's JSON text doesn't meet its rule; null if it does."""
+    r, inner = rule["rule"], F.when(v.startswith('"'), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
+    wrong, bad_format = F.lit(False), F.lit(False)
     for t, pattern in TYPE_PATTERNS.items():
-        bad = (F.col("type") == t) & ~F.col("v").rlike(pattern)
-        wrong = bad if wrong is None else wrong | bad
-    inner = F.substring(F.col("v"), 2, F.length("v") - 2)
-    reason = F.when(F.col("_known").isNull(), "extra").when(F.col("v") == "null", "null").when(wrong, "type").when(F.col("_pattern").isNotNull() & ~F.regexp_like(inner, F.col("_pattern")), "pattern")
-    found = both.select("id", "path", reason.alias("reason")).where("reason is not null")
-    needed = df.select("id", "subject", "version").join(fields.where("required").select("subject", "version", "path"), ["subject", "version"])
-    lacking = needed.join(leaves.select("id", "path"), ["id", "path"], "left_anti").select("id", "path", F.lit("missing").alias("reason"))
-    return found.unionByName(lacking)
+        wrong = wrong | ((rule["type"] == t) & ~v.rlike(pattern))
+    for f, pattern in FORMATS.items():
+        bad_format = bad_format | ((r["format"] == f) & ~inner.rlike(pattern))
+    number, text = F.expr("try_cast(NULL AS double)"), v.startswith('"')
+    number = F.when(~text, inner.try_cast("double")).otherwise(number)
+    return (
+        F.when(rule.isNull(), "extra")
+        .when(v == "null", "null")
+        .when(wrong, "type")
+        .when(r["enum"].isNotNull() & ~F.array_contains(r["enum"], inner), "enum")
+        .when(r["const"].isNotNull() & (r["const"] != inner), "const")
+        .when(r["pattern"].isNotNull() & ~F.regexp_like(inner, r["pattern"]), "pattern")
+        .when(bad_format, "format")
+        .when(text & ((F.length(inner) < r["minLength"]) | (F.length(inner) > r["maxLength"])), "length")
+        .when((number < r["minimum"]) | (number > r["maximum"]), "range")
+    )
+
+
+def with_reasons(df: DataFrame, fields: DataFrame) -> DataFrame:
+    """``df`` with ``reasons``: (path, reason) of leaves that don't meet their schema and of required fields that lack.
+
+    Rows are (id, subject, version, payload map).  The rules of a document come as one map, so ``df`` meets the
+    registry in one join, and every leaf is judged in its own row.
+    """
+    rule = F.struct("type", F.from_json("fragment", _RULES).alias("rule"))
+    # numbers in enum are compared as texts
+    per = fields.groupBy("subject", "version").agg(
+        F.map_from_entries(F.collect_list(F.struct("path", rule.alias("r")))).alias("_rules"),
+        F.collect_list(F.when(F.col("required"), F.col("path"))).alias("_needed"),
+    )
+    both = df.join(per, ["subject", "version"], "left")
+    leaves = F.transform(F.map_entries("payload"), lambda e: F.struct(e["key"].alias("path"), _reason(e["value"], F.element_at(F.col("_rules"), e["key"])).alias("reason")))
+    lacking = F.transform(F.filter("_needed", lambda p: ~F.array_contains(F.map_keys("payload"), p)), lambda p: F.struct(p.alias("path"), F.lit("missing").alias("reason")))
+    none = F.array().cast("array<struct<path:string,reason:string>>")
+    every = F.concat(F.coalesce(F.filter(leaves, lambda x: x["reason"].isNotNull()), none), F.coalesce(lacking, none))
+    return both.withColumn("reasons", F.array_sort(every)).select(*df.columns, "reasons")
 
 
 def dlq_split(df: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that meet their schema, and the others with their reasons."""
-    per = dlq_reasons(df, fields).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("path", "reason"))).alias("reasons"))
-    return df.join(per.select("id"), "id", "left_anti"), df.join(per, "id")
+    judged = with_reasons(df, fields)
+    return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)
 
 
 def repair(bad: DataFrame, records: DataFrame) -> DataFrame:

@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 from eventlab.catalog import query, table
 from eventlab.fixtures import env, with_sql
 from eventlab.plans import registry as R
-
-#: Versions of each part's subject; the second adds a field, the third another and a nested one.
-_DOC = """SELECT concat('part.', cast(p_partkey AS string)) AS subject, cast(v AS int) AS version, p_partkey,
-    concat('{"type":"object","additionalProperties":', CASE WHEN p_partkey % 17 = 0 THEN 'true' ELSE 'false' END, ',"required":["id"', CASE WHEN p_partkey % 13 = 0 AND v = 2 THEN ',"name"' ELSE '' END, '],"properties":{"id":{"type":"integer"},"name":{"type":"string"}',
-    CASE WHEN v >= 2 THEN concat(',"size":{"type":"', CASE WHEN p_partkey % 19 = 0 AND v = 3 THEN 'string' ELSE 'number' END, '"}') ELSE '' END,
-    CASE WHEN v >= 3 THEN ',"box":{"type":"object","properties":{"w":{"type":"integer"},"tags":{"type":"array","items":{"type":"object","properties":{"t":{"type":"string"}}}}}}' ELSE '' END, '}}') AS doc
+from eventlab.sources import tables as S
+
+#: Versions of each part's subject; the second adds a field, the third another, a nested one and, in some, what isn't allowed.
+_BOX = """concat(',"box":{"type":"object","additionalProperties":false,"required":[],"properties":{"w":{"type":"', CASE WHEN p_partkey % 31 = 0 AND v = 3 THEN 'number' ELSE 'integer' END, '"}',
+    CASE WHEN v >= 3 THEN ',"tags":{"type":"array","items":{"type":"object","additionalProperties":false,"required":[],"properties":{"t":{"type":"string"}}}}' ELSE '' END, '}}')"""
+_DOC = f"""SELECT concat('part.', cast(p_partkey AS string)) AS subject, cast(v AS int) AS version, p_partkey,
+    concat('{{"type":"object","additionalProperties":', CASE WHEN p_partkey % 17 = 0 THEN 'true' ELSE 'false' END, ',"required":["id"', CASE WHEN p_partkey % 13 = 0 AND v = 2 THEN ',"name"' ELSE '' END, '],"properties":{{"id":{{"type":"integer","minimum":0}},',
+    '"name":{{"type":"string","minLength":2,"maxLength":12,"pattern":"^n"', CASE WHEN p_partkey % 23 = 0 AND v = 3 THEN ',"anyOf":[]' ELSE '' END, '}},"kind":{{"type":"string","enum":["a","b"]}},"unit":{{"type":"string","const":"kg"}},"at":{{"type":"string","format":"date"}}',
+    CASE WHEN v >= 2 THEN concat(',"size":{{"type":"', CASE WHEN p_partkey % 19 = 0 AND v = 3 THEN 'string' ELSE 'number' END, '"}}') ELSE '' END,
+    CASE WHEN p_partkey % 29 = 0 AND v = 3 THEN ',"_dfx":{{"type":"string"}}' ELSE '' END,
+    CASE WHEN v >= 3 OR v = 2 AND p_partkey % 7 = 0 THEN {_BOX} ELSE '' END, '}}}}') AS doc
 FROM part CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 UNION ALL SELECT 3) x WHERE v <= 1 + p_partkey % 3"""
-_FIELDS = """SELECT subject, version, path, type, required FROM (SELECT *, unnest(list_concat([('id', 'integer', true), ('name', 'string', p_partkey % 13 = 0 AND version = 2)],
+_FIELDS = """SELECT subject, version, path, type, required FROM (SELECT *, unnest(list_concat([('id', 'integer', true), ('name', 'string', p_partkey % 13 = 0 AND version = 2), ('kind', 'string', false), ('unit', 'string', false), ('at', 'string', false)],
     CASE WHEN version >= 2 THEN [('size', CASE WHEN p_partkey % 19 = 0 AND version = 3 THEN 'string' ELSE 'number' END, false)] ELSE [] END,
-    CASE WHEN version >= 3 THEN [('box', 'object', false), ('box.w', 'integer', false), ('box.tags', 'array', false), ('box.tags[].t', 'string', false)] ELSE [] END)) AS f FROM docs) , LATERAL (SELECT f[1] AS path, f[2] AS type, f[3] AS required)"""
+    CASE WHEN version = 3 AND p_partkey % 29 = 0 THEN [('_dfx', 'string', false)] ELSE [] END,
+    CASE WHEN version >= 3 OR version = 2 AND p_partkey % 7 = 0 THEN [('box', 'object', false), ('box.w', CASE WHEN p_partkey % 31 = 0 AND version = 3 THEN 'number' ELSE 'integer' END, false)] ELSE [] END,
+    CASE WHEN version >= 3 THEN [('box.tags', 'array', false), ('box.tags[].t', 'string', false)] ELSE [] END)) AS f FROM docs) , LATERAL (SELECT f[1] AS path, f[2] AS type, f[3] AS required)"""
 
 
 def sql(body, *names):
@@ -42,15 +49,18 @@ def r2(spark, sf):
     return R.schema_diff(fields(spark, sf))
 
 
-@query("r3_compat_check", sql("""SELECT subject, 'size' AS path, 'C002' AS code FROM docs WHERE version = 3 AND p_partkey % 19 = 0 UNION ALL
-    SELECT subject, 'name', 'C003' FROM docs WHERE version = 3 AND p_partkey % 13 = 0 UNION ALL SELECT subject, '', 'C004' FROM docs WHERE version = 3 AND p_partkey % 17 = 0"""))
+@query("r3_compat_check", sql("""SELECT subject, c[1] AS path, c[2] AS code FROM (SELECT subject, unnest(CASE WHEN len(shape) > 0 THEN shape ELSE list_filter([CASE WHEN p_partkey % 19 = 0 THEN ('size', 'C002') END, CASE WHEN p_partkey % 13 = 0 THEN ('name', 'C003') END,
+        CASE WHEN p_partkey % 31 = 0 AND p_partkey % 7 = 0 THEN ('box.w', 'C002') END], lambda x: x IS NOT NULL) END) AS c
+    FROM (SELECT subject, p_partkey, list_filter([CASE WHEN p_partkey % 17 = 0 THEN ('', 'C004') END, CASE WHEN p_partkey % 23 = 0 THEN ('name', 'C006') END, CASE WHEN p_partkey % 29 = 0 THEN ('_dfx', 'C009') END], lambda x: x IS NOT NULL) AS shape FROM docs WHERE version = 3))"""))
 def r3(spark, sf):
     d = docs(spark, sf)
-    f = R.schema_fields(d.where("p_partkey % 3 = 2"))
+    f = S.cut(R.schema_fields(d.where("p_partkey % 3 = 2")), "fields")
     return R.compat_errors(f.where("version = 2"), f.where("version = 3"), d.where("version = 3"))
 
 
-@query("f14_fingerprint")
+@query("f14_fingerprint", sql("""SELECT subject, version, sha256(string_agg(path || '|' || type || '|' || CASE WHEN required THEN 'true' ELSE 'false' END || '|' || fragment, chr(10) ORDER BY path || '|' || type)) AS fingerprint FROM (
+    SELECT d.subject, d.version, d.path, d.type, d.required, CASE WHEN d.path = 'box.tags[].t' THEN '{"type":"string"}' ELSE json_extract(doc, '$.properties.' || replace(d.path, '.', '.properties.'))::VARCHAR END AS fragment
+    FROM fields d JOIN docs USING (subject, version)) GROUP BY subject, version"""))
 def f14(spark, sf):
     return R.fingerprint(fields(spark, sf))
 
@@ -64,9 +74,9 @@ def r4(spark, sf):
     return R.register(reg, new).select("subject", "version")
 
 
-@query("r5_version_caps", sql("SELECT subject, count(*) AS versions FROM docs GROUP BY 1 HAVING count(*) > 2"))
+@query("r5_version_caps", sql("SELECT 'versions' AS kind, subject AS name, count(*) AS n FROM docs GROUP BY subject HAVING count(*) > 2 UNION ALL SELECT 'subjects', 'sc_' || (p_partkey % 4)::VARCHAR, count(DISTINCT subject) FROM docs GROUP BY p_partkey % 4 HAVING count(DISTINCT subject) > 10"))
 def r5(spark, sf):
-    return R.cap_violations(docs(spark, sf), 2)
+    return R.cap_violations(docs(spark, sf).withColumn("scenario", F.concat(F.lit("sc_"), (F.col("p_partkey") % 4).cast("string"))), 2, 10)
 
 
 _PINS = "SELECT concat('st_', cast(p_partkey % 8 AS string)) AS stream_id, subject, version AS pin, p_partkey FROM docs WHERE version = 1"
@@ -98,39 +108,47 @@ def r8(spark, sf):
     return R.pin_violations(p.select("stream_id", "subject", "pin"), docs(spark, sf))
 
 
-@query("r9_schema_versions_view", sql(f"SELECT stream_id, subject, pin, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN '' ELSE CASE p_partkey % 3 WHEN 1 THEN '2' ELSE '2,3' END END AS applied, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 4 <> 0 THEN '' ELSE CASE p_partkey % 3 WHEN 1 THEN '2' ELSE '2,3' END END AS pending FROM ({_PINS})"))
+@query("r9_schema_versions_view", sql(f"SELECT stream_id, subject, pin, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 1 + p_partkey % 3 END AS effective, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN '' ELSE CASE p_partkey % 3 WHEN 1 THEN '2' ELSE '2,3' END END AS applied, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 4 <> 0 THEN '' ELSE CASE p_partkey % 3 WHEN 1 THEN '2' ELSE '2,3' END END AS pending FROM ({_PINS})"))
 def r9(spark, sf):
     out = R.versions_view(pins(spark, sf).drop("p_partkey"), ups(spark, sf))
-    return out.select("stream_id", "subject", "pin", *[F.array_join(c, ",").alias(c) for c in ("applied", "pending")])
+    return out.select("stream_id", "subject", "pin", "effective", *[F.array_join(c, ",").alias(c) for c in ("applied", "pending")])
 
 
-@query("r10_upgrade_violations", sql(f"""SELECT p_partkey AS request_id, CASE WHEN p_partkey % 11 = 0 THEN 'unknown subject' WHEN to_version > 1 + p_partkey % 3 THEN 'unregistered version' WHEN to_version <= 1 THEN 'not above effective' WHEN p_partkey % 5 = 0 THEN 'in the past' END AS problem
+@query("r10_upgrade_violations", sql(f"""SELECT p_partkey AS request_id, CASE WHEN p_partkey % 11 = 5 THEN 'change subject' WHEN p_partkey % 11 = 0 THEN 'unknown subject' WHEN to_version > 1 + p_partkey % 3 THEN 'unregistered version' WHEN to_version <= 1 THEN 'not above effective' WHEN p_partkey % 5 = 0 THEN 'in the past' END AS problem
     FROM (SELECT *, 1 + p_partkey % 4 AS to_version FROM ({_PINS})) WHERE problem IS NOT NULL"""))
 def r10(spark, sf):
     p = pins(spark, sf)
-    req = p.select(F.col("p_partkey").alias("request_id"), "stream_id", F.when(F.col("p_partkey") % 11 == 0, "gone").otherwise(F.col("subject")).alias("subject"), (1 + F.col("p_partkey") % 4).cast("int").alias("to_version"), F.when(F.col("p_partkey") % 5 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-03-01")).cast("timestamp").alias("at"))
+    req = p.select(F.col("p_partkey").alias("request_id"), "stream_id", F.when(F.col("p_partkey") % 11 == 0, "gone").when(F.col("p_partkey") % 11 == 5, F.concat(F.lit("cdc."), "subject")).otherwise(F.col("subject")).alias("subject"), (1 + F.col("p_partkey") % 4).cast("int").alias("to_version"), F.when(F.col("p_partkey") % 5 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-03-01")).cast("timestamp").alias("at"))
     return R.upgrade_violations(req, p.select("stream_id", "subject", F.col("pin").alias("version")), docs(spark, sf), F.lit("2024-02-01").cast("timestamp"))
 
 
-@query("r11_drift_menu", sql("SELECT subject, 2 AS next_version, 'size' AS path FROM docs WHERE version = 2"))
+@query("r11_drift_menu", sql("SELECT subject, 2 AS next_version, unnest(CASE WHEN p_partkey % 7 = 0 THEN ['size', 'box'] ELSE ['size'] END) AS path FROM docs WHERE version = 2 AND p_partkey % 10 <> 3"))
 def r11(spark, sf):
-    d = docs(spark, sf)
+    d = docs(spark, sf).withColumn("subject", F.when(F.col("p_partkey") % 10 == 3, F.concat(F.lit("cdc."), "subject")).otherwise(F.col("subject")))
     return R.drift_menu(R.schema_fields(d), d.where("version = 1").select("subject", "version"))
 
 
 _CUT = "TIMESTAMP '2024-01-16'"
+#: Two upgrades of every event type of all streams but one; the second skips a version.
+_STEPS = "CASE WHEN stream_id = 'st_3' THEN 1 WHEN occurred_at >= TIMESTAMP '2024-01-20' THEN 4 WHEN occurred_at >= TIMESTAMP '2024-01-10' THEN 2 ELSE 1 END"
+
+
+def upgrades(spark, sf):
+    steps = F.array(*[F.struct(F.lit(at).cast("timestamp_ntz").alias("at"), F.lit(v).alias("to_version")) for at, v in (("2024-01-10", 2), ("2024-01-20", 4))])
+    per = env(spark, sf).where("stream_id <> 'st_3'").select("stream_id", F.col("event_type").alias("subject")).distinct()
+    return S.cut(per.select("stream_id", "subject", F.explode(steps).alias("s")).select("stream_id", "subject", "s.*"), "upgrades")
 
 
-@query("r12_apply_cutover", with_sql(f"SELECT event_id, CASE WHEN occurred_at >= {_CUT} THEN 3 ELSE 1 END AS version, CASE WHEN occurred_at >= {_CUT} THEN event_type || '!' END AS region, CASE WHEN occurred_at >= {_CUT} THEN value END AS city FROM env", "env"))
+@query("r12_apply_cutover", with_sql(f"SELECT event_id, {_STEPS} AS version, CASE WHEN {_STEPS} >= 2 THEN event_type || '!' END AS region, CASE WHEN {_STEPS} >= 3 THEN value END AS city FROM env", "env"))
 def r12(spark, sf):
-    df = env(spark, sf).withColumn("version", F.lit(1))
-    return R.apply_cutover(df, F.lit("2024-01-16").cast("timestamp_ntz"), 3, {"region": F.concat("event_type", F.lit("!")), "city": F.col("value")}).select("event_id", "version", "region", "city")
+    df = env(spark, sf).withColumn("version", F.lit(1)).withColumn("subject", F.col("event_type"))
+    return R.apply_cutover(df, upgrades(spark, sf), {"region": (2, F.concat("event_type", F.lit("!"))), "city": (3, F.col("value"))}).select("event_id", "version", "region", "city")
 
 
-@query("r13_cutover_position", with_sql(f"SELECT stream_id, shard_id, min(sequence_no) AS sequence_no FROM env WHERE occurred_at >= {_CUT} GROUP BY 1, 2", "env"))
+@query("r13_cutover_position", with_sql("SELECT stream_id, shard_id, min(sequence_no) AS sequence_no FROM env WHERE occurred_at >= TIMESTAMP '2024-01-20' AND stream_id <> 'st_3' GROUP BY 1, 2", "env"))
 def r13(spark, sf):
-    df = env(spark, sf).withColumn("version", F.lit(1))
-    return R.cutover_position(R.apply_cutover(df, F.lit("2024-01-16").cast("timestamp_ntz"), 2, {}), 2)
+    df = env(spark, sf).withColumn("version", F.lit(1)).withColumn("subject", F.col("event_type"))
+    return R.cutover_position(R.apply_cutover(df, upgrades(spark, sf), {}), 3)
 
 
 def _rows(spark, sf):
@@ -138,8 +156,11 @@ def _rows(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     n = F.col("id").cast("string")
     payload = F.map_from_entries(F.array_compact(F.array(
-        F.struct(F.lit("id").alias("k"), F.when(F.col("id") % 10 == 0, F.concat(F.lit('"'), n, F.lit('"'))).when(F.col("id") % 10 == 1, "null").otherwise(n).alias("v")),
-        F.struct(F.lit("name").alias("k"), F.concat(F.lit('"n'), n, F.lit('"')).alias("v")),
+        F.struct(F.lit("id").alias("k"), F.when(F.col("id") % 10 == 0, F.concat(F.lit('"'), n, F.lit('"'))).when(F.col("id") % 10 == 1, "null").when(F.col("id") % 20 == 13, "-5").otherwise(n).alias("v")),
+        F.struct(F.lit("name").alias("k"), F.when(F.col("id") % 20 == 9, '"x"').when(F.col("id") % 20 == 15, '"nnnnnnnnnnnnnnnn"').otherwise(F.concat(F.lit('"n'), n, F.lit('"'))).alias("v")),
+        F.struct(F.lit("kind").alias("k"), F.when(F.col("id") % 20 == 3, '"z"').otherwise('"a"').alias("v")),
+        F.struct(F.lit("unit").alias("k"), F.when(F.col("id") % 20 == 5, '"lb"').otherwise('"kg"').alias("v")),
+        F.struct(F.lit("at").alias("k"), F.when(F.col("id") % 20 == 7, '"2024-13-41"').otherwise('"2024-01-31"').alias("v")),
         F.when(F.col("id") % 6 == 1, F.struct(F.lit("size").alias("k"), F.lit("1.5").alias("v"))),
         F.when(F.col("id") % 15 == 4, F.struct(F.lit("zzz").alias("k"), F.lit("1").alias("v"))))))
     payload = F.when(F.col("id") % 10 == 2, F.map_filter(payload, lambda k, v: k != "id")).otherwise(payload)
@@ -151,21 +172,29 @@ def r14(spark, sf):
     return R.detect_drift(_rows(spark, sf), fields(spark, sf))
 
 
-_WHY = """SELECT p_partkey AS id, unnest(list_filter([CASE WHEN p_partkey % 10 = 0 THEN 'id:type' WHEN p_partkey % 10 = 1 THEN 'id:null' WHEN p_partkey % 10 = 2 THEN 'id:missing' END, CASE WHEN p_partkey % 6 = 1 THEN 'size:extra' END,
+_WHY = """SELECT p_partkey AS id, unnest(list_filter([CASE WHEN p_partkey % 10 = 0 THEN 'id:type' WHEN p_partkey % 10 = 1 THEN 'id:null' WHEN p_partkey % 10 = 2 THEN 'id:missing' WHEN p_partkey % 20 = 13 THEN 'id:range' END,
+    CASE p_partkey % 20 WHEN 9 THEN 'name:pattern' WHEN 15 THEN 'name:length' WHEN 3 THEN 'kind:enum' WHEN 5 THEN 'unit:const' WHEN 7 THEN 'at:format' END, CASE WHEN p_partkey % 6 = 1 THEN 'size:extra' END,
     CASE WHEN p_partkey % 15 = 4 THEN 'zzz:extra' END], lambda x: x IS NOT NULL)) AS why FROM part"""
 
 
 @query("r15_dlq_split", f"SELECT id, string_agg(why, ',' ORDER BY why) AS why FROM ({_WHY}) GROUP BY id UNION ALL SELECT p_partkey, 'good' FROM part WHERE p_partkey NOT IN (SELECT id FROM ({_WHY}))")
 def r15(spark, sf):
-    good, bad = R.dlq_split(_rows(spark, sf), fields(spark, sf))
-    why = F.array_join(F.transform("reasons", lambda r: F.concat(r["path"], F.lit(":"), r["reason"])), ",")
-    return bad.select("id", why.alias("why")).unionByName(good.select("id", F.lit("good").alias("why")))
+    return why(*R.dlq_split(_rows(spark, sf), S.cut(fields(spark, sf), "fields")))
+
+
+def why(good, bad):
+    text = F.array_join(F.transform("reasons", lambda r: F.concat(r["path"], F.lit(":"), r["reason"])), ",")
+    return bad.select("id", text.alias("why")).unionByName(good.select("id", F.lit("good").alias("why")))
+
+
+#: What r15 and its streaming form find.
+DLQ = f"SELECT id, string_agg(why, ',' ORDER BY why) AS why FROM ({_WHY}) GROUP BY id UNION ALL SELECT p_partkey, 'good' FROM part WHERE p_partkey NOT IN (SELECT id FROM ({_WHY}))"
 
 
 @query("r17_reprocess_dlq", "SELECT p_partkey AS id, p_partkey::VARCHAR AS v FROM part WHERE p_partkey % 10 IN (0, 1) AND p_partkey % 6 <> 1 AND p_partkey % 15 <> 4")
 def r17(spark, sf):
-    f = fields(spark, sf)
-    _, bad = R.dlq_split(_rows(spark, sf), f)
+    f = S.cut(fields(spark, sf), "fields")
+    bad = S.cut(R.dlq_split(_rows(spark, sf), f)[1], "bad")
     rec = bad.where("id % 10 in (0, 1)").select("id", F.lit("id").alias("path"), F.col("id").cast("string").alias("original"))
     good, _ = R.dlq_split(R.repair(bad.drop("reasons"), rec), f)
     return good.select("id", F.element_at("payload", F.lit("id")).alias("v"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from eventlab.operators.checks import scd2
 from eventlab.plans.synth import Generator, synth
-from eventlab.sources.tables import append_idempotent
+from eventlab.sources.tables import append_idempotent, exists
 
 
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
@@ -48,19 +49,30 @@ def stream_stats(sdf: DataFrame) -> DataFrame:
     return sdf.groupBy("stream_id", "event_type").agg(F.count("*").alias("n"), F.max("occurred_at").alias("last_event_at"))
 
 
+def sliding_rate(sdf: DataFrame, key: str, time: str, seconds: int, delay: str | None = None) -> DataFrame:
+    """Events a second in each window of ``seconds`` that begins at a whole second, one decimal."""
+    if delay:
+        sdf = sdf.withWatermark(time, delay)
+    out = sdf.groupBy(key, F.window(time, f"{seconds} seconds", "1 second").alias("w")).agg(F.count("*").alias("n"))
+    return out.select(key, F.col("w.start").alias("start"), F.round(F.col("n") / seconds, 1).alias("rate"))
+
+
 def late_split(sdf: DataFrame, time: str, delay_s: float, on_time: str, late: str, checkpoint: str) -> None:
-    """Each micro-batch in two tables: rows up to ``delay_s`` behind the latest event so far, and later ones; the latest is kept next to the tables."""
-    seen = {"max": None}
+    """Each micro-batch in two tables: rows up to ``delay_s`` behind the latest event of the batches before, and later ones.
+
+    The latest event is kept by batch next to the checkpoint, so a run that carries on, or a batch that is done again, finds what it found before.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
         batch = batch.persist()
-        top = batch.agg(F.max(F.unix_micros(F.col(time).cast("timestamp")))).first()[0]
-        before = seen["max"]
-        edge = F.lit(before if before is not None else -(2**62)).cast("long") - int(delay_s * 1e6)
-        is_late = F.unix_micros(F.col(time).cast("timestamp")) < edge
+        micros = F.unix_micros(F.col(time).cast("timestamp"))
+        before = spark.read.schema("top long").parquet(f"{checkpoint}-top/{n - 1}").first()[0] if n else None
+        edge = F.lit(-(2**62) if before is None else before).cast("long") - int(delay_s * 1e6)
+        is_late = F.coalesce(micros < edge, F.lit(False))
         append_idempotent(batch.where(~is_late), on_time, ["event_id"])
         append_idempotent(batch.where(is_late), late, ["event_id"])
-        seen["max"] = max(x for x in (top, before) if x is not None) if (top, before) != (None, None) else None
+        batch.agg(F.greatest(F.max(micros), F.lit(before).cast("long")).alias("top")).write.mode("overwrite").parquet(f"{checkpoint}-top/{n}")
         batch.unpersist()
 
     run_batches(sdf, each, checkpoint)
@@ -142,11 +154,36 @@ def overdue(df: DataFrame, key: str, time: str, open_type: str, close_types: Seq
     return due.join(b, (F.col(key) == F.col("_k")) & (F.col("_b") > F.col("_a")) & (F.col("_b") <= F.col("_a") + limit_s * 1_000_000), "left_anti").select(key, "event_id")
 
 
-def scd2_stream(sdf: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the log of a CDC stream at ``path``, each version once; the history is ``scd2`` of the log."""
+def overdue_stream(sdf: DataFrame, key: str, time: str, open_type: str, close_types: Sequence[str], limit_s: int, delay: str) -> DataFrame:
+    """As ``overdue``, on a stream: an open event comes out once the watermark (``delay`` behind) has passed its limit without a closing one."""
+    rows = sdf.withWatermark(time, delay)
+    a = rows.where(F.col("event_type") == open_type).select(key, "event_id", F.col(time).alias("_a"))
+    b = rows.where(F.col("event_type").isin(list(close_types))).select(F.col(key).alias("_k"), F.col(time).alias("_b"))
+    span = F.expr(f"interval {int(limit_s)} seconds")
+    both = a.join(b, (F.col(key) == F.col("_k")) & (F.col("_b") > F.col("_a")) & (F.col("_b") <= F.col("_a") + span), "left_outer")
+    return both.where("_k is null").select(key, "event_id")
+
+
+def scd2_stream(sdf: DataFrame, log: str, history: str, checkpoint: str, buckets: int = 64) -> None:
+    """Maintain the history of a CDC stream: the log of versions, each once, and its ``scd2`` at ``history``.
+
+    Both are laid out by bucket of the entity; a batch reads and replaces the buckets of its entities only.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
-        append_idempotent(batch, path, ["entity_key", "entity_version"])
+        spark, keys = batch.sparkSession, ["entity_key", "entity_version"]
+        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64("entity_key"), F.lit(buckets)).cast("int")).dropDuplicates(keys).persist()
+        touched = [r[0] for r in batch.select("_bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        schema = batch.schema
+        new = batch
+        if exists(spark, log):
+            new = batch.join(spark.read.schema(schema).parquet(log).where(F.col("_bucket").isin(touched)).select(*keys), keys, "left_anti")
+        new.write.partitionBy("_bucket").mode("append").parquet(log)
+        rows = spark.read.schema(schema).parquet(log).where(F.col("_bucket").isin(touched))
+        scd2(rows).write.partitionBy("_bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(history)
+        batch.unpersist()
 
     run_batches(sdf, each, checkpoint)
 
