@@ -100,7 +100,7 @@ CORRUPTIONS = {
     "invalid_timestamp": ("datetime",),
     "naive_local": ("datetime",),
     "bool_string": ("boolean",),
-    "out_of_vocabulary": ("enum",),
+    "out_of_vocabulary": ("enum",),  # of values whose field has an enum, which their text doesn't show
 }
 
 
@@ -116,9 +116,9 @@ def corrupt(text: Column, kind: Column) -> Column:
         "locale_comma": F.replace(text, F.lit("."), F.lit(",")),
         "empty_string": F.lit('""'),
         "truncate": quoted(F.substring(inner, 1, 1)),
-        "mojibake": F.lit('"Ã©Ã¨"'),
+        "mojibake": F.lit('"Ã©Ã¶Ã±"'),
         "wrong_type_number": F.lit("123"),
-        "string_wrap": quoted(text),
+        "string_wrap": F.concat(F.lit('"\\"'), text, F.lit('\\""')),
         "negative_flip": F.when(F.startswith(text, F.lit("-")), F.substring(text, 2, F.length(text))).otherwise(F.concat(F.lit("-"), text)),
         "int_overflow": F.lit("9007199254740993"),
         "epoch_millis": F.lit("1781187785123"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlab.operators.ranges import with_lag, with_running
+
 
 def fk_match(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """One row: children, those whose parent exists, and the percentage."""
@@ -113,15 +115,13 @@ def where_exists(df: DataFrame, related: DataFrame, key: str, related_key: str,
 def version_as_of(df: DataFrame, pins: DataFrame, upgrades: DataFrame) -> DataFrame:
     """The version in force at each event: the highest of the subject's upgrades (subject, at, to_version) so far, else its pin.
 
-    Subjects that repeat keep apart by time: upgrades and events are ordered
-    together within (subject, hour), and what earlier hours reached is joined in.
+    A subject has at most as many upgrades as versions (a hundred), so they come to its events as one list.
     """
-    hour = F.date_trunc("hour", "occurred_at").cast("timestamp_ntz")
     steps = upgrades.select("subject", F.col("at"), F.col("to_version"))
     sides = steps.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("at", "to_version"))).alias("_steps"))  # a list of upgrades, kept by people
-    known = df.withColumn("_hour", hour).join(sides, "subject", "left").join(pins, "subject", "left")
+    known = df.join(sides, "subject", "left").join(pins, "subject", "left")
     reached = F.array_max(F.transform(F.filter("_steps", lambda s: s["at"] <= F.col("occurred_at")), lambda s: s["to_version"]))
-    return known.withColumn("version", F.greatest(F.coalesce(reached, F.col("pin")), F.col("pin"))).drop("_steps", "_hour")
+    return known.withColumn("version", F.greatest(F.coalesce(reached, F.col("pin")), F.col("pin"))).drop("_steps")
 
 
 def cdc_cause_violations(cdc: DataFrame, events: DataFrame) -> DataFrame:
@@ -182,15 +182,15 @@ def cdc_order_violations(cdc: DataFrame) -> DataFrame:
 
 def sequence_gaps(df: DataFrame) -> DataFrame:
     """Missing ranges of sequence_no in each (stream, shard), from 1 on."""
-    before = F.coalesce(F.lag("sequence_no").over(Window.partitionBy("stream_id", "shard_id").orderBy("sequence_no")), F.lit(0))
-    gaps = df.select("stream_id", "shard_id", "sequence_no").distinct().withColumn("_b", before).where(F.col("sequence_no") - F.col("_b") > 1)
+    seen = with_lag(df.select("stream_id", "shard_id", "sequence_no").distinct(), ["stream_id", "shard_id"], ["sequence_no"], "sequence_no", "_b")
+    gaps = seen.withColumn("_b", F.coalesce("_b", F.lit(0))).where(F.col("sequence_no") - F.col("_b") > 1)
     return gaps.select("stream_id", "shard_id", (F.col("_b") + 1).alias("gap_from"), (F.col("sequence_no") - 1).alias("gap_to"))
 
 
 def time_regressions(df: DataFrame) -> DataFrame:
     """Events of an actor that occurred before the one ahead of them in sequence."""
-    w = Window.partitionBy("stream_id", "actor_id").orderBy("sequence_no", "copy")
-    return df.withColumn("_before", F.lag("occurred_at").over(w)).where(F.col("occurred_at") < F.col("_before")).drop("_before")
+    seen = with_lag(df, ["stream_id", "actor_id"], ["sequence_no", "copy"], "occurred_at", "_ahead")
+    return seen.where(F.col("occurred_at") < F.col("_ahead")).drop("_ahead")
 
 
 def dedup(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -227,8 +227,7 @@ def assign_sequence(df: DataFrame, keys: Sequence[str], time: str, tie: str, buc
 def fifo_violations(a: DataFrame, b: DataFrame, key: str, pos_a: str, pos_b: str) -> DataFrame:
     """Events of ``b`` that come after one of their key that ``a`` has later."""
     both = b.select("event_id", key, F.col(pos_b).alias("_pb")).join(a.select("event_id", F.col(pos_a).alias("_pa")), "event_id")
-    before = F.lag("_pa").over(Window.partitionBy(key).orderBy("_pb", "event_id"))
-    return both.withColumn("_before", before).where(F.col("_pa") < F.col("_before")).select("event_id", key)
+    return with_lag(both, [key], ["_pb", "event_id"], "_pa", "_ahead").where(F.col("_pa") < F.col("_ahead")).select("event_id", key)
 
 
 def current_state(cdc: DataFrame) -> DataFrame:
@@ -240,9 +239,8 @@ def current_state(cdc: DataFrame) -> DataFrame:
 
 def lateness(df: DataFrame, arrival: str, tie: str, keys: Sequence[str]) -> DataFrame:
     """Seconds by which each event is behind the latest one that arrived before or with it."""
-    w = Window.partitionBy(*keys).orderBy(arrival, tie).rowsBetween(Window.unboundedPreceding, 0)
     micros = F.unix_micros(F.col("occurred_at").cast("timestamp"))
-    return df.withColumn("late_s", (F.max(micros).over(w) - micros) / 1e6)
+    return with_running(df, keys, [arrival, tie], micros, "max", "_top").withColumn("late_s", (F.col("_top") - micros) / 1e6).drop("_top")
 
 
 # sets

@@ -31,19 +31,40 @@ def violations(df: DataFrame, rules: dict[str, Column], *ids: str) -> DataFrame:
     return df.select(*ids, F.explode(F.filter(found, lambda r: r.isNotNull())).alias("rule"))
 
 
-#: Patterns of envelope fields (fixed values).
+#: Patterns, longest texts, ranges and values of envelope fields (fixed values); null is allowed where OPTIONAL says so.
+UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 PATTERNS = {
-    "event_id": r"^ev_\d{12}$",
-    "workspace_id": r"^ws_\d+$",
-    "stream_id": r"^st_\d+$",
-    "event_type": r"^[a-z][a-z0-9_.]*$",
+    "event_id": UUID,
+    "workspace_id": UUID,
+    "stream_id": UUID,
+    "session_id": UUID,
+    "correlation_id": UUID,
+    "causation_id": UUID,
+    "scenario_slug": r"^[a-z][a-z0-9_]*$",
+    "manifest_version": r"^\d+\.\d+\.\d+$",
+    "event_type": r"^(cdc\.[a-z][a-z0-9_]{0,63}|[a-z][a-z0-9_]{0,63})$",
 }
+LONGEST = {"scenario_slug": 32, "event_type": 64, "partition_key": 256}
+RANGES = {"shard_id": (0, 2**31 - 1), "sequence_no": (1, 2**53 - 1)}
+VALUES = {"envelope_version": ("1.0",), "op": ("c", "u", "d", "r")}
+OPTIONAL = ("session_id", "causation_id", "actor_id", "op")
 
 
 def validate_envelopes(df: DataFrame, patterns: dict[str, str] = PATTERNS) -> DataFrame:
-    """(event_id, rule) for each broken rule of the envelope."""
-    rules = {f"{c}_pattern": F.col(c).rlike(p) for c, p in patterns.items()}
-    rules |= {"sequence_positive": F.col("sequence_no") >= 1, "emitted_after_occurred": F.col("emitted_at") >= F.col("occurred_at")}
+    """(event_id, rule) for each broken rule of the envelope.  ``patterns`` replaces those of fields whose ids look otherwise."""
+    rules = {f"{c}_pattern": F.col(c).rlike(p) for c, p in (PATTERNS | patterns).items()}
+    rules |= {f"{c}_length": F.length(c) <= n for c, n in LONGEST.items()}
+    rules |= {f"{c}_range": F.col(c).between(a, b) for c, (a, b) in RANGES.items()}
+    rules |= {f"{c}_value": F.col(c).isin(*v) for c, v in VALUES.items()}
+    rules = {n: F.col(n.rsplit("_", 1)[0]).isNull() | r if n.rsplit("_", 1)[0] in OPTIONAL else r for n, r in rules.items()}
+    refs = F.col("entity_refs")
+    rules |= {
+        "schema_ref": F.col("schema_ref.subject").isNotNull() & (F.col("schema_ref.version") >= 1),
+        "entity_refs": (F.size(refs) >= 1) & F.forall(refs, lambda r: r["entity_type"].isNotNull() & (F.length(r["entity_key"]) <= 64)),
+        "payload_object": F.col("payload").startswith("{"),
+        "occurred_at": F.col("occurred_at").isNotNull(),
+        "emitted_at": F.col("emitted_at") >= F.col("occurred_at"),
+    }
     return violations(df, rules, "event_id")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlab.operators.ranges import with_running
 from eventlab.sources.tables import cut
 
 #: The failure modes, in the order in which they are injected (fixed values).
@@ -169,7 +170,10 @@ def mode_rates(inj: DataFrame, ledger: DataFrame, policy: dict[str, float]) -> D
 
 def late_delay_stats(inj: DataFrame, expected_ms: float, k: float) -> DataFrame:
     """Median simulated delay within 15 %, and the wall delay at k simulated seconds a second."""
-    out = inj.where("mode = 'late_arriving'").agg(F.median("delay_ms").alias("median_ms"))
+    ranked = _ranked(inj.where("mode = 'late_arriving'"), "delay_ms")
+    # the mean of the two in the middle, which are the same for odd numbers
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    out = ranked.agg(F.min(F.when(F.col("_u") >= low, F.col("delay_ms"))).alias("a"), F.min(F.when(F.col("_u") >= high, F.col("delay_ms"))).alias("b")).select(((F.col("a") + F.col("b")) / 2).alias("median_ms"))
     return out.withColumn("ok", F.abs(F.col("median_ms") - expected_ms) <= 0.15 * expected_ms).withColumn("wall_ms", F.col("median_ms") / k)
 
 
@@ -255,8 +259,7 @@ def partition_counts(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def negative_stock(df: DataFrame, key: str, order: Sequence[str], change: Column, start: Column) -> DataFrame:
     """Rows at which a running stock is below zero."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("stock", start + F.sum(change).over(w)).where("stock < 0")
+    return with_running(df, [key], order, change, "sum", "_moved").withColumn("stock", start + F.col("_moved")).where("stock < 0").drop("_moved")
 
 
 def stock_reconcile(final: DataFrame, moves: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ def c3(spark, sf):
     return I.delivered(labelled(spark, sf, duplicates={"rate": 0.2})).select("event_id", "duplicate_index", "value")
 
 
-_KIND = """CASE WHEN path = 'k' THEN CASE floor(q * 4) WHEN 0 THEN '"abc"' WHEN 1 THEN '"' || old || '"' WHEN 2 THEN '-' || old ELSE '9007199254740993' END
-    WHEN path = 'type' THEN CASE floor(q * 4) WHEN 0 THEN '""' WHEN 1 THEN '"' || substr(old, 2, 1) || '"' WHEN 2 THEN '"Ã©Ã¨"' ELSE '123' END
+_KIND = """CASE WHEN path = 'k' THEN CASE floor(q * 4) WHEN 0 THEN '"abc"' WHEN 1 THEN '"\\"' || old || '\\""' WHEN 2 THEN '-' || old ELSE '9007199254740993' END
+    WHEN path = 'type' THEN CASE floor(q * 4) WHEN 0 THEN '""' WHEN 1 THEN '"' || substr(old, 2, 1) || '"' WHEN 2 THEN '"Ã©Ã¶Ã±"' ELSE '123' END
     ELSE CASE floor(q * 3) WHEN 0 THEN '"abc"' WHEN 1 THEN replace(old, '.', ',') ELSE '""' END END"""
 _OLD = """CASE path WHEN 'k' THEN props->>'k' WHEN 'type' THEN '"' || event_type || '"' ELSE '"' || value::DECIMAL(18,2)::VARCHAR || '"' END"""
 

@@ -23,9 +23,25 @@ def p2(spark, sf):
     return R.scan_reserved(ev.withColumn("doc", doc), "doc").select("event_id")
 
 
-@query("p3_validate_envelopes", with_sql("SELECT event_id, 'workspace_id_pattern' AS rule FROM delivered WHERE id % 103 = 0", "delivered"))
+#: Rules that every so many events break.
+_BROKEN = {3: "workspace_id_pattern", 5: "manifest_version_pattern", 7: "scenario_slug_pattern", 11: "event_type_pattern", 13: "correlation_id_pattern", 17: "causation_id_pattern", 19: "partition_key_length", 23: "shard_id_range", 29: "sequence_no_range",
+    31: "envelope_version_value", 37: "op_value", 41: "schema_ref", 43: "entity_refs", 47: "payload_object", 53: "emitted_at"}
+
+
+@query("p3_validate_envelopes", "WITH r(k, rule) AS (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in _BROKEN.items()) + ") SELECT 'ev_' || lpad(event_id::VARCHAR, 12, '0') AS event_id, rule FROM events, r WHERE event_id % 59 = k")
 def p3(spark, sf):
-    return R.validate_envelopes(delivered(spark, sf))
+    from eventlab.queries.tables import envelopes
+
+    df = envelopes(spark, sf)
+    k = F.substring("event_id", 4, 12).cast("long") % 59
+    uuid = F.regexp_replace(F.md5("event_id"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    good = {"correlation_id": uuid, "causation_id": F.when(F.col("causation_id").isNotNull(), uuid), "session_id": uuid, "shard_id": F.lit(0), "op": F.lit(None).cast("string")}
+    bad = {"workspace_id": (3, F.lit("ws?")), "manifest_version": (5, F.lit("1.0")), "scenario_slug": (7, F.lit("Shop")), "event_type": (11, F.lit("cdc.")), "correlation_id": (13, F.lit("x")), "causation_id": (17, F.upper(uuid)), "partition_key": (19, F.repeat(F.lit("p"), 257)),
+        "shard_id": (23, F.lit(-1)), "sequence_no": (29, F.lit(0)), "envelope_version": (31, F.lit("2.0")), "op": (37, F.lit("x")), "payload": (47, F.lit("[]")), "emitted_at": (53, F.lit("2020-01-01").cast("timestamp"))}
+    bad["schema_ref"] = (41, F.struct(F.col("schema_ref.subject").alias("subject"), F.lit(0).alias("version")))
+    bad["entity_refs"] = (43, F.slice("entity_refs", 1, 0))
+    df = df.withColumns(good).withColumns({c: F.when(k == n, v).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, (n, v) in bad.items()})
+    return R.validate_envelopes(df, {"event_id": r"^ev_\d{12}$", "workspace_id": r"^ws_\d+$", "stream_id": r"^st_\d+$"})
 
 
 @query("p4_p5_validate_ops", with_sql("SELECT entity_key, entity_version, 'images' AS rule FROM cdc WHERE op = 'd'", "cdc"))

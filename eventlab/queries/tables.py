@@ -75,7 +75,7 @@ def s9(spark, sf):
 @query("s10_s11_export", with_sql("SELECT occurred_at::DATE AS dt, count(*) AS n, max(sequence_no) AS last FROM env GROUP BY 1", "env"))
 def s10(spark, sf):
     path = S.new_path(spark, "export")
-    S.export_hourly(env(spark, sf), path, 50)
+    S.export_hourly(env(spark, sf), path, 100_000)
     files = S.export_manifest(spark, path)
     day = F.to_date(F.regexp_extract("file", r"dt=(\d{4}-\d\d-\d\d)", 1))
     return files.groupBy(day.alias("dt")).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
@@ -88,12 +88,12 @@ def s12(spark, sf):
     return spark.read.parquet(paths["purchase"]).unionByName(spark.read.parquet(paths["view"])).select("event_id", "event_type", "value", "k")
 
 
-@query("s13_export_cdc", with_sql("SELECT entity_key, op, epoch_ms(valid_from) AS ts_ms FROM cdcf", "cdcf"))
+@query("s13_export_cdc", with_sql("SELECT 'customers' AS entity, valid_from::DATE AS dt, op, epoch_ms(valid_from) AS ts_ms FROM cdcf", "cdcf"))
 def s13(spark, sf):
     out = R.mutations_to_cdc(cdc_faults(spark, sf), "customers")
     path = S.new_path(spark, "cdc")
-    out.select("entity_key", "payload.*").write.parquet(path)
-    return spark.read.parquet(path).select("entity_key", "op", "ts_ms")
+    S.export_cdc(out.withColumn("entity", F.lit("customers")).withColumn("_at", F.timestamp_millis("payload.ts_ms")), path, "entity", "_at")
+    return spark.read.parquet(path).select("entity", "dt", "op", "ts_ms")
 
 
 @query("s14_kafka_records", with_sql("SELECT workspace_id || ':' || actor_id AS k, event_id, value AS v FROM env", "env"))

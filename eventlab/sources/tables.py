@@ -29,12 +29,14 @@ JSON = {"ignoreNullFields": "false", "timestampFormat": TIME, "timeZone": "UTC"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a new one where it isn't set, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a new one where it isn't set and the master is local, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -68,22 +70,33 @@ def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
 
 
 def append_idempotent(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Append the rows whose keys the table doesn't have; of equal keys in ``df`` one.  Returns the table."""
-    spark = df.sparkSession
-    new = df.dropDuplicates(list(keys))
+    """Append the rows whose keys the table doesn't have; of equal keys in ``df`` that with the least hash of its columns.  Returns the table.
+
+    One writer at a time, as a foreachBatch sink is; keys of the table outside of the first key's range in ``df`` are not read.
+    """
+    spark, first = df.sparkSession, keys[0]
+    new = df
     if exists(spark, path):
-        new = new.join(spark.read.schema(df.schema).parquet(path).select(*keys), list(keys), "left_anti")
+        low, high = df.agg(F.min(first), F.max(first)).first()
+        known = spark.read.schema(df.schema).parquet(path).select(*keys)
+        if low is not None:
+            known = known.where(F.col(first).between(F.lit(low), F.lit(high)) | F.col(first).isNull())
+        new = new.join(known, list(keys), "left_anti")
+    least = F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns))
+    new = new.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(least.alias("_row")).select("_row.*")
     new.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def with_buffer_seq(df: DataFrame, stored: DataFrame | None, order: Sequence[str], now: Column) -> DataFrame:
     """Per stream a buffer_seq that carries on from the stored maximum, and a partition_ts that doesn't fall."""
-    nth = F.row_number().over(Window.partitionBy("stream_id").orderBy(*order))
+    from eventlab.operators.ranges import with_running
+
+    numbered = with_running(df, ["stream_id"], order, F.lit(1).cast("long"), "sum", "_nth")
     if stored is None:
-        return df.withColumn("buffer_seq", nth.cast("long")).withColumn("partition_ts", now)
+        return numbered.withColumn("buffer_seq", F.col("_nth")).withColumn("partition_ts", now).drop("_nth")
     top = stored.groupBy("stream_id").agg(F.max("buffer_seq").alias("_seq"), F.max("partition_ts").alias("_ts"))
-    both = df.withColumn("_nth", nth).join(top, "stream_id", "left")
+    both = numbered.join(top, "stream_id", "left")
     return both.withColumn("buffer_seq", F.col("_nth") + F.coalesce("_seq", F.lit(0))).withColumn("partition_ts", F.greatest(now, F.col("_ts"))).drop("_nth", "_seq", "_ts")
 
 
@@ -95,7 +108,12 @@ def with_partitions(df: DataFrame, time: str, hour: bool = True) -> DataFrame:
 
 def write_partitioned(df: DataFrame, path: str, time: str, hour: bool = True) -> None:
     by = ["dt", "hour"] if hour else ["dt"]
-    with_partitions(df, time, hour).repartition(*by).write.partitionBy(*by).parquet(path)
+    split(with_partitions(df, time, hour), by, time).write.partitionBy(*by).parquet(path)
+
+
+def split(df: DataFrame, by: Sequence[str], *order: str) -> DataFrame:
+    """Rows of a directory together and in order, but ranges of rows in a task: a large hour or day has several files."""
+    return df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
 
 
 def apply_retention(df: DataFrame, now: str, time: str, hours: int) -> DataFrame:
@@ -107,7 +125,7 @@ def apply_retention(df: DataFrame, now: str, time: str, hours: int) -> DataFrame
 
 def export_hourly(df: DataFrame, path: str, max_records: int) -> None:
     """Directories by hour of event time, rows in order of shard and sequence, files of bounded size."""
-    laid = with_partitions(df, "occurred_at").repartition("dt", "hour").sortWithinPartitions("dt", "hour", "shard_id", "sequence_no")
+    laid = split(with_partitions(df, "occurred_at"), ["dt", "hour"], "shard_id", "sequence_no")
     laid.write.partitionBy("dt", "hour").option("maxRecordsPerFile", max_records).parquet(path)
 
 
@@ -124,10 +142,16 @@ def export_by_subject(df: DataFrame, path: str, subjects: dict[str, str]) -> dic
         rows = df.where(F.col("event_type") == subject).withColumn("_p", F.from_json("payload", ddl))
         rows = rows.select(*[c for c in df.columns if c != "payload"], "_p.*")
         out[subject] = f"{path}/{subject}"
-        with_partitions(rows, "occurred_at", hour=False).repartition("dt").sortWithinPartitions("dt", "stream_id", "sequence_no").write.partitionBy("dt").parquet(out[subject])
+        split(with_partitions(rows, "occurred_at", hour=False), ["dt"], "stream_id", "sequence_no").write.partitionBy("dt").parquet(out[subject])
     return out
 
 
+def export_cdc(df: DataFrame, path: str, entity: str, time: str) -> None:
+    """The payload documents of change rows alone, a directory for each entity, day and hour."""
+    laid = df.select(F.col(entity).alias("entity"), F.to_date(time).alias("dt"), F.hour(time).alias("hour"), "payload.*")
+    split(laid, ["entity", "dt", "hour"]).write.partitionBy("entity", "dt", "hour").parquet(path)
+
+
 def kafka_records(df: DataFrame, key: str) -> DataFrame:
     """(key, value) of message records: the partition key's bytes and the document."""
     cols = [c for c in df.columns if not c.startswith("_df")]
