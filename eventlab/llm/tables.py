@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlab.sources.tables import shared_dir
+
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 WS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
@@ -16,19 +19,21 @@ ROW_GROUP = 32 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+#: Folders of open scratch scopes, the innermost last.
+_SCOPES: list[str] = []
 
-    Only where the cluster names none (single-machine tests) a new temporary
-    folder is taken and remembered as the checkpoint folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return sc.getCheckpointDir().rstrip("/")
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that ``cut`` writes within go to a folder of their own, which is removed at the end: nothing may read them after that."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
@@ -38,7 +43,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     any executor, and nothing before it runs twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCOPES[-1] if _SCOPES else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
