@@ -160,17 +160,17 @@ def manifests(docs: DataFrame) -> DataFrame:
 
 
 def chunk_store(docs: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The packs (media, whole, digests, sizes, data) of distinct files and the chunks (digest, n, data) that they share.
+    """The packs (media, manifest, digests, sizes, data) of distinct files and the chunks (digest, n, data) that they share.
 
     ``refs`` are the manifests of ``docs``.  A pack has the chunks of a file that no other shares, in order, compressed
-    together; it is ``whole`` if those are all.
+    together; ``manifest`` is the file's if it has shared chunks too, else null.
     """
     files = cut(refs.groupBy("media").agg(F.count("*").alias("uses"), F.first("digests").alias("digests")), "files")
     each = files.select(F.explode("digests").alias("digest"))
     again = _bitmap(each.groupBy("digest").count().where("count > 1").select("digest"))
     copied = _bitmap(files.where("uses > 1").select(F.col("media").alias("digest")))
     shared, width = docs.sparkSession.sparkContext.broadcast((again, copied)), MAP_BITS
-    schema = pa.schema([("media", pa.binary()), ("copied", pa.bool_()), ("whole", pa.bool_()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
+    schema = pa.schema([("media", pa.binary()), ("copied", pa.bool_()), ("manifest", pa.list_(pa.binary())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, copies = shared.value
@@ -189,28 +189,28 @@ def chunk_store(docs: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]
                         known.clear()
                 if many:  # copies nearby go no further
                     lately.add(name)
-                own, sizes, data, whole = [], [], [], True
+                own, sizes, data, every = [], [], [], []
                 for c in chunks(media):
                     digest = hashlib.sha256(c).digest()
+                    every.append(digest)
                     if bits[(bit := _bit(digest, width)) >> 3] >> (bit & 7) & 1:
-                        whole = False
                         if digest not in sent:
                             sent.add(digest)
-                            rows.append((None, True, True, [digest], [len(c)], pack.compress(c)))
+                            rows.append((None, True, None, [digest], [len(c)], pack.compress(c)))
                     else:
                         own.append(digest)
                         sizes.append(len(c))
                         data.append(c)
-                rows.append((name, many, whole, own, sizes, pack.compress(b"".join(data))))
+                rows.append((name, many, None if len(own) == len(every) else every, own, sizes, pack.compress(b"".join(data))))
                 size += len(media)
                 if size > 8 << 20:
                     yield _batch(rows, schema)
                     rows, size = [], 0
             yield _batch(rows, schema)
 
-    made = cut(_texts(docs).mapInArrow(run, "media binary, copied boolean, whole boolean, digests array<binary>, sizes array<int>, data binary"), "made")
+    made = cut(_texts(docs).mapInArrow(run, "media binary, copied boolean, manifest array<binary>, digests array<binary>, sizes array<int>, data binary"), "made")
     packs = made.where("media is not null")
-    first = packs.where("copied").groupBy("media").agg(*[F.first(c).alias(c) for c in ("whole", "digests", "sizes", "data")])
+    first = packs.where("copied").groupBy("media").agg(*[F.first(c).alias(c) for c in ("manifest", "digests", "sizes", "data")])
     packs = packs.where("not copied").drop("copied").unionByName(cut(first, "packs"))
     single = made.where("media is null").select(F.col("digests")[0].alias("digest"), F.col("sizes")[0].alias("n"), "data")
     return packs, cut(single.groupBy("digest").agg(F.first("n").alias("n"), F.first("data").alias("data")), "shared")
@@ -227,8 +227,8 @@ def _unpack(data: bytes, digests: list[bytes], sizes: list[int]) -> Iterator[byt
         at += n
 
 
-def media_features(files: DataFrame, packs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The features of every distinct file (media, digests), from the stored chunks read back and verified."""
+def media_features(packs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The features of every distinct file, from the stored chunks read back and verified."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,10 +264,9 @@ def media_features(files: DataFrame, packs: DataFrame, shared: DataFrame) -> Dat
         if f:
             yield _batch([f.row(now)], _FEATURE_ROWS)
 
-    done = packs.where("whole").select("media", "digests", "sizes", "data").mapInArrow(whole, _FEATURES)
-    parts = packs.where("not whole")
-    lists = files.select("media", "digests").join(parts.select(F.col("media").alias("_media")), F.col("media") == F.col("_media"), "left_semi")
-    lists = lists.select("media", F.posexplode("digests").alias("seq", "digest"))
+    done = packs.where("manifest is null").select("media", "digests", "sizes", "data").mapInArrow(whole, _FEATURES)
+    parts = packs.where("manifest is not null")
+    lists = parts.select("media", F.posexplode("manifest").alias("seq", "digest"))
     known = shared.select(F.col("digest").alias("_digest"), F.col("n").alias("_n"), F.col("data").alias("_data"))
     met = lists.join(known, F.col("digest") == F.col("_digest"), "left")
     met = met.select("media", "seq", F.array("digest").alias("digests"), F.array("_n").alias("sizes"), F.col("_data").alias("data"))
@@ -290,7 +289,6 @@ def store_media(docs: DataFrame) -> DataFrame:
     """
     refs = cut(manifests(docs), "manifests")
     packs, shared = chunk_store(docs, refs)
-    files = refs.groupBy("media").agg(F.first("digests").alias("digests"))
-    found = cut(media_features(files, packs, shared), "features")
+    found = cut(media_features(packs, shared), "features")
     named = refs.select("doc_id", "n_bytes", "media").join(found.withColumnRenamed("media", "_media"), F.col("media") == F.col("_media"), "left")
     return named.select("doc_id", "n_bytes", _needed("payload_bytes").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")

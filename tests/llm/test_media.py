@@ -86,15 +86,15 @@ def test_damage_is_found(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"{words(300 * i)} {passage} {words(30)}") for i in range(4)] + [(9, "some text")], "doc_id long, text string")
     refs = cut(manifests(df))
     packs, shared = (cut(t) for t in chunk_store(df, refs))
-    assert shared.count() > 2 and packs.where("not whole").count() == 4
-    assert media_features(refs, packs, shared).count() == 5
+    assert shared.count() > 2 and packs.where("manifest is not null").count() == 4
+    assert media_features(packs, shared).count() == 5
     with pytest.raises(Exception, match="is damaged|could not|decompress"):
-        media_features(refs, packs.withColumn("data", F.col("data").substr(F.lit(1), F.length("data") - 1)), shared).collect()
+        media_features(packs.withColumn("data", F.col("data").substr(F.lit(1), F.length("data") - 1)), shared).collect()
     with pytest.raises(Exception, match="is damaged"):
-        media_features(refs, packs.withColumn("digests", F.transform("digests", lambda d: F.unhex(F.lit("00" * 32)))), shared).collect()
+        media_features(packs.withColumn("digests", F.transform("digests", lambda d: F.unhex(F.lit("00" * 32)))), shared).collect()
     with pytest.raises(Exception, match="is not in the store"):
-        media_features(refs, packs, shared.where(F.col("digest") != F.lit(bytes(shared.first().digest)))).collect()
-    lost = bytes(packs.where("whole").first().media)
+        media_features(packs, shared.where(F.col("digest") != F.lit(bytes(shared.first().digest)))).collect()
+    lost = bytes(packs.where("manifest is null").first().media)
     monkeypatch.setattr(media, "chunk_store", lambda *_: (packs.where(F.col("media") != F.lit(lost)), shared))
     with pytest.raises(Exception, match="no stored file"):
         store_media(df).collect()
