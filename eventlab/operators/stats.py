@@ -270,9 +270,13 @@ def stock_reconcile(final: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def table_hash(df: DataFrame, *cols: str) -> DataFrame:
-    """A hash of a table's rows in any order: count, xor and sum of row hashes."""
-    h = F.xxhash64(*cols)
-    return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
+    """A hash of a table's rows in any order: count, xor, and sum modulo 2^60 of row hashes.
+
+    A row's is the first 60 bits of the MD5 of its columns' texts, each with its length, so that engines agree and no two rows read alike.
+    """
+    texts = [F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in cols]
+    h = F.conv(F.substring(F.md5(F.concat(*texts)), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), (F.sum(h.cast("decimal(38,0)")) % 2**60).cast("long").alias("s"))
 
 
 def users(df: DataFrame) -> DataFrame:

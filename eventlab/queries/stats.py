@@ -207,9 +207,12 @@ def a42(spark, sf):
     return A.stock_reconcile(final, li.select(F.col("l_partkey").alias("key"), (-F.col("l_quantity")).alias("change")))
 
 
-@query("a43_content_hash")
+@query("a43_content_hash", """WITH t AS (SELECT event_id::VARCHAR AS a, epoch_us(ts)::VARCHAR AS b, round(value * 100)::BIGINT::VARCHAR AS c, event_type AS d FROM events),
+    h AS (SELECT ('0x' || substr(md5(coalesce(length(a) || ':' || a, '-') || coalesce(length(b) || ':' || b, '-') || coalesce(length(c) || ':' || c, '-') || coalesce(length(d) || ':' || d, '-')), 1, 15))::BIGINT AS h FROM t)
+    SELECT count(*) AS n, bit_xor(h) AS x, (sum(h::HUGEINT) % 1152921504606846976)::BIGINT AS s FROM h""")
 def a43(spark, sf):
-    return A.table_hash(_ev(spark, sf), "event_id", "ts", "value")
+    df = _ev(spark, sf).select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.round(F.col("value") * 100).cast("long").alias("cents"), "event_type")
+    return A.table_hash(df, "event_id", "micros", "cents", "event_type")
 
 
 @query("a44_distinct_users", with_sql("SELECT DISTINCT actor_id FROM env", "env"))
