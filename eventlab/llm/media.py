@@ -83,14 +83,23 @@ def chunks(media: bytes) -> list[bytes]:
 
 
 def _bit(digest: bytes, width: int) -> int:
-    return int.from_bytes(digest[:4], "little") & (1 << width) - 1
+    return int.from_bytes(digest[:7], "big") & (1 << width) - 1
 
 
-def _bitmap(digests: DataFrame) -> np.ndarray:
-    """The bits that the column ``digest`` sets, as bytes; 2^MAP_BITS bits, whatever the input."""
-    # as _bit(): the first four bytes, least first
-    low = F.conv(F.concat(*[F.substring(F.hex("digest"), 2 * k + 1, 2) for k in (3, 2, 1, 0)]), 16, 10).cast("long").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    words = digests.select(low.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+def _mark(digest: Column) -> Column:
+    """The first 56 bits of a digest: enough to tell which may repeat, as a chunk that is taken for shared is stored like those that are."""
+    return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long")
+
+
+def marked(refs: DataFrame) -> DataFrame:
+    """Manifests with ``marks`` instead of ``digests``."""
+    return refs.withColumn("marks", F.transform("digests", _mark)).drop("digests")
+
+
+def _bitmap(marks: DataFrame) -> np.ndarray:
+    """The bits that the column ``mark`` sets, as bytes; 2^MAP_BITS bits, whatever the input."""
+    low = F.col("mark").bitwiseAND(F.lit((1 << MAP_BITS) - 1))  # as _bit()
+    words = marks.select(low.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << MAP_BITS - 6, np.int64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
     return bits.view(np.uint8)
@@ -162,13 +171,14 @@ def manifests(docs: DataFrame) -> DataFrame:
 def chunk_store(docs: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The packs (media, manifest, digests, sizes, data) of distinct files and the chunks (digest, n, data) that they share.
 
-    ``refs`` are the manifests of ``docs``.  A pack has the chunks of a file that no other shares, in order, compressed
+    ``refs`` are the manifests of ``docs``, marked or not.  A pack has the chunks of a file that no other shares, in order, compressed
     together; ``manifest`` is the file's if it has shared chunks too, else null.
     """
-    files = cut(refs.groupBy("media").agg(F.count("*").alias("uses"), F.first("digests").alias("digests")), "files")
-    each = files.select(F.explode("digests").alias("digest"))
-    again = _bitmap(each.groupBy("digest").count().where("count > 1").select("digest"))
-    copied = _bitmap(files.where("uses > 1").select(F.col("media").alias("digest")))
+    refs = refs if "marks" in refs.columns else marked(refs)
+    files = cut(refs.groupBy("media").agg(F.count("*").alias("uses"), F.first("marks").alias("marks")).select(_mark(F.col("media")).alias("mark"), "uses", "marks"), "files")
+    each = files.select(F.explode("marks").alias("mark"))
+    again = _bitmap(each.groupBy("mark").count().where("count > 1").select("mark"))
+    copied = _bitmap(files.where("uses > 1").select("mark"))
     shared, width = docs.sparkSession.sparkContext.broadcast((again, copied)), MAP_BITS
     schema = pa.schema([("media", pa.binary()), ("copied", pa.bool_()), ("manifest", pa.list_(pa.binary())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
 
@@ -287,7 +297,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     A stored chunk that doesn't fit its digest raises, and so does one that is missing.  An empty table gives an
     empty table.
     """
-    refs = cut(manifests(docs), "manifests")
+    refs = cut(marked(manifests(docs)), "manifests")
     packs, shared = chunk_store(docs, refs)
     found = cut(media_features(packs, shared), "features")
     named = refs.select("doc_id", "n_bytes", "media").join(found.withColumnRenamed("media", "_media"), F.col("media") == F.col("_media"), "left")
