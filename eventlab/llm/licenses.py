@@ -23,7 +23,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlab.llm.tables import cut, hash128, lower_ascii
+from eventlab.llm.tables import cut, hash128
 
 #: Notices, headers and texts of common licences, by SPDX id (fixed values: the licences' own words).
 TEMPLATES = (
@@ -69,13 +69,17 @@ LEAST = 0.8
 #: The logarithm of how many texts there are for each that has a term counts up to this.
 RARE = 7.0
 _TERM = "[^a-z0-9]+"
+#: The characters beyond ASCII whose lower case has an ASCII letter: Kelvin and the dotted I.
+_NOT_ASCII = "\u212a\u0130"
 #: Between blocks: lines without letters or digits.
 _GAP = "\n[^A-Za-z0-9]*\n"
 
 
 def terms_of(text: Column) -> Column:
     """The terms of a passage, repeats included: ASCII letters and digits in lower case."""
-    return F.filter(F.split(lower_ascii(text), _TERM, -1), lambda w: w != "")
+    for c in _NOT_ASCII:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(F.lower(text), _TERM, -1), "")
 
 
 def anchors(weight: Mapping[str, float], templates: Iterable[Mapping[str, int]], least: float) -> list[str]:
