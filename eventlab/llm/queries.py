@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventlab.llm import bpe, licenses, linededup, media, mixing, quality, unigram, urlrep, warc
+from eventlab.llm import bpe, filteraudit, licenses, linededup, media, mixing, periodic, quality, substrings, unigram, urlrep, warc
 from eventlab.llm.simhash import simhash_components
 
 #: The vocabulary of op7; any rank file and pattern can be given to the operator.
@@ -61,6 +63,43 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents")).drop("distance2")
 
 
+def _planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten, by its doc_id, repeats from some word on with some period; a null doc_id stays as it is."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_table(spark, sf_dir, "documents"), prepare=_planted_period)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = found.withColumn("best", periodic.longest_run(F.col("runs")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mix": op1_cube_mix,
     "op2_media_chunks": op2_media_chunks,
@@ -72,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_salvage": op8_warc_salvage,
     "op9_url_reputation": op9_url_reputation,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +122,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_warc_salvage": warc.ORACLE_SQL,
     "op9_url_reputation": urlrep.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
+    "op12_filter_audit": filteraudit.ORACLE_SQL,
+    "op13_substring_dedup": substrings.ORACLE_SQL,
 }
