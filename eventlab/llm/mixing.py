@@ -5,18 +5,18 @@ times on average.  The whole part of that is taken of every document.  The rest
 is an inclusion probability, and the cube method decides it: in the flight,
 probabilities move at random along the null space of the constraints (words and
 documents of the source stay as they are in sum) until one is 0 or 1, again and
-again.  Two constraints need three undecided documents for a move, so at most two
-are left of any run of documents; those of many runs fly again together, until one
-run of each source is left.  Its last documents, ``LANDING`` at most and the smallest but for the two that the flight
-left, are the landing problem: of all ways to take them one is drawn, from the
+again.  Of the ``WINDOW`` documents that fly together the largest moves, and the others
+balance it by a little each, so large documents are decided first.  The last and smallest
+``LANDING`` of any run of documents are left undecided; those of many runs fly again together, until one
+run of each source is left.  Its last ones are the landing problem: of all ways to take them one is drawn, from the
 distribution that favours ways near to the totals as much as each document's probability allows.
-So every step keeps each document's probability as the mean.
+So every step keeps each document's probability as the mean.  A document that is larger than those that could balance it together
+stays undecided up to the landing, and its source's words are then as near as its probability lets them be.
 
 A run is a block of a source: documents by hash, about ``BLOCK`` in each, so a
 source with a third of all rows is spread over many tasks; rows that are equal in doc_id, source and size are
 counted, and their number is split over blocks.  A task streams
-its blocks in sorted order, holding three documents at a time.  Large
-documents fly first, so those that are left to land are small.  The draws depend
+its blocks in sorted order, the largest documents first, holding ``WINDOW`` of them at a time.  The draws depend
 on (seed, level, source, block) and the order on the rows alone: reruns and other
 partitionings agree.
 """
@@ -24,7 +24,6 @@ partitionings agree.
 from __future__ import annotations
 
 import random
-from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,7 +36,9 @@ from eventlab.llm.tables import cut, words_of
 BLOCK = 4096
 #: Blocks of one level whose leftovers fly together on the next.
 FAN = 1024
-#: Documents of a source that land together, and the weight of missing the words by their mean size.
+#: Documents that fly together.
+WINDOW = 64
+#: Documents of a run that are left for the next level or land together, and the weight of missing the words by their mean size.
 LANDING, NEARNESS = 12, 6.0
 
 
@@ -67,32 +68,49 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return per.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _move(p: list[float], v: list[float], u: float) -> None:
-    """Move probabilities along ``v`` until one is 0 or 1; each keeps its mean over ``u``."""
-    up = down = float("inf")
-    up_at = down_at = (0, 0.0)
-    for k, (q, d) in enumerate(zip(p, v)):
-        if d:
-            to_one, to_zero = (1 - q) / abs(d), q / abs(d)
-            more, less = (to_one, to_zero) if d > 0 else (to_zero, to_one)
-            if more < up:
-                up, up_at = more, (k, 1.0 if d > 0 else 0.0)
-            if less < down:
-                down, down_at = less, (k, 0.0 if d > 0 else 1.0)
-    step, (at, end) = (up, up_at) if u * (up + down) < down else (-down, down_at)
-    for k, d in enumerate(v):
-        p[k] += step * d
-        if p[k] < 1e-9:
-            p[k] = 0.0
-        elif p[k] > 1 - 1e-9:
-            p[k] = 1.0
-    p[at] = end
-
-
-def _null_space(s: list[float]) -> list[float]:
-    """A move of three documents that keeps their number and words."""
-    v = [s[2] - s[1], s[0] - s[2], s[1] - s[0]]
-    return v if any(v) else [1.0, -1.0, 0.0]
+def _direction(s: np.ndarray, p: np.ndarray) -> np.ndarray | None:
+    """A move that keeps number and words of the documents, of which the first moves most where others can balance it; None if there is none.
+
+    The others share what balances it by p (1 - p), so those with room move and those near 0 or 1 hardly do.
+    """
+    v = np.zeros(len(s))
+    if len(s) < 2:
+        return None
+    w, d = (p * (1 - p))[1:], s[1:] - s[0]
+    if not d.any():
+        v[0], v[1:] = 1.0, -w / w.sum()
+    elif (d == d[0]).all():  # the first document has no balance, the others have
+        if len(s) == 2:
+            return None
+        v[1], v[2] = 1.0, -1.0
+    else:
+        d = d / np.abs(d).max()
+        m0, m1, m2 = w.sum(), w @ d, w @ (d * d)
+        det = m0 * m2 - m1 * m1
+        if len(s) == 3 or det <= 1e-9 * m0 * m2:  # two sizes that are far apart from the rest's weights: three documents are enough
+            other = int(np.argmax(d != d[0])) + 1
+            v[0], v[1], v[other] = s[other] - s[1], s[0] - s[other], s[1] - s[0]
+        else:
+            v[0], v[1:] = 1.0, -w * (m2 - m1 * d) / det
+    return v
+
+
+def _move(s: np.ndarray, p: np.ndarray, u: float) -> np.ndarray | None:
+    """Probabilities after a move that makes one of them 0 or 1; each keeps its mean over ``u``.  None if nothing can move."""
+    v = _direction(s, p)
+    if v is None:
+        return None
+    on = np.flatnonzero(v)
+    rate, room = np.abs(v[on]), p[on]
+    up, down = np.where(v[on] > 0, 1 - room, room) / rate, np.where(v[on] > 0, room, 1 - room) / rate
+    a, b = int(up.argmin()), int(down.argmin())
+    rises = u * (up[a] + down[b]) < down[b]
+    step, at = (up[a], on[a]) if rises else (-down[b], on[b])
+    p = p + step * v
+    p[at] = 1.0 if (v[at] > 0) == rises else 0.0
+    p[p < 1e-9] = 0.0
+    p[p > 1 - 1e-9] = 1.0
+    return p
 
 
 def _design(s: list[float], p: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +120,7 @@ def _design(s: list[float], p: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """
     size, want = np.array(s), np.array(p)
     ways = (np.arange(1 << len(p))[:, None] >> np.arange(len(p)) & 1).astype(float)
-    off = NEARNESS * np.abs((ways - want) @ size) / max(size.mean(), 1.0) + np.abs((ways - want).sum(1))
+    off = NEARNESS * np.abs((ways - want) @ size) / max(size.mean(), 1.0) + 2 * (ways - want).sum(1) ** 2
     log = ways @ np.log(want / (1 - want)) - off
     for _ in range(200):
         worst = 0.0
@@ -123,42 +141,44 @@ def _land(s: list[float], p: list[float], u: float) -> list[float]:
 
 
 def _flight(seed: int, level: int, land: bool):
-    """A function for mapInPandas over rows sorted by source and block."""
+    """A function for mapInPandas over rows sorted by source, block and size, the largest first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, rng, held, last = None, random.Random(), [], deque()
-
-        def close() -> list[tuple]:
-            left = [*held, *last]
-            if land and left:
-                end = _land([float(h[2]) for h in left], [h[4] for h in left], rng.random())
-                return [(*h[:4], e) for h, e in zip(left, end)]
-            return left
+        group, rng, held, out = None, random.Random(), [], []
+
+        def fly(most: int) -> None:
+            """Decide the largest documents held until ``most`` are left or none can move."""
+            nonlocal held
+            while len(held) > most:
+                p = _move(np.array([h[2] for h in held], float), np.array([h[4] for h in held]), rng.random())
+                if p is None:
+                    break
+                held = [(*h[:4], q) for h, q in zip(held, p.tolist())]
+                out.extend(h for h in held if h[4] in (0.0, 1.0))
+                held = [h for h in held if h[4] not in (0.0, 1.0)]
+
+        def close() -> None:
+            nonlocal held
+            fly(LANDING)
+            if land and held:
+                held = [(*h[:4], e) for h, e in zip(held, _land([float(h[2]) for h in held], [h[4] for h in held], rng.random()))]
+            out.extend(held)
+            held = []
 
         for pdf in batches:
-            out: list[tuple] = []
             sources = pdf["source"].astype(object).where(pdf["source"].notna(), None).tolist()
             ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist()
             for row in zip(ids, sources, pdf["size"].tolist(), pdf["block"].tolist(), pdf["p"].tolist()):
                 if (row[1], row[3]) != group:
-                    out += close()
-                    group, held = (row[1], row[3]), []
-                    last.clear()
+                    close()
+                    group = (row[1], row[3])
                     rng.seed(f"{seed}:{level}:{row[1]!r}:{row[3]}")
-                if land:  # the last documents don't fly
-                    last.append(row)
-                    if len(last) <= LANDING - 2:
-                        continue
-                    row = last.popleft()
                 held.append(row)
-                if len(held) == 3:
-                    p = [h[4] for h in held]
-                    _move(p, _null_space([float(h[2]) for h in held]), rng.random())
-                    moved = [(*h[:4], q) for h, q in zip(held, p)]
-                    out += [m for m in moved if m[4] in (0.0, 1.0)]
-                    held = [m for m in moved if m[4] not in (0.0, 1.0)]
+                fly(WINDOW)
             yield frame(out)
-        yield frame(close())
+            out = []
+        close()
+        yield frame(out)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         cols = list(zip(*rows)) or [()] * 5

@@ -52,6 +52,56 @@ def test_documents(spark, sf_dir, monkeypatch):
     check(mix(docs).collect(), near=1)
 
 
+def test_near_targets(spark, sf_dir):
+    """Sources of 50 documents: words within 2 % or half the median document, documents within 2, for each source and seed."""
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    for seed in (1, 2, 3):
+        rows = mix(docs, seed=seed).collect()
+        check(rows, near=1)
+        per = defaultdict(list)
+        for r in rows:
+            per[r.source].append(r)
+        for x in per.values():
+            median = sorted(r.size for r in x)[len(x) // 2]
+            assert abs(sum(r.taken for r in x) - x[0].target) <= max(0.02 * x[0].target, median / 2)
+
+
+def test_flight_decides_the_largest_first():
+    """Both totals stay as they are, the largest document is decided before smaller ones run out, and each keeps its probability."""
+    import random
+
+    import numpy as np
+
+    rng, mean, large = random.Random(3), np.zeros(30), 0
+    size = np.array(sorted((rng.randrange(20, 900) for _ in range(30)), reverse=True), float)
+    start = np.array([rng.uniform(0.1, 0.9) for _ in size])
+    for _ in range(2000):
+        p, on = start.copy(), np.arange(30)
+        while len(on) > mixing.LANDING:
+            q = mixing._move(size[on], p[on], rng.random())
+            if q is None:
+                break
+            p[on] = q
+            assert p @ size == pytest.approx(start @ size) and p.sum() == pytest.approx(start.sum())
+            on = np.flatnonzero((p > 0) & (p < 1))
+        large += sum(k < 12 for k in on)
+        mean += p
+    assert np.abs(mean / 2000 - start).max() < 0.05 and large / 2000 < 0.5  # of the 12 largest
+
+
+def test_move_of_few_and_equal_sizes():
+    import numpy as np
+
+    for size in ([5, 5, 5], [9, 5, 5], [9, 5], [5, 5], [7], [9, 5, 5, 5], [9, 7, 5], [0, 0], [4, 0, 0, 0]):
+        p = np.full(len(size), 0.4)
+        q = mixing._move(np.array(size, float), p, 0.3)
+        if len(size) == 1 or size == [9, 5]:
+            assert q is None
+        else:
+            assert q @ size == pytest.approx(p @ size) and q.sum() == pytest.approx(p.sum())
+            assert ((q == 0) | (q == 1)).any() and (q >= 0).all() and (q <= 1).all()
+
+
 def test_inclusion_follows_the_probability(spark):
     df = spark.createDataFrame([(i, " ".join("w" * (1 + i % 7)), s) for i in range(40) for s in "ab"], "doc_id long, text string, source string")
     n = defaultdict(int)
