@@ -2,10 +2,11 @@
 
 A task turns slices of whole texts into shards: for each document the words
 that it has, as numbers of the slice's own vocabulary, and how often.  The vocabularies, not the
-documents' words, are shuffled: ordered by word, equal words get one number in the
-global dictionary, dense over all partitions by a sum over one count for each of them.  The numbers
-go back to their shard, which becomes a CSR matrix with global columns (``csr_shards``): a
-shard meets its own vocabulary only, so groups are as large as a slice.
+documents' words, are shuffled: a shard's words are packed by bucket of their hash, and where a bucket of all shards
+comes together equal words get one number of the global dictionary, dense over all partitions by a sum over one count for each of them.  The
+numbers go back to their shard, which becomes a CSR matrix with global columns (``csr_shards``): a
+shard meets its own vocabulary only, so groups are as large as a slice.  There are as many buckets as the number
+of shards asks for, so that a bucket stays as large as a slice's vocabulary, whatever the input.
 
 Row sums are numbers of words, numbers of nonzero entries those of distinct words.  With what a text alone
 tells (capitals, symbols) and the first document of each text they give each document a set of failed
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from eventlab.llm.tables import cut, hash128
 
-#: Bytes of whole texts of a shard.
-SLICE = 8_000_000
+#: Bytes of whole texts of a shard, and shards for each bucket of words.
+SLICE, SHARDS_A_BUCKET = 16_000_000, 2
 FILTERS = "ABCDE"
 CAPITALS, SYMBOLS = bytes(range(65, 91)), b"#$%&*|"
 
@@ -48,7 +50,7 @@ def _one(values: pa.Array) -> pa.Array:
 
 
 def local_shards(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row for each slice of texts: shard, the columns ``keep`` of its rows as lists, capitals and symbols of its texts, its words, and ``indptr``, ``columns`` and ``counts`` over these."""
+    """One row for each slice of texts: shard, the columns ``keep`` of its rows as lists, capitals and symbols of its texts, its words (joined by spaces), and ``indptr``, ``columns`` and ``counts`` over these."""
     names = ["shard", *keep, "capitals", "symbols", "words", "indptr", "columns", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,43 +71,67 @@ def local_shards(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
                     symbols.append(len(raw) - len(raw.translate(None, SYMBOLS)))
                     at += 1
                 kept = [_one(batch.column(k + 1).slice(first, at - first)) for k in range(len(keep))]
-                own = [_one(pa.array(x, t)) for x, t in ((capitals, pa.int64()), (symbols, pa.int64()), (list(code), pa.binary()), (indptr, pa.int32()), (columns, pa.int32()), (counts, pa.int32()))]
+                own = [_one(pa.array(x, t)) for x, t in ((capitals, pa.int64()), (symbols, pa.int64()), (indptr, pa.int32()), (columns, pa.int32()), (counts, pa.int32()))]
+                own.insert(2, pa.array([b" ".join(code)], pa.binary()))
                 shard = TaskContext.get().partitionId() << 32 | n
                 n += 1
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *kept, *own], names=names)
 
     work = docs.select(F.col("text").cast("string").cast("binary").alias("text"), *keep)
     kept = ", ".join(f"`{c}` array<{work.schema[c].dataType.simpleString()}>" for c in keep)
-    return work.mapInArrow(run, f"shard long, {kept}, capitals array<long>, symbols array<long>, words array<binary>, indptr array<int>, columns array<int>, counts array<int>")
+    return work.mapInArrow(run, f"shard long, {kept}, capitals array<long>, symbols array<long>, words binary, indptr array<int>, columns array<int>, counts array<int>")
+
+
+def _bucketed(buckets: int):
+    """(bucket, shard, words, local): a shard's words by bucket, joined by spaces, and their numbers in the shard as 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = packed.as_py().split()
+                spots = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+                order = np.argsort(spots, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(spots[order]) != 0]) if len(words) else np.zeros(0, np.int64)
+                parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)]))
+                ordered = [words[k] for k in order.tolist()]
+                local = order.astype("<i4")
+                cols = [pa.array(spots[order][cuts]), pa.array([shard] * len(parts), pa.int64()), pa.array([b" ".join(ordered[a:b]) for a, b in parts], pa.binary()), pa.array([local[a:b].tobytes() for a, b in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "shard", "words", "local"])
+
+    return run
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of word: equal words get one number, counted within the partition; the word goes on with its first row."""
-    part, number, last = TaskContext.get().partitionId(), -1, None
+    """Rows in order of bucket: equal words of a bucket get one number, counted within the partition; the row that first has a word goes on with it."""
+    part, upto, bucket, code = TaskContext.get().partitionId(), 0, None, _Codes()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        words = batch.column(0)
-        coded = words.dictionary_encode()  # numbers in order of first use, and the rows are sorted
-        again = last is not None and coded.dictionary[0].as_py() == last
-        own = coded.indices.to_numpy().astype(np.int64) + number + (0 if again else 1)
-        new = np.r_[not again, np.diff(own) != 0]
-        number, last = int(own[-1]), words[-1].as_py()
-        shown = words.take(pa.array(np.arange(len(new)), mask=~new))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part), pa.int32()), pa.array(own), shown, batch.column(1), batch.column(2)], names=["part", "number", "word", "shard", "local"])
-
-
-def numbered_words(shards: DataFrame) -> DataFrame:
-    """(id, word, shard, local): the dictionary's number of each word of each shard; ``word`` is told with the first row of an id only.
-
-    Numbers are dense, from 0: those of a partition follow those of the ones before it.
+        numbers, new, first, n_new = [], [], [], []
+        for b, packed in zip(batch.column(0).to_pylist(), batch.column(2)):
+            if b != bucket:
+                upto, bucket, code = upto + len(code), b, _Codes()
+            words, known = packed.as_py().split(), len(code)
+            ids = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
+            numbers.append((ids + upto).astype("<i8").tobytes())
+            new.append(b" ".join(w for w, k in zip(words, ids.tolist()) if k >= known))
+            first.append(upto + known)
+            n_new.append(len(code) - known)
+        cols = [pa.array([part] * batch.num_rows, pa.int32()), pa.array(first, pa.int64()), pa.array(n_new, pa.int64()), pa.array(new, pa.binary()), batch.column(1), batch.column(3), pa.array(numbers, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["part", "first", "n_new", "new", "shard", "local", "number"])
+
+
+def numbered_words(shards: DataFrame, n_shards: int) -> DataFrame:
+    """(before, first, new, shard, local, number): the dictionary's numbers of each shard's words, packed by bucket.
+
+    The word with the shard's number local[k] has the number before + number[k]; ``new`` are the words met first in
+    this row, numbered from before + first.  Numbers are dense, from 0: those of a partition follow those of the ones before it.
     """
-    words = shards.select("shard", F.posexplode("words").alias("local", "word")).select("word", "shard", "local")
-    ordered = words.repartition("word").sortWithinPartitions("word")
-    rows = cut(ordered.mapInArrow(_number, "part int, number long, word binary, shard long, local int"), "numbered")
-    sizes = rows.groupBy("part").agg((F.max("number") + 1).alias("n"))  # a row for each partition
+    buckets = max(1, -(-n_shards // SHARDS_A_BUCKET))
+    packed = shards.select("shard", "words").mapInArrow(_bucketed(buckets), "bucket long, shard long, words binary, local binary")
+    ordered = packed.repartition("bucket").sortWithinPartitions("bucket")
+    rows = cut(ordered.mapInArrow(_number, "part int, first long, n_new long, new binary, shard long, local binary, number binary"), "numbered")
+    sizes = rows.groupBy("part").agg(F.sum("n_new").alias("n"))  # a row for each partition
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("number")).alias("id"), "word", "shard", "local")
+    return rows.join(F.broadcast(before), "part").drop("part", "n_new")
 
 
 def csr_shards(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
@@ -116,21 +142,23 @@ def csr_shards(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> tuple[Data
     The dictionary has (id, word).  Words are ``[^\\x20\\x09-\\x0D]+``, as they are; null texts have none.
     """
     local = cut(local_shards(docs, keep), "local")
-    numbered = cut(numbered_words(local), "dictionary")
+    numbered = numbered_words(local, local.count())
     matrix = local.drop("words")
 
     def join(one: pa.Table, words: pa.Table) -> pa.Table:
-        ids = np.zeros(words.num_rows, np.int64)
-        ids[words["local"].to_numpy()] = words["id"].to_numpy()
         indptr, columns, counts = (one[c].combine_chunks().flatten().to_numpy() for c in ("indptr", "columns", "counts"))
+        ids = np.zeros(int(columns.max(initial=-1)) + 1, np.int64)
+        for at, number, before in zip(words["local"].to_pylist(), words["number"].to_pylist(), words["before"].to_pylist()):
+            ids[np.frombuffer(at, "<i4")] = np.frombuffer(number, "<i8") + before
         columns = ids[columns]
         order = np.lexsort((columns, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
         new = {"columns": _one(pa.array(columns[order])), "counts": _one(pa.array(counts[order], pa.int32()))}
         return pa.table({c: new.get(c, one[c]) for c in one.column_names})
 
     schema = ", ".join(f"`{f.name}` {'array<bigint>' if f.name == 'columns' else f.dataType.simpleString()}" for f in matrix.schema)
-    shards = matrix.groupBy("shard").cogroup(numbered.select("shard", "local", "id").groupBy("shard")).applyInArrow(join, schema)
-    return shards, numbered.where("word is not null").select("id", "word")
+    shards = matrix.groupBy("shard").cogroup(numbered.select("shard", "local", "number", "before").groupBy("shard")).applyInArrow(join, schema)
+    first = numbered.where(F.length("new") > 0).select((F.col("before") + F.col("first")).alias("at"), F.posexplode(F.split(F.col("new").cast("string"), " ")).alias("k", "word"))
+    return shards, first.select((F.col("at") + F.col("k")).alias("id"), "word")
 
 
 def row_counts(shards: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -80,7 +80,7 @@ def test_csr_is_the_matrix(spark, sf_dir, monkeypatch):
     """Entries, dictionary and rows of the CSR shards, put together again, are the documents' words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(6)
     shards, dictionary = csr_shards(docs)
-    word = {r.id: bytes(r.word).decode() for r in dictionary.collect()}
+    word = {r.id: r.word for r in dictionary.collect()}
     assert sorted(word) == list(range(len(word))) and len(set(word.values())) == len(word)
     texts = {r.doc_id: Counter(words_of(r.text)) for r in docs.collect()}
     seen = defaultdict(Counter)
@@ -93,19 +93,21 @@ def test_csr_is_the_matrix(spark, sf_dir, monkeypatch):
     assert dict(seen) == texts
 
 
-def test_numbers_go_on_over_batches(monkeypatch):
+def test_numbers_of_buckets(monkeypatch):
+    """Buckets of several shards, over batches cut anywhere: one dense number for each word, told with the row that first has it."""
     import pyarrow as pa
 
     monkeypatch.setattr(filteraudit, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 7)}))}))
-    words = [b"a", b"a", b"b", b"c", b"c", b"c", b"d"]
-    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(range(7), pa.int64()), pa.array([0] * 7, pa.int32())], names=["word", "shard", "local"])
-    for cuts in ([7], [1, 6], [2, 2, 3], [0, 4, 1, 2]):
-        parts, at = [], 0
-        for n in cuts:
-            parts.append(batch.slice(at, n))
-            at += n
-        rows = [r for b in filteraudit._number(iter(parts)) for r in b.to_pylist()]
-        assert [r["number"] for r in rows] == [0, 0, 1, 2, 2, 2, 3]
-        assert [r["word"] for r in rows if r["word"] is not None] == [b"a", b"b", b"c", b"d"]
-        assert {r["part"] for r in rows} == {7}
-    assert np.all([r["shard"] for r in rows] == np.arange(7))
+    shards = {11: [b"a", b"b", b"c", b"d"], 12: [b"c", b"e", b"a"], 13: [], 14: [b"d", b"b"]}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(shards), pa.int64()), pa.array([b" ".join(w) for w in shards.values()], pa.binary())], names=["shard", "words"])
+    rows = sorted((r for b in filteraudit._bucketed(3)(iter([batch])) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    for cuts in (1, 2, len(rows)):
+        parts = [pa.RecordBatch.from_pylist(rows[k : k + cuts]) for k in range(0, len(rows), cuts)]
+        number, told = {}, {}
+        for r in (r for b in filteraudit._number(iter(parts)) for r in b.to_pylist()):
+            assert r["part"] == 7
+            for at, k in zip(np.frombuffer(r["local"], "<i4").tolist(), np.frombuffer(r["number"], "<i8").tolist()):
+                assert number.setdefault(shards[r["shard"]][at], k) == k
+            for k, w in enumerate(r["new"].split()):
+                told[w] = r["first"] + k
+        assert told == number and sorted(number.values()) == list(range(5))
