@@ -34,7 +34,11 @@ FLOOR = (4.0, 6.0, 11.0, 11.0)
 H = 0.75
 #: Rows of a group with an estimate of its own: ten for each statistic.
 LEAST_ROWS = 40
-STARTS, MOST_STEPS = 3, 8
+STARTS = 3
+#: Steps go on until no determinant falls; so many mean that something is wrong, and raise.
+TOO_MANY_STEPS = 500
+#: Steps that the SQL has, which can't loop: more than the tables at hand take (a test says so).
+SQL_STEPS = 14
 #: The 0.999999 quantile of chi-square with 4 degrees of freedom: a statistic alone is an outlier beyond 5.8 deviations.
 CUTOFF = 33.38
 #: Median of chi-square with 4 degrees of freedom, for the scale of the estimate.
@@ -222,11 +226,13 @@ def mcd(rows: DataFrame) -> DataFrame:
     """(lang, source, m_i, l_ij, scale) for the rows (lang, source, *STATS): each group's robust estimate."""
     cells = _cells(rows)
     groups = cut(_starts(cells), "groups")
-    for _ in range(MOST_STEPS):
+    for _ in range(TOO_MANY_STEPS):
         stepped = cut(_concentrated(cells, groups), "groups")
         groups = stepped.drop("moved")
         if stepped.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"determinants still fall after {TOO_MANY_STEPS} steps")
     best = groups.groupBy(*_GROUP).agg(F.min_by(F.struct(*_ESTIMATE), F.struct("det", "start")).alias("best")).select(*_GROUP, "best.*")
     tally = _joined(cells, best, _GROUP).groupBy(*_GROUP, _bin(_distance2()).alias("bin")).agg(F.sum("w").alias("n"))
     w = Window.partitionBy(*_GROUP)  # a row for each bin
@@ -287,7 +293,7 @@ def _oracle() -> str:
 
     sums = ["sum(w) AS n", *[f"sum(w * x{i}) AS s{i}" for i in p], *[f"sum(w * x{i} * x{j}) AS q{i}{j}" for i, j in pairs]]
     steps = []
-    for k in range(MOST_STEPS):
+    for k in range(SQL_STEPS):
         total = [f"coalesce(sum({c}) FILTER (before + n <= h), 0)::DOUBLE + coalesce(max({c} * ((h - before) / n)) FILTER (before + n > h), 0.0) AS {c}" for c in moments]
         steps.append(
             f"b{k} AS MATERIALIZED (SELECT *, sum(n) OVER (w ORDER BY bin ROWS UNBOUNDED PRECEDING) - n AS before, ceil({H} * sum(n) OVER w) AS h FROM (SELECT level, lang, source, start, bin, {', '.join(sums)} FROM ({bins(f'g{k}')}) GROUP BY ALL) WINDOW w AS (PARTITION BY level, lang, source, start)),\n"
@@ -318,7 +324,7 @@ mid0 AS MATERIALIZED (SELECT c.level, c.lang, c.source, {', '.join(f'any_value(m
 g0 AS MATERIALIZED ({diagonal(0, lambda i: f"greatest(d{i} * 1.4826, {FLOOR[i]})")} UNION ALL {diagonal(1, lambda i: f"{FLOOR[i]}")}
     UNION ALL SELECT * REPLACE ('infinity'::DOUBLE AS det) FROM {factor(f"(SELECT level, lang, source, 2 AS start, {', '.join(sums)} FROM cells GROUP BY ALL)")}),
 {(',' + chr(10)).join(steps)},
-best AS MATERIALIZED (SELECT * EXCLUDE (start) FROM g{MOST_STEPS} QUALIFY row_number() OVER (PARTITION BY level, lang, source ORDER BY det, start) = 1),
+best AS MATERIALIZED (SELECT * EXCLUDE (start) FROM g{SQL_STEPS} QUALIFY row_number() OVER (PARTITION BY level, lang, source ORDER BY det, start) = 1),
 tally AS (SELECT level, lang, source, bin, sum(w) AS n FROM ({bins('best')}) GROUP BY ALL),
 upto AS (SELECT *, sum(n) OVER (w ORDER BY bin ROWS UNBOUNDED PRECEDING) AS u, sum(n) OVER w AS size FROM tally WINDOW w AS (PARTITION BY level, lang, source)),
 mid AS (SELECT level, lang, source, greatest(1.0, (exp((min(bin) FILTER (2 * u >= size) + 1) / {float(BINS_PER_E)}) - 1) / {CHI2_MEDIAN}) AS scale, max(size) AS size FROM upto GROUP BY ALL),

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 
 from eventlab.llm import quality
 from eventlab.llm.quality import quality_rules
@@ -134,3 +135,32 @@ def test_small_groups_take_the_language(spark):
     rows += [(500 + i, " ".join(word() + "$$$" for _ in range(100)), "en", "small") for i in range(3)] + [(600, " ".join(word() for _ in range(100)), "en", "small")]
     out = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert out[600] and not any(out[500 + i] for i in range(3))
+
+
+def counted_steps(monkeypatch):
+    steps, real = [], quality._concentrated
+    monkeypatch.setattr(quality, "_concentrated", lambda cells, groups: steps.append(1) or real(cells, groups))
+    return steps
+
+
+def test_steps_go_on_until_nothing_falls(spark, monkeypatch):
+    """A group that takes more than eight steps: a further step from its estimate lowers no determinant."""
+    steps = counted_steps(monkeypatch)
+    x = [(i * i // 40, (i * 7) % 60 * (i > 300), (i * i // 300) % 50, i % 40) for i in range(900)]
+    mean, low = estimate(spark, x)
+    assert len(steps) > 9
+    x = np.array(x, float)
+    d2 = ((np.linalg.solve(low, (x - mean).T)) ** 2).sum(0)
+    nearest = x[np.argsort(d2, kind="stable")[: int(np.ceil(quality.H * len(x)))]]
+    again = np.linalg.det(np.cov(nearest.T, bias=True) + np.diag(np.array(quality.FLOOR) ** 2))
+    assert again >= np.linalg.det(low @ low.T) * 0.99  # bins are a little coarser than ranks
+    monkeypatch.setattr(quality, "TOO_MANY_STEPS", 3)
+    with pytest.raises(RuntimeError, match="3 steps"):
+        estimate(spark, x)
+
+
+def test_sql_has_steps_enough(spark, sf_dir, monkeypatch):
+    """The tables take fewer steps than the SQL has, so it gives what the loop gives."""
+    steps = counted_steps(monkeypatch)
+    quality_rules(spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet")).count()
+    assert 1 < len(steps) < quality.SQL_STEPS
