@@ -13,13 +13,34 @@ RESERVED = "_df"
 _PARTS = "type string, properties map<string,string>, required array<string>, items string"
 
 
-def schema_fields(docs: DataFrame, depth: int = 4) -> DataFrame:
-    """(subject, version, path, type, required, fragment) of documents (subject, version, doc): nested objects and array items to ``depth`` levels.
+#: Levels of a document; a deeper one raises.
+MOST_LEVELS = 64
 
-    A document is read once: each level is an array made of the one before, in the document's own row.
+
+def _levels(docs: DataFrame) -> int:
+    """How many ``properties`` and ``items`` are open at once in the deepest document; what only looks like one can make it too many, never too few."""
+    tokens = F.regexp_extract_all("doc", F.lit(r'("(?:properties|items)"\s*:\s*\{|"(?:\\.|[^"\\])*"|[{}])'), F.lit(1))
+
+    def step(acc: Column, token: Column) -> Column:
+        stack = F.when(token == "}", F.substring(acc["stack"], F.lit(2), F.length(acc["stack"]))).when(token.endswith("{"), F.concat(F.when(token == "{", "-").otherwise("+"), acc["stack"])).otherwise(acc["stack"])
+        return F.struct(stack.alias("stack"), F.greatest(acc["most"], F.length(F.replace(stack, F.lit("-"), F.lit("")))).alias("most"))
+
+    most = F.aggregate(tokens, F.struct(F.lit("").alias("stack"), F.lit(0).alias("most")), step)["most"]
+    levels = docs.agg(F.coalesce(F.max(most), F.lit(0))).first()[0]
+    if levels > MOST_LEVELS:
+        raise ValueError(f"a document has {levels} levels; {MOST_LEVELS} are read")
+    return levels
+
+
+def schema_fields(docs: DataFrame) -> DataFrame:
+    """(subject, version, path, type, required, fragment) of documents (subject, version, doc): fields of nested objects and of array items, arrays of arrays included, to any depth.
+
+    The rows are made from a document in its own row: each level is an array made of the one before.  A job ahead finds how many levels
+    there are; documents of more than MOST_LEVELS raise.
     """
+    levels = max(_levels(docs), 1)
     df = docs.select("subject", "version", F.array(F.struct(F.lit("").alias("at"), F.col("doc").alias("doc"))).alias("_l"))
-    for k in range(depth):
+    for k in range(levels):
         df = df.withColumn("_l", F.transform("_l", lambda d: F.struct(d["at"].alias("at"), F.from_json(d["doc"], _PARTS).alias("p"))))
 
         def fields(d: Column) -> Column:
@@ -35,8 +56,10 @@ def schema_fields(docs: DataFrame, depth: int = 4) -> DataFrame:
                 f["q"]["type"] == "array", F.struct(F.concat(f["path"], F.lit("[]")).alias("at"), f["q"]["items"].alias("doc"))
             ),
         )
-        df = df.withColumn("_l", F.filter(inner, lambda d: d["doc"].isNotNull()))
-    every = F.concat(*[F.col(f"_f{k}") for k in range(depth)])
+        # items that are arrays themselves have no fields of their own
+        items = F.transform("_l", lambda d: F.when(d["p"]["type"] == "array", F.struct(F.concat(d["at"], F.lit("[]")).alias("at"), d["p"]["items"].alias("doc"))))
+        df = df.withColumn("_l", F.filter(F.concat(inner, items), lambda d: d["doc"].isNotNull()))
+    every = F.concat(*[F.col(f"_f{k}") for k in range(levels)])
     return df.select("subject", "version", F.explode(every).alias("_f")).select("subject", "version", "_f.path", F.col("_f.q.type").alias("type"), "_f.required", "_f.fragment")
 
 
@@ -202,18 +225,19 @@ def cutover_position(df: DataFrame, version: int) -> DataFrame:
     return df.where(F.col("version") >= version).groupBy("stream_id", "shard_id").agg(F.min("sequence_no").alias("sequence_no"))
 
 
+def _object(v: Column) -> Column:
+    """The members of a variant; null if it isn't an object."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 def detect_drift(df: DataFrame, fields: DataFrame) -> DataFrame:
-    """(id, path, known_from) of payload keys that an event's version doesn't have and a later one has; rows are (id, subject, version, payload map)."""
-    keys = df.select("id", "subject", "version", F.explode(F.map_keys("payload")).alias("path"))
+    """(id, path, known_from) of payload keys that an event's version doesn't have and a later one has; rows are (id, subject, version, payload as JSON text)."""
+    keys = df.select("id", "subject", "version", F.explode(F.map_keys(_object(F.try_parse_json("payload")))).alias("path"))
     unknown = keys.join(fields.select("subject", "version", "path"), ["subject", "version", "path"], "left_anti")
     later = fields.select("subject", "path", F.col("version").alias("_v"))
     return unknown.join(later, ["subject", "path"]).where("_v > version").groupBy("id", "path").agg(F.min("_v").alias("known_from"))
 
 
-#: What a JSON text must look like for a type (fixed values).
-TYPE_PATTERNS = {"string": r'^"', "integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?$", "boolean": r"^(true|false)$"}
-
-
 #: What a text must look like for a format (fixed values).
 FORMATS = {
     "date": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$",
@@ -224,46 +248,81 @@ _RULES = "pattern string, `enum` array<string>, `const` string, format string, m
 
 
 def _reason(v: Column, rule: Column) -> Column:
-    """Why a leaf's JSON text doesn't meet its rule; null if it does."""
-    r, inner = rule["rule"], F.when(v.startswith('"'), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
+    """Why a value doesn't meet its rule; null if it does.  Types are those of JSON: a number may have an exponent, and a whole one is an integer however it is written."""
+    r, kind = rule["rule"], F.schema_of_variant(v)
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
+    whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\(\d+,\s*0\)") | (kind.rlike("^(DOUBLE|FLOAT)") & (number == F.floor(number)))
+    text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+    is_type = {"string": kind == "STRING", "boolean": kind == "BOOLEAN", "object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "number": number.isNotNull(), "integer": number.isNotNull() & whole}
     wrong, bad_format = F.lit(False), F.lit(False)
-    for t, pattern in TYPE_PATTERNS.items():
-        wrong = wrong | ((rule["type"] == t) & ~v.rlike(pattern))
+    for t, ok in is_type.items():
+        wrong = wrong | ((rule["type"] == t) & ~ok)
     for f, pattern in FORMATS.items():
-        bad_format = bad_format | ((r["format"] == f) & ~inner.rlike(pattern))
-    number, text = F.expr("try_cast(NULL AS double)"), v.startswith('"')
-    number = F.when(~text, inner.try_cast("double")).otherwise(number)
+        bad_format = bad_format | ((r["format"] == f) & ~text.rlike(pattern))
+
+    def equals(listed: Column) -> Column:
+        """Texts by themselves, numbers by value."""
+        return F.coalesce(F.when(number.isNotNull(), listed.try_cast("double") == number).otherwise(listed == F.try_variant_get(v, "$", "string")), F.lit(False))
+
     return (
         F.when(rule.isNull(), "extra")
-        .when(v == "null", "null")
+        .when(kind == "VOID", "null")
         .when(wrong, "type")
-        .when(r["enum"].isNotNull() & ~F.array_contains(r["enum"], inner), "enum")
-        .when(r["const"].isNotNull() & (r["const"] != inner), "const")
-        .when(r["pattern"].isNotNull() & ~F.regexp_like(inner, r["pattern"]), "pattern")
+        .when(r["enum"].isNotNull() & ~F.exists(r["enum"], equals), "enum")
+        .when(r["const"].isNotNull() & ~equals(r["const"]), "const")
+        .when(r["pattern"].isNotNull() & ~F.regexp_like(text, r["pattern"]), "pattern")
         .when(bad_format, "format")
-        .when(text & ((F.length(inner) < r["minLength"]) | (F.length(inner) > r["maxLength"])), "length")
+        .when((F.length(text) < r["minLength"]) | (F.length(text) > r["maxLength"]), "length")
         .when((number < r["minimum"]) | (number > r["maximum"]), "range")
     )
 
 
+def _rules(fields: DataFrame, levels: int) -> DataFrame:
+    """(subject, version, _rules, _needed): each path's rule, that of items included, and (at, name) of what an object at a path must have."""
+    node = lambda path, fragment: F.struct(path.alias("path"), F.struct(F.get_json_object(fragment, "$.type").alias("type"), F.from_json(fragment, _RULES).alias("rule")).alias("r"))
+    own, path, fragment = [], F.col("path"), F.col("fragment")
+    for _ in range(levels + 1):
+        own.append(F.when(fragment.isNotNull(), node(path, fragment)))
+        path, fragment = F.concat(path, F.lit("[]")), F.get_json_object(fragment, "$.items")
+    need = F.when(F.col("required"), F.struct(F.regexp_extract("path", r"^(.*)[.][^.]*$", 1).alias("at"), F.regexp_extract("path", r"([^.]*)$", 1).alias("name")))
+    rules = fields.select("subject", "version", F.array_compact(F.array(*own)).alias("own"), need.alias("need"))
+    return rules.groupBy("subject", "version").agg(F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("own")))).alias("_rules"), F.collect_list("need").alias("_needed"))
+
+
 def with_reasons(df: DataFrame, fields: DataFrame) -> DataFrame:
-    """``df`` with ``reasons``: (path, reason) of leaves that don't meet their schema and of required fields that lack.
+    """``df`` with ``reasons``: (path, reason) of values that don't meet their schema and of required fields that lack.
 
-    Rows are (id, subject, version, payload map).  The rules of a document come as one map, so ``df`` meets the
-    registry in one join, and every leaf is judged in its own row.
+    Rows are (id, subject, version, payload as JSON text).  The payload is read as a variant and judged level by level: what an object requires
+    is asked where that object is, each item of an array is judged, and below a value that is unknown or of another type nothing is.
+    A path has one entry for each reason.  An event of an unknown subject or version, or whose payload isn't a JSON object, has that as its
+    reason, with an empty path.  The rules of a document come as one map, so ``df`` meets the registry in one join, and everything else happens in the event's own row.
     """
-    rule = F.struct("type", F.from_json("fragment", _RULES).alias("rule"))
-    # numbers in enum are compared as texts
-    per = fields.groupBy("subject", "version").agg(
-        F.map_from_entries(F.collect_list(F.struct("path", rule.alias("r")))).alias("_rules"),
-        F.collect_list(F.when(F.col("required"), F.col("path"))).alias("_needed"),
-    )
-    both = df.join(per, ["subject", "version"], "left")
-    leaves = F.transform(F.map_entries("payload"), lambda e: F.struct(e["key"].alias("path"), _reason(e["value"], F.element_at(F.col("_rules"), e["key"])).alias("reason")))
-    lacking = F.transform(F.filter("_needed", lambda p: ~F.array_contains(F.map_keys("payload"), p)), lambda p: F.struct(p.alias("path"), F.lit("missing").alias("reason")))
-    none = F.array().cast("array<struct<path:string,reason:string>>")
-    every = F.concat(F.coalesce(F.filter(leaves, lambda x: x["reason"].isNotNull()), none), F.coalesce(lacking, none))
-    return both.withColumn("reasons", F.array_sort(every)).select(*df.columns, "reasons")
+    deep = F.length(F.regexp_replace("path", r"[^.\[]", ""))  # objects and arrays that a path goes through
+    levels = fields.agg(F.coalesce(F.max(deep), F.lit(0))).first()[0] + 2  # the field itself, and its items
+    both = df.join(_rules(fields, levels), ["subject", "version"], "left").withColumn("_root", F.try_parse_json("payload"))
+    reason = "struct<path:string,reason:string>"
+    none = F.array().cast(f"array<{reason}>")
+    whole = F.when(F.col("_rules").isNull(), "unknown schema").when(_object(F.col("_root")).isNull(), "not an object")
+    both = both.withColumn("_n", F.when(whole.isNull(), F.array(F.struct(F.lit("").alias("at"), F.col("_root").alias("v")))).otherwise(F.array().cast("array<struct<at:string,v:variant>>")))
+    found = [F.when(whole.isNotNull(), F.array(F.struct(F.lit("").alias("path"), whole.alias("reason")))).otherwise(none)]
+    for k in range(levels):
+
+        def lacking(n: Column) -> Column:
+            names = F.map_keys(_object(n["v"]))
+            gone = F.filter("_needed", lambda x: (x["at"] == n["at"]) & ~F.array_contains(names, x["name"]))
+            return F.coalesce(F.transform(gone, lambda x: F.struct(F.concat(n["at"], F.when(n["at"] != "", ".").otherwise(""), x["name"]).alias("path"), F.lit("missing").alias("reason"))), none)
+
+        def below(n: Column) -> Column:
+            members = F.transform(F.map_entries(_object(n["v"])), lambda e: F.struct(F.concat(n["at"], F.when(n["at"] != "", ".").otherwise(""), e["key"]).alias("at"), e["value"].alias("v")))
+            items = F.transform(F.try_variant_get(n["v"], "$", "array<variant>"), lambda v: F.struct(F.concat(n["at"], F.lit("[]")).alias("at"), v.alias("v")))
+            return F.coalesce(members, items, F.array().cast("array<struct<at:string,v:variant>>"))
+
+        judged = F.transform(F.flatten(F.transform("_n", below)), lambda c: F.struct(c["at"].alias("at"), c["v"].alias("v"), _reason(c["v"], F.element_at(F.col("_rules"), c["at"])).alias("why")))
+        both = both.withColumn(f"_lack{k}", F.flatten(F.transform("_n", lacking))).withColumn("_j", judged)
+        both = both.withColumn(f"_bad{k}", F.transform(F.filter("_j", lambda j: j["why"].isNotNull()), lambda j: F.struct(j["at"].alias("path"), j["why"].alias("reason"))))
+        both = both.withColumn("_n", F.transform(F.filter("_j", lambda j: j["why"].isNull()), lambda j: F.struct(j["at"].alias("at"), j["v"].alias("v"))))
+        found += [F.col(f"_lack{k}"), F.col(f"_bad{k}")]
+    return both.withColumn("reasons", F.array_sort(F.array_distinct(F.concat(*found)))).select(*df.columns, "reasons")
 
 
 def dlq_split(df: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -273,7 +332,31 @@ def dlq_split(df: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repair(bad: DataFrame, records: DataFrame) -> DataFrame:
-    """Rows with the recorded originals (id, path, original) put back."""
-    per = records.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("path", "original"))).alias("_old"))
-    back = F.map_zip_with("payload", "_old", lambda k, now, old: F.coalesce(old, now))
-    return bad.join(per, "id", "left").withColumn("payload", F.when(F.col("_old").isNull(), F.col("payload")).otherwise(back)).drop("_old")
+    """Rows with the recorded originals (id, path, original as JSON text) put back: members of the payload, or of objects in it (``a.b``).
+
+    A path through something that isn't an object is left alone.
+    """
+    step = F.split("path", r"[.]")
+    records = records.select("id", F.struct(step.alias("steps"), F.parse_json("original").alias("value")).alias("_o"), F.size(step).alias("_deep"))
+    per = records.groupBy("id").agg(F.collect_list("_o").alias("_old"), F.max("_deep").alias("_deep"))
+    deepest = records.agg(F.coalesce(F.max("_deep"), F.lit(1))).first()[0]
+
+    def put(v: Column, olds: Column, left: int) -> Column:
+        """The variant ``v`` with the values of ``olds`` at their steps."""
+        now, none = _object(v), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+        here = F.filter(olds, lambda o: F.size(o["steps"]) == 1)
+        fresh = F.map_from_entries(F.transform(here, lambda o: F.struct(o["steps"][0].alias("key"), o["value"].alias("value"))))
+        out = F.map_concat(F.map_filter(F.coalesce(now, none), lambda k, x: ~F.map_contains_key(fresh, k)), fresh)
+        if left > 1:
+
+            def inner(k: Column, x: Column) -> Column:
+                own = F.filter(olds, lambda o: (F.size(o["steps"]) > 1) & (o["steps"][0] == k))
+                own = F.transform(own, lambda o: F.struct(F.slice(o["steps"], F.lit(2), F.size(o["steps"])).alias("steps"), o["value"].alias("value")))
+                return F.when(F.size(own) > 0, put(x, own, left - 1)).otherwise(x)
+
+            out = F.transform_values(out, inner)
+        return F.when(now.isNotNull(), F.to_variant_object(out)).otherwise(v)
+
+    both = bad.join(per.drop("_deep"), "id", "left")
+    back = F.to_json(put(F.try_parse_json("payload"), F.col("_old"), deepest))
+    return both.withColumn("payload", F.when(F.col("_old").isNull(), F.col("payload")).otherwise(F.coalesce(back, F.col("payload")))).drop("_old")

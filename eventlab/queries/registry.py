@@ -151,8 +151,36 @@ def r13(spark, sf):
     return R.cutover_position(R.apply_cutover(df, upgrades(spark, sf), {}), 3)
 
 
+#: Each part also has a lot, whose document is nested: objects and items that require something, and arrays of arrays.
+_LOT = """{"type":"object","additionalProperties":false,"required":["id"],"properties":{"id":{"type":"integer"},"size":{"type":"number","maximum":100},
+    "box":{"type":"object","additionalProperties":false,"required":["w"],"properties":{"w":{"type":"integer"},"lid":{"type":"object","additionalProperties":false,"required":["c"],"properties":{"c":{"type":"string","enum":["red","blue"]}}}}},
+    "tags":{"type":"array","items":{"type":"object","additionalProperties":false,"required":["t"],"properties":{"t":{"type":"string"}}}},
+    "grid":{"type":"array","items":{"type":"array","items":{"type":"integer"}}}}}"""
+#: Payloads of lots and why they are bad, one of them for each number modulo their count; null stands for one without a registered version.
+_LOTS = [
+    ('{"id":7}', ""), ('{"id":7,"box":{"w":1}}', ""), ('{"id":7,"box":{"w":"x"}}', "box.w:type"), ('{"id":7,"box":{}}', "box.w:missing"), ('{"id":7,"size":1e2}', ""), ('{"id":1.0,"size":1.5E1}', ""), ('{"id":1.5}', "id:type"),
+    ('{"id":7,"tags":[{"t":"a"},{}]}', "tags[].t:missing"), ('{"id":7,"tags":[{"t":1},{"t":"b"},{"t":2},{"t":"c","u":2}]}', "tags[].t:type,tags[].u:extra"), ('{"id":7,"box":5,"tags":{}}', "box:type,tags:type"), ('{"id":7,"size":1e3}', "size:range"),
+    ('{"id":7,"grid":[[1,2],[],["x"]]}', "grid[][]:type"), ('{"id":7,"grid":[[1],2,null]}', "grid[]:null,grid[]:type"), ('{"id":7,"box":{"w":1,"lid":{"c":"green"}}}', "box.lid.c:enum"), ('{"id":7,"box":{"lid":{}}}', "box.lid.c:missing,box.w:missing"),
+    ('{"box":{"w":1}}', "id:missing"), ("[7]", ":not an object"), ("{id}", ":not an object"), (None, ":unknown schema"),
+]
+
+
+def _lots(spark, sf):
+    """Rows of lots, with ids after those of parts."""
+    kind = F.col("p_partkey") % len(_LOTS)
+    payload = F.coalesce(*[F.when(kind == k, F.lit(p or '{"id":7}')) for k, (p, _) in enumerate(_LOTS)])
+    version = F.when(kind == len(_LOTS) - 1, 9).otherwise(1)
+    return table(spark, sf, "part").select((F.col("p_partkey") + 2**40).alias("id"), F.concat(F.lit("lot."), F.col("p_partkey").cast("string")).alias("subject"), version.alias("version"), payload.alias("payload"))
+
+
+def all_fields(spark, sf):
+    """Fields of parts and lots."""
+    lots = table(spark, sf, "part").select(F.concat(F.lit("lot."), F.col("p_partkey").cast("string")).alias("subject"), F.lit(1).alias("version"), F.lit(_LOT).alias("doc"))
+    return R.schema_fields(docs(spark, sf).select("subject", "version", "doc").unionByName(lots))
+
+
 def _rows(spark, sf):
-    """Each part as a row of its first version, some with faults."""
+    """Each part as a row of its first version, some with faults, and each lot."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     n = F.col("id").cast("string")
     payload = F.map_from_entries(F.array_compact(F.array(
@@ -164,7 +192,8 @@ def _rows(spark, sf):
         F.when(F.col("id") % 6 == 1, F.struct(F.lit("size").alias("k"), F.lit("1.5").alias("v"))),
         F.when(F.col("id") % 15 == 4, F.struct(F.lit("zzz").alias("k"), F.lit("1").alias("v"))))))
     payload = F.when(F.col("id") % 10 == 2, F.map_filter(payload, lambda k, v: k != "id")).otherwise(payload)
-    return p.select("id", F.concat(F.lit("part."), n).alias("subject"), F.lit(1).alias("version"), payload.alias("payload"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(payload), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    return p.select("id", F.concat(F.lit("part."), n).alias("subject"), F.lit(1).alias("version"), text.alias("payload")).unionByName(_lots(spark, sf))
 
 
 @query("r14_detect_drift", "SELECT p_partkey AS id, 'size' AS path, 2 AS known_from FROM part WHERE p_partkey % 6 = 1")
@@ -175,11 +204,14 @@ def r14(spark, sf):
 _WHY = """SELECT p_partkey AS id, unnest(list_filter([CASE WHEN p_partkey % 10 = 0 THEN 'id:type' WHEN p_partkey % 10 = 1 THEN 'id:null' WHEN p_partkey % 10 = 2 THEN 'id:missing' WHEN p_partkey % 20 = 13 THEN 'id:range' END,
     CASE p_partkey % 20 WHEN 9 THEN 'name:pattern' WHEN 15 THEN 'name:length' WHEN 3 THEN 'kind:enum' WHEN 5 THEN 'unit:const' WHEN 7 THEN 'at:format' END, CASE WHEN p_partkey % 6 = 1 THEN 'size:extra' END,
     CASE WHEN p_partkey % 15 = 4 THEN 'zzz:extra' END], lambda x: x IS NOT NULL)) AS why FROM part"""
+#: What r15 and its streaming form find.
+DLQ = f"""SELECT id, string_agg(why, ',' ORDER BY why) AS why FROM ({_WHY}) GROUP BY id UNION ALL SELECT p_partkey, 'good' FROM part WHERE p_partkey NOT IN (SELECT id FROM ({_WHY}))
+    UNION ALL SELECT p_partkey + {2**40}, [{", ".join(f"'{w or 'good'}'" for _, w in _LOTS)}][CAST(p_partkey % {len(_LOTS)} + 1 AS BIGINT)] FROM part"""
 
 
-@query("r15_dlq_split", f"SELECT id, string_agg(why, ',' ORDER BY why) AS why FROM ({_WHY}) GROUP BY id UNION ALL SELECT p_partkey, 'good' FROM part WHERE p_partkey NOT IN (SELECT id FROM ({_WHY}))")
+@query("r15_dlq_split", DLQ)
 def r15(spark, sf):
-    return why(*R.dlq_split(_rows(spark, sf), S.cut(fields(spark, sf), "fields")))
+    return why(*R.dlq_split(_rows(spark, sf), S.cut(all_fields(spark, sf), "fields")))
 
 
 def why(good, bad):
@@ -187,14 +219,18 @@ def why(good, bad):
     return bad.select("id", text.alias("why")).unionByName(good.select("id", F.lit("good").alias("why")))
 
 
-#: What r15 and its streaming form find.
-DLQ = f"SELECT id, string_agg(why, ',' ORDER BY why) AS why FROM ({_WHY}) GROUP BY id UNION ALL SELECT p_partkey, 'good' FROM part WHERE p_partkey NOT IN (SELECT id FROM ({_WHY}))"
+#: What is put back into bad rows, by path.
+_OLD_LOTS = {2: ("box.w", "4"), 3: ("box.w", "4"), 6: ("id", "8"), 13: ("box.lid.c", '"blue"')}
 
 
-@query("r17_reprocess_dlq", "SELECT p_partkey AS id, p_partkey::VARCHAR AS v FROM part WHERE p_partkey % 10 IN (0, 1) AND p_partkey % 6 <> 1 AND p_partkey % 15 <> 4")
+@query("r17_reprocess_dlq", f"""SELECT p_partkey AS id, p_partkey::VARCHAR AS v, NULL AS box FROM part WHERE p_partkey % 10 IN (0, 1) AND p_partkey % 6 <> 1 AND p_partkey % 15 <> 4
+    UNION ALL SELECT p_partkey + {2**40}, CASE WHEN k = 6 THEN '8' ELSE '7' END, CASE WHEN k IN (2, 3) THEN '{{"w":4}}' WHEN k = 13 THEN '{{"lid":{{"c":"blue"}},"w":1}}' END FROM (SELECT p_partkey, p_partkey % {len(_LOTS)} AS k FROM part) WHERE k IN (2, 3, 6, 13)""")
 def r17(spark, sf):
-    f = S.cut(fields(spark, sf), "fields")
+    f = S.cut(all_fields(spark, sf), "fields")
     bad = S.cut(R.dlq_split(_rows(spark, sf), f)[1], "bad")
-    rec = bad.where("id % 10 in (0, 1)").select("id", F.lit("id").alias("path"), F.col("id").cast("string").alias("original"))
+    rec = bad.where("id % 10 in (0, 1) and subject like 'part.%'").select("id", F.lit("id").alias("path"), F.col("id").cast("string").alias("original"))
+    kind = (F.col("id") - 2**40) % len(_LOTS)
+    for k, (path, original) in _OLD_LOTS.items():
+        rec = rec.unionByName(bad.where(F.col("subject").startswith("lot.") & (kind == k)).select("id", F.lit(path).alias("path"), F.lit(original).alias("original")))
     good, _ = R.dlq_split(R.repair(bad.drop("reasons"), rec), f)
-    return good.select("id", F.element_at("payload", F.lit("id")).alias("v"))
+    return good.select("id", F.get_json_object("payload", "$.id").alias("v"), F.get_json_object("payload", "$.box").alias("box"))

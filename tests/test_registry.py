@@ -26,7 +26,7 @@ def test_documents_are_read_once(spark, sf_dir):
     docs = part.select(F.concat(F.lit("s"), "p_partkey").alias("subject"), F.lit(1).alias("version"), F.lit('{"properties":{"id":{"type":"integer"}}}').alias("doc"))
     fields = R.schema_fields(docs)
     assert len(re.findall("Relation", plan(fields))) == 1
-    rows = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("s"), "p_partkey").alias("subject"), F.lit(1).alias("version"), F.create_map(F.lit("id"), F.lit("1")).alias("payload"))
+    rows = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("s"), "p_partkey").alias("subject"), F.lit(1).alias("version"), F.lit('{"id":1}').alias("payload"))
     for df in R.dlq_split(rows, fields):
         assert len(re.findall("Relation", plan(df))) == 2  # the rows and the documents
 
@@ -64,3 +64,47 @@ def test_windows_by_ranges(spark):
     want = df.withColumn("l", F.lag("v").over(w)).withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("m", F.max("id").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     got = with_running(with_running(with_lag(df, ["k"], ["v", "id"], "v", "l"), ["k"], ["v", "id"], F.col("v"), "sum", "s"), ["k"], ["v", "id"], F.col("id"), "max", "m")
     assert sorted(map(tuple, got.select("k", "id", "v", "l", "s", "m").collect()), key=lambda r: r[1]) == sorted(map(tuple, want.select("k", "id", "v", "l", "s", "m").collect()), key=lambda r: r[1])
+
+
+def test_any_depth(spark):
+    """Six levels, arrays of arrays, names that look like keywords, braces in texts; too deep raises."""
+    doc = {"type": "string"}
+    for k in range(6):
+        doc = closed(**{f"f{k}": doc, "note": {"type": "string", "pattern": "^[{}]*$"}})
+    grid = closed(g={"type": "array", "items": {"type": "array", "items": {"type": "array", "items": closed(items={"type": "integer"}, properties={"type": "string"})}}})
+    _, fields = fields_of(spark, ("deep", 1, doc), ("grid", 1, grid))
+    got = {(r.subject, r.path) for r in fields.collect()}
+    steps = [".".join(f"f{j}" for j in range(5, k - 1, -1)) for k in range(5, -1, -1)]
+    want = {("deep", p) for p in steps} | {("deep", "note")} | {("deep", f"{p}.note") for p in steps[:-1]} | {("grid", p) for p in ("g", "g[][][].items", "g[][][].properties")}
+    assert got == want
+    for _ in range(R.MOST_LEVELS):
+        doc = closed(x=doc)
+    try:
+        fields_of(spark, ("deeper", 1, doc))
+    except ValueError as e:
+        assert "levels" in str(e)
+    else:
+        raise AssertionError("no error")
+
+
+def test_reasons_of_nested_payloads(spark):
+    doc = closed(id={"type": "integer"}, n={"type": "number", "enum": [1.5, 2]}, box=closed(w={"type": "integer"}) | {"required": ["w"]}, tags={"type": "array", "items": closed(t={"type": "string"}) | {"required": ["t"]}}, flags={"type": "array", "items": {"type": "boolean"}}) | {"required": ["id"]}
+    _, fields = fields_of(spark, ("s", 1, doc))
+    cases = [
+        ('{"id":7}', []), ('{"id":7.0,"n":2.0}', []), ('{"id":7e0,"n":15e-1}', []), ('{"id":7,"n":3}', ["n:enum"]), ('{"id":"7"}', ["id:type"]), ('{"id":null}', ["id:null"]), ("{}", ["id:missing"]),
+        ('{"id":7,"box":{"w":1,"x":{"y":1}}}', ["box.x:extra"]), ('{"id":7,"box":null}', ["box:null"]), ('{"id":7,"tags":[]}', []), ('{"id":7,"tags":[5,{"t":null}]}', ["tags[].t:null", "tags[]:type"]),
+        ('{"id":7,"flags":[true,0,"x"]}', ["flags[]:type"]), ('"text"', [":not an object"]), (None, [":not an object"]), ("{", [":not an object"]),
+        ('{"id":123456789012345678901234567890}', []), ('{"id":-0.5}', ["id:type"]),
+    ]
+    rows = spark.createDataFrame([(k, "s", 1, p) for k, (p, _) in enumerate(cases)] + [(100, "s", 2, "{}"), (101, "t", 1, "{}")], "id long, subject string, version int, payload string")
+    good, bad = R.dlq_split(rows, fields)
+    got = {r.id: sorted(f"{x.path}:{x.reason}" for x in r.reasons) for r in bad.collect()}
+    assert got == {k: sorted(w) for k, (_, w) in enumerate(cases) if w} | {100: [":unknown schema"], 101: [":unknown schema"]}
+    assert {r.id for r in good.collect()} == {k for k, (_, w) in enumerate(cases) if not w}
+
+
+def test_repair_puts_back_at_any_depth(spark):
+    bad = spark.createDataFrame([(1, '{"a":1,"b":{"c":{"d":2},"e":[3]}}'), (2, '{"a":1}'), (3, "[1]"), (4, '{"b":5}')], "id long, payload string")
+    rec = spark.createDataFrame([(1, "b.c.d", "20"), (1, "a", '"x"'), (1, "b.f", "null"), (2, "new", "[1,2]"), (3, "a", "1"), (4, "b.c", "1")], "id long, path string, original string")
+    got = {r.id: json.loads(r.payload) for r in R.repair(bad, rec).collect()}
+    assert got == {1: {"a": "x", "b": {"c": {"d": 20}, "e": [3], "f": None}}, 2: {"a": 1, "new": [1, 2]}, 3: [1], 4: {"b": 5}}
