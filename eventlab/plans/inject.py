@@ -103,6 +103,14 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
 
     ``menu`` has the fields that an event type's next version adds, with JSON texts.
     """
+    df = label_content(df, policy, seed, menu)
+    if policy.get("out_of_order"):
+        df = _disorder(df, policy["out_of_order"], seed)
+    return label_late(df, policy, seed).withColumnRenamed("_records", "records")
+
+
+def label_content(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """The part of ``label`` that looks at one row at a time, but for lateness: instances with payload, missing and ``_records``; ``df`` may be a stream."""
     check_policy(policy)
     key = D.subseed(seed, "chaos")
     df = df.withColumn("_records", F.array().cast("array<struct<mode:string,copies:int,path:string,original:string,delay_ms:bigint,displaced_from:bigint,fields_added:array<string>>>"))
@@ -159,14 +167,16 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
         df = _settle(df, _added=F.when(_hit(key, "schema_drift", p, dup) & ~F.col("missing"), F.element_at(added, F.col("event_type"))))
         df = _add(df, F.col("_added").isNotNull(), _record("schema_drift", fields_added=F.map_keys("_added")))
         df = df.withColumn("payload", F.when(F.col("_added").isNotNull(), F.map_concat("payload", F.coalesce("_added", F.create_map().cast("map<string,string>")))).otherwise(F.col("payload"))).drop("_added")
-    df = df.drop("_free", "_hit", "_path", "_old", "_new", "_u", "_kind")
+    return df.drop("_free", "_hit", "_path", "_old", "_new", "_u", "_kind")
 
-    p = policy.get("out_of_order", {})
-    if p:
-        df = _disorder(df, p, key)
+
+def label_late(df: DataFrame, policy: Mapping[str, Mapping], seed: int) -> DataFrame:
+    """Instances with ``due_at``, null for those that aren't held back; ``df`` may be a stream."""
+    key = D.subseed(seed, "chaos")
     p = policy.get("late_arriving", {})
     df = df.withColumn("due_at", F.lit(None).cast("timestamp_ntz"))
     if p:
+        dup = F.col("duplicate_index")
         hit = _hit(key, "late_arriving", p, dup) & ~F.col("missing")
         kind = p.get("delay", {"kind": "uniform", "min": 60, "max": 3600})
         seconds = D.dist(kind["kind"], D.prf_u(key, "late_arriving", F.col("event_id"), "delay", dup), **{k: v for k, v in kind.items() if k != "kind"})
@@ -175,25 +185,35 @@ def label(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu: Mapping
         df = _settle(df, _ms=F.when(hit, F.floor(seconds * 1000).cast("bigint")))
         df = _add(df, F.col("_ms").isNotNull(), _record("late_arriving", delay_ms=F.col("_ms")))
         df = df.withColumn("due_at", F.when(F.col("_ms").isNotNull(), F.col("emitted_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("_ms").cast("decimal(18,6)") / float(1000 * p.get("speed", 1))))).drop("_ms")
-    return df.withColumnRenamed("_records", "records")
+    return df
+
+
+def drawn(df: DataFrame, p: Mapping, seed: int) -> DataFrame:
+    """``df`` with what the order mode asks of each row: ``_sel``, whether it takes part, and ``_order``, its draw."""
+    key, dup = D.subseed(seed, "chaos"), F.col("duplicate_index")
+    df = _settle(df, _sel=_hit(key, "out_of_order", p, dup) & ~F.col("missing"))
+    return df.withColumn("_order", F.when(F.col("_sel"), D.prf_digest(key, "out_of_order", F.col("event_id"), "order", dup)))
+
+
+def moved(df: DataFrame, when: Column, place: Column, at: Column) -> DataFrame:
+    """Rows that change places get their new time, and a record if the place is another one."""
+    return _add(df, when, _record("out_of_order", displaced_from=place)).withColumn("emitted_at", F.coalesce(at, F.col("emitted_at")))
 
 
-def _disorder(df: DataFrame, p: Mapping, key: bytes) -> DataFrame:
+def _disorder(df: DataFrame, p: Mapping, seed: int) -> DataFrame:
     """Selected rows of a shard's tumbling window change places: the k-th place goes to the k-th row by draw."""
-    hit = _hit(key, "out_of_order", p, F.col("duplicate_index")) & ~F.col("missing")
-    start = F.window(F.col("occurred_at").cast("timestamp"), p.get("window", "1 hour"))["start"]
-    order = D.prf_digest(key, "out_of_order", F.col("event_id"), "order", F.col("duplicate_index"))
-    df = _settle(df, _sel=hit).withColumn("_start", start).withColumn("_order", F.when(F.col("_sel"), order))
-    w = Window.partitionBy("stream_id", "shard_id", "_start", "_sel")
+    df = drawn(df, p, seed)
+    df = df.withColumn("_start", F.window(F.col("occurred_at").cast("timestamp"), p.get("window", "1 hour"))["start"])
+    rest, df = df.where("not _sel"), df.where("_sel")  # others are neither sorted nor joined
+    w = Window.partitionBy("stream_id", "shard_id", "_start")
     place = F.row_number().over(w.orderBy("emitted_at", "sequence_no", "duplicate_index"))
-    drawn = F.row_number().over(w.orderBy("_order", "sequence_no", "duplicate_index"))
-    df = df.withColumn("_place", place).withColumn("_drawn", drawn)
+    drawn_at = F.row_number().over(w.orderBy("_order", "sequence_no", "duplicate_index"))
+    df = df.withColumn("_place", place).withColumn("_drawn", drawn_at)
     # in order of places, and of draws, the k-th times meet: the row drawn k-th takes the k-th time
-    spots = df.where("_sel").select("stream_id", "shard_id", "_start", F.col("_place").alias("_drawn"), F.col("emitted_at").alias("_new_at"))
-    out = df.join(spots.withColumn("_sel", F.lit(True)), ["stream_id", "shard_id", "_start", "_sel", "_drawn"], "left")
-    moved = F.col("_sel") & (F.col("_place") != F.col("_drawn"))
-    out = _add(out, moved, _record("out_of_order", displaced_from=F.col("_place")))
-    return out.withColumn("emitted_at", F.when(F.col("_sel"), F.col("_new_at")).otherwise(F.col("emitted_at"))).drop("_sel", "_start", "_order", "_place", "_drawn", "_new_at")
+    spots = df.select("stream_id", "shard_id", "_start", F.col("_place").alias("_drawn"), F.col("emitted_at").alias("_new_at"))
+    out = df.join(spots, ["stream_id", "shard_id", "_start", "_drawn"], "left")
+    out = moved(out, F.col("_place") != F.col("_drawn"), F.col("_place"), F.col("_new_at")).select(*[c for c in rest.columns])
+    return out.unionByName(rest).drop("_sel", "_start", "_order")
 
 
 def delivered(labelled: DataFrame) -> DataFrame:

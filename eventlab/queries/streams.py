@@ -87,7 +87,8 @@ def t4(spark, sf):
     ends = df.groupBy("stream_id").agg(F.max("id").alias("id")).select((F.col("id") + 2**50).alias("id"), "stream_id", F.lit("end").alias("event_id"), F.lit(2**50).alias("sequence_no"), F.lit(END).cast("timestamp").alias("occurred_at"), (F.col("id") + 2**50).alias("arrival"))
     later = ends.withColumn("occurred_at", F.lit("2024-07-01").cast("timestamp")).withColumn("arrival", F.col("arrival") + 2**51)
     sdf = feed(spark, df.unionByName(ends).unionByName(later), order="arrival")
-    return collected(spark, T.stream_reorder(sdf, "stream_id", "occurred_at", "sequence_no", "1 hour")).where("event_id <> 'end'").select("key", "event_id", "place")
+    released = collected(spark, T.stream_reorder(sdf, "stream_id", "occurred_at", "sequence_no", "1 hour", "1 hour")).where("event_id <> 'end'")
+    return T.placed(released).select("key", "event_id", "place")
 
 
 @query("t6_stream_stats", with_sql("SELECT stream_id, event_type, count(*) AS n, max(occurred_at) AS last_event_at FROM env GROUP BY 1, 2", "env"))
@@ -124,10 +125,20 @@ def t9(spark, sf):
     return collected(spark, R.filter_events(feed(spark, env(spark, sf).select("id", "event_id", "event_type")), ["view", "error"])).select("event_id")
 
 
-@query("t12_gap_monitor", with_sql("""SELECT stream_id, b + 1 AS gap_from, sequence_no - 1 AS gap_to FROM (SELECT *, coalesce(lag(sequence_no) OVER (PARTITION BY stream_id ORDER BY sequence_no), 0) AS b
-    FROM (SELECT DISTINCT stream_id, sequence_no FROM delivered)) WHERE sequence_no - b > 1""", "delivered"))
+_GAPS = with_sql("""SELECT stream_id, shard_id::BIGINT AS shard_id, b + 1 AS gap_from, sequence_no - 1 AS gap_to FROM (SELECT *, coalesce(lag(sequence_no) OVER (PARTITION BY stream_id, shard_id ORDER BY sequence_no), 0) AS b
+    FROM (SELECT DISTINCT stream_id, shard_id, sequence_no FROM delivered)) WHERE sequence_no - b > 1""", "delivered")
+
+
+@query("t12_gap_monitor", _GAPS)
 def t12(spark, sf):
-    return collected(spark, T.gap_monitor(feed(spark, delivered(spark, sf).select("id", "stream_id", "sequence_no"))))
+    return T.open_gaps(S.cut(collected(spark, T.gap_monitor(feed(spark, delivered(spark, sf).select("id", "stream_id", "shard_id", "sequence_no")), 100)), "gaps"))
+
+
+@query("t12b_late_numbers", _GAPS)
+def t12b(spark, sf):
+    """Every fifth event comes in the end: the gaps that it left are closed, or split where others lack."""
+    df = delivered(spark, sf).select((F.col("id") + F.when(F.col("id") % 5 == 0, 2**40).otherwise(0)).alias("id"), "stream_id", "shard_id", "sequence_no")
+    return T.open_gaps(S.cut(collected(spark, T.gap_monitor(feed(spark, df), 100)), "gaps"))
 
 
 @query("t13_stream_cutover", with_sql(f"SELECT event_id, {_STEPS} AS version, CASE WHEN {_STEPS} >= 3 THEN value END AS city FROM env", "env"))
@@ -173,6 +184,33 @@ def t8(spark, sf):
     return spark.read.parquet(rec).groupBy("mode").agg(F.count("*").alias("n"))
 
 
+#: Every mode of the seven, more than once on many events.
+_ALL_MODES = {m: {"rate": 0.2} for m in I.MODES} | {"out_of_order": {"rate": 0.4, "window": "6 hours"}}
+_MENU = {"purchase": {"region": '"north"'}, "view": {"city": '"word"', "zip": "12345"}}
+
+
+@query("t8b_stream_all_modes", with_sql("SELECT t AS name, true AS equal, true AS some FROM (VALUES ('delivered'), ('late'), ('records')) x(t)", "env"))
+def t8b(spark, sf):
+    """All seven modes on a stream against the batch form, row by row: the digests of the three tables are those of its own."""
+    df = truth(spark, sf)
+    ends = with_end(df.limit(0), id=F.lit(2**60), event_id=F.lit("end"), stream_id=F.lit("end"), occurred_at=F.lit(END).cast("timestamp_ntz"), emitted_at=F.lit(END).cast("timestamp_ntz"), event_type=F.lit("end"), payload=F.create_map(F.lit("k"), F.lit("1")), sequence_no=F.lit(1), shard_id=F.lit(0))
+    ends = ends.unionByName(ends.withColumn("id", F.col("id") + 1).withColumn("event_id", F.lit("end2")).withColumn("occurred_at", F.lit("2024-07-01").cast("timestamp_ntz")))
+    # the order mode takes the last rows, whose event_ids say so: the watermark is that of the rows it takes
+    got = T.inject_stream(feed(spark, df.unionByName(ends)), _ALL_MODES, SEED, "1 day", S.new_path(spark, "injected"), S.new_path(spark, "mark"), _MENU)
+    labelled = S.cut(I.label(df, _ALL_MODES, SEED, _MENU), "labelled")
+    want = {"delivered": I.delivered(labelled), "late": I.late(labelled), "records": I.records(labelled, SEED)}
+    out = None
+    for name, batch in want.items():
+        cols = sorted(c for c in batch.columns)
+
+        def digest(t):
+            return t.where("event_id not like 'end%'").agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*[F.map_entries(c) if c == "payload" else c for c in cols]))).cast("decimal(38,0)")).alias("h"))
+
+        both = digest(got[name]).unionByName(digest(batch)).agg((F.count_distinct("n", "h") == 1).alias("equal"), (F.min("n") > 0).alias("some")).select(F.lit(name).alias("name"), "equal", "some")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 @query("t11_stream_scd2", with_sql("SELECT entity_key, entity_version, lead(valid_from) OVER (PARTITION BY entity_key ORDER BY entity_version) AS valid_to FROM cdc", "cdc"))
 def t11(spark, sf):
     log, history, c = S.new_path(spark, "log"), S.new_path(spark, "history"), cdc(spark, sf)
@@ -186,7 +224,7 @@ def t5(spark, sf):
     df = env(spark, sf).select("id", "event_id", F.expr("timestamp_millis(unix_millis(cast(occurred_at as timestamp)) + 60000 * (id % 50))").alias("due_at"))
     for k in (1, 2):  # two last rows: the first moves the watermark, the second makes the batch in which timers fire
         df = with_end(df, id=F.lit(2**60 + k), due_at=F.lit(f"2024-0{5 + k}-01").cast("timestamp"), event_id=F.lit(f"end{k}"))
-    return collected(spark, T.stream_hold(feed(spark, df), "due_at", "1 minute")).where("event_id not like 'end%'")
+    return collected(spark, T.stream_hold(feed(spark, df), "due_at", "1 minute", "1 hour")).where("event_id not like 'end%'")
 
 
 @query("t10_stream_dlq", DLQ)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from eventlab.operators.checks import scd2
+from eventlab.plans.inject import delivered, drawn, label_content, label_late, late
+from eventlab.plans.inject import moved as changed_place
+from eventlab.plans.inject import records as injection_records
 from eventlab.plans.synth import Generator, synth
 from eventlab.sources.tables import append_idempotent, exists
 
@@ -78,62 +83,208 @@ def late_split(sdf: DataFrame, time: str, delay_s: float, on_time: str, late: st
     run_batches(sdf, each, checkpoint)
 
 
-def stream_reorder(sdf: DataFrame, key: str, time: str, order: str, hold: str) -> DataFrame:
-    """Rows of a key held until the watermark (``hold`` behind) has passed them, then released in order of ``order``: (key, event_id, order, place).
+#: The store that state with lists and timers needs.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    State is the rows of a key that the watermark hasn't passed.
+
+def _texts(values: Sequence[str]) -> pd.Series:
+    """Texts as plain objects: columns of pandas' own text type may come in chunks, which Spark doesn't take."""
+    return pd.Series(list(values), dtype=object)
+
+
+class _Buckets(StatefulProcessor):
+    """Rows of a key (..., bucket) kept in a list that is only ever added to, until the watermark has passed the bucket's end."""
+
+    def __init__(self, columns: str, width_ms: int, finish: Callable[[tuple, pd.DataFrame], pd.DataFrame], empty: pd.DataFrame):
+        self.columns, self.width_ms, self.finish, self.empty = columns, width_ms, finish, empty
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.names = [c.split()[0] for c in self.columns.split(", ")]
+        self.rows = handle.getListState("rows", self.columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = not self.rows.exists()
+        for pdf in rows:
+            self.rows.appendList(list(pdf[self.names].itertuples(index=False, name=None)))
+        if fresh:
+            self.handle.registerTimer((key[-1] + 1) * self.width_ms)
+        yield self.empty
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.rows.get()), columns=self.names)
+        self.rows.clear()
+        yield self.finish(key, held)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+    held = held.sort_values(["ordinal", "event_id"], kind="stable")
+    return pd.DataFrame({"key": _texts([key[0]] * len(held)), "event_id": _texts(held["event_id"]), "order": held["ordinal"].to_numpy(), "bucket": key[-1], "nth": range(1, len(held) + 1)})
+
+
+def stream_reorder(sdf: DataFrame, key: str, time: str, order: str, hold: str, width: str = "1 minute") -> DataFrame:
+    """Rows of a key held until the watermark (``hold`` behind) has passed their bucket of ``width``, then released in order of ``order``: (key, event_id, order, bucket, nth).
+
+    State is a list of rows for each key and bucket: a batch writes its own rows only, and a key of any size is spread over its buckets.
+    Rows of a bucket that is out already are late, and Spark drops them.  ``placed`` numbers what was released over all buckets.
     """
+    sdf.sparkSession.conf.set(*ROCKS)
+    ms = int(pd.Timedelta(width).total_seconds() * 1000)
+    # the state API passes values as they are, so its columns are few and typed
+    rows = sdf.withWatermark(time, hold).select(F.col(key).cast("string").alias("key"), F.floor(F.unix_millis(F.col(time)) / ms).cast("long").alias("bucket"), F.col("event_id").cast("string").alias("event_id"), F.col(order).cast("long").alias("ordinal"), time)
+    empty = pd.DataFrame({"key": _texts([]), "event_id": _texts([]), "order": pd.Series(dtype="int64"), "bucket": pd.Series(dtype="int64"), "nth": pd.Series(dtype="int64")})
+    processor = _Buckets("event_id string, ordinal long", ms, _in_order, empty)
+    return rows.groupBy("key", "bucket").transformWithStateInPandas(processor, "key string, event_id string, `order` long, bucket long, nth long", "Append", "EventTime")
+
+
+def placed(released: DataFrame) -> DataFrame:
+    """(key, event_id, order, place): the place of each released row in its key, from the rows of buckets before it; one row for each bucket is summed."""
+    sizes = released.groupBy("key", "bucket").agg(F.max("nth").alias("_n"))
+    before = sizes.select("key", "bucket", (F.sum("_n").over(Window.partitionBy("key").orderBy("bucket")) - F.col("_n")).alias("_before"))
+    return released.join(before, ["key", "bucket"]).select("key", "event_id", "order", (F.col("nth") + F.col("_before")).alias("place"))
+
+
+def _as_held(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"event_id": _texts(held["event_id"]), "due_ms": held["due_ms"].to_numpy()})
+
+
+def stream_hold(sdf: DataFrame, due: str, delay: str, width: str = "1 minute", spread: int = 16) -> DataFrame:
+    """Held rows that come out when the watermark of ``due`` has passed their bucket of ``width``: (event_id, due_ms).
+
+    A bucket is spread over ``spread`` lists by event_id, so many rows that are due at once are several tasks' work.
+    """
+    sdf.sparkSession.conf.set(*ROCKS)
+    ms = int(pd.Timedelta(width).total_seconds() * 1000)
+    at = F.unix_millis(F.col(due))
+    rows = sdf.withWatermark(due, delay).select(F.pmod(F.xxhash64("event_id"), F.lit(spread)).cast("int").alias("part"), F.floor(at / ms).cast("long").alias("bucket"), F.col("event_id").cast("string").alias("event_id"), at.alias("due_ms"), due)
+    empty = pd.DataFrame({"event_id": _texts([]), "due_ms": pd.Series(dtype="int64")})
+    processor = _Buckets("event_id string, due_ms long", ms, _as_held, empty)
+    return rows.groupBy("part", "bucket").transformWithStateInPandas(processor, "event_id string, due_ms long", "Append", "EventTime")
+
+
+class _Intervals(StatefulProcessor):
+    """The numbers of a range that have come, as intervals; a batch that changes them tells which gaps opened and closed, and the ends."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "first array<long>, last array<long>, version long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, last, version = self.seen.get() if self.seen.exists() else ([], [], 0)
+        numbers = np.unique(np.concatenate([pdf["sequence_no"].to_numpy(np.int64) for pdf in rows]))
+        cuts = np.flatnonzero(np.diff(numbers) > 1)
+        a = np.r_[np.array(first, np.int64), numbers[np.r_[0, cuts + 1]]]
+        b = np.r_[np.array(last, np.int64), numbers[np.r_[cuts, len(numbers) - 1]]]
+        by = np.argsort(a, kind="stable")
+        a, upto = a[by], np.maximum.accumulate(b[by])
+        new = np.r_[True, a[1:] > upto[:-1] + 1]
+        a, b = a[new], upto[np.r_[np.flatnonzero(new)[1:] - 1, len(upto) - 1]]
+        old, now = ({(int(y) + 1, int(x) - 1) for x, y in zip(f[1:], g[:-1])} for f, g in ((first, last), (a.tolist(), b.tolist())))
+        out = [("close", *g) for g in sorted(old - now)] + [("open", *g) for g in sorted(now - old)]
+        ends = (int(a[0]), int(b[-1]))
+        if not first or ends != (first[0], last[-1]):
+            out.append(("ends", *ends))
+        if out:
+            self.seen.update((a.tolist(), b.tolist(), version + 1))
+        n = len(out)
+        yield pd.DataFrame({"stream_id": _texts([key[0]] * n), "shard_id": [key[1]] * n, "part": [key[2]] * n, "version": [version + 1] * n, "kind": _texts([o[0] for o in out]), "gap_from": [o[1] for o in out], "gap_to": [o[2] for o in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def gap_monitor(sdf: DataFrame, width: int = 10_000) -> DataFrame:
+    """What happens to the gaps of each (stream, shard), in ranges of ``width`` numbers: rows (stream_id, shard_id, part, version, kind, gap_from, gap_to).
+
+    ``kind`` is open or close for a gap between numbers of the range, or ends for its least and largest number.  A number that comes late
+    closes its gap and opens what is left on its sides; repeats say nothing.  A range's state is its intervals, one where none lack.
+    ``open_gaps`` has the gaps of the moment.
+    """
+    sdf.sparkSession.conf.set(*ROCKS)
+    rows = sdf.where("sequence_no is not null").select(F.col("stream_id").cast("string"), F.col("shard_id").cast("long"), F.floor((F.col("sequence_no") - 1) / width).cast("long").alias("part"), F.col("sequence_no").cast("long"))
+    return rows.groupBy("stream_id", "shard_id", "part").transformWithStateInPandas(_Intervals(), "stream_id string, shard_id long, part long, version long, kind string, gap_from long, gap_to long", "Append", "None")
+
+
+def open_gaps(changes: DataFrame) -> DataFrame:
+    """(stream_id, shard_id, gap_from, gap_to): the gaps that ``gap_monitor``'s rows leave open, from 1 on; ranges are tied by one row each."""
+    keys = ["stream_id", "shard_id"]
+    inside = changes.where("kind <> 'ends'").groupBy(*keys, "gap_from", "gap_to").agg(F.sum(F.expr("if(kind = 'open', 1, -1)")).alias("n")).where("n > 0").drop("n")
+    ends = changes.where("kind = 'ends'").groupBy(*keys, "part").agg(F.max_by(F.struct("gap_from", "gap_to"), "version").alias("e"))
+    before = F.coalesce(F.lag("e.gap_to").over(Window.partitionBy(*keys).orderBy("part")), F.lit(0))
+    between = ends.select(*keys, (before + 1).alias("gap_from"), (F.col("e.gap_from") - 1).alias("gap_to")).where("gap_from <= gap_to")
+    return inside.unionByName(between)
+
+
+def _in_places(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a window change places: the row drawn k-th takes the k-th time."""
+    by_place = held.sort_values(["at_us", "sequence_no", "duplicate_index"], kind="stable")
+    place = pd.Series(range(1, len(held) + 1), index=by_place.index)
+    by_draw = held.sort_values(["draw", "sequence_no", "duplicate_index"], kind="stable")
+    spot = place.loc[by_draw.index].to_numpy()
+    return pd.DataFrame({"row": _texts(by_draw["row"]), "place": spot, "moved": spot != range(1, len(held) + 1), "new_us": by_place["at_us"].to_numpy()})
+
+
+#: Texts of rows that wait in a state keep their microseconds.
+_EXACT = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def label_stream(sdf: DataFrame, policy: Mapping[str, Mapping], seed: int, delay: str, menu: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """As ``label``, on a stream of events in order of ``occurred_at`` up to ``delay``: each instance comes once, labelled with all seven modes.
+
+    Only rows that the order mode selects wait, for the watermark to pass their window; a window's rows are one list of the state.  Those that come
+    after it are late, and Spark drops them.
+    """
+    rows = label_content(sdf, policy, seed, menu)
+    p = policy.get("out_of_order")
+    if p:
+        sdf.sparkSession.conf.set(*ROCKS)
+        ms = int(pd.Timedelta(p.get("window", "1 hour")).total_seconds() * 1000)
+        rows = drawn(rows, p, seed)
+        plain = rows.where("not _sel").drop("_sel", "_order")
+        at = F.col("occurred_at").cast("timestamp")
+        held = rows.where("_sel").withColumn("_time", at).withWatermark("_time", delay)
+        packed = F.to_json(F.struct(*plain.columns), _EXACT)
+        held = held.select(
+            F.col("stream_id").cast("string").alias("stream_id"), F.col("shard_id").cast("long").alias("shard_id"), F.floor(F.unix_millis("_time") / ms).cast("long").alias("bucket"), packed.alias("row"),
+            F.unix_micros(F.col("emitted_at").cast("timestamp")).alias("at_us"), F.col("sequence_no").cast("long").alias("sequence_no"), F.col("duplicate_index").cast("long").alias("duplicate_index"), F.col("_order").cast("string").alias("draw"), "_time",
+        )
+        empty = pd.DataFrame({"row": _texts([]), "place": pd.Series(dtype="int64"), "moved": pd.Series(dtype=bool), "new_us": pd.Series(dtype="int64")})
+        processor = _Buckets("row string, at_us long, sequence_no long, duplicate_index long, draw string", ms, _in_places, empty)
+        out = held.groupBy("stream_id", "shard_id", "bucket").transformWithStateInPandas(processor, "row string, place long, moved boolean, new_us long", "Append", "EventTime")
+        out = out.select(F.from_json("row", plain.schema, _EXACT).alias("r"), "place", "moved", "new_us").select("r.*", "place", "moved", "new_us")
+        out = changed_place(out, F.col("moved"), F.col("place"), F.timestamp_micros("new_us").cast("timestamp_ntz")).drop("place", "moved", "new_us")
+        rows = plain.unionByName(out)
+    return label_late(rows, policy, seed).withColumnRenamed("_records", "records")
+
+
+def commit_batch(tables: Mapping[str, DataFrame], root: str, n: int) -> None:
+    """The tables of batch ``n``, all or none of them: each is written to a folder of the batch, replacing what an earlier try left, then the batch is noted in ``commits``."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.range(n, n + 1).select(F.col("id").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/batch={n}")
+
+
+def committed(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
+    """The rows of a table's committed batches."""
+    done = spark.read.schema("n long, batch long").parquet(f"{root}/commits").select("batch")
+    return spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(f"{root}/{name}").join(done, "batch", "left_semi").drop("batch")
+
+
+def inject_stream(sdf: DataFrame, policy: Mapping[str, Mapping], seed: int, delay: str, root: str, checkpoint: str, menu: Mapping[str, Mapping[str, str]] | None = None) -> dict[str, DataFrame]:
+    """All seven modes on a stream, to tables below ``root`` that grow by whole batches: what is delivered, what is held back and the injection records."""
+    labelled = label_stream(sdf, policy, seed, delay, menu)
+    parts = {"delivered": delivered, "late": late, "records": lambda df: injection_records(df, seed)}
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()  # each part reads it once more
+        commit_batch({name: f(batch) for name, f in parts.items()}, root, n)
+        batch.unpersist()
 
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, place = state.get if state.exists else ([], 0)
-        held = [(int(o), e, int(t)) for o, e, t in held] + [(int(o), e, int(t)) for b in batches for o, e, t in zip(b[order], b["event_id"], b["_ms"])]
-        edge = state.getCurrentWatermarkMs()
-        out = sorted(h for h in held if h[2] < edge)
-        left = [h for h in held if h[2] >= edge]
-        if left:
-            state.update(([list(map(str, h)) for h in left], place + len(out)))
-            state.setTimeoutTimestamp(max(edge + 1, min(h[2] for h in left) + 1))
-        elif state.exists or out:
-            state.update(([], place + len(out)))
-        yield pd.DataFrame({"key": [keys[0]] * len(out), "event_id": [h[1] for h in out], "order": [h[0] for h in out], "place": range(place + 1, place + len(out) + 1)})
-
-    rows = sdf.withColumn("_ms", F.unix_millis(F.col(time))).withWatermark(time, hold)
-    return rows.groupBy(key).applyInPandasWithState(step, "key string, event_id string, `order` long, place long", "held array<array<string>>, place long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_hold(sdf: DataFrame, due: str, delay: str) -> DataFrame:
-    """Held rows that come out when the watermark of ``due`` passes them: (event_id, due_ms)."""
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        held += [int(t) for b in batches for t in b["_due"]]
-        edge = state.getCurrentWatermarkMs()
-        out, left = [t for t in held if t < edge], [t for t in held if t >= edge]
-        if left:
-            state.update((left,))
-            state.setTimeoutTimestamp(max(edge + 1, min(left) + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"event_id": [keys[0]] * len(out), "due_ms": out})
-
-    rows = sdf.withColumn("_due", F.unix_millis(F.col(due))).withWatermark(due, delay)
-    return rows.groupBy("event_id").applyInPandasWithState(step, "event_id string, due_ms long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def gap_monitor(sdf: DataFrame) -> DataFrame:
-    """Gaps in sequence_no per stream as they appear: (stream_id, gap_from, gap_to); state is the last number."""
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        found = []
-        for s in sorted({int(x) for b in batches for x in b["sequence_no"]}):
-            if s > last + 1:
-                found.append((last + 1, s - 1))
-            last = max(last, s)
-        state.update((last,))
-        yield pd.DataFrame({"stream_id": [keys[0]] * len(found), "gap_from": [f[0] for f in found], "gap_to": [f[1] for f in found]})
-
-    return sdf.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, gap_from long, gap_to long", "last long", "append", GroupStateTimeout.NoTimeout)
+    run_batches(labelled, each, checkpoint)
+    return {name: committed(sdf.sparkSession, root, name, f(labelled).schema) for name, f in parts.items()}
 
 
 def two_sinks(sdf: DataFrame, split: Callable[[DataFrame], Sequence[tuple[DataFrame, str, Sequence[str]]]], checkpoint: str) -> None:
