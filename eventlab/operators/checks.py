@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlab.operators.ranges import with_lag, with_running
+from eventlab.operators.ranges import as_of, with_lag, with_running
 
 
 def fk_match(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -115,13 +115,11 @@ def where_exists(df: DataFrame, related: DataFrame, key: str, related_key: str,
 def version_as_of(df: DataFrame, pins: DataFrame, upgrades: DataFrame) -> DataFrame:
     """The version in force at each event: the highest of the subject's upgrades (subject, at, to_version) so far, else its pin.
 
-    A subject has at most as many upgrades as versions (a hundred), so they come to its events as one list.
+    Upgrades are carried along in time (``as_of``), so a subject may have any number of them.  An event whose subject has no pin has none.
     """
-    steps = upgrades.select("subject", F.col("at"), F.col("to_version"))
-    sides = steps.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("at", "to_version"))).alias("_steps"))  # a list of upgrades, kept by people
-    known = df.join(sides, "subject", "left").join(pins, "subject", "left")
-    reached = F.array_max(F.transform(F.filter("_steps", lambda s: s["at"] <= F.col("occurred_at")), lambda s: s["to_version"]))
-    return known.withColumn("version", F.greatest(F.coalesce(reached, F.col("pin")), F.col("pin"))).drop("_steps")
+    reached = with_running(upgrades.select("subject", "at", "to_version"), ["subject"], ["at", "to_version"], F.col("to_version"), "max", "_reached")
+    known = as_of(df, reached, ["subject"], "occurred_at", "at", ["_reached"], ["to_version"]).join(pins, "subject", "left")
+    return known.withColumn("version", F.greatest(F.coalesce("_reached", "pin"), F.col("pin"))).drop("_reached")
 
 
 def cdc_cause_violations(cdc: DataFrame, events: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlab.functions import draws as D
+from eventlab.operators.ranges import as_of, interval_join
 from eventlab.sources.tables import cut
 
 FIRST = ("Ada", "Ben", "Cleo", "Dina", "Emil", "Fay", "Gus", "Hana", "Ivan", "June", "Kai", "Lena")
@@ -261,16 +262,40 @@ def numbered(target: DataFrame, *order: str) -> DataFrame:
     return part.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("_n", at + F.col("_before")).drop("_part", "_id", "_before")
 
 
-def sample_fk(df: DataFrame, row: Column, target: DataFrame, order: str, key_col: str, table: str, seed: int, how: str = "uniform", size: int | None = None) -> DataFrame:
-    """``df`` with a foreign key ``fk`` drawn from the target: uniform, recent (the newest quarter) or zipf (rank by order)."""
+def weighted_ranges(target: DataFrame, order: str, key_col: str, s: float | None, weight: str | None) -> tuple[DataFrame, float]:
+    """((fk, low, high), total): each key's share of the line from 0 to the total of weights, in order.
+
+    The weight is a column, or 1 / rank^s.  Sums are two-level: within ranges of the order, plus the sums of the ranges before.
+    """
+    keys = target.select(*dict.fromkeys([order, key_col, *([weight] if weight else [])])).dropDuplicates([key_col])
+    ranked = numbered(keys, order).withColumn("_w", F.col(weight).cast("double") if weight else F.pow(F.col("_n") + 1.0, F.lit(-float(s))))
+    block = ranked.withColumn("_block", F.floor(F.col("_n") / 65536))
+    sums = block.groupBy("_block").agg(F.sum("_w").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row for each block
+    within = F.sum("_w").over(Window.partitionBy("_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
+    out = block.withColumn("_in", within).join(sums.select("_block", before.alias("_before")), "_block")
+    upto = F.col("_before") + F.col("_in")
+    # a range begins where the one before it ends, to the last bit
+    out = cut(out.select(F.col(key_col).alias("fk"), (F.col("_before") + F.coalesce(F.lag("_in").over(Window.partitionBy("_block").orderBy("_n")), F.lit(0.0))).alias("low"), upto.alias("high"), F.col("_n")), "weights")
+    return out, out.agg(F.coalesce(F.max("high"), F.lit(0.0))).first()[0]
+
+
+def sample_fk(df: DataFrame, row: Column, target: DataFrame, order: str, key_col: str, table: str, seed: int, how: str = "uniform", size: int | None = None, s: float = 1.0, weight: str | None = None) -> DataFrame:
+    """``df`` with a foreign key ``fk`` drawn from the target: uniform, recent (the newest quarter), zipf (1 / rank^s by order) or weighted (by the column ``weight``).
+
+    A key of zipf and weighted is found by the range that its weights cover.  Keys without weight are never drawn, and without any weight at all none is.
+    """
     n = target.count() if size is None else size
     u = Draws(D.subseed(seed, "values"), table, row, "fk", {}).u()
+    if how in ("zipf", "weighted"):
+        ranges, total = weighted_ranges(target, order, key_col, s, weight if how == "weighted" else None)
+        columns = df.columns
+        points = df.withColumn("_at", u * total)
+        return interval_join(points, "_at", ranges.drop("_n"), "low", "high", total / max(n, 1) if total > 0 else 1.0).select(*columns, "fk")
     if how == "uniform":
         at = F.floor(u * n)
     elif how == "recent":
         at = F.lit(n - max(1, n // 4)) + F.floor(u * max(1, n // 4))
-    elif how == "zipf":  # the inverse of the continuous 1/x law over 1..n+1
-        at = F.least(F.floor(F.pow(F.lit(float(n + 1)), u)) - 1, F.lit(n - 1))
     else:
         raise ValueError(f"unknown way {how}")
     keys = numbered(target.select(order, key_col).distinct() if order != key_col else target.select(key_col).distinct(), order).select(F.col("_n"), F.col(key_col).alias("fk"))
@@ -345,8 +370,8 @@ def arrivals(df: DataFrame, row: Column, rate_per_hour: float, diurnal: Sequence
     """Arrival times of a Poisson process with hourly intensity, one for each row in its order, until ``hours`` are over.
 
     Exponential gaps are summed in two levels, within blocks of rows and over blocks; the
-    sum is the process's mass, and each hour's mass is known, so a time is found by a
-    join on whole hours of mass and linear inversion.
+    sum is the process's mass, and each hour begins at a known mass, so a time is found by an as-of
+    join to the hours, by mass, and linear inversion.
     """
     mass = [rate_per_hour * diurnal[h % 24] * 24 / sum(diurnal) for h in range(hours)]
     if min(mass) <= 0:
@@ -359,13 +384,12 @@ def arrivals(df: DataFrame, row: Column, rate_per_hour: float, diurnal: Sequence
     before = F.coalesce(F.sum("_s").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     within = F.sum("_gap").over(Window.partitionBy("_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
     at = gaps.withColumn("_in", within).join(sums.select("_block", before.alias("_before")), "_block").withColumn("_mass", F.col("_in") + F.col("_before"))
-    at = at.where(F.col("_mass") < upto[-1])
-    # the hour whose mass holds it: hours have a few bounds, kept as a literal
-    hour = F.size(F.filter(F.lit(upto[1:]), lambda b: b <= F.col("_mass")))
-    frac = (F.col("_mass") - F.get(F.lit(upto), hour)) / F.get(F.lit(mass), hour)
-    seconds = (hour + frac) * 3600.0
+    at = at.where(F.col("_mass") < upto[-1]).select(*df.columns, "_mass")
+    starts = df.sparkSession.createDataFrame([(h, float(upto[h]), float(mass[h])) for h in range(hours)], "_hour int, _begin double, _of double")
+    at = as_of(at, starts, [], "_mass", "_begin", ["_hour", "_begin", "_of"])
+    seconds = (F.col("_hour") + (F.col("_mass") - F.col("_begin")) / F.col("_of")) * 3600.0
     base = F.unix_micros(F.lit(start).cast("timestamp"))
-    return at.withColumn("arrived_at", F.timestamp_micros(base + F.floor(seconds * 1e6).cast("long")).cast("timestamp_ntz")).drop("_row", "_gap", "_block", "_in", "_before", "_mass")
+    return at.withColumn("arrived_at", F.timestamp_micros(base + F.floor(seconds * 1e6).cast("long")).cast("timestamp_ntz")).drop("_mass", "_hour", "_begin", "_of")
 
 
 def synth_events(arrived: DataFrame, row: Column, types: Mapping[str, float], actors: DataFrame, actor_order: str, actor_key: str, seed: int) -> DataFrame:

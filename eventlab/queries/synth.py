@@ -96,8 +96,9 @@ def _fk(name, expr):
     return f"SELECT o_orderkey, fk FROM (SELECT o_orderkey, {expr} AS n FROM (SELECT o_orderkey, {_FK} AS u, (SELECT count(*) FROM part) AS c FROM orders)) JOIN ({_NUM.format(k='p_partkey', t='part')}) USING (n)"
 
 
-def _orders(spark, sf, how):
-    return G.sample_fk(table(spark, sf, "orders").select("o_orderkey"), F.col("o_orderkey"), table(spark, sf, "part"), "p_partkey", "p_partkey", "fk", SEED, how)
+def _orders(spark, sf, how, **by):
+    parts = table(spark, sf, "part").withColumn("w", F.col("p_partkey") % 7 + 1)
+    return G.sample_fk(table(spark, sf, "orders").select("o_orderkey"), F.col("o_orderkey"), parts, "p_partkey", "p_partkey", "fk", SEED, how, **by)
 
 
 @query("j16_fk_sample", _fk("uniform", "floor(u * c)::BIGINT"))
@@ -105,11 +106,32 @@ def j16(spark, sf):
     return _orders(spark, sf, "uniform")
 
 
-@query("j17_fk_sample_zipf", _fk("zipf", "least(floor(pow((c + 1)::DOUBLE, u))::BIGINT - 1, c - 1)"))
+def _by_weight(w):
+    """DuckDB: the key whose share of the cumulative weights holds the draw."""
+    shares = f"SELECT p_partkey AS fk, lag(upto, 1, 0.0) OVER (ORDER BY n) AS low, upto AS high FROM (SELECT *, sum(w) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT *, {w} AS w FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part)))"
+    return f"WITH s AS ({shares}), d AS (SELECT o_orderkey, {_FK} * (SELECT max(high) FROM s) AS x FROM orders) SELECT o_orderkey, fk FROM d ASOF JOIN s ON d.x >= s.low"
+
+
+@query("j17_fk_sample_zipf", _by_weight("pow(n + 1.0, -1.0)"))
 def j17(spark, sf):
     return _orders(spark, sf, "zipf")
 
 
+@query("j17b_fk_sample_zipf_half", _by_weight("pow(n + 1.0, -0.5)"))
+def j17b(spark, sf):
+    return _orders(spark, sf, "zipf", s=0.5)
+
+
+@query("j17c_fk_sample_zipf_two", _by_weight("pow(n + 1.0, -2.0)"))
+def j17c(spark, sf):
+    return _orders(spark, sf, "zipf", s=2.0)
+
+
+@query("j17d_fk_sample_weighted", _by_weight("(p_partkey % 7 + 1)::DOUBLE"))
+def j17d(spark, sf):
+    return _orders(spark, sf, "weighted", weight="w")
+
+
 @query("j18_fk_sample_recent", _fk("recent", "c - greatest(1, c // 4) + floor(u * greatest(1, c // 4))::BIGINT"))
 def j18(spark, sf):
     return _orders(spark, sf, "recent")
