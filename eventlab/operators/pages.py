@@ -1,4 +1,4 @@
-"""Replayable pages over an event table, by position (milliseconds, sequence number)."""
+"""Replayable pages over an event table, by position: milliseconds, sequence number and, within a page of rows that share both, event_id."""
 
 from __future__ import annotations
 
@@ -17,23 +17,28 @@ def restore_order(df: DataFrame) -> DataFrame:
     return df.orderBy("shard_id", "sequence_no", "stream_id")
 
 
-def page(df: DataFrame, p: int, s: int, limit: int, time: str = "emitted_at", partition: str | None = None) -> DataFrame:
-    """The rows strictly after position (p, s), in order, ``limit`` at most.
+def page(df: DataFrame, p: int, s: int, limit: int, time: str = "emitted_at", partition: str | None = None, e: str | None = None) -> DataFrame:
+    """The rows strictly after position (p, s, e), in order, ``limit`` at most.
 
-    ``partition`` names a date column that the table is laid out by; the position
+    Rows that share time and number are in order of event_id, so a page can end between them.  Without ``e`` the position is after
+    all of (p, s).  ``partition`` names a date column that the table is laid out by; the position
     then bounds it, so older directories aren't read.
     """
-    after = (_p(time) > p) | ((_p(time) == p) & (F.col("sequence_no") > s))
+    here = _p(time) == p
+    after = (_p(time) > p) | (here & (F.col("sequence_no") > s))
+    if e is not None:
+        after = after | (here & (F.col("sequence_no") == s) & (F.col("event_id") > e))
     df = df.where(after & (F.col(time) >= F.timestamp_millis(F.lit(p)).cast("timestamp_ntz")))
     if partition:
         df = df.where(F.col(partition) >= F.to_date(F.timestamp_millis(F.lit(p))))
     return df.orderBy(_p(time), "sequence_no", "event_id").limit(limit)
 
 
-def next_position(rows: DataFrame, p: int, s: int, time: str = "emitted_at") -> DataFrame:
-    """The last row's position, or the given one if there is none."""
-    last = F.max(F.struct(_p(time).alias("p"), F.col("sequence_no").alias("s")))
-    return rows.agg(last.alias("x")).select(F.coalesce("x.p", F.lit(p)).alias("p"), F.coalesce("x.s", F.lit(s)).alias("s"))
+def next_position(rows: DataFrame, p: int, s: int, time: str = "emitted_at", e: str | None = None) -> DataFrame:
+    """The last row's position (p, s, e), or the given one if there is none."""
+    last = F.max(F.struct(_p(time).alias("p"), F.col("sequence_no").alias("s"), F.col("event_id").alias("e")))
+    given = F.struct(F.lit(p).cast("long").alias("p"), F.lit(s).cast("long").alias("s"), F.lit(e).cast("string").alias("e"))
+    return rows.agg(last.alias("x")).select(F.coalesce(F.col("x"), given).alias("x")).select("x.*")
 
 
 def latest(df: DataFrame, time: str = "emitted_at") -> DataFrame:

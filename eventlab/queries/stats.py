@@ -248,11 +248,28 @@ def l2(spark, sf):
     return P.page(env(spark, sf), _P0, 5, 100).select("event_id", "sequence_no")
 
 
-@query("l3_page_next", with_sql(f"SELECT max((epoch_us(emitted_at) // 1000, sequence_no))[1] AS p, max((epoch_us(emitted_at) // 1000, sequence_no))[2] AS s FROM ({_PAGE})", "env"))
+@query("l3_page_next", with_sql(f"SELECT x[1] AS p, x[2] AS s, x[3] AS e FROM (SELECT max((epoch_us(emitted_at) // 1000, sequence_no, event_id)) AS x FROM ({_PAGE}))", "env"))
 def l3(spark, sf):
     return P.next_position(P.page(env(spark, sf), _P0, 5, 100), _P0, 5)
 
 
+#: Rows of which many share a position: times cut to days, numbers to tens.
+_TIED = "SELECT id, event_id, date_trunc('day', emitted_at) AS emitted_at, sequence_no % 10 AS sequence_no FROM env"
+
+
+@query("l3b_pages_of_ties", with_sql(f"SELECT event_id, (row_number() OVER (ORDER BY emitted_at, sequence_no, event_id) - 1) // 7 AS page FROM (SELECT * FROM ({_TIED}) WHERE epoch_us(emitted_at) // 1000 > {_P0}) QUALIFY row_number() OVER (ORDER BY emitted_at, sequence_no, event_id) <= 35", "env"))
+def l3b(spark, sf):
+    """Five pages of seven rows, each read from where the one before it ends, among rows that share their positions: none is lost, none comes twice."""
+    df = env(spark, sf).select("id", "event_id", F.date_trunc("day", "emitted_at").cast("timestamp_ntz").alias("emitted_at"), (F.col("sequence_no") % 10).alias("sequence_no"))
+    at, out = (_P0, 10, None), None
+    for k in range(5):
+        rows = P.page(df, at[0], at[1], 7, e=at[2])
+        at = tuple(P.next_position(rows, at[0], at[1], e=at[2]).first())
+        part = rows.select("event_id", F.lit(k).cast("long").alias("page"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("l4_from_latest", with_sql("SELECT epoch_us(emitted_at) // 1000 AS p, sequence_no AS s FROM env ORDER BY 1 DESC, 2 DESC LIMIT 1", "env"))
 def l4(spark, sf):
     return P.latest(env(spark, sf))

@@ -64,12 +64,25 @@ def s7(spark, sf):
 
 @query("s8_apply_retention", with_sql("SELECT event_id FROM env WHERE date_trunc('hour', emitted_at) >= TIMESTAMP '2024-01-18 10:00:00'", "env"))
 def s8(spark, sf):
+    """Hourly directories on disk, those that are over removed."""
+    path = S.new_path(spark, "hours")
+    S.write_partitioned(env(spark, sf), path, "emitted_at")
+    S.drop_expired(spark, path, "2024-01-20 10:30:00", 48)
+    return spark.read.parquet(path).select("event_id")
+
+
+@query("s8b_retention_filter", with_sql("SELECT event_id FROM env WHERE date_trunc('hour', emitted_at) >= TIMESTAMP '2024-01-18 10:00:00'", "env"))
+def s8b(spark, sf):
     return S.apply_retention(env(spark, sf), "2024-01-20 10:30:00", "emitted_at", 48).select("event_id")
 
 
 @query("s9_retention_ledger", with_sql("SELECT event_id FROM env WHERE emitted_at >= TIMESTAMP '2024-01-13'", "env"))
 def s9(spark, sf):
-    return S.apply_retention(env(spark, sf), "2024-01-20 10:30:00", "emitted_at", 24 * 7).select("event_id")
+    """Daily directories on disk, those that are over removed."""
+    path = S.new_path(spark, "days")
+    S.write_partitioned(env(spark, sf), path, "emitted_at", hour=False)
+    S.drop_expired(spark, path, "2024-01-20 10:30:00", 24 * 7)
+    return spark.read.parquet(path).select("event_id")
 
 
 @query("s10_s11_export", with_sql("SELECT occurred_at::DATE AS dt, count(*) AS n, max(sequence_no) AS last FROM env GROUP BY 1", "env"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import datetime
 import uuid
 from collections.abc import Sequence
 
@@ -58,6 +59,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_events(spark: SparkSession, path: str, schema: StructType = ENVELOPE) -> DataFrame:
     """Delivered events in JSON lines, plain or gzip; the payload stays text."""
     return spark.read.schema(schema).options(timestampFormat=TIME, timeZone="UTC").json(path)
@@ -69,23 +76,37 @@ def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
     df.select(F.to_json(F.struct(*cols), JSON).alias("value")).write.option("compression", compression).text(path)
 
 
-def append_idempotent(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+#: Buckets of a table that is appended to by key.
+BUCKETS = 32
+
+
+def touched_buckets(df: DataFrame, keys: Sequence[str], buckets: int) -> tuple[DataFrame, list[int]]:
+    """``df`` with the bucket of each row's keys, and the buckets that it has rows for: ``buckets`` at most."""
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    return df, sorted(r[0] for r in df.select("_bucket").distinct().collect())
+
+
+def append_idempotent(df: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """Append the rows whose keys the table doesn't have; of equal keys in ``df`` that with the least hash of its columns.  Returns the table.
 
-    One writer at a time, as a foreachBatch sink is; keys of the table outside of the first key's range in ``df`` are not read.
+    One writer at a time, as a foreachBatch sink is.  The table is laid out in directories by hash bucket of the keys, and an append
+    reads the keys of the buckets that it has rows for only; a table whose appends are small wants more buckets.  The number must stay the same for a table.
     """
-    spark, first = df.sparkSession, keys[0]
-    new = df
+    spark = df.sparkSession
+    new, touched = touched_buckets(df, keys, buckets)
+    if not touched:
+        return spark.read.schema(df.schema).parquet(path).select(*df.columns) if exists(spark, path) else df.limit(0)
     if exists(spark, path):
-        low, high = df.agg(F.min(first), F.max(first)).first()
-        known = spark.read.schema(df.schema).parquet(path).select(*keys)
-        if low is not None:
-            known = known.where(F.col(first).between(F.lit(low), F.lit(high)) | F.col(first).isNull())
-        new = new.join(known, list(keys), "left_anti")
+        new = new.join(known_keys(spark, path, new, keys, touched), ["_bucket", *keys], "left_anti").select(*new.columns)
     least = F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns))
-    new = new.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(least.alias("_row")).select("_row.*")
-    new.write.mode("append").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    new = new.groupBy("_bucket", *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(least.alias("_row")).select("_row.*", "_bucket")
+    new.repartition("_bucket").write.partitionBy("_bucket").mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def known_keys(spark: SparkSession, path: str, like: DataFrame, keys: Sequence[str], touched: Sequence[int]) -> DataFrame:
+    """The keys that a bucketed table has in some buckets."""
+    return spark.read.schema(like.schema).parquet(path).where(F.col("_bucket").isin(list(touched))).select("_bucket", *keys)
 
 
 def with_buffer_seq(df: DataFrame, stored: DataFrame | None, order: Sequence[str], now: Column) -> DataFrame:
@@ -116,13 +137,55 @@ def split(df: DataFrame, by: Sequence[str], *order: str) -> DataFrame:
     return df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
 
 
-def apply_retention(df: DataFrame, now: str, time: str, hours: int) -> DataFrame:
-    """Rows of partitions (whole hours, or whole days for multiples of 24) inside the retention horizon."""
+def _horizon(now: str, hours: int) -> tuple[str, Column]:
+    """Whole hours, or whole days for multiples of 24 from a week on, and the first of them that stays."""
     unit = "day" if hours % 24 == 0 and hours >= 24 * 7 else "hour"
-    horizon = F.date_trunc(unit, F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    return unit, F.date_trunc(unit, F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+
+
+def apply_retention(df: DataFrame, now: str, time: str, hours: int) -> DataFrame:
+    """Rows of partitions inside the retention horizon."""
+    unit, horizon = _horizon(now, hours)
     return df.where(F.date_trunc(unit, time) >= horizon)
 
 
+def drop_expired(spark: SparkSession, path: str, now: str, hours: int) -> DataFrame:
+    """Remove the directories (dt, or dt and hour) of a partitioned table that lie before the retention horizon; returns (folder, files, bytes) of what went.
+
+    Directories are listed and removed by name: no data is read, and what stays is not touched.  A directory whose name isn't a
+    date or hour is left alone; a day is left when its last hour is.
+    """
+    horizon = spark.range(1).select(_horizon(now, hours)[1].alias("h")).first()["h"]
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+
+    def parts(folder, name: str):
+        for status in fs.listStatus(folder):
+            key, _, value = status.getPath().getName().partition("=")
+            if status.isDirectory() and key == name:
+                yield status.getPath(), value
+
+    def drop(folder) -> None:
+        size = fs.getContentSummary(folder)
+        gone.append((folder.toString(), size.getFileCount(), size.getLength()))
+        fs.delete(folder, True)
+
+    for day, text in parts(root, "dt"):
+        try:
+            begin = datetime.datetime.fromisoformat(text)
+        except ValueError:
+            continue
+        if begin + datetime.timedelta(days=1) <= horizon:
+            drop(day)
+        elif begin < horizon:
+            for hour, h in parts(day, "hour"):
+                if h.isdigit() and begin + datetime.timedelta(hours=int(h) + 1) <= horizon:
+                    drop(hour)
+    return spark.createDataFrame(gone, "folder string, files long, bytes long")
+
+
 def export_hourly(df: DataFrame, path: str, max_records: int) -> None:
     """Directories by hour of event time, rows in order of shard and sequence, files of bounded size."""
     laid = split(with_partitions(df, "occurred_at"), ["dt", "hour"], "shard_id", "sequence_no")
@@ -148,8 +211,8 @@ def export_by_subject(df: DataFrame, path: str, subjects: dict[str, str]) -> dic
 
 def export_cdc(df: DataFrame, path: str, entity: str, time: str) -> None:
     """The payload documents of change rows alone, a directory for each entity, day and hour."""
-    laid = df.select(F.col(entity).alias("entity"), F.to_date(time).alias("dt"), F.hour(time).alias("hour"), "payload.*")
-    split(laid, ["entity", "dt", "hour"]).write.partitionBy("entity", "dt", "hour").parquet(path)
+    laid = df.select(F.col(entity).alias("entity"), F.to_date(time).alias("dt"), F.hour(time).alias("hour"), F.col(time).alias("_at"), F.xxhash64("payload").alias("_tie"), "payload.*")
+    split(laid, ["entity", "dt", "hour"], "_at", "_tie").drop("_at", "_tie").write.partitionBy("entity", "dt", "hour").parquet(path)
 
 
 def kafka_records(df: DataFrame, key: str) -> DataFrame:

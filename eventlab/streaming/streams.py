@@ -16,7 +16,7 @@ from eventlab.plans.inject import delivered, drawn, label_content, label_late, l
 from eventlab.plans.inject import moved as changed_place
 from eventlab.plans.inject import records as injection_records
 from eventlab.plans.synth import Generator, synth
-from eventlab.sources.tables import append_idempotent, exists
+from eventlab.sources.tables import append_idempotent, cut, drop_folder, exists, touched_buckets
 
 
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
@@ -41,6 +41,35 @@ def windowed_revenue(df: DataFrame, time: str, amount: str, window: str, delay:
     return out.select(F.col("w.start").alias("start"), "n", "revenue")
 
 
+def counted_revenue(sdf: DataFrame, time: str, amount: str, window: str, delay: str, admitted: str, late: str, checkpoint: str) -> None:
+    """``windowed_revenue`` of a stream as a table of deltas that adds up to it, and how many rows each batch found late.
+
+    A row is late if its window had ended by the watermark (``delay`` behind the latest event) of the batches before.  Each micro-batch adds what it has for its windows to
+    ``admitted`` (start, n, revenue) and its late rows to ``late`` (start, n), both under the number of the batch, so admitted and late rows are all there are.
+    ``revenue_of`` sums the deltas.  The latest event is kept next to the checkpoint for the last two batches.
+    """
+    ms = int(pd.Timedelta(delay).total_seconds() * 1_000_000)
+
+    def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        top = f"{checkpoint}-top"
+        before = spark.read.schema("top long").parquet(f"{top}/{n - 1}").first()[0] if n else None
+        edge = F.lit(-(2**62) if before is None else before - ms).cast("long")
+        parts = batch.groupBy(F.window(time, window).alias("w")).agg(F.count("*").alias("n"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("revenue"), F.max(F.unix_micros(F.col(time).cast("timestamp"))).alias("last")).persist()
+        is_late = F.unix_micros("w.end") <= edge
+        parts.where(~is_late).select(F.col("w.start").alias("start"), "n", "revenue").write.mode("overwrite").parquet(f"{admitted}/batch={n}")
+        parts.where(is_late).select(F.col("w.start").alias("start"), "n").write.mode("overwrite").parquet(f"{late}/batch={n}")
+        parts.agg(F.greatest(F.max("last"), F.lit(before).cast("long")).alias("top")).write.mode("overwrite").parquet(f"{top}/{n}")
+        drop_folder(spark, f"{top}/{n - 2}")
+        parts.unpersist()
+
+    run_batches(sdf, each, checkpoint)
+
+
+def revenue_of(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("start").agg(F.sum("n").alias("n"), F.sum("revenue").alias("revenue"))
+
+
 def sessions(df: DataFrame, key: str, time: str, gap: str, delay: str | None = None) -> DataFrame:
     """Sessions that end after ``gap`` without an event."""
     if delay:
@@ -78,6 +107,7 @@ def late_split(sdf: DataFrame, time: str, delay_s: float, on_time: str, late: st
         append_idempotent(batch.where(~is_late), on_time, ["event_id"])
         append_idempotent(batch.where(is_late), late, ["event_id"])
         batch.agg(F.greatest(F.max(micros), F.lit(before).cast("long")).alias("top")).write.mode("overwrite").parquet(f"{checkpoint}-top/{n}")
+        drop_folder(spark, f"{checkpoint}-top/{n - 2}")  # a batch that is done again needs the one before it
         batch.unpersist()
 
     run_batches(sdf, each, checkpoint)
@@ -316,29 +346,45 @@ def overdue_stream(sdf: DataFrame, key: str, time: str, open_type: str, close_ty
 
 
 def scd2_stream(sdf: DataFrame, log: str, history: str, checkpoint: str, buckets: int = 64) -> None:
-    """Maintain the history of a CDC stream: the log of versions, each once, and its ``scd2`` at ``history``.
+    """Maintain the history of a CDC stream as deltas: the log of versions, each once, and at ``history`` the rows of ``scd2`` that a batch makes or changes.
 
-    Both are laid out by bucket of the entity; a batch reads and replaces the buckets of its entities only.
+    A batch writes its own versions and, for each, at most the row before it, which it ends; it reads the log's rows of
+    the buckets of its entities.  A batch that is done again writes the same.  ``history_of`` has the rows in force, ``compact_history`` makes one delta of all.
     """
 
     def each(batch: DataFrame, n: int) -> None:
         spark, keys = batch.sparkSession, ["entity_key", "entity_version"]
-        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64("entity_key"), F.lit(buckets)).cast("int")).dropDuplicates(keys).persist()
-        touched = [r[0] for r in batch.select("_bucket").distinct().collect()]  # at most ``buckets``
+        batch, touched = touched_buckets(batch.dropDuplicates(keys), ["entity_key"], buckets)
         if not touched:
             return
-        schema = batch.schema
-        new = batch
+        new = batch.withColumn("_new", F.lit(True))
         if exists(spark, log):
-            new = batch.join(spark.read.schema(schema).parquet(log).where(F.col("_bucket").isin(touched)).select(*keys), keys, "left_anti")
-        new.write.partitionBy("_bucket").mode("append").parquet(log)
-        rows = spark.read.schema(schema).parquet(log).where(F.col("_bucket").isin(touched))
-        scd2(rows).write.partitionBy("_bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(history)
-        batch.unpersist()
+            before = spark.read.schema(StructType([*batch.schema, StructField("batch", LongType())])).parquet(log).where((F.col("batch") != n) & F.col("_bucket").isin(touched)).drop("batch")
+            entities = batch.select("entity_key").distinct()
+            before = before.join(entities, "entity_key", "left_semi").select(*batch.columns, F.lit(False).alias("_new"))
+            new = before.unionByName(new.join(before.select(*keys), keys, "left_anti"))
+        new = cut(new, "versions")
+        new.where("_new").drop("_new").sort("_bucket").write.mode("overwrite").parquet(f"{log}/batch={n}")
+        ends = F.coalesce(F.lead("_new").over(Window.partitionBy("entity_key").orderBy("entity_version")), F.lit(False))
+        changed = scd2(new).withColumn("_ends", ends).where("_new or _ends")
+        changed.drop("_new", "_ends", "_bucket").write.mode("overwrite").parquet(f"{history}/batch={n}")
 
     run_batches(sdf, each, checkpoint)
 
 
+def history_of(deltas: DataFrame) -> DataFrame:
+    """The rows in force: of each version the one of the latest batch."""
+    columns = [c for c in deltas.columns if c != "batch"]
+    return deltas.groupBy("entity_key", "entity_version").agg(F.max_by(F.struct(*columns), "batch").alias("_r")).select("_r.*")
+
+
+def compact_history(spark: SparkSession, history: str, target: str) -> None:
+    """The deltas at ``history`` as one at ``target``, under the number of the latest batch, so that later ones can follow it there."""
+    deltas = spark.read.parquet(history)
+    last = deltas.agg(F.max("batch")).first()[0]
+    history_of(deltas).write.mode("overwrite").parquet(f"{target}/batch={last}")
+
+
 def rate_stream(spark: SparkSession, rows_per_batch: int) -> DataFrame:
     """A live source of numbered rows at a target rate."""
     return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).option("advanceMillisPerBatch", 1000).load()
