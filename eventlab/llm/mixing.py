@@ -28,7 +28,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlab.llm.tables import cut, words_of
@@ -252,10 +252,18 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     lists = lists.groupBy(*on, "copies").count().withColumn("_upto", F.sum("count").over(w))
     lists = lists.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("_upto", "copies"))).alias("_list"))
     both = known.join(lists, on)
-    # equal keys have numbers only where their rows differ in copies
-    alone = both.where(F.size("_list") == 1).withColumn("_copies", F.col("_list")[0]["copies"])
-    nth = F.row_number().over(Window.partitionBy(*on).orderBy("_order", "_every"))
-    split = both.where(F.size("_list") > 1).withColumn("_nth", nth)
-    split = split.withColumn("_copies", F.filter("_list", lambda e: e["_upto"] >= F.col("_nth"))[0]["copies"])
-    both = alone.unionByName(split.drop("_nth")).where(F.col("_copies") > 0)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
+    # equal keys have numbers only where their rows differ in copies; there, rows that are equal in everything are one with a number before they meet
+    alone = both.where(F.size("_list") == 1).select("_row", F.col("_list")[0]["copies"].alias("_times"))
+    classes = both.where(F.size("_list") > 1).groupBy(*on, "_order", "_every").agg(F.first("_row").alias("_row"), F.first("_list").alias("_list"), F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*on).orderBy("_order", "_every").rowsBetween(Window.unboundedPreceding, 0))
+    classes = classes.withColumn("_upto", upto)
+
+    def times(entry: Column, k: Column) -> Column:
+        """Copies that an entry of the list gives to the rows of a class: those that both have, times its copies."""
+        before = F.when(k > 0, F.get("_list", k - 1)["_upto"]).otherwise(F.lit(0).cast("long"))
+        have = F.least(entry["_upto"], F.col("_upto")) - F.greatest(before, F.col("_upto") - F.col("_n"))
+        return F.greatest(have, F.lit(0).cast("long")) * entry["copies"]
+
+    split = classes.select("_row", F.aggregate(F.transform("_list", times), F.lit(0).cast("long"), lambda x, y: x + y).alias("_times"))
+    out = alone.unionByName(split).where(F.col("_times") > 0)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_row.*")

@@ -42,6 +42,8 @@ _SLICE = 1 << 16
 WORDS, PER_WORD, BUDGET = 32, 3, 4
 #: Bits of the map of segments that several texts have.
 MAP_BITS = 25
+#: Bits of the map of texts that take part in a comparison, and rounds of comparisons with hubs before all that is left is compared.
+TEXT_BITS, ROUNDS = 23, 5
 _STEP = 0x9E3779
 
 
@@ -236,20 +238,32 @@ def _wide(docs: DataFrame, width: int, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, n long, fp binary")
 
 
-def _keys(classes: DataFrame, words: int, per_word: int) -> DataFrame:
-    """(key): a row for each segment of every fingerprint."""
+def _sized(s: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``s``, keys): a segment's key is its place, its bits and the magnitude of the text's number of shingles.
+
+    Similar texts differ little in that number, so texts of other sizes don't meet; a text that is near to the next magnitude has the keys of both.
+    """
+    size = np.frexp(n.astype(np.float64))[1].astype(np.uint64)
+    near = np.flatnonzero(n >= (similarity - 1e-9) * np.exp2(size.astype(np.float64)))
+    row = np.concatenate((np.arange(len(n)), near))
+    size = np.concatenate((size, size[near] + np.uint64(1)))
+    return row, s[row] | np.arange(s.shape[1], dtype=np.uint64) << np.uint64(32) | size[:, None] << np.uint64(40)
+
+
+def _keys(classes: DataFrame, words: int, per_word: int, similarity: float) -> DataFrame:
+    """(key): a row for each segment of every fingerprint, with its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 s = _segments(_of_binary(batch.column(2).slice(at, 1024), words), per_word)
-                key = s | np.arange(s.shape[1], dtype=np.uint64) << np.uint64(32)
+                _, key = _sized(s, batch.column(1).slice(at, 1024).to_numpy(), similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64))], names=["key"])
 
     return classes.mapInArrow(run, "key long")
 
 
-def _live(classes: DataFrame, bitmap: np.ndarray, words: int, per_word: int) -> DataFrame:
+def _live(classes: DataFrame, bitmap: np.ndarray, words: int, per_word: int, similarity: float) -> DataFrame:
     """(key, chain, node, n): the segments whose bit is set, each with the two segments after it."""
     shared, bits = classes.sparkSession.sparkContext.broadcast(bitmap), np.uint64(64 // per_word)
 
@@ -259,12 +273,13 @@ def _live(classes: DataFrame, bitmap: np.ndarray, words: int, per_word: int) ->
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 s = _segments(_of_binary(part.column(2), words), per_word)
-                key = s | np.arange(s.shape[1], dtype=np.uint64) << np.uint64(32)
+                text, key = _sized(s, part.column(1).to_numpy(), similarity)
                 spot = _spread(key)
-                row, col = np.nonzero(used[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+                at_key, col = np.nonzero(used[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+                row = text[at_key]
                 chain = s[row, (col + 1) % s.shape[1]] | s[row, (col + 2) % s.shape[1]] << bits
                 node, n = (part.column(k).to_numpy()[row] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(key[row, col].view(np.int64)), pa.array(chain.view(np.int64)), pa.array(node), pa.array(n)], names=["key", "chain", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at_key, col].view(np.int64)), pa.array(chain.view(np.int64)), pa.array(node), pa.array(n)], names=["key", "chain", "node", "n"])
 
     return classes.mapInArrow(run, "key long, chain long, node long, n long")
 
@@ -312,7 +327,11 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     involved = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "involved")
-    held = cut(texts.join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # a map of fixed size tells which texts may be meant, so the others stay where they are
+    spot = lambda: F.col("node").bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
+    bits = involved.groupBy(F.shiftright(spot(), 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("_bits"))
+    texts = texts.join(F.broadcast(bits), F.shiftright(spot(), 6) == F.col("_word")).where(F.expr("shiftright(_bits, cast(node & 63 as int)) & 1") == 1)  # 2^TEXT_BITS / 64 rows at most
+    held = cut(texts.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     # the members' texts first: a hub's text is not copied until nothing is shuffled any more
     both = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("_b")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("_a")), "a")
     return both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
@@ -326,36 +345,42 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, wo
     shingle, null and empty ones are equal texts.  Groups are what links connect.
     Each link is exact; those that no equal segment shows are missed (see above).
 
-    Copies are one node.  In a first round each node is compared with one hub only, the
-    least node of a segment, so a large group becomes a star and not all its
-    pairs; in the second, nodes of a segment that are still in different groups are compared.
+    Copies are one node.  In each of up to ``ROUNDS`` rounds a node is compared with one hub only, that of its keys' hubs which is nearest by its chain;
+    a key's hub is drawn anew each round, and members of the hub's own group don't meet it.  So a large group grows from
+    stars, a link for each node, and not from all its pairs.  Rounds end when one finds nothing.  Then nodes of a key that are still
+    in different groups are all compared, so no link between groups is lost.
     """
     base = docs.select(text_node(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     classes = cut(_wide(base, width, words).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "wide")
-    again = _keys(classes, words, per_word).groupBy("key").count().where("count > 1")
+    again = _keys(classes, words, per_word, similarity).groupBy("key").count().where("count > 1")
     mask = F.lit((1 << MAP_BITS) - 1)  # as _spread()
     spot = F.col("key").bitwiseXOR(F.shiftright("key", 32) * F.lit(_STEP)).bitwiseAND(mask)
     found = again.select(spot.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(1 << MAP_BITS - 6, np.int64)  # 2^MAP_BITS bits, whatever the input
     bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-    live = cut(_live(classes, bitmap.view(np.uint8), words, per_word), "live")
-
-    hubs = live.groupBy("key").agg(F.count("*").alias("uses"), F.min(F.struct("node", "chain", "n")).alias("hub")).where("uses > 1")
-    met = live.join(hubs, "key").where(F.col("node") != F.col("hub.node"))
-    met = met.where(_within("chain", "hub.chain", per_word) & _sizes_fit("n", "hub.n", similarity))
-    star = met.groupBy(F.col("node").alias("b")).agg(F.min(F.struct(F.bit_count(F.col("chain").bitwiseXOR(F.col("hub.chain"))).alias("off"), F.col("hub.node").alias("a"))).alias("best"))
-    star = cut(_close(star.select(F.col("best.a").alias("a"), "b"), classes, words, per_word), "star")
-    star = cut(_similar(star, base, width, similarity), "first")
-    roots = cut(components(star), "roots")
-
-    named = cut(live.join(roots, "node", "left").select("key", "chain", "node", "n", F.coalesce("root", "node").alias("root")), "named")
+    live = cut(_live(classes, bitmap.view(np.uint8), words, per_word, similarity), "live")
+
+    found, roots, named = None, None, live.withColumn("root", F.col("node"))
+    for r in range(ROUNDS):
+        hubs = named.groupBy("key").agg(F.count("*").alias("uses"), F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("draw"), "node", "chain", "n", "root")).alias("hub")).where("uses > 1")
+        met = named.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
+        met = met.where(_within("chain", "hub.chain", per_word) & _sizes_fit("n", "hub.n", similarity))
+        star = met.groupBy(F.col("node").alias("b")).agg(F.min(F.struct(F.bit_count(F.col("chain").bitwiseXOR(F.col("hub.chain"))).alias("off"), F.col("hub.node").alias("a"))).alias("best"))
+        star = cut(_close(star.select(F.col("best.a").alias("a"), "b"), classes, words, per_word), "star")
+        new = cut(_similar(star, base, width, similarity), "linked")
+        if new.isEmpty():
+            break
+        found = new if found is None else found.unionByName(new)
+        roots = cut(components(found), "roots")
+        named = cut(live.join(roots, "node", "left").select("key", "chain", "node", "n", F.coalesce("root", "node").alias("root")), "named")
     open_keys = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     still = cut(named.join(open_keys, "key", "left_semi"), "open")
     x, y = (still.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("chain", "node", "n", "root")]) for s in "ab")
     pairs = x.join(y, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _within("chain_a", "chain_b", per_word) & _sizes_fit("n_a", "n_b", similarity))
     pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     rest = cut(_close(pairs, classes, words, per_word), "pairs")
-    return components(star.unionByName(_similar(rest, base, width, similarity)))
+    last = _similar(rest, base, width, similarity)
+    return components(last if found is None else found.unionByName(last))
 
 
 def text_node(text: Column) -> Column:

@@ -159,3 +159,26 @@ def test_many_equal_rows(spark, monkeypatch):
     out = mix(df).collect()
     assert len(out) == 1000
     check(out, near=1)
+
+
+def test_repeat_many_equal_rows(spark):
+    """Equal rows, and others of the same key, come as often as the mixture takes rows of their key."""
+    rows = [(None, "w w w", "a", 1)] * 500 + [(None, "v v v", "a", 2)] * 300 + [(None, "v v v", "a", 3)] + [(i, "x " * (i % 9 + 1), "b", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(4)
+    mixed = mix(docs)
+    got = repeat_rows(docs, mixed)
+    taken = defaultdict(int)
+    for r in mixed.collect():
+        taken[r.doc_id, r.source, r.size] += r.copies
+    have = defaultdict(int)
+    for r in got.collect():
+        have[r.doc_id, r.source, len(r.text.split())] += 1
+    assert have == {k: v for k, v in taken.items() if v}
+    # each row of a key comes as often as another, or once more
+    per = defaultdict(int)
+    for r in got.where("source = 'a'").collect():
+        per[r.text, r.n] += 1
+    ratio = sum(per.values()) / 801
+    for (text, n), k in per.items():
+        most = {1: 500, 2: 300, 3: 1}[n]
+        assert int(ratio) * most <= k <= (int(ratio) + 1) * most
