@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlab.llm.tables import cut, lower_ascii
@@ -33,7 +33,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Suffixes of several labels under which anybody may register; any list can be given to the operator.
+#: Suffixes of several labels under which anybody may register; any list or table can be given to the operator.
 SUFFIXES = (
     "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "edu.au",
     "github.io", "gov.au", "gov.uk", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "or.jp", "org.au", "org.br", "org.cn", "org.uk",
@@ -74,25 +74,37 @@ def _rho(nodes: DataFrame, parent: str) -> DataFrame:
     return sums.select((1 / rho - 1).alias("kappa"))
 
 
-def hierarchy(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host; ``suffixes`` is a short list in code."""
-    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":[0-9]*\z", "")
-    ip = bare.rlike(r"^[0-9]+(\.[0-9]+){3}\z") | F.contains(bare, F.lit("["))
-    labels = F.split(bare, r"\.", -1)
-    n = F.lit(1)
-    for s in sorted(suffixes, key=lambda s: (s.count("."), s)):  # the longest that fits comes last
-        n = F.when((bare == s) | F.endswith(bare, F.lit("." + s)), F.lit(s.count(".") + 1)).otherwise(n)
+def suffix_table(spark: SparkSession, suffixes: Sequence[str] | DataFrame) -> DataFrame:
+    """(suffix, labels), each once: from a list or a table with a column ``suffix``, of any length."""
+    if not isinstance(suffixes, DataFrame):
+        suffixes = spark.createDataFrame([(s,) for s in suffixes], "suffix string")
+    return suffixes.where("suffix is not null").select(lower_ascii(F.col("suffix")).alias("suffix")).distinct().withColumn("labels", F.size(F.split("suffix", r"\.", -1)))
+
+
+def with_hierarchy(hosts: DataFrame, suffixes: Sequence[str] | DataFrame = SUFFIXES) -> DataFrame:
+    """``hosts``, a row for each host, with its registered domain and suffix.
+
+    A host asks the table of suffixes for its own last labels, as many as the longest suffix has, so the list may have any length.
+    """
+    table = cut(suffix_table(hosts.sparkSession, suffixes), "suffix-list")
+    most = table.agg(F.coalesce(F.max("labels"), F.lit(1))).first()[0]
+    bare = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), r":[0-9]*\z", "")
+    own = cut(hosts.withColumn("_bare", bare).withColumn("_ip", F.col("_bare").rlike(r"^[0-9]+(\.[0-9]+){3}\z") | F.contains("_bare", F.lit("["))), "bare")
+    labels = F.split("_bare", r"\.", -1)
 
     def last(k: Column) -> Column:
         return F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - k + 1), F.greatest(F.lit(1), k)), ".")
 
-    return F.when(ip, bare).otherwise(last(n + 1)), F.when(ip, bare).otherwise(last(n))
+    tails = own.where("not _ip").select("host", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size(labels)))).alias("_k"), "_bare").select("host", last(F.col("_k")).alias("suffix"))
+    fits = tails.join(table, "suffix").groupBy("host").agg(F.max("labels").alias("_n"))
+    n = F.coalesce("_n", F.lit(1))
+    both = own.join(fits, "host", "left")
+    return both.select(*hosts.columns, F.when(F.col("_ip"), F.col("_bare")).otherwise(last(n + 1)).alias("domain"), F.when(F.col("_ip"), F.col("_bare")).otherwise(last(n)).alias("suffix"))
 
 
-def host_reputation(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+def host_reputation(hosts: DataFrame, suffixes: Sequence[str] | DataFrame = SUFFIXES) -> DataFrame:
     """Rows (host, n, k), one for each host, to (host, mean, sd): posterior mean and deviation of the good rate."""
-    domain, suffix = hierarchy(F.col("host"), suffixes)
-    hosts = cut(hosts.select("host", F.col("n"), F.col("k"), domain.alias("domain"), suffix.alias("suffix")), "hosts")
+    hosts = cut(with_hierarchy(hosts.select("host", "n", "k"), suffixes), "hosts")
     domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     tops = cut(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1)), "suffixes")
     root = tops.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k0"), F.coalesce(F.sum("n"), F.lit(0)).alias("n0"))
@@ -110,7 +122,7 @@ def host_reputation(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> Dat
     return df.select("host", m.alias("mean"), F.sqrt(m * (1 - m) / (F.col("r3") + F.col("n") + 1)).alias("sd"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, suffixes: Sequence[str] | DataFrame = SUFFIXES) -> DataFrame:
     """One row for each row of ``pages``: page_id, host, path, rule, verdict, good_rate, upper.
 
     ``pages`` has page_id and url; ``labels`` has doc_id, quality and toxic, and

@@ -110,3 +110,21 @@ def test_the_bound_at_work(spark):
     verdicts = {r.page_id: r.verdict for r in out.collect()}
     assert all((verdicts[p] == "block") == (p // 1000 % 10 == 0) for p, _ in pages if p < 90_000)
     assert verdicts[90_000] == verdicts[90_001] == "allow"
+
+
+def test_a_long_list_of_suffixes(spark):
+    """Nine thousand suffixes, as a table: the longest that fits counts, and the plan doesn't grow with the list."""
+    listed = [f"s{i}.t{i % 90}" for i in range(9000)] + ["deep.s5.t5", "t7"]
+    table = spark.createDataFrame([(s, 1) for s in [*listed, "s1.t1", None, "UP.t3"]], "suffix string, other int")
+    hosts = [f"www.a{i}.s{i}.t{i % 90}" for i in range(0, 9000, 450)] + ["x.deep.s5.t5", "deep.s5.t5", "s5.t5", "q.up.t3", "plain.com", "com", "", "10.1.1.1", "b.unlisted.t7"]
+    df = spark.createDataFrame([(h, 1, 0) for h in hosts], "host string, n long, k long")
+    known = {*listed, "up.t3"}
+    want = set()
+    for h in hosts:
+        labels = h.split(".")
+        n = max((k for k in range(1, len(labels) + 1) if ".".join(labels[-k:]) in known), default=1)
+        want.add((h, h, h) if h == "10.1.1.1" else (h, ".".join(labels[-n - 1 :]), ".".join(labels[-n:])))
+    for suffixes in (table, listed + ["up.t3"]):
+        out = urlrep.with_hierarchy(df, suffixes)
+        assert {(r.host, r.domain, r.suffix) for r in out.collect()} == want
+        assert len(out._jdf.queryExecution().executedPlan().toString()) < 20_000
