@@ -366,6 +366,79 @@ def background_mutations(entities: DataFrame, key_col: str, days: int, rate: flo
     return hits.select("entity_key", "day", (F.row_number().over(w) + 1).alias("entity_version"), F.coalesce(F.lag("after").over(w), first).alias("before"), "after", (F.lit(start).cast("date") + F.col("day")).alias("date"))
 
 
+#: Up to so many rules are sent to all tasks; more are joined by entity type like any other table.
+BROADCAST_RULES = 100_000
+
+
+def _gap(key_: bytes, k: Column | int) -> Column:
+    """Days from one hit of a chance to the next, at least 1: a geometric draw, the k-th of an entity and rule."""
+    miss = F.log(1 - F.least(D.prf_u(key_, F.col("entity_type"), F.col("rule"), F.col("entity_key"), k, "gap"), F.lit(1 - 2.0**-53)))
+    return F.when(F.col("chance") >= 1, F.lit(1)).otherwise(1 + F.least(F.floor(miss / F.log(1 - F.col("chance"))), F.lit(2**31))).cast("long")
+
+
+def hits_of(entities: DataFrame, rules: DataFrame, days: int, seed: int, deviations: float = 6) -> DataFrame:
+    """``entities`` by the rules of their type, with a ``day`` for each hit: every day of an entity's life is hit by ``chance``, and no missed day is made.
+
+    The gaps from hit to hit are geometric draws.  The first one, in the entity's own row, drops the pairs that are never hit; the others
+    come as lists, long enough for nearly all (by so many ``deviations`` above what is to be expected), and pairs that go on after their list take another one.
+    """
+    k = D.subseed(seed, "background")
+    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    pairs = entities.join(F.broadcast(rules) if few else rules, "entity_type").where("chance > 0")
+    end = F.least(F.coalesce(F.col("live_until"), F.lit(days)), F.lit(days)).cast("long")
+    born = F.greatest(F.coalesce(F.col("live_from"), F.lit(0)), F.lit(0)).cast("long")
+    left = (F.col("_end") - F.col("_at")).cast("double")
+    size = F.least(left, F.greatest(F.ceil(left * F.col("chance") + deviations * F.sqrt(left * F.col("chance"))), F.lit(0)) + 2).cast("int")
+    going = pairs.withColumns({"_end": end, "_at": born - 1 + _gap(k, 0), "_k": F.lit(0)}).where("_at < _end")
+    found = []
+    while True:
+        gaps = F.transform(F.sequence(F.lit(1), F.col("_size")), lambda i: _gap(k, F.col("_k") + i))
+        run = F.aggregate(gaps, F.array("_at"), lambda days_, g: F.concat(days_, F.array(F.element_at(days_, -1) + g)))
+        listed = cut(going.withColumn("_size", size).withColumn("_days", run), "hits")
+        found.append(listed.withColumn("day", F.explode(F.filter(F.slice("_days", 1, F.col("_size")), lambda d: d < F.col("_end")))).drop("_days", "_size", "_end", "_at", "_k"))
+        going = listed.withColumns({"_at": F.element_at("_days", -1), "_k": F.col("_k") + F.col("_size")}).where("_at < _end").drop("_days", "_size")
+        if going.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def mutations_by_rules(entities: DataFrame, rules: DataFrame, sets: Mapping[str, Generator], days: int, seed: int, start: str) -> DataFrame:
+    """Updates of entities that no event causes, by a table of rules.
+
+    ``entities`` has a row for each (entity_type, entity_key), the attributes of ``sets`` with their first values and, if it likes, ``live_from`` (first day) and
+    ``live_until`` (the day after the last).  ``rules`` has entity_type, ``rule`` (a number within the type), ``chance`` for each day, and ``attributes``, the names it
+    changes; ``sets`` says how each is drawn.  Rules without a chance, types without rules and rows without a type or key change nothing.
+
+    Returns (entity_type, entity_key, entity_version, op, rule, day, occurred_at, event_id, correlation_id, causation_id, before, after): versions of an entity
+    follow each other from 2 on, 1 being its first values; ``after`` of one is ``before`` of the next.  Each update is the root of its chain: its correlation is its
+    own id, its cause is null.  An entity has at most a row for each rule and day.
+    """
+    unknown = rules.select(F.explode("attributes").alias("a")).where(~F.col("a").isin(list(sets))).first()
+    if unknown is not None:
+        raise ValueError(f"no generator for the attribute {unknown.a}")
+    for bound in ("live_from", "live_until"):
+        if bound not in entities.columns:
+            entities = entities.withColumn(bound, F.lit(None).cast("int"))
+    k = D.subseed(seed, "background")
+    hits = hits_of(entities.select("entity_type", "entity_key", *sets, "live_from", "live_until"), rules.select("entity_type", "rule", "chance", "attributes"), days, seed)
+    place = ("entity_type", "rule", "entity_key", "day")
+    micros = F.unix_micros(F.lit(start).cast("timestamp")) + F.col("day") * 86_400_000_000 + F.floor(D.prf_u(k, *[F.col(c) for c in place], "offset") * 86_400_000_000)
+    hits = hits.withColumn("_micros", micros.cast("long")).withColumn("event_id", D.uuid7(F.floor(F.col("_micros") / 1000).cast("long"), D.prf_digest(k, *[F.col(c) for c in place], "id")))
+    row = F.concat_ws(":", *place)
+    new = {f"_new_{a}": F.when(F.array_contains("attributes", a), gen(Draws(k, "background", row, a, {c: F.col(c) for c in sets}))) for a, gen in sets.items()}
+    w = Window.partitionBy("entity_type", "entity_key").orderBy("_micros", "rule")
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.struct(*[F.coalesce(F.last(f"_new_{a}", ignorenulls=True).over(earlier), F.col(a)).alias(a) for a in sets])
+    after = F.struct(*[F.coalesce(F.last(f"_new_{a}", ignorenulls=True).over(upto), F.col(a)).alias(a) for a in sets])
+    return hits.withColumns(new).select(
+        "entity_type", "entity_key", (F.row_number().over(w) + 1).alias("entity_version"), F.lit("u").alias("op"), "rule", "day", F.timestamp_micros("_micros").cast("timestamp_ntz").alias("occurred_at"),
+        "event_id", F.col("event_id").alias("correlation_id"), F.lit(None).cast("string").alias("causation_id"), before.alias("before"), after.alias("after"),
+    )
+
+
 def arrivals(df: DataFrame, row: Column, rate_per_hour: float, diurnal: Sequence[float], seed: int, start: str, hours: int) -> DataFrame:
     """Arrival times of a Poisson process with hourly intensity, one for each row in its order, until ``hours`` are over.
 
@@ -394,11 +467,16 @@ def arrivals(df: DataFrame, row: Column, rate_per_hour: float, diurnal: Sequence
 
 def synth_events(arrived: DataFrame, row: Column, types: Mapping[str, float], actors: DataFrame, actor_order: str, actor_key: str, seed: int) -> DataFrame:
     """Events of arrivals: each bound to a drawn actor, with a weighted type, an id of its time and digest, and its number in the actor's shard."""
-    from eventlab.functions.values import epoch_ms
     from eventlab.operators.checks import assign_sequence
 
-    key_ = D.subseed(seed, "events")
     df = sample_fk(arrived, row, actors, actor_order, actor_key, "actors", seed).withColumnRenamed("fk", "actor")
+    return assign_sequence(described(df, row, types, "arrived_at", seed).withColumn("shard_id", F.lit(0)), ["shard_id"], "arrived_at", "event_id")
+
+
+def described(df: DataFrame, row: Column, types: Mapping[str, float], time: str, seed: int) -> DataFrame:
+    """``df`` with a weighted event_type, an event_id of the row's time and digest, and occurred_at."""
+    from eventlab.functions.values import epoch_ms
+
+    key_ = D.subseed(seed, "events")
     df = df.withColumn("event_type", F.get(F.lit(list(types)), D.weighted_choice(D.prf_u(key_, row, "type"), list(types.values()))))
-    df = df.withColumn("event_id", D.uuid7(epoch_ms(F.col("arrived_at")), D.prf_digest(key_, row, "id"))).withColumn("occurred_at", F.col("arrived_at"))
-    return assign_sequence(df.withColumn("shard_id", F.lit(0)), ["shard_id"], "arrived_at", "event_id")
+    return df.withColumn("event_id", D.uuid7(epoch_ms(F.col(time)), D.prf_digest(key_, row, "id"))).withColumn("occurred_at", F.col(time))

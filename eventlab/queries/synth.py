@@ -8,6 +8,8 @@ from eventlab.catalog import query, table
 from eventlab.functions import draws as D
 from eventlab.plans import synth as G
 from eventlab.queries.draws import DIURNAL, sql_hmac, sql_normal, sql_u
+from eventlab.sources import tables as S
+from eventlab.streaming import streams as T
 
 SEED = 11
 KEY = D.subseed(SEED, "values")
@@ -167,6 +169,44 @@ def g6(spark, sf):
     return G.background_mutations(table(spark, sf, "customer"), "c_custkey", 30, 0.2, SEED, "2024-01-01").drop("date")
 
 
+_RULES = [("customer", 0, 0.05, ["credit"]), ("customer", 1, 0.01, ["credit", "city"]), ("customer", 2, 0.0, ["city"]), ("supplier", 0, 1.0, ["credit"]), ("supplier", 1, 0.3, ["city"]), ("nobody", 0, 0.5, ["city"])]
+_SETS = {"city": G.choice(G.CITIES), "credit": G.integer(0, 999)}
+#: Every fifth customer is born on day 10, every seventh ends on day 40.
+_ENTITIES = """SELECT 'customer' AS entity_type, c_custkey AS entity_key, 'none' AS city, cast(c_nationkey AS bigint) AS credit,
+    CASE WHEN c_custkey % 5 = 0 THEN 10 END AS live_from, CASE WHEN c_custkey % 7 = 0 THEN 40 END AS live_until FROM {customer}
+    UNION ALL SELECT 'supplier', s_suppkey, 'none', cast(s_nationkey AS bigint), NULL, NULL FROM {supplier}"""
+
+
+def _hit(label):
+    return sql_u(f"entity_type || ':' || rule || ':' || entity_key || ':' || {label}", _BG)
+
+
+def _set(column, values):
+    return sql_u(f"'background:' || entity_type || ':' || rule || ':' || entity_key || ':' || day || ':{column}:0'", _BG) + f" * {values}"
+
+
+_RULES_SQL = ", ".join(f"('{t}', {n}, {p}::DOUBLE, {a})" for t, n, p, a in _RULES)
+
+
+@query("g6_mutations_by_rules", f"""WITH rules(entity_type, rule, chance, attributes) AS (VALUES {_RULES_SQL}), entities AS ({_ENTITIES.format(customer="customer", supplier="supplier")}),
+    gaps AS (SELECT *, CASE WHEN chance >= 1 THEN 1 ELSE 1 + floor(ln(1 - {_hit("k || ':gap'")}) / ln(1 - chance)) END AS gap FROM entities JOIN rules USING (entity_type) CROSS JOIN range(60) r(k) WHERE chance > 0),
+    days AS (SELECT *, (coalesce(live_from, 0) + sum(gap) OVER (PARTITION BY entity_type, entity_key, rule ORDER BY k) - 1)::BIGINT AS day FROM gaps),
+    hits AS (SELECT *, epoch_us(TIMESTAMP '2024-01-01') + day * 86400000000 + floor({_hit("day || ':offset'")} * 86400000000)::BIGINT AS us,
+        CASE WHEN list_contains(attributes, 'city') THEN ({list(G.CITIES)})[floor({_set("city", len(G.CITIES))})::INT + 1] END AS new_city,
+        CASE WHEN list_contains(attributes, 'credit') THEN floor({_set("credit", 1000)})::BIGINT END AS new_credit FROM days WHERE day < least(coalesce(live_until, 60), 60))
+    SELECT entity_type, entity_key, row_number() OVER w + 1 AS entity_version, rule, day, make_timestamp(us) AS occurred_at,
+        coalesce(last_value(new_city IGNORE NULLS) OVER b, city) AS before_city, coalesce(last_value(new_credit IGNORE NULLS) OVER b, credit) AS before_credit,
+        coalesce(last_value(new_city IGNORE NULLS) OVER a, city) AS after_city, coalesce(last_value(new_credit IGNORE NULLS) OVER a, credit) AS after_credit
+    FROM hits WINDOW w AS (PARTITION BY entity_type, entity_key ORDER BY us, rule), a AS (PARTITION BY entity_type, entity_key ORDER BY us, rule ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        b AS (PARTITION BY entity_type, entity_key ORDER BY us, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def g6_rules(spark, sf):
+    entities = spark.sql(_ENTITIES, customer=table(spark, sf, "customer"), supplier=table(spark, sf, "supplier"))
+    rules = spark.createDataFrame(_RULES, "entity_type string, rule int, chance double, attributes array<string>")
+    out = G.mutations_by_rules(entities, rules, _SETS, 60, SEED, "2024-01-01")
+    images = [F.col(f"{i}.{a}").alias(f"{i}_{a}") for i in ("before", "after") for a in _SETS]
+    return out.select("entity_type", "entity_key", "entity_version", "rule", "day", "occurred_at", *images)
+
+
 _MASS = [20 * DIURNAL[h % 24] * 24 / sum(DIURNAL) for h in range(72)]
 _UPTO = [sum(_MASS[:h]) for h in range(73)]
 _GAP = sql_u("'arrivals:' || event_id || ':gap:0'", D.subseed(SEED, "arrivals"))
@@ -198,6 +238,22 @@ def g7(spark, sf):
     return out.select("row", "event_type", "actor", "sequence_no")
 
 
+_TYPES = {"view": 7, "click": 2, "purchase": 1}
+
+
+@query("g9_live_events", f"""SELECT r AS row, CASE WHEN {_SQL_TYPE} * 10.0 < 7 THEN 'view' WHEN {_SQL_TYPE} * 10.0 < 9 THEN 'click' ELSE 'purchase' END AS event_type, fk AS actor, r + 1 AS sequence_no,
+    make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + (r * 1000000 // per)) AS occurred_at
+    FROM (SELECT *, event_id AS r, floor({_SQL_ACTOR} * (SELECT count(*) FROM customer))::BIGINT AS n FROM (SELECT unnest(range(4 * per)) AS event_id, per FROM (SELECT ceil(count(*) / 4.0)::BIGINT AS per FROM events))) JOIN ({_NUM.format(k='c_custkey', t='customer')}) USING (n)""")
+def g9(spark, sf):
+    """As many live events as the events table has, a quarter a batch, bound to customers; the stream is stopped after each batch and carried on."""
+    sink, mark = S.new_path(spark, "live"), S.new_path(spark, "mark")
+    per = -(-table(spark, sf, "events").count() // 4)
+    live = T.live_events(spark, max(per, 1), _TYPES, table(spark, sf, "customer").select("c_custkey"), "c_custkey", "c_custkey", SEED, "2024-01-01")
+    for _ in range(4):
+        T.run_available(live, sink, mark)
+    return spark.read.schema(live.schema).parquet(sink).select("row", "event_type", "actor", "sequence_no", "occurred_at")
+
+
 _BUYER = sql_u("'bought.buyer:' || o_orderkey || ':fk:0'", KEY)
 
 

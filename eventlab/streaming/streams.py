@@ -15,7 +15,7 @@ from eventlab.operators.checks import scd2
 from eventlab.plans.inject import delivered, drawn, label_content, label_late, late
 from eventlab.plans.inject import moved as changed_place
 from eventlab.plans.inject import records as injection_records
-from eventlab.plans.synth import Generator, synth
+from eventlab.plans.synth import Generator, described, sample_fk, synth
 from eventlab.sources.tables import append_idempotent, cut, drop_folder, exists, touched_buckets
 
 
@@ -394,3 +394,15 @@ def synth_stream(spark: SparkSession, rows_per_batch: int, columns: Mapping[str,
     """A live source of synthetic rows: row k has the values that ``synth_table`` gives it."""
     live = rate_stream(spark, rows_per_batch).withColumnRenamed("value", "row")
     return synth(live, F.col("row"), columns, table, seed)
+
+
+def live_events(spark: SparkSession, per_second: int, types: Mapping[str, float], actors: DataFrame, actor_order: str, actor_key: str, seed: int, start: str) -> DataFrame:
+    """A live source of events: ``per_second`` rows a batch, a second of event time each from ``start`` on, bound to drawn actors of a table.
+
+    Columns are row, actor, event_type, event_id, occurred_at, shard_id and sequence_no.  Row k has the type and actor that ``synth_events`` gives row k, and rows are
+    numbered without gaps, across restarts too.  The actors are numbered once, when the stream is declared; without any actor there are no events.
+    """
+    at = F.timestamp_micros((F.unix_micros(F.lit(start).cast("timestamp")) + F.floor(F.col("row") * 1_000_000 / per_second)).cast("long")).cast("timestamp_ntz")
+    live = rate_stream(spark, per_second).select(F.col("value").alias("row")).withColumn("_time", at)
+    bound = sample_fk(live, F.col("row"), actors, actor_order, actor_key, "actors", seed).withColumnRenamed("fk", "actor")
+    return described(bound, F.col("row"), types, "_time", seed).drop("_time").withColumn("shard_id", F.lit(0)).withColumn("sequence_no", F.col("row") + 1)
