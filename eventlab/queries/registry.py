@@ -31,8 +31,13 @@ def sql(body, *names):
     return with_sql(body, *names).replace("WITH ", f"WITH {pre}, ", 1) if names else f"WITH {pre} {body}"
 
 
+def parts(spark, sf):
+    """Keys of parts, dealt over all tasks: the table is a small file."""
+    return S.spread(table(spark, sf, "part").select("p_partkey"), "p_partkey")
+
+
 def docs(spark, sf):
-    return spark.sql(_DOC.replace("{", "{{").replace("}", "}}").replace("FROM part ", "FROM {part} "), part=table(spark, sf, "part"))
+    return spark.sql(_DOC.replace("{", "{{").replace("}", "}}").replace("FROM part ", "FROM {part} "), part=parts(spark, sf))
 
 
 def fields(spark, sf):
@@ -170,18 +175,18 @@ def _lots(spark, sf):
     kind = F.col("p_partkey") % len(_LOTS)
     payload = F.coalesce(*[F.when(kind == k, F.lit(p or '{"id":7}')) for k, (p, _) in enumerate(_LOTS)])
     version = F.when(kind == len(_LOTS) - 1, 9).otherwise(1)
-    return table(spark, sf, "part").select((F.col("p_partkey") + 2**40).alias("id"), F.concat(F.lit("lot."), F.col("p_partkey").cast("string")).alias("subject"), version.alias("version"), payload.alias("payload"))
+    return parts(spark, sf).select((F.col("p_partkey") + 2**40).alias("id"), F.concat(F.lit("lot."), F.col("p_partkey").cast("string")).alias("subject"), version.alias("version"), payload.alias("payload"))
 
 
-def all_fields(spark, sf):
-    """Fields of parts and lots."""
-    lots = table(spark, sf, "part").select(F.concat(F.lit("lot."), F.col("p_partkey").cast("string")).alias("subject"), F.lit(1).alias("version"), F.lit(_LOT).alias("doc"))
-    return R.schema_fields(docs(spark, sf).select("subject", "version", "doc").unionByName(lots))
+def all_docs(spark, sf):
+    """Documents of parts and lots."""
+    lots = parts(spark, sf).select(F.concat(F.lit("lot."), F.col("p_partkey").cast("string")).alias("subject"), F.lit(1).alias("version"), F.lit(_LOT).alias("doc"))
+    return docs(spark, sf).select("subject", "version", "doc").unionByName(lots)
 
 
 def _rows(spark, sf):
     """Each part as a row of its first version, some with faults, and each lot."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    p = parts(spark, sf).select(F.col("p_partkey").alias("id"))
     n = F.col("id").cast("string")
     payload = F.map_from_entries(F.array_compact(F.array(
         F.struct(F.lit("id").alias("k"), F.when(F.col("id") % 10 == 0, F.concat(F.lit('"'), n, F.lit('"'))).when(F.col("id") % 10 == 1, "null").when(F.col("id") % 20 == 13, "-5").otherwise(n).alias("v")),
@@ -211,7 +216,7 @@ DLQ = f"""SELECT id, string_agg(why, ',' ORDER BY why) AS why FROM ({_WHY}) GROU
 
 @query("r15_dlq_split", DLQ)
 def r15(spark, sf):
-    return why(*R.dlq_split(_rows(spark, sf), S.cut(all_fields(spark, sf), "fields")))
+    return why(*R.halves(S.cut(R.with_reasons(_rows(spark, sf), R.schema_rules(all_docs(spark, sf))), "judged")))
 
 
 def why(good, bad):
@@ -226,7 +231,7 @@ _OLD_LOTS = {2: ("box.w", "4"), 3: ("box.w", "4"), 6: ("id", "8"), 13: ("box.lid
 @query("r17_reprocess_dlq", f"""SELECT p_partkey AS id, p_partkey::VARCHAR AS v, NULL AS box FROM part WHERE p_partkey % 10 IN (0, 1) AND p_partkey % 6 <> 1 AND p_partkey % 15 <> 4
     UNION ALL SELECT p_partkey + {2**40}, CASE WHEN k = 6 THEN '8' ELSE '7' END, CASE WHEN k IN (2, 3) THEN '{{"w":4}}' WHEN k = 13 THEN '{{"lid":{{"c":"blue"}},"w":1}}' END FROM (SELECT p_partkey, p_partkey % {len(_LOTS)} AS k FROM part) WHERE k IN (2, 3, 6, 13)""")
 def r17(spark, sf):
-    f = S.cut(all_fields(spark, sf), "fields")
+    f = R.schema_rules(all_docs(spark, sf))
     bad = S.cut(R.dlq_split(_rows(spark, sf), f)[1], "bad")
     rec = bad.where("id % 10 in (0, 1) and subject like 'part.%'").select("id", F.lit("id").alias("path"), F.col("id").cast("string").alias("original"))
     kind = (F.col("id") - 2**40) % len(_LOTS)

@@ -10,7 +10,7 @@ from eventlab.operators import rows as R
 from eventlab.plans import inject as I
 from eventlab.plans import registry as REG
 from eventlab.queries.inject import SEED, truth, u
-from eventlab.queries.registry import _STEPS, DLQ, _rows, all_fields, upgrades, why
+from eventlab.queries.registry import _STEPS, DLQ, _rows, all_docs, upgrades, why
 from eventlab.sources import tables as S
 from eventlab.streaming import streams as T
 
@@ -244,11 +244,11 @@ def t5(spark, sf):
 
 @query("t10_stream_dlq", DLQ)
 def t10(spark, sf):
-    df, rules = _rows(spark, sf), S.cut(all_fields(spark, sf), "rules")
+    df, rules = _rows(spark, sf), REG.schema_rules(all_docs(spark, sf))
     good, bad = S.new_path(spark, "good"), S.new_path(spark, "bad")
 
     def split(batch):
-        ok, wrong = REG.dlq_split(batch, rules)
+        ok, wrong = REG.halves(S.cut(REG.with_reasons(batch, rules), "judged"))
         return [(ok.select("id"), good, ["id"]), (wrong.select("id", "reasons"), bad, ["id"])]
 
     T.two_sinks(feed(spark, df), split, S.new_path(spark, "mark"))

@@ -108,3 +108,28 @@ def test_repair_puts_back_at_any_depth(spark):
     rec = spark.createDataFrame([(1, "b.c.d", "20"), (1, "a", '"x"'), (1, "b.f", "null"), (2, "new", "[1,2]"), (3, "a", "1"), (4, "b.c", "1")], "id long, path string, original string")
     got = {r.id: json.loads(r.payload) for r in R.repair(bad, rec).collect()}
     assert got == {1: {"a": "x", "b": {"c": {"d": 20}, "e": [3], "f": None}}, 2: {"a": 1, "new": [1, 2]}, 3: [1], 4: {"b": 5}}
+
+
+def test_each_text_is_read_once_and_rows_are_dealt(spark, sf_dir, monkeypatch):
+    """Documents of equal texts share their fields and rules; a table of one file feeds more than one task."""
+    from eventlab.queries import registry as Q
+
+    read = []
+    nested = R._nested
+    monkeypatch.setattr(R, "_nested", lambda docs: read.append(docs.count()) or nested(docs))
+    doc = closed(id={"type": "integer"}) | {"required": ["id"]}
+    rows = [(f"s{k}", 1, doc if k % 2 else closed(x={"type": "string"})) for k in range(40)]
+    df, fields = fields_of(spark, *rows)
+    assert sorted({(r.subject, r.path) for r in fields.collect()}) == sorted((s, "id" if "id" in d["properties"] else "x") for s, _, d in rows)
+    events = df.select(F.monotonically_increasing_id().alias("id"), "subject", "version", F.lit('{"id":"a"}').alias("payload"))
+    by_fields, by_rules = (sorted(map(str, R.with_reasons(events, x).select("subject", "reasons").collect())) for x in (fields, R.schema_rules(df)))
+    assert by_fields == by_rules and len(by_rules) == 40
+    assert read == [2, 2]
+    assert Q.docs(spark, sf_dir).rdd.getNumPartitions() > 8
+
+
+def test_a_filter_by_reasons_stays_above_the_steps(spark):
+    df, fields = fields_of(spark, ("s", 1, closed(o=closed(p={"type": "integer"}), l={"type": "array", "items": closed(q={"type": "string"})})))
+    rows = spark.createDataFrame([(1, "s", 1, "{}")], "id long, subject string, version int, payload string")
+    filters = [line for line in plan(R.dlq_split(rows, fields)[1]).splitlines() if "Filter" in line]
+    assert filters and all("schema_of_variant" not in line for line in filters)
