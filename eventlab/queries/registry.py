@@ -231,11 +231,11 @@ _OLD_LOTS = {2: ("box.w", "4"), 3: ("box.w", "4"), 6: ("id", "8"), 13: ("box.lid
 @query("r17_reprocess_dlq", f"""SELECT p_partkey AS id, p_partkey::VARCHAR AS v, NULL AS box FROM part WHERE p_partkey % 10 IN (0, 1) AND p_partkey % 6 <> 1 AND p_partkey % 15 <> 4
     UNION ALL SELECT p_partkey + {2**40}, CASE WHEN k = 6 THEN '8' ELSE '7' END, CASE WHEN k IN (2, 3) THEN '{{"w":4}}' WHEN k = 13 THEN '{{"lid":{{"c":"blue"}},"w":1}}' END FROM (SELECT p_partkey, p_partkey % {len(_LOTS)} AS k FROM part) WHERE k IN (2, 3, 6, 13)""")
 def r17(spark, sf):
-    f = R.schema_rules(all_docs(spark, sf))
-    bad = S.cut(R.dlq_split(_rows(spark, sf), f)[1], "bad")
+    judged = R.judge(R.schema_rules(all_docs(spark, sf)))
+    bad = S.cut(R.halves(judged(_rows(spark, sf)))[1], "bad")
     rec = bad.where("id % 10 in (0, 1) and subject like 'part.%'").select("id", F.lit("id").alias("path"), F.col("id").cast("string").alias("original"))
     kind = (F.col("id") - 2**40) % len(_LOTS)
     for k, (path, original) in _OLD_LOTS.items():
         rec = rec.unionByName(bad.where(F.col("subject").startswith("lot.") & (kind == k)).select("id", F.lit(path).alias("path"), F.lit(original).alias("original")))
-    good, _ = R.dlq_split(R.repair(bad.drop("reasons"), rec), f)
+    good, _ = R.halves(judged(R.repair(bad.drop("reasons"), rec)))
     return good.select("id", F.get_json_object("payload", "$.id").alias("v"), F.get_json_object("payload", "$.box").alias("box"))
