@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from eventlab.functions import draws as D
 from eventlab.functions import values as V
+from eventlab.sources.tables import cut, spread
 
 MODES = ("missing", "duplicates", "corrupted_values", "nulls", "schema_drift", "out_of_order", "late_arriving")
 MOST_FIELDS = 4
@@ -113,7 +114,8 @@ def label_content(df: DataFrame, policy: Mapping[str, Mapping], seed: int, menu:
     """The part of ``label`` that looks at one row at a time, but for lateness: instances with payload, missing and ``_records``; ``df`` may be a stream."""
     check_policy(policy)
     key = D.subseed(seed, "chaos")
-    df = df.withColumn("_records", F.array().cast("array<struct<mode:string,copies:int,path:string,original:string,delay_ms:bigint,displaced_from:bigint,fields_added:array<string>>>"))
+    # draws are dear, and events come from few files or few shards' windows
+    df = spread(df, "event_id").withColumn("_records", F.array().cast("array<struct<mode:string,copies:int,path:string,original:string,delay_ms:bigint,displaced_from:bigint,fields_added:array<string>>>"))
 
     p = policy.get("missing", {})
     df = _settle(df, missing=_hit(key, "missing", p)) if p else df.withColumn("missing", F.lit(False))
@@ -204,6 +206,7 @@ def _disorder(df: DataFrame, p: Mapping, seed: int) -> DataFrame:
     """Selected rows of a shard's tumbling window change places: the k-th place goes to the k-th row by draw."""
     df = drawn(df, p, seed)
     df = df.withColumn("_start", F.window(F.col("occurred_at").cast("timestamp"), p.get("window", "1 hour"))["start"])
+    df = cut(df, "drawn")  # three read it
     rest, df = df.where("not _sel"), df.where("_sel")  # others are neither sorted nor joined
     w = Window.partitionBy("stream_id", "shard_id", "_start")
     place = F.row_number().over(w.orderBy("emitted_at", "sequence_no", "duplicate_index"))

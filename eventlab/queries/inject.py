@@ -10,6 +10,7 @@ from eventlab.functions import draws as D
 from eventlab.operators import checks as K
 from eventlab.plans import inject as I
 from eventlab.queries.draws import sql_hmac, sql_u
+from eventlab.sources import tables as S
 
 SEED = 7
 KEY = D.subseed(SEED, "chaos")
@@ -160,7 +161,7 @@ _LABELLED = f"SELECT event_id, i, {sql_u("'nulls:' || event_id || ':select:' ||
 @query("c17_label_instances", with_sql(f"SELECT event_id, i AS duplicate_index, i = 0 AND NOT hit AS canonical, (i > 0)::INT + hit::INT AS n_ids, CASE WHEN hit THEN 'nulls' ELSE '' END AS modes, true AS recorded FROM ({_LABELLED})", "env"))
 def c17(spark, sf):
     """The block of each instance, and whether all of its ids are those of injection records."""
-    df = labelled(spark, sf, duplicates={"rate": 0.2}, nulls={"rate": 0.3})
+    df = S.cut(labelled(spark, sf, duplicates={"rate": 0.2}, nulls={"rate": 0.3}), "labelled")
     out = I.instance_labels(df, SEED).select("event_id", "duplicate_index", "_df.canonical", F.col("_df.injection_ids").alias("ids"), F.array_join("_df.chaos.mode", ",").alias("modes"))
     known = I.records(df, SEED).groupBy("event_id").agg(F.collect_set("injection_id").alias("known"))
     both = out.join(known, "event_id", "left")

@@ -194,7 +194,11 @@ def t8(spark, sf):
     df = truth(spark, sf)
     policy = {"missing": {"rate": 0.1}, "duplicates": {"rate": 0.1}}
     out, rec = S.new_path(spark, "delivered"), S.new_path(spark, "records")
-    split = lambda b: [(I.delivered(I.label(b, policy, SEED)).drop("payload"), out, ["event_id", "duplicate_index"]), (I.records(I.label(b, policy, SEED), SEED), rec, ["injection_id"])]
+
+    def split(batch):
+        made = S.cut(I.label(batch, policy, SEED), "labelled")
+        return [(I.delivered(made).drop("payload"), out, ["event_id", "duplicate_index"]), (I.records(made, SEED), rec, ["injection_id"])]
+
     T.two_sinks(feed(spark, df), split, S.new_path(spark, "mark"))
     return spark.read.parquet(rec).groupBy("mode").agg(F.count("*").alias("n"))
 
@@ -244,11 +248,11 @@ def t5(spark, sf):
 
 @query("t10_stream_dlq", DLQ)
 def t10(spark, sf):
-    df, rules = _rows(spark, sf), REG.schema_rules(all_docs(spark, sf))
+    df, judged = _rows(spark, sf), REG.judge(REG.schema_rules(all_docs(spark, sf)))
     good, bad = S.new_path(spark, "good"), S.new_path(spark, "bad")
 
     def split(batch):
-        ok, wrong = REG.halves(S.cut(REG.with_reasons(batch, rules), "judged"))
+        ok, wrong = REG.halves(S.cut(judged(S.spread(batch, "id")), "judged"))
         return [(ok.select("id"), good, ["id"]), (wrong.select("id", "reasons"), bad, ["id"])]
 
     T.two_sinks(feed(spark, df), split, S.new_path(spark, "mark"))
