@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eventlab.functions import draws as D
 from eventlab.operators.ranges import as_of, interval_join
-from eventlab.sources.tables import cut
+from eventlab.sources.tables import cut, spread
 
 FIRST = ("Ada", "Ben", "Cleo", "Dina", "Emil", "Fay", "Gus", "Hana", "Ivan", "June", "Kai", "Lena")
 LAST = ("Adler", "Brook", "Castro", "Dunn", "Egger", "Frost", "Gray", "Haas", "Irwin", "Jung", "Klein", "Lowe")
@@ -357,7 +357,8 @@ def snapshot_cdc(table: DataFrame, key_col: str, at: str) -> DataFrame:
 def background_mutations(entities: DataFrame, key_col: str, days: int, rate: float, seed: int, start: str) -> DataFrame:
     """(entity_key, day, entity_version, before, after): a seeded chance for each entity and day to get a new value; version 1 is the entity's first value."""
     k = D.subseed(seed, "background")
-    each = entities.select(F.col(key_col).alias("entity_key"), F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day"))
+    # entities are few rows of a small file, and each makes many
+    each = spread(entities.select(F.col(key_col).alias("entity_key")), "entity_key").select("entity_key", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day"))
     hit = D.prf_u(k, F.col("entity_key"), F.col("day"), "hit") < rate
     value = F.floor(D.prf_u(k, F.col("entity_key"), F.col("day"), "value") * 1000).cast("int")
     first = F.floor(D.prf_u(k, F.col("entity_key"), "first") * 1000).cast("int")
@@ -384,7 +385,7 @@ def hits_of(entities: DataFrame, rules: DataFrame, days: int, seed: int, deviati
     """
     k = D.subseed(seed, "background")
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    pairs = entities.join(F.broadcast(rules) if few else rules, "entity_type").where("chance > 0")
+    pairs = spread(entities, "entity_type", "entity_key").join(F.broadcast(rules) if few else rules, "entity_type").where("chance > 0")
     end = F.least(F.coalesce(F.col("live_until"), F.lit(days)), F.lit(days)).cast("long")
     born = F.greatest(F.coalesce(F.col("live_from"), F.lit(0)), F.lit(0)).cast("long")
     left = (F.col("_end") - F.col("_at")).cast("double")

@@ -87,3 +87,13 @@ def test_copies_right_after(spark, sf_dir):
     clean = truth(spark, sf_dir).where("id < 50")
     placed = I.place_copies(I.label(clean, {"duplicates": {"rate": 1}}, SEED), 0, SEED)
     assert placed.where("place <> sequence_no").count() == 0
+
+
+def test_dear_draws_are_dealt_over_all_tasks(spark):
+    """Rows of one file, or of few windows, are not one task's; what several read of the order mode is made once."""
+    from eventlab.plans import synth as G
+
+    df = spark.range(100).coalesce(1).select(F.concat(F.lit("e"), "id").alias("event_id"), F.lit("view").alias("event_type"), F.create_map(F.lit("k"), F.lit("1")).alias("payload"))
+    assert I.label_content(df, {"missing": {"rate": 0.5}}, 7).rdd.getNumPartitions() > 8
+    people = spark.range(100).coalesce(1).withColumnRenamed("id", "c")
+    assert "Repartition" in G.background_mutations(people, "c", 30, 0.2, 7, "2024-01-01")._jdf.queryExecution().optimizedPlan().toString()
