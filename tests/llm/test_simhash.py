@@ -161,3 +161,47 @@ def test_a_large_group_of_near_copies_is_a_star(spark):
 
 def test_no_rows(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_without_common_shingles_do_not_meet():
+    """Keys of different texts are never equal by chance, however many texts there are; equal and near ones share keys."""
+    from eventlab.llm.simhash import sketch
+
+    rng = np.random.default_rng(4)
+    sets = rng.integers(0, 2**64, (5000, 60), np.uint64)
+    keys = np.array([sketch(s)[0] for s in sets])
+    assert len(np.unique(keys)) == keys.size
+    other = sets.copy()
+    other[:, :6] = rng.integers(0, 2**64, (5000, 6), np.uint64)  # 54 of 66: 0.818
+    near = [sketch(s) for s in other]
+    assert sum((k == x[0]).any() for k, x in zip(keys, near)) >= 0.995 * 5000
+
+
+def test_a_group_just_under_the_threshold_makes_no_rows(spark):
+    """Near copies of which many pairs are just under 0.8: groups are those of all pairs, and what is compared last comes out as links only."""
+    from eventlab.llm import simhash
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    rows = []
+    for i in range(400):
+        other = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 1, 2, 4])):
+            other[at] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(other)))
+    sizes = {}
+    plain = simhash.cut
+
+    def counted(df, name="t"):
+        out = plain(df, name)
+        sizes[name] = max(out.count(), sizes.get(name, 0))
+        return out
+
+    simhash.cut = counted
+    try:
+        have = found_groups(spark, rows)
+    finally:
+        simhash.cut = plain
+    want = groups_of(rows)
+    assert {frozenset(t for t in have if have[t] == r) for r in have.values()} == {frozenset(t for t in want if want[t] == r) for r in want.values()}
+    assert max(sizes.values()) <= 400 * simhash.BANDS and sizes["last"] < 4000
