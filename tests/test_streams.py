@@ -94,3 +94,16 @@ def test_windows_of_state_are_bounded(spark):
         last = out
     assert state[-1][:2] == ([1], [9]) and len(last) == 0
 
+
+
+def test_ranges_of_a_block_are_told_apart():
+    """Many ranges come in one call of the state, and their gaps and ends are those of each range."""
+    state = []
+    p = T._Intervals(5)
+    p.seen = type("Value", (), {"exists": lambda s: bool(state), "get": lambda s: state[-1], "update": lambda s, v: state.append(v)})()
+    told = []
+    for part in ([1, 4, 5, 6, 12], [2, 8], [3]):
+        (out,) = p.handleInputRows(("s", 0, 0), iter([pd.DataFrame({"sequence_no": part})]), None)
+        told.append(sorted(zip(out.kind, out.part, out.gap_from, out.gap_to)))
+    assert told == [[("ends", 0, 1, 5), ("ends", 1, 6, 6), ("ends", 2, 12, 12), ("open", 0, 2, 3)], [("close", 0, 2, 3), ("ends", 1, 6, 8), ("open", 0, 3, 3), ("open", 1, 7, 7)], [("close", 0, 3, 3)]]
+    assert state[-1][:2] == ([1, 6, 8, 12], [5, 6, 8, 12])
