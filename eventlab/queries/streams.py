@@ -22,20 +22,24 @@ END = "2024-06-01"
 FILE_ROWS = 1_000_000
 
 
-def written(spark, path, df):
-    """Append ``df`` in files of about FILE_ROWS rows."""
-    df.repartition(max(1, -(-df.count() // FILE_ROWS))).write.mode("append").parquet(path)
+def written(spark, path, df, files: int | None = None):
+    """Append ``df`` in files of about FILE_ROWS rows, or in ``files`` files."""
+    df.repartition(files or max(1, -(-df.count() // FILE_ROWS))).write.mode("append").parquet(path)
 
 
 def feed(spark, df, files: int = 4, order: str = "id"):
-    """A stream of ``df`` written in steps, one after the other in order; a batch takes the files of a step."""
+    """A stream of ``df`` written in steps, one after the other in order; a batch takes the files of a step.
+
+    Steps have equally many files: a batch that took a part of a step would move the watermark past the rest of it.
+    """
     path = S.new_path(spark, "feed")
     df = S.cut(df, "source")
     bounds = df.approxQuantile(order, [k / files for k in range(1, files)], 0.01)
     part = sum((F.when(F.col(order) > x, 1).otherwise(0) for x in bounds), F.lit(0))
+    each = max(1, -(-df.count() // (files * FILE_ROWS)))
     for k in range(files):
-        written(spark, path, df.where(part == k))
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-df.count() // files // FILE_ROWS))).parquet(path)
+        written(spark, path, df.where(part == k), each)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def ltz(df, *cols):
@@ -98,9 +102,10 @@ def t3(spark, sf):
 @query("t4_stream_reorder", with_sql("SELECT stream_id AS key, event_id, sequence_no AS place FROM env", "env"))
 def t4(spark, sf):
     df = ltz(env(spark, sf).select("id", "stream_id", "event_id", "sequence_no", "occurred_at"), "occurred_at")
-    df = df.withColumn("arrival", F.col("id") + F.col("id") % 7)
-    ends = df.groupBy("stream_id").agg(F.max("id").alias("id")).select((F.col("id") + 2**50).alias("id"), "stream_id", F.lit("end").alias("event_id"), F.lit(2**50).alias("sequence_no"), F.lit(END).cast("timestamp").alias("occurred_at"), (F.col("id") + 2**50).alias("arrival"))
-    later = ends.withColumn("occurred_at", F.lit("2024-07-01").cast("timestamp")).withColumn("arrival", F.col("arrival") + 2**51)
+    # rows come up to six minutes late, whatever order the table numbers them in
+    df = df.withColumn("arrival", F.unix_micros("occurred_at") + F.col("id") % 7 * 60_000_000)
+    ends = df.groupBy("stream_id").agg(F.max("id").alias("id")).select((F.col("id") + 2**50).alias("id"), "stream_id", F.lit("end").alias("event_id"), F.lit(2**50).alias("sequence_no"), F.lit(END).cast("timestamp").alias("occurred_at"), F.lit(2**61).alias("arrival"))
+    later = ends.withColumn("occurred_at", F.lit("2024-07-01").cast("timestamp")).withColumn("arrival", F.lit(2**62))
     sdf = feed(spark, df.unionByName(ends).unionByName(later), order="arrival")
     released = collected(spark, T.stream_reorder(sdf, "stream_id", "occurred_at", "sequence_no", "1 hour", "1 hour")).where("event_id <> 'end'")
     return T.placed(released).select("key", "event_id", "place")

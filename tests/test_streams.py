@@ -96,6 +96,19 @@ def test_windows_of_state_are_bounded(spark):
 
 
 
+def test_a_batch_takes_whole_steps(spark, sf_dir, monkeypatch):
+    """Steps of several files, and a table whose numbers don't follow time: no row of a step is late."""
+    from eventlab.fixtures import env
+    from eventlab.queries import streams as Q
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 90)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = new_path(spark, "copies")
+    e.unionByName(e.selectExpr("event_id + 10000000 as event_id", "ts", "user_id + 1000000 as user_id", *e.columns[3:])).coalesce(1).write.parquet(f"{path}/events.parquet")
+    got = {(r.key, r.event_id, r.place) for r in Q.t4(spark, path).collect()}
+    assert got == {(r.stream_id, r.event_id, r.sequence_no) for r in env(spark, path).collect()}
+
+
 def test_ranges_of_a_block_are_told_apart():
     """Many ranges come in one call of the state, and their gaps and ends are those of each range."""
     state = []
