@@ -239,7 +239,7 @@ def t8b(spark, sf):
 def t11(spark, sf):
     log, history, c = S.new_path(spark, "log"), S.new_path(spark, "history"), cdc(spark, sf)
     T.scd2_stream(feed(spark, c, order="order_key"), log, history, S.new_path(spark, "mark"))
-    return T.history_of(spark.read.parquet(history)).select("entity_key", "entity_version", "valid_to")
+    return T.history_of(spark.read.parquet(history).select("entity_key", "entity_version", "valid_to", "batch"))
 
 
 @query("t5_stream_late_buffer", with_sql("SELECT event_id, epoch_us(occurred_at) // 1000 + 60000 * (id % 50) AS due_ms FROM env", "env"))

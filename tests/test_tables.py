@@ -75,3 +75,23 @@ def test_history_by_deltas(spark):
     T.compact_history(spark, history, target)
     one = spark.read.parquet(target)
     assert one.count() == 1000 and sorted(map(tuple, T.history_of(one).select(*scd2(cdc).columns).collect())) == want
+
+
+def test_a_batch_of_changes_is_shuffled_once(spark, monkeypatch):
+    """The log's rows and the batch's meet by one shuffle, with repeats in the batch and of the log; of unlike repeats in a batch the same one stays."""
+    plans, whole = [], T.cut
+    monkeypatch.setattr(T, "FEW", 0, raising=False)
+    monkeypatch.setattr(T, "cut", lambda df, name="t": (plans.append(plan(df)), whole(df, name))[1])
+    log, history, mark, feed = (S.new_path(spark, x) for x in ("log", "history", "mark", "feed"))
+    versions = [(e, v, datetime.date(2024, 1, 1) + datetime.timedelta(days=v)) for e in range(50) for v in range(1, 6)]
+    cdc = spark.createDataFrame(versions, "entity_key long, entity_version int, valid_from date")
+    for part in ("entity_version % 2 = 1", "entity_version < 5"):
+        rows = cdc.where(part)
+        rows.unionByName(rows.where("entity_key < 7")).write.mode("append").parquet(feed)
+        T.scd2_stream(spark.readStream.schema(cdc.schema).parquet(feed), log, history, mark, 8)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1]
+    assert spark.read.parquet(log).count() == 250
+    from eventlab.operators.checks import scd2
+
+    got = T.history_of(spark.read.parquet(history))
+    assert sorted(map(tuple, got.select(*scd2(cdc).columns).collect())) == sorted(map(tuple, scd2(cdc).collect()))
