@@ -43,6 +43,8 @@ _SLICE = 1 << 16
 BANDS, ROWS, MOST = 32, 8, 47
 #: Bits of the map of texts that take part in a comparison, and rounds of comparisons with hubs before all that is left is compared.
 TEXT_BITS, ROUNDS = 23, 3
+#: Doublings of the way up a tree of links after each such round.
+JUMPS = 3
 
 
 def _bit_sums(words: np.ndarray) -> np.ndarray:
@@ -315,9 +317,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     Each link is exact; those that no equal band shows are missed (see above).
 
     Copies are one node.  In each of up to ``ROUNDS`` rounds a node is compared with one hub only, that of its keys' hubs whose sketch is nearest;
-    a key's hub is drawn anew each round, and members of the hub's own group don't meet it.  So a large group grows from
+    a key's hub is of the group that is drawn first, anew each round, and members of that group don't meet it.  So a large group grows from
     stars, a link for each node, and not from all its pairs.  Rounds end when one finds nothing.  Then nodes of a key that are still
     in different groups are all compared by their sets, so no link between groups is lost; only links become rows.
+    Between rounds a node takes the top of its tree of links for its group: two names of one group cost comparisons and no link. What is connected is computed once, at the end.
     """
     base = docs.select(text_node(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     classes = cut(_sketched(base, width, bands, rows).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys", "bits")]), "sketches")
@@ -326,24 +329,35 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     live = cut(keys.join(again, "key").join(classes.select("node", "n", "bits"), "node").select("key", "band", "node", "n", "bits"), "live")
     size = bands * rows
 
-    found, named = None, live.withColumn("root", F.col("node"))
+    links_found, named = [], live.withColumn("root", F.col("node"))
     for r in range(ROUNDS):
-        hub = F.min(F.struct(F.xxhash64("node", "key", F.lit(r)).alias("draw"), "node", "n", "bits", "root"))
+        # a link goes to a group of lesser draw, so what the groups point at is a forest
+        hub = F.min(F.struct(F.xxhash64("root", F.lit(r)).alias("draw"), F.xxhash64("node", "key").alias("turn"), "node", "n", "bits", "root"))
         hubs = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), hub.alias("hub")).where("least < most").select("key", "hub")
         met = named.join(hubs, "key").where(F.col("root") != F.col("hub.root")).withColumn("off", _off("bits", "hub.bits", size))
         met = met.where((F.col("off") <= MOST) & _sizes_fit("n", "hub.n", similarity))
-        star = met.groupBy(F.col("node").alias("b")).agg(F.min(F.struct("off", F.col("hub.node").alias("a"))).alias("best"))
-        new = cut(_similar(cut(star.select("best.a", "b"), "star"), base, width, similarity), "linked")
+        star = met.groupBy(F.col("node").alias("b")).agg(F.min(F.struct("off", F.col("hub.node").alias("a"), F.col("root").alias("from"), F.col("hub.root").alias("to"))).alias("best"))
+        star = cut(star.select("best.a", "b", "best.from", "best.to"), "star")
+        new = cut(_similar(star.select("a", "b"), base, width, similarity), "linked")
         if new.isEmpty():
             break
-        found = new if found is None else found.unionByName(new)
-        roots = cut(components(found), "roots")
-        now = live.join(roots, "node", "left").select("key", "band", "node", "n", "bits", F.coalesce("root", "node").alias("root"))
+        groups = star.join(new, ["a", "b"]).groupBy(F.col("from").alias("node")).agg(F.min_by("to", F.xxhash64("to", F.lit(r))).alias("to"))
+        up = _tops(cut(groups, "up"))
+        links_found += [new, up.select(F.col("node").alias("a"), F.col("to").alias("b"))]
+        now = named.join(up.select(F.col("node").alias("root"), "to"), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
         named = cut(now.join(hubs.select("key"), "key", "left_semi"), "named")
     open_keys = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     still = cut(named.join(open_keys, "key", "left_semi").join(classes.select("node", "keys"), "node"), "open")
     last = cut(_rest(still, base, width, similarity, bands, size), "last")
-    return components(last if found is None else found.unionByName(last))
+    return components(functools.reduce(DataFrame.unionByName, links_found, last))
+
+
+def _tops(up: DataFrame) -> DataFrame:
+    """A forest (node, to) with each node sent up to ``2 ** JUMPS`` steps further: to the top of its tree, or near it."""
+    for _ in range(JUMPS):
+        higher = up.select(F.col("node").alias("to"), F.col("to").alias("_higher"))
+        up = cut(up.join(higher, "to", "left").select("node", F.coalesce("_higher", "to").alias("to")), "up")
+    return up
 
 
 def text_node(text: Column) -> Column:

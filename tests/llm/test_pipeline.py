@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 import test_bpe
@@ -7,8 +8,8 @@ import test_quality
 import test_simhash
 
 import corpus_pipeline
-from eventlab.llm import mixing
-from eventlab.llm.tables import cut
+from eventlab.llm import mixing, simhash
+from eventlab.llm.tables import cut, shared_dir
 
 
 def table(df):
@@ -91,3 +92,18 @@ def test_near_duplicates_keep_every_distinct_text(spark):
         out = table(stage(spark, d, ""))
         assert [(r[0], r[1][0]) for r in out] == [(0, "a"), (1, "b"), (2, "c"), (3, "e"), (None, "d")]
         assert out == table(stage(spark, docs, ""))
+
+
+def test_near_duplicates_connect_once_and_clean_up(spark, monkeypatch):
+    """A chain of texts, each near to the next only, is one group after several rounds; what is connected is computed once, and tables of the rounds are gone."""
+    calls, plain = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges, *a: (calls.append(1), plain(edges, *a))[1])
+    chain = [" ".join(f"w{i}" for i in range(8 * k, 8 * k + 160)) for k in range(40)]
+    other = [" ".join(f"v{i}" for i in range(100)), "short", ""]
+    rows = [(i, t) for i, t in enumerate(chain[::-1] + other + chain[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    out = table(dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, ""))
+    assert [r[0] for r in out] == [0, 40, 41, 42] and len(calls) == 1
+    assert sorted(x.split("-")[0] for x in set(os.listdir(shared)) - before) == ["groups", "stays"]
