@@ -13,9 +13,11 @@ Strings are range-partitioned by minimiser, string and place (document, start) a
 sorted, so a bucket that is too large for a task is cut into several.  A task streams its buckets.  Of
 equal strings the first place stands for all and the others repeat it whole.  The
 windows of the different strings of a bucket are unpacked and sorted together with their places: all but the
-first place of equal windows repeat.  Only the first and the last bucket of a partition can go on in
-another one; of each of their windows the first place in the partition is left open, and a
-grouping by the window's digest, of one row for each partition at most, tells which of these is first of all.
+first place of equal windows repeat.  A bucket of more windows than are sorted at once is judged in parts.  Parts, and
+the first and the last bucket of a partition, can go on elsewhere; of each of their windows the first place in the part is left
+open, and a grouping by the window's digest, of one row for each part at most, tells which of these is first of all.
+
+A worker holds a slice of texts as Arrow arrays and one part of a bucket, however large partitions and buckets are.
 
 What comes back for a document are the stretches of words that such windows cover.  Texts
 without any stay where they are read, told by another map of that size.
@@ -26,10 +28,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,22 +41,14 @@ from eventlab.llm.tables import cut
 
 #: Bits of the two maps.
 MAP_BITS = 26
-#: Bytes of whole texts that are worked on at once, and word hashes held by a worker.
-SLICE, CACHED = 4_000_000, 400_000
-#: Windows of a bucket that are sorted at once; a larger bucket is sorted in several passes over its strings.
+#: Bytes of whole texts that are worked on at once.
+SLICE = 1_000_000
+#: Windows of a bucket that are sorted at once; a larger bucket is judged in parts of little more.
 AT_ONCE = 100_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """XXH64 of words, computed once while they are held."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _least_at(g: np.ndarray, span: int) -> np.ndarray:
     """For each start the index of the least of ``span`` values, the leftmost of equal ones."""
     at, have = np.arange(len(g)), 1
@@ -86,28 +81,33 @@ def super_kmers(hashes: np.ndarray, ends: np.ndarray, width: int, seed_words: in
     return starts[new], np.diff(np.r_[new, len(starts)]), g[at[starts[new]]]
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first row, words of each text) for slices of about SLICE bytes of whole texts."""
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts without nulls) for slices of about SLICE bytes of whole texts."""
     texts, at = batch.column(column), 0
-    while at < batch.num_rows:
-        first, size, split = at, 0, []
-        while at < batch.num_rows and (not split or size < SLICE):
-            raw = texts[at].as_py() or b""
-            size += len(raw)
-            split.append(raw.split())
-            at += 1
-        yield first, split
-
-
-def _runs_of(split: list[list[bytes]], held: _Hashes, width: int, seed_words: int):
-    """Words of all texts in a row, first word of each text, text of each word, and the super-k-mers."""
-    words = list(chain.from_iterable(split))
-    lens = np.fromiter(map(len, split), np.int64, len(split))
-    if len(held) > CACHED:
-        held.clear()
-    hashes = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while at < len(texts):
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE)) + 1
+        yield at, texts.slice(at, end - at).cast(pa.binary()).fill_null(b"")
+        at = min(end, len(texts))
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and how many each text has."""
+    lists = pc.ascii_split_whitespace(texts.view(pa.string()))
+    flat = lists.flatten().view(pa.binary())
+    real = pc.not_equal(pc.binary_length(flat), 0)
+    upto = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+    return flat.filter(real), np.diff(upto[lists.offsets.to_numpy()])
+
+
+def _runs_of(texts: pa.Array, width: int, seed_words: int):
+    """Words of all texts in a row, first word of each text, text of each word, and the super-k-mers; each different word is hashed once."""
+    words, lens = _split(texts)
+    coded = words.dictionary_encode()
+    each = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashes = each[coded.indices.to_numpy()]
     begins = np.cumsum(lens) - lens
-    return words, begins, np.repeat(np.arange(len(split)), lens), super_kmers(hashes, np.repeat(begins + lens, lens), width, seed_words)
+    return words, begins, np.repeat(np.arange(len(lens)), lens), super_kmers(hashes, np.repeat(begins + lens, lens), width, seed_words)
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -138,10 +138,9 @@ def repeated_minimisers(docs: DataFrame, width: int, seed_words: int) -> DataFra
     """(mini) of the minimisers of two super-k-mers or more; slices are counted before anything moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Hashes()
         for batch in batches:
-            for _, split in _slices(batch, 0):
-                mini, n = np.unique(_runs_of(split, held, width, seed_words)[3][2], return_counts=True)
+            for _, texts in _slices(batch, 0):
+                mini, n = np.unique(_runs_of(texts, width, seed_words)[3][2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(n)], names=["mini", "n"])
 
     found = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "mini long, n long")
@@ -153,15 +152,15 @@ def packed(docs: DataFrame, bitmap: np.ndarray, width: int, seed_words: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits = _Hashes(), shared.value
+        bits = shared.value
         for batch in batches:
-            for at, split in _slices(batch, 3):
-                words, begins, text_of, (first, n, mini) = _runs_of(split, held, width, seed_words)
+            for at, texts in _slices(batch, 3):
+                words, begins, text_of, (first, n, mini) = _runs_of(texts, width, seed_words)
                 live = _set(bits, mini)
                 first, n, mini = first[live], n[live], mini[live]
                 row = text_of[first]
-                place = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
-                every = b" ".join(words)
+                place = np.r_[0, np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)]
+                every = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b" ")[0].as_py()
                 strings = [every[a:b] for a, b in zip(place[first].tolist(), (place[first + n + width - 1] - 1).tolist())]
                 keys = [batch.column(k).take(pa.array(row + at)) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(strings, pa.binary()), *keys, pa.array((first - begins[row]).astype(np.int64))], names=["mini", "words", "none", "doc", "t", "start"])
@@ -221,18 +220,20 @@ def _judge(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mini, is_first, strings, repeats = None, True, [], []
         last, stands, out = None, None, []
+        held, parted = 0, False
 
         def close(is_last: bool) -> None:
-            nonlocal is_first, strings, repeats
+            """The bucket, or a part of it, ends here."""
+            nonlocal is_first, strings, repeats, held
             if mini is None:
                 return
-            is_open = is_first or is_last
+            is_open = is_first or is_last or parted
             again, firsts = _bucket(strings, width) if is_open or len(strings) > 1 else ([], [])
             out.extend((*s, None) for s in _stretches(again, width))
             out.extend(repeats)
             if is_open:
                 out.extend((*p, p[3] + width, hashlib.blake2b(w, digest_size=16).digest()) for p, w in firsts)
-            is_first, strings, repeats = False, [], []
+            is_first, strings, repeats, held = False, [], [], 0
 
         def frame() -> pa.RecordBatch:
             cols = list(zip(*out)) or [()] * 6
@@ -244,10 +245,14 @@ def _judge(width: int):
                 place = tuple(place)
                 if m != mini:
                     close(False)
-                    mini, last = m, None
+                    mini, last, parted = m, None, False
                 if words != last:
+                    if held >= AT_ONCE:
+                        parted = True
+                        close(False)
                     last, stands = words, place
                     strings.append((words, place))
+                    held += words.count(b" ") + 2 - width
                 elif place != stands:
                     repeats.append((*place, place[3] + words.count(b" ") + 1, None))
                     if len(repeats) >= AT_ONCE:
@@ -276,7 +281,7 @@ def repeated_stretches(docs: DataFrame, width: int = 20, seed_words: int = 4) ->
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("k")
     schema = "none boolean, doc long, t long, `from` long, `to` long, digest binary"
     found = cut(rows.select("mini", "words", "none", "doc", "t", "start").mapInArrow(_judge(width), schema), "found")
-    # each partition has one open place of a window at most
+    # each part of a bucket has one open place of a window at most
     place = F.struct("none", "doc", "t", "from")
     first = F.min(place).over(Window.partitionBy("digest"))
     later = found.where("digest is not null").withColumn("first", first).where(place > F.col("first"))
@@ -315,17 +320,21 @@ def dedup_substrings(docs: DataFrame, width: int = 20, seed_words: int = 4) -> D
     mark = F.xxhash64("none", "doc", "t")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(stretches.select(_low(mark).alias("bit"))))
 
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for batch in batches:
-            yield batch.append_column("may", pa.array(_set(bits, batch.column(4).to_numpy().view(np.uint64))))
+    def told(is_set: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
+                yield batch.filter(pa.array(_set(bitmap.value, marks) == is_set))
+
+        return run
 
     base = _base(docs).withColumn("mark", mark)
-    told = base.mapInArrow(may, base.schema.simpleString()[7:-1].replace(":", " ") + ", may boolean")
     doc_id = F.when(~F.col("none"), F.col("doc")).alias("doc_id")
-    some = told.where("may").join(stretches, ["none", "doc", "t"], "left").select(doc_id, "text", "stretches")
-    rest = told.where("not may").select(doc_id, "text", F.lit(None).cast(stretches.schema["stretches"].dataType).alias("stretches"))
-    return some.unionByName(rest).mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary")
+    schema = "doc_id long, n_words long, n_removed long, kept binary"
+    some = base.mapInArrow(told(True), base.schema).join(stretches, ["none", "doc", "t"], "left").select(doc_id, "text", "stretches")
+    # in one step, so that a task has one worker
+    rest = base.select(doc_id, "text", F.lit(None).cast(stretches.schema["stretches"].dataType).alias("stretches"), "mark")
+    return some.mapInArrow(_kept, schema).unionByName(rest.mapInArrow(lambda batches: _kept(told(False)(batches)), schema))
 
 
 ORACLE_SQL = r"""

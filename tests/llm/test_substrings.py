@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 import duckdb
 import pytest
@@ -139,3 +141,77 @@ def test_only_repeats_travel(spark):
     assert [r.doc for r in found] == [100]
     words = sorted((s["from"], s["to"]) for s in found[0].stretches)
     assert words[0][0] == 0 and max(w[1] for w in words) == 100
+
+
+def test_words_are_those_of_the_contract():
+    texts = [b" \x0b a\x1c\xc2\xa0b\xff\x85 \r\n\x0c c\x00d\t", b"", b" \n ", None, b"x", "ä\u2003ö  ü".encode(), b"y z"]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"left out", *texts], pa.binary())], ["text"]).slice(1)
+    old, substrings.SLICE = substrings.SLICE, 20
+    try:
+        slices = list(substrings._slices(batch, 0))
+    finally:
+        substrings.SLICE = old
+    assert [at for at, _ in slices] == [0, 3] and sum(len(t) for _, t in slices) == len(texts)
+    for at, part in slices:
+        words, lens = substrings._split(part)
+        want = [(t or b"").split() for t in texts[at : at + len(part)]]
+        assert lens.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+
+
+class Taken:
+    """Takes the place of a table: keeps the function of ``mapInArrow``."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def select(self, *cols):
+        return self
+
+    groupBy = agg = where = select
+
+
+@pytest.mark.parametrize("mb", [4, 12])
+def test_memory_of_a_worker_does_not_follow_the_batch(spark, mb):
+    """Batches of 4 and 12 MB of different words take the same few MB of Python's and numpy's memory."""
+    taken = Taken()
+    substrings.repeated_minimisers(taken, 20, 4)
+    texts = [b" ".join(b"%07d" % (d * 1250 + k) for k in range(1250)) for d in range(mb * 100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in taken.run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > mb * 100 * 100 and peak < 60 << 20
+
+
+def test_large_bucket_in_parts(monkeypatch):
+    """A bucket of many windows is never unpacked whole, and its parts give what all of it gives."""
+    rng = random.Random(7)
+    rows = []
+    for mini, n in ((1, 40), (2, 2500), (3, 60)):
+        for d in range(n):
+            w = b" ".join(b"%d%c" % (mini, rng.choice(b"abc")) for _ in range(9))
+            rows.append((mini, w, d % 50 == 0, d, 0, 100 * rng.randrange(3)))
+    rows = sorted({(r[0], hashlib.md5(r[1]).digest(), *r[1:]) for r in rows})
+    cols = list(zip(*((r[0], *r[2:]) for r in rows)))
+    types = [pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["mini", "words", "none", "doc", "t", "start"])
+    sizes, whole = [], substrings._bucket
+    monkeypatch.setattr(substrings, "AT_ONCE", 100)
+    monkeypatch.setattr(substrings, "_bucket", lambda strings, width: sizes.append(len(strings)) or whole(strings, width))
+    out = [tuple(r.values()) for b in substrings._judge(5)(iter([batch.slice(k, 70) for k in range(0, len(rows), 70)])) for r in b.to_pylist()]
+    assert max(sizes) <= 20 and sum(sizes) == len({r[2] for r in rows})
+    first, places = {}, {}
+    for *place, upto, digest in out:
+        if digest is not None:
+            assert upto == place[3] + 5
+            first[digest] = min(first.get(digest, place), place)
+    for _, _, w, *place, start in rows:
+        for k, x in enumerate(substrings._windows(w, 5)):
+            places.setdefault(x, set()).add((*place, start + k))
+    covered = lambda spans: {(*p[:3], k) for p, upto in spans for k in range(p[3], upto)}
+    want = covered((p, p[3] + 5) for found in places.values() for p in found - {min(found)})
+    assert covered((p, upto) for *p, upto, digest in out if digest is None or p != first[digest]) == want
