@@ -201,7 +201,7 @@ def find_runs(codes: np.ndarray, lens: np.ndarray, least: int = 12) -> tuple[np.
     # the same stretch with a multiple of its period is not another run
     order = np.lexsort((period, length, start))
     start, length, period = start[order], length[order], period[order]
-    new = np.r_[True, (np.diff(start) != 0) | (np.diff(length) != 0)]
+    new = np.r_[True, (np.diff(start) != 0) | (np.diff(length) != 0)][: len(start)]  # pairs may agree and none make a run
     start, length, period = start[new], length[new], period[new]
     order = np.lexsort((period, start))
     return start[order], length[order], period[order]

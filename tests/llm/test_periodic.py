@@ -126,3 +126,10 @@ def test_query(spark, sf_dir):
 def test_longest_run(spark):
     df = spark.createDataFrame([([(4, 20, 3), (1, 20, 7), (1, 20, 5)],), ([],)], f"runs {periodic.RUNS}")
     assert [r.best and tuple(r.best) for r in df.select(longest_run(df["runs"]).alias("best")).collect()] == [(1, 20, 5), None]
+
+
+def test_slices_with_pairs_that_agree_and_no_run(spark):
+    """A word that comes again in a slice that has no run, as in a short slice at the end of a batch."""
+    assert list(periodic._slice_runs([b"a a b c".split(), b"d e d f g".split()], 12)) == [([], b"a a b c"), ([], b"d e d f g")]
+    rows = [(1, "a a b c"), (2, None), (3, "the one and the other")]
+    check(periodic_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect(), rows)
