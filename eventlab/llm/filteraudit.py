@@ -19,8 +19,9 @@ from __future__ import annotations
 import itertools
 import json
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -58,20 +59,20 @@ def local_shards(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
         for batch in batches:
             texts, at = batch.column(0), 0
             while at < batch.num_rows:
-                first, size, code, columns, counts, indptr = at, 0, _Codes(), [], [], [0]
+                first, size, code, columns, counts, indptr = at, 0, _Codes(), array("i"), array("i"), [0]
                 capitals, symbols = [], []
                 while at < batch.num_rows and (at == first or size < SLICE):
                     raw = texts[at].as_py() or b""
                     size += len(raw)
                     found = Counter(raw.split())
-                    columns += map(code.__getitem__, found)
-                    counts += found.values()
+                    columns.extend(map(code.__getitem__, found))
+                    counts.extend(found.values())
                     indptr.append(len(columns))
                     capitals.append(len(raw) - len(raw.translate(None, CAPITALS)))
                     symbols.append(len(raw) - len(raw.translate(None, SYMBOLS)))
                     at += 1
                 kept = [_one(batch.column(k + 1).slice(first, at - first)) for k in range(len(keep))]
-                own = [_one(pa.array(x, t)) for x, t in ((capitals, pa.int64()), (symbols, pa.int64()), (indptr, pa.int32()), (columns, pa.int32()), (counts, pa.int32()))]
+                own = [_one(pa.array(x, t)) for x, t in ((capitals, pa.int64()), (symbols, pa.int64()), (indptr, pa.int32()), (np.array(columns, np.int32), pa.int32()), (np.array(counts, np.int32), pa.int32()))]
                 own.insert(2, pa.array([b" ".join(code)], pa.binary()))
                 shard = TaskContext.get().partitionId() << 32 | n
                 n += 1
@@ -134,14 +135,16 @@ def numbered_words(shards: DataFrame, n_shards: int) -> DataFrame:
     return rows.join(F.broadcast(before), "part").drop("part", "n_new")
 
 
-def csr_shards(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+def csr_shards(docs: DataFrame, keep: Sequence[str] = ("doc_id",), made: Callable[[pa.Table], pa.Table] = lambda shard: shard, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The document-term matrix as (shards, dictionary).
 
+    ``made`` says what comes out for a shard, with ``schema``: where a few columns are made of a shard, its arrays needn't leave the task.
+
     A shard has its number, the columns ``keep`` of its documents, capitals and symbols of their
     texts (lists), and the CSR arrays ``indptr``, ``columns`` (dictionary numbers, ascending in each row) and ``counts``.
     The dictionary has (id, word).  Words are ``[^\\x20\\x09-\\x0D]+``, as they are; null texts have none.
     """
-    local = cut(local_shards(docs, keep), "local")
+    local = cut(local_shards(docs, keep), "local", large_rows=True)
     numbered = numbered_words(local, local.count())
     matrix = local.drop("words")
 
@@ -153,30 +156,26 @@ def csr_shards(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> tuple[Data
         columns = ids[columns]
         order = np.lexsort((columns, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
         new = {"columns": _one(pa.array(columns[order])), "counts": _one(pa.array(counts[order], pa.int32()))}
-        return pa.table({c: new.get(c, one[c]) for c in one.column_names})
+        return made(pa.table({c: new.get(c, one[c]) for c in one.column_names}))
 
-    schema = ", ".join(f"`{f.name}` {'array<bigint>' if f.name == 'columns' else f.dataType.simpleString()}" for f in matrix.schema)
+    schema = schema or ", ".join(f"`{f.name}` {'array<bigint>' if f.name == 'columns' else f.dataType.simpleString()}" for f in matrix.schema)
     shards = matrix.groupBy("shard").cogroup(numbered.select("shard", "local", "number", "before").groupBy("shard")).applyInArrow(join, schema)
     first = numbered.where(F.length("new") > 0).select((F.col("before") + F.col("first")).alias("at"), F.posexplode(F.split(F.col("new").cast("string"), " ")).alias("k", "word"))
     return shards, first.select((F.col("at") + F.col("k")).alias("id"), "word")
 
 
-def row_counts(shards: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """The columns ``keep``, capitals, symbols, n_words (row sum) and n_distinct (nonzero entries) of each document of CSR shards."""
+def row_counts(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep``, capitals, symbols, n_words (row sum) and n_distinct (nonzero entries) of each document, from its CSR shard."""
     carried = [*keep, "capitals", "symbols"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                indptr, counts = (row.column(c).flatten().to_numpy() for c in (len(carried), len(carried) + 1))
-                total = np.r_[0, np.cumsum(counts, dtype=np.int64)]
-                n_words, n_distinct = total[indptr[1:]] - total[indptr[:-1]], np.diff(indptr).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*[row.column(c).flatten() for c in range(len(carried))], pa.array(n_words), pa.array(n_distinct)], names=[*carried, "n_words", "n_distinct"])
+    def sums(shard: pa.Table) -> pa.Table:
+        own = {c: shard[c].combine_chunks().flatten() for c in [*carried, "indptr", "counts"]}
+        indptr, counts = own["indptr"].to_numpy(), own["counts"].to_numpy()
+        total = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+        return pa.table({c: own[c] for c in carried} | {"n_words": total[indptr[1:]] - total[indptr[:-1]], "n_distinct": np.diff(indptr).astype(np.int64)})
 
-    work = shards.select(*carried, "indptr", "counts")
-    types = ", ".join(f"`{c}` {work.schema[c].dataType.elementType.simpleString()}" for c in carried)
-    return work.mapInArrow(run, f"{types}, n_words long, n_distinct long")
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return csr_shards(docs, keep, sums, f"{types}, capitals long, symbols long, n_words long, n_distinct long")[0]
 
 
 def failed_sets(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,10 +188,9 @@ def failed_sets(docs: DataFrame, labels: DataFrame) -> DataFrame:
     t1, t2 = hash128(text)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), t1.alias("t1"), t2.alias("t2"), F.char_length(text).cast("long").alias("chars"), text.alias("text"))
     keep = ["doc_id", "part", "t1", "t2", "chars"]
-    shards, _ = csr_shards(base, keep)
     rules = ["n_words < 200", "100 * n_distinct < 50 * n_words", "100 * capitals > 3 * chars", "symbols > 0"]
     alone = " + ".join(f"if({rule}, {1 << k}, 0)" for k, rule in enumerate(rules))
-    rows = row_counts(shards, keep).select("doc_id", "part", "t1", "t2", F.expr(alone).alias("failed"))
+    rows = row_counts(base, keep).select("doc_id", "part", "t1", "t2", F.expr(alone).alias("failed"))
     rows = rows.groupBy("doc_id", "part", "t1", "t2", "failed").count()  # rows that repeat are one from here on
     told = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.expr("int(quality <=> 1)")).alias("good"), F.max(F.expr("int(toxic <=> 1)")).alias("toxic"))
     rows = rows.join(told, "doc_id", "left").fillna(0, ["good", "toxic"])

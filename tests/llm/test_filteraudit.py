@@ -111,3 +111,26 @@ def test_numbers_of_buckets(monkeypatch):
             for k, w in enumerate(r["new"].split()):
                 told[w] = r["first"] + k
         assert told == number and sorted(number.values()) == list(range(5))
+
+
+def test_a_row_group_holds_few_shards_and_no_shard_leaves_its_task(spark, monkeypatch):
+    """Texts of a slice's size in one task: each shard is a row group of its own, and what comes out of shards for the audit are rows of documents."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    word = F.transform(F.sequence(F.col("id") * 1_700_000, F.col("id") * 1_700_000 + 1_699_999), lambda k: F.concat(F.lit("w"), F.lpad(k.cast("string"), 9, "0")))
+    docs = spark.range(0, 2, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(word, " ").alias("text"), F.lit("en").alias("lang"))
+    tables = {}
+    plain = filteraudit.cut
+    monkeypatch.setattr(filteraudit, "cut", lambda df, name, **more: tables.setdefault(name, plain(df, name, **more)))
+    shards, _ = csr_shards(docs.select("doc_id", "text"))
+    groups = []
+    for path in tables["local"].inputFiles():
+        meta = pq.ParquetFile(Path(path.removeprefix("file:"))).metadata
+        groups += [meta.row_group(k).num_rows for k in range(meta.num_row_groups)]
+    assert groups == [1, 1]
+    rows = filteraudit.row_counts(docs, ["doc_id"])
+    assert "array" not in rows.schema.simpleString()
+    assert sorted(tuple(r) for r in rows.select("doc_id", "n_words", "n_distinct").collect()) == [(k, 1_700_000, 1_700_000) for k in range(2)]
