@@ -21,6 +21,14 @@ of the text's set of shingles, a 64-bit key for each band.  Two texts meet if a
 needs common shingles: texts without any don't meet, however many there are.  A bit of each minimum
 tells how near two texts are (``MOST`` differing bits at most), then comes the exact similarity.
 Two texts at 0.8 have an equal band in 997 of 1,000 cases, at 0.85 in all but 1 of 10^5.
+
+Bands only make groups early.  That no link between groups is missed is the work of prefixes: with
+all shingles in one fixed order, two sets at a similarity of s have a shingle in common among the first n - ceil(s * n) + 1
+of each, and l among the first n - ceil(s * n) + l.  Texts with fewer than l there that a second text has as well are left out;
+the others meet by the keys of their shorter prefix, if they are in different groups.
+Any order does; one with rare shingles first makes few texts meet.  Pairs that meet are told apart by
+what never leaves out a link: their sizes, then the parities of the numbers of shingles in ``PARITIES`` slots,
+of which no more can differ than there are shingles in one set only, then the sets themselves.
 """
 
 from __future__ import annotations
@@ -45,6 +53,11 @@ BANDS, ROWS, MOST = 32, 8, 47
 TEXT_BITS, ROUNDS = 23, 3
 #: Doublings of the way up a tree of links after each such round.
 JUMPS = 3
+#: Slots of a text's parities and of the table of frequencies that shingles are ordered by, and bits of the map of keys that repeat: a full map only keeps more keys.
+PARITIES, SLOTS, MAP_BITS = 512, 1 << 16, 26
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Of a key's rows that have one near by, up to so many make pairs; those of keys with more are compared in a join's condition.
+FEW = 32
 
 
 def _bit_sums(words: np.ndarray) -> np.ndarray:
@@ -285,27 +298,195 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, set array<long>")
 
 
-def _rest(still: DataFrame, texts: DataFrame, width: int, similarity: float, bands: int, size: int) -> DataFrame:
-    """The links (a, b) between rows (key, band, node, n, bits, root) of a key that are in different groups.
+def _sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(node, its shingles' hashes, each once) of rows (node, text), some texts at a time.  Copies that a task meets again soon are left out."""
+    lately: set[int] = set()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part, made = batch.slice(at, 512), []
+            for node, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary())):
+                if node not in lately:
+                    if len(lately) > 50_000:
+                        lately.clear()
+                    lately.add(node)
+                    made.append((node, np.unique(np.concatenate(list(shingle_hashes(text.as_py(), width))))))
+            if made:
+                yield made
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
+
+
+def frequency_classes(base: DataFrame, width: int) -> np.ndarray:
+    """A number for each of ``SLOTS`` slots of shingles, larger where more texts have them.  It only gives the shingles an order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for made in _sets_of(batches, width):
+            total += np.bincount(_slot(np.concatenate([h for _, h in made])), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+    found = base.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts = np.zeros(SLOTS)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return np.clip(4 * np.log2(np.maximum(counts / max(1, counts.mean()), 1)), 0, 63).astype(np.uint64)
+
+
+def _least(n: int, similarity: float) -> int:
+    return int(np.ceil((similarity - 1e-9) * n))
+
+
+def _more(n: int) -> int:
+    """How many shingles beyond the shorter prefix are looked at, and so many texts at a similarity share at least."""
+    return max(1, n // 10)
+
 
-    All such pairs are compared, at the first key they share, by the join's condition: only links come out as rows.
-    A key's largest group is on one side of the join only, so it isn't compared with itself.
+def prefix(hashes: np.ndarray, classes: np.ndarray, similarity: float) -> tuple[np.ndarray, int, int]:
+    """Keys of the first shingles of a set, in order of class and key; how many of them are the shorter prefix, and how many must be found in other sets.
+
+    Two sets at ``similarity`` have a key of their shorter prefixes in common, and of the longer ones as many as are told.
+    """
+    n = len(hashes)
+    least = _least(n, similarity)
+    keys = classes[_slot(hashes)] << np.uint64(56) | hashes * _ODD >> np.uint64(8)
+    long = min(n, n - least + _more(n))
+    # the other set may be smaller, and its prefix, too
+    return np.sort(np.partition(keys, long - 1)[:long]), min(n, n - least + 1), _more(least)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether the number of a set's shingles in each of ``PARITIES`` slots is odd, in words of 64."""
+    slots = np.bincount((hashes >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((slots & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _repeated(base: DataFrame, classes: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """A map of ``MAP_BITS`` with the bit of each key that several texts have in their prefixes; keys are packed by bucket and counted there."""
+    shared = base.sparkSession.sparkContext.broadcast(classes)
+    buckets = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            keys = np.concatenate(held)
+            held.clear()
+            spots = (keys % np.uint64(buckets)).astype(np.int64)
+            # 32 bits within a bucket: keys that agree in these are few, and count as repeated
+            keys = (keys // np.uint64(buckets)).astype(np.uint32)[np.argsort(spots, kind="stable")]
+            ends = np.cumsum(np.bincount(spots, minlength=buckets))
+            packs = [keys[e - n : e].tobytes() for e, n in zip(ends.tolist(), np.diff(np.r_[0, ends]).tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int64()), pa.array(packs, pa.binary())], names=["bucket", "keys"])
+
+        for made in _sets_of(batches, width):
+            held += [prefix(h, shared.value, similarity)[0] for _, h in made]
+            if sum(map(len, held)) > 1 << 20:
+                yield out()
+        if held:
+            yield out()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1)):
+                packs.setdefault(bucket, []).append(np.frombuffer(keys.as_py(), np.uint32))
+        while packs:
+            bucket, parts = packs.popitem()
+            keys = np.sort(np.concatenate(parts))
+            again = keys[1:][keys[1:] == keys[:-1]].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)  # a key's low bits
+            spots = np.unique(again & np.uint64((1 << MAP_BITS) - 1))
+            if len(spots):
+                words, begins = np.unique((spots >> np.uint64(6)).astype(np.int64), return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (spots & np.uint64(63)), begins)
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    packed = base.mapInArrow(pack, "bucket long, keys binary").repartition("bucket")
+    found = packed.mapInArrow(count, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2^MAP_BITS / 64 rows at most
+    bitmap = np.zeros(1 << MAP_BITS - 6, np.int64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return bitmap.view(np.uint8)
+
+
+def _keyed(base: DataFrame, classes: np.ndarray, bitmap: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """(node, n, keys, parities) of rows (node, text) that may have a link: the keys of the shorter prefix that several texts have, in order."""
+    shared = base.sparkSession.sparkContext.broadcast((classes, bitmap))
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("keys", longs), ("parities", longs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, bitmap = shared.value
+        for made in _sets_of(batches, width):
+            rows = []
+            for node, found in made:
+                keys, short, needed = prefix(found, classes, similarity)
+                spot = (keys & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+                again = bitmap[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 == 1
+                keys = keys[:short][again[:short]]
+                if len(keys) and again.sum() >= needed:
+                    rows.append((node, len(found), keys.view(np.int64), parities(found)))
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    rows = base.mapInArrow(run, "node long, n long, keys array<long>, parities array<long>")
+    return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys", "parities")])
+
+
+def _rest(base: DataFrame, roots: DataFrame | None, width: int, similarity: float) -> DataFrame:
+    """All links (a, b) between texts in different groups; ``roots`` has (node, root) of those whose group has another name.
+
+    Texts meet by the keys of their prefixes. First come the rows of a key that have any row of another group near by sizes and parities.
+    Of keys with few of these the pairs are compared, each once. Of keys with more, at the first key that two share, they are compared by the join's
+    condition: only links come out as rows. A key's largest group is on one side of a join only, so it isn't compared with itself.
     """
-    counts = still.groupBy("key", "root").count()
-    largest = counts.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    rows = cut(still.join(_sets(_texts_of(still, texts), width), "node"), "sets")
-    sides = [c for c in rows.columns if c != "key"]
+    classes = frequency_classes(base, width)
+    found = _keyed(base, classes, _repeated(base, classes, width, similarity), width, similarity)
+    if roots is not None:
+        found = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        found = found.withColumn("root", F.col("node"))
+    rows = cut(found, "keyed")
+    spark = rows.sparkSession
     # rows are few and each is compared with many, so partitions go by number and not by size
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
-    a = rows.join(largest, "key").where("root <> largest").select("key", F.struct(*sides).alias("x")).repartition(tasks, "key")
-    b = rows.join(largest, "key").repartition(tasks, "key").select("key", F.struct(*sides).alias("y"), (F.col("root") == F.col("largest")).alias("_large"))
-    new = (F.col("x.root") != F.col("y.root")) & (F.col("_large") | (F.col("x.node") < F.col("y.node")))
-    for i in range(bands):
-        new = new & ((F.col("x.band") <= i) | (F.get("x.keys", F.lit(i)) != F.get("y.keys", F.lit(i))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def sides(every: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Rows (key, x) that aren't of their key's largest group, those that are, and all as (key, y, large)."""
+        largest = every.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups"))
+        dealt = every.join(largest.where("groups > 1").drop("groups"), "key").repartition(tasks, "key")
+        row = F.struct(*[c for c in every.columns if c != "key"])
+        a = dealt.where("root <> largest").select("key", row.alias("x"))
+        return a, dealt.where("root = largest").select("key", row.alias("x")), dealt.select("key", row.alias("y"), (F.col("root") == F.col("largest")).alias("_large"))
+
+    apart = F.col("x.root") != F.col("y.root")
+    # of the sets' sizes together, what is in one only is (1 - s) / (1 + s) at most
+    few = F.floor((F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    near = _sizes_fit("x.n", "y.n", similarity) & (_off("x.parities", "y.parities", PARITIES) <= few)
+    keys = rows.select(F.explode("keys").alias("key"), "node", "root")
+    shared = keys.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    every = keys.join(shared, "key").drop("root").join(rows.select("node", "n", "root", "parities"), "node")
+    a, large, b = sides(cut(every, "prefixes"))
+    small = b.where("not _large")
+    some = a.join(b, (a["key"] == b["key"]) & apart & near, "left_semi").unionByName(large.join(small, (large["key"] == small["key"]) & apart & near, "left_semi"))
+    some = cut(some.select("key", "x.*"), "near")
+    many = some.groupBy("key").count().where(F.col("count") > FEW).select("key")
+    few_rows = some.join(many, "key", "left_anti")
+    a, b = (few_rows.select("key", F.struct(*[c for c in some.columns if c != "key"]).alias(c)) for c in ("x", "y"))
+    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("x.node") < F.col("y.node")) & apart & near)  # FEW for each row at most
+    pairs = cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    linked = _similar(pairs, base, width, similarity)
+
+    dense = cut(some.join(many, "key", "left_semi"), "dense")
+    sets = _sets(_texts_of(dense, base), width)
+    a, _, b = sides(cut(dense.join(sets, "node").join(rows.select("node", "keys"), "node"), "sets"))
+    new = apart & (F.col("_large") | (F.col("x.node") < F.col("y.node")))
+    # keys are in one order in all lists: at the first one in common
+    new = new & (F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == a["key"])
     common = F.size(F.array_intersect("x.set", "y.set"))
     exact = common * (1 + similarity - 1e-9) >= (F.col("x.n") + F.col("y.n")) * (similarity - 1e-9)  # of the union; written so that it is computed once
-    near = (_off("x.bits", "y.bits", size) <= MOST) & _sizes_fit("x.n", "y.n", similarity)
-    return a.join(b, (a["key"] == b["key"]) & new & near & exact).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    found = a.join(b, (a["key"] == b["key"]) & apart & near & new & exact)
+    return linked.unionByName(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -314,12 +495,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     Takes ``text``; other columns are ignored.  Two texts are linked if the Jaccard similarity of
     their sets of ``width``-word shingles (A-Z in lower case) is ``similarity`` or more; a shorter text is one
     shingle, null and empty ones are equal texts.  Groups are what links connect.
-    Each link is exact; those that no equal band shows are missed (see above).
+    Each link is exact, and none between groups is missed (see above).
 
     Copies are one node.  In each of up to ``ROUNDS`` rounds a node is compared with one hub only, that of its keys' hubs whose sketch is nearest;
     a key's hub is of the group that is drawn first, anew each round, and members of that group don't meet it.  So a large group grows from
-    stars, a link for each node, and not from all its pairs.  Rounds end when one finds nothing.  Then nodes of a key that are still
-    in different groups are all compared by their sets, so no link between groups is lost; only links become rows.
+    stars, a link for each node, and not from all its pairs.  Rounds end when one finds nothing.  Then texts that are still
+    in different groups meet by their prefixes, whether a band is equal or not, and are compared by their sets, so no link between groups is lost; only links become rows.
     Between rounds a node takes the top of its tree of links for its group: two names of one group cost comparisons and no link. What is connected is computed once, at the end.
     """
     base = docs.select(text_node(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -329,7 +510,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     live = cut(keys.join(again, "key").join(classes.select("node", "n", "bits"), "node").select("key", "band", "node", "n", "bits"), "live")
     size = bands * rows
 
-    links_found, named = [], live.withColumn("root", F.col("node"))
+    links_found, ups, named = [], [], live.withColumn("root", F.col("node"))
     for r in range(ROUNDS):
         # a link goes to a group of lesser draw, so what the groups point at is a forest
         hub = F.min(F.struct(F.xxhash64("root", F.lit(r)).alias("draw"), F.xxhash64("node", "key").alias("turn"), "node", "n", "bits", "root"))
@@ -343,12 +524,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
             break
         groups = star.join(new, ["a", "b"]).groupBy(F.col("from").alias("node")).agg(F.min_by("to", F.xxhash64("to", F.lit(r))).alias("to"))
         up = _tops(cut(groups, "up"))
+        ups.append(up)
         links_found += [new, up.select(F.col("node").alias("a"), F.col("to").alias("b"))]
         now = named.join(up.select(F.col("node").alias("root"), "to"), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
         named = cut(now.join(hubs.select("key"), "key", "left_semi"), "named")
-    open_keys = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    still = cut(named.join(open_keys, "key", "left_semi").join(classes.select("node", "keys"), "node"), "open")
-    last = cut(_rest(still, base, width, similarity, bands, size), "last")
+    roots = _tops(cut(functools.reduce(DataFrame.unionByName, ups).groupBy("node").agg(F.min("to").alias("to")), "ups")).withColumnRenamed("to", "root") if ups else None
+    last = cut(_rest(base, roots, width, similarity), "last")
     return components(functools.reduce(DataFrame.unionByName, links_found, last))
 
 

@@ -205,3 +205,37 @@ def test_a_group_just_under_the_threshold_makes_no_rows(spark):
     want = groups_of(rows)
     assert {frozenset(t for t in have if have[t] == r) for r in have.values()} == {frozenset(t for t in want if want[t] == r) for r in want.values()}
     assert max(sizes.values()) <= 400 * simhash.BANDS and sizes["last"] < 4000
+
+
+def test_no_link_is_missed(spark):
+    """Pairs at 0.8 exactly, of which three in 1,000 have no equal band, and a text between two of them; none just under 0.8."""
+    rows, pairs = [], []
+    for k in range(2000):
+        words = [f"w{k}x{i}" for i in range(94)]
+        other = words[:-10] + [f"v{k}x{i}" for i in range(10)]  # 80 of 100 shingles
+        under = words[:-11] + [f"u{k}x{i}" for i in range(11)]  # 79 of 101
+        pairs.append((" ".join(words), " ".join(other), " ".join(under)))
+        rows += [(3 * k + j, t) for j, t in enumerate(pairs[-1])]
+    have = found_groups(spark, rows)
+    assert [k for k, (a, b, _) in enumerate(pairs) if have[a] != have[b]] == []
+    assert [k for k, (a, b, c) in enumerate(pairs) if have[a] == have[c]] == []
+
+
+def test_prefixes_and_parities_leave_out_no_link():
+    """Sets at 0.8 or more have a key in common in their prefixes, in any order, and no more parities differ than shingles do."""
+    from eventlab.llm.simhash import SLOTS, parities, prefix
+
+    rng = np.random.default_rng(8)
+    for k in range(3000):
+        n = int(rng.integers(1, 400))
+        classes = rng.integers(0, 64, SLOTS, np.uint64) if k % 2 else np.zeros(SLOTS, np.uint64)
+        x = rng.integers(0, 2**64, n, np.uint64)
+        gone = int(rng.integers(0, n // 9 + 1))
+        y = np.r_[x[gone:], rng.integers(0, 2**64, int(rng.integers(0, max(1, (n - gone) / 0.8 - n + 1))), np.uint64)]
+        common = n - gone
+        if common < (0.8 - 1e-9) * (len(x) + len(y) - common):
+            continue
+        (k1, short1, needed1), (k2, short2, needed2) = (prefix(s, classes, 0.8) for s in (x, y))
+        assert len(np.intersect1d(k1[:short1], k2[:short2])) and len(np.intersect1d(k1, k2)) >= max(needed1, needed2)
+        off = int(np.bitwise_count((parities(x) ^ parities(y)).view(np.uint64)).sum())
+        assert off <= len(x) + len(y) - 2 * common <= (len(x) + len(y)) / 9 + 1e-6
