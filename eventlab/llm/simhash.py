@@ -454,7 +454,7 @@ def _rest(base: DataFrame, roots: DataFrame | None, width: int, similarity: floa
     def sides(every: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Rows (key, x) that aren't of their key's largest group, those that are, and all as (key, y, large)."""
         largest = every.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups"))
-        dealt = every.join(largest.where("groups > 1").drop("groups"), "key").repartition(tasks, "key")
+        dealt = every.repartition(tasks, "key").join(largest.where("groups > 1").drop("groups"), "key")
         row = F.struct(*[c for c in every.columns if c != "key"])
         a = dealt.where("root <> largest").select("key", row.alias("x"))
         return a, dealt.where("root = largest").select("key", row.alias("x")), dealt.select("key", row.alias("y"), (F.col("root") == F.col("largest")).alias("_large"))
@@ -478,11 +478,14 @@ def _rest(base: DataFrame, roots: DataFrame | None, width: int, similarity: floa
     linked = _similar(pairs, base, width, similarity)
 
     dense = cut(some.join(many, "key", "left_semi"), "dense")
-    sets = _sets(_texts_of(dense, base), width)
-    a, _, b = sides(cut(dense.join(sets, "node").join(rows.select("node", "keys"), "node"), "sets"))
-    new = apart & (F.col("_large") | (F.col("x.node") < F.col("y.node")))
-    # keys are in one order in all lists: at the first one in common
-    new = new & (F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == a["key"])
+    a, large, b = sides(cut(dense.join(dense.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node"), "listed"))
+    small = b.where("not _large")
+    first = lambda key: F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == key
+    # sets go to the rows alone that have one to be compared with
+    met = a.join(b, (a["key"] == b["key"]) & apart & near & first(a["key"]), "left_semi").unionByName(large.join(small, (large["key"] == small["key"]) & apart & near & first(large["key"]), "left_semi"))
+    met = cut(met.select("key", "x.*"), "met")
+    a, _, b = sides(cut(met.join(_sets(_texts_of(met, base), width), "node"), "sets"))
+    new = apart & (F.col("_large") | (F.col("x.node") < F.col("y.node"))) & first(a["key"])
     common = F.size(F.array_intersect("x.set", "y.set"))
     exact = common * (1 + similarity - 1e-9) >= (F.col("x.n") + F.col("y.n")) * (similarity - 1e-9)  # of the union; written so that it is computed once
     found = a.join(b, (a["key"] == b["key"]) & apart & near & new & exact)
